@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import chat, mixing, url_filter
-from flowmill.llm.common import table
+from flowmill.llm import chat, langid, mixing, quality, tokens, url_filter
+from flowmill.llm.common import held_out, table
 
 #: The query's rules.
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+TOKENIZER, END_ID = "word_bpe_49k.json", 1
+QUALITY_THRESHOLD = 0.3
 MIX_WEIGHTS, MIX_SHARE, MIX_CAP, MIX_SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 17
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn(docs.where(~held_out()))
+    return langid.identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "'<|im_end|><|im_start|>assistant ok'"
@@ -51,6 +59,14 @@ from written group by conv_id
 """
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = tokens.new_folder(spark)
+    tokens.write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(TOKENIZER), folder, end_id=END_ID)
+    return tokens.read_token_files(spark, folder)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -102,8 +118,16 @@ select doc_id, size, source_size, target, cast(size * (floor(rate) + case when u
 """
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learn(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    scored = quality.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_chat_format": op2_chat_format, "op7_url_filter": op7_url_filter, "op8_mixing": op8_mixing}
+    every = (op1_language_id, op2_chat_format, op3_token_files, op7_url_filter, op8_mixing, op9_quality)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
