@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import chat, langid, mixing, quality, tokens, url_filter
+from flowmill.llm import chat, decontaminate, langid, mixing, quality, tokens, url_filter
 from flowmill.llm.common import held_out, table
 
 #: The query's rules.
@@ -67,6 +67,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_files(spark, folder)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -126,7 +130,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_chat_format, op3_token_files, op7_url_filter, op8_mixing, op9_quality)
+    every = (op1_language_id, op2_chat_format, op3_token_files, op6_decontaminate, op7_url_filter, op8_mixing, op9_quality)
     return {f.__name__: f for f in every}
 
 
