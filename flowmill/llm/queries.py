@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import chat, decontaminate, langid, mixing, quality, tokens, url_filter
+from flowmill.llm import chat, decontaminate, langid, mixing, quality, simhash, tokens, url_filter
 from flowmill.llm.common import held_out, table
 
 #: The query's rules.
@@ -129,8 +129,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return groups.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"), F.col("keep_id").alias("component_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_chat_format, op3_token_files, op6_decontaminate, op7_url_filter, op8_mixing, op9_quality)
+    every = (op1_language_id, op2_chat_format, op3_token_files, op6_decontaminate, op7_url_filter, op8_mixing, op9_quality, op10_simhash)
     return {f.__name__: f for f in every}
 
 
