@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import chat, decontaminate, langid, mixing, quality, simhash, tokens, url_filter
+from flowmill.llm import chat, decontaminate, langid, mixing, quality, simhash, tokens, topk, url_filter
 from flowmill.llm.common import held_out, table
 
 #: The query's rules.
@@ -67,6 +67,28 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_files(spark, folder)
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.quantized(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select("vec_id", "vector")
+    found = topk.top_k(rows, rows.where(F.col("vec_id") % 50 == 0), 5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+OP4_SQL = """
+with whole as (
+  select vec_id, [cast(x as double) for x in embedding] as e from embeddings where vec_id is not null and embedding is not null
+), v as (
+  select vec_id, [cast(floor(256 * x) as bigint) for x in e] as q from whole
+  where len([x for x in e if x is null or isnan(x) or isinf(x)]) = 0
+), scored as (
+  select a.vec_id as query_id, b.vec_id as vec_id, cast(list_sum([p[1] * p[2] for p in list_zip(a.q, b.q)]) as bigint) as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0
+), ranked as (
+  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -135,9 +157,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_chat_format, op3_token_files, op6_decontaminate, op7_url_filter, op8_mixing, op9_quality, op10_simhash)
+    every = (op1_language_id, op2_chat_format, op3_token_files, op4_topk, op6_decontaminate, op7_url_filter, op8_mixing, op9_quality, op10_simhash)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op7_url_filter": OP7_SQL, "op8_mixing": OP8_SQL}
+    return {"op2_chat_format": OP2_SQL, "op4_topk": OP4_SQL, "op7_url_filter": OP7_SQL, "op8_mixing": OP8_SQL}
