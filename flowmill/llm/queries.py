@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import chat, decontaminate, langid, mixing, quality, simhash, tokens, topk, url_filter
+from flowmill.llm import chat, decontaminate, langid, licences, mixing, quality, simhash, tokens, topk, url_filter
 from flowmill.llm.common import held_out, table
 
 #: The query's rules.
@@ -89,6 +89,10 @@ select query_id, rank, vec_id, score from ranked where rank <= 5
 """
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -157,7 +161,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_chat_format, op3_token_files, op4_topk, op6_decontaminate, op7_url_filter, op8_mixing, op9_quality, op10_simhash)
+    every = (op1_language_id, op2_chat_format, op3_token_files, op4_topk, op5_licences, op6_decontaminate, op7_url_filter, op8_mixing, op9_quality, op10_simhash)
     return {f.__name__: f for f in every}
 
 
