@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from flowmill.llm.common import cut
 from flowmill.llm.text import numbers, words
 
 #: Edits allowed, as a share of the item's words; the least words of an item that can be told from common phrases.
@@ -213,7 +212,27 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, *, edits: float = EDITS
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("best.item_words").alias("item_words"), F.col("best.edits").alias("edits"))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """The rows of ``docs`` whose id has no passage of an item; rows without id stay. Same columns."""
-    hit = cut(find_passages(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("hit_id")).distinct())
-    return docs.join(hit, F.col(id_col) == F.col("hit_id"), "left_anti")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, edits: float = EDITS, min_words: int = MIN_WORDS, max_items: int = MAX_ITEMS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has no passage of an item, as :func:`find_passages` finds them; same columns.
+
+    Rows with a null text stay. Rows go through one at a time, so there is no join and no shuffle.
+    """
+    names, at = docs.columns, [c.lower() for c in docs.columns].index(text_col.lower())
+    for items in _blocks(benchmark, item_col, item_text_col, max_items):
+        shared, key = docs.sparkSession.sparkContext.broadcast(items), uuid4().hex
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            bench = _bench(key, shared.value, edits, min_words)
+            for batch in batches:
+                keep, rows, texts, size = np.ones(batch.num_rows, bool), [], [], 0
+                for row, text in enumerate(batch.column(at)):
+                    if text.is_valid and bench.items:
+                        rows.append(row), texts.append(numbers(text.as_py(), bench.number.get))
+                        size += len(texts[-1]) + bench.pad
+                    if rows and (size >= BLOCK_WORDS or row == batch.num_rows - 1):
+                        keep[[rows[t] for t, _ in bench.find(texts)]] = False
+                        rows, texts, size = [], [], 0
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep)).columns, names)
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
