@@ -48,8 +48,9 @@ def targets(sizes: DataFrame, share: float, cap: float) -> DataFrame:
     weight_left = F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     ranked = sizes.withColumn("limit", F.col("source_size") * F.lit(cap)).withColumn("level", left / weight_left)
     # The first source, in filling order, that its level leaves below its limit sets the level of all that follow.
-    open_ = F.when(F.col("level") * F.col("weight") < F.col("limit"), F.struct(ratio.alias("r"), F.col("level").alias("level")))
-    level = F.min(open_).over(all_rows)["level"]
+    # Levels only fall behind it, so of equal ratios the highest level is the first.
+    open_ = F.when(F.col("level") * F.col("weight") < F.col("limit"), F.struct(ratio.alias("r"), (-F.col("level")).alias("down")))
+    level = -F.min(open_).over(all_rows)["down"]
     return ranked.withColumn("target", F.least(F.col("limit"), F.coalesce(level * F.col("weight"), F.col("limit")))).select("source", "source_size", "weight", "target")
 
 

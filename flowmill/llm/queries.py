@@ -136,7 +136,7 @@ with sized as (
   select *, (sum(source_size) over () * 1.5::double - coalesce(sum(lim) over before, 0.0::double)) / (sum(weight) over () - coalesce(sum(weight) over before, 0.0::double)) as level
   from weighed window before as (order by lim / weight, source nulls last rows between unbounded preceding and 1 preceding)
 ), open as (
-  select arg_min(level, lim / weight) as level from levels where level * weight < lim
+  select (select level from levels where level * weight < lim order by lim / weight, source nulls last limit 1) as level
 ), targets as (
   select l.source, l.source_size, least(l.lim, coalesce(o.level * l.weight, l.lim)) as target from levels l, open o
 ), rated as (
