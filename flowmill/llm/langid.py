@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIM, SEED = 1024, 20_011
+DIM, SEED, SCALE = 1024, 20_011, 1 << 16
 
 #: Prototypes are collected and sent to all tasks: languages * DIM numbers. A language column with more values than this
 #: isn't one, and raises an error.
@@ -131,20 +131,22 @@ def _bundles(texts: list[tuple[int, str]], places: int) -> np.ndarray:
 def learn(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """(languages in order, their prototypes at length 1) from all rows of ``labelled`` with text and language.
 
-    Each task bundles what it reads, one vector a language; those are added up by language and dimension.  The sums are
-    whole numbers, so their order doesn't matter.
+    Every document counts alike, however long: its vector is brought to length SCALE and rounded.  Each task adds up what it
+    reads, one vector a language; those are added up by language and dimension.  The sums are whole numbers, so their
+    order doesn't matter.
     """
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs = batch.column(1).to_pylist()
-            named = sorted(set(langs))
-            for start in range(0, len(named), BLOCK_DOCS):
-                some = {x: k for k, x in enumerate(named[start : start + BLOCK_DOCS])}
-                texts = [(some[x], t.as_py()) for x, t in zip(langs, batch.column(0), strict=True) if x in some]
-                for lang, vector in zip(some, _bundles(texts, len(some)), strict=True):
-                    sums[lang] = sums.get(lang, 0) + vector.astype("i8")
+            for start in range(0, batch.num_rows, BLOCK_DOCS):
+                part = batch.slice(start, BLOCK_DOCS)
+                vectors = _bundles([(k, t.as_py()) for k, t in enumerate(part.column(0))], part.num_rows)
+                norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+                vectors = np.rint(vectors * (SCALE / np.maximum(norms, 1))).astype("i8")
+                langs = np.array(part.column(1).to_pylist(), dtype=object)
+                for lang in set(langs):
+                    sums[lang] = sums.get(lang, 0) + vectors[langs == lang].sum(axis=0)
         for lang, vector in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": [lang] * DIM, "dim": np.arange(DIM, dtype="i4"), "x": vector})
 
