@@ -110,14 +110,17 @@ def _parts(fields: list[tuple[str, Column]]) -> Column:
     return F.filter(F.array(*each), lambda t: t.isNotNull()).cast(TURNS)
 
 
+def _listed(items: Column, layout: Layout) -> Column:
+    return F.transform(F.coalesce(items, F.array()), lambda t: _canonical(t[layout.role], t[layout.text])).cast(TURNS)
+
+
 def turns_of(df: DataFrame, layout: Layout | None = None) -> Column:
     """The canonical turns of a typed record layout (not of rows by turn). A null list has no turns."""
     layout = layout or layout_of(df)
     if layout.rows:
         raise ValueError("rows by turn are grouped first, with turns_from_rows")
     if layout.turns:
-        items = F.coalesce(F.col(layout.turns), F.array())
-        return F.transform(items, lambda t: _canonical(t[layout.role], t[layout.text])).cast(TURNS)
+        return _listed(F.col(layout.turns), layout)
     return _parts([(role, F.col(name)) for role, name in layout.parts if name in df.columns])
 
 
@@ -139,7 +142,7 @@ def turns_from_json(record: Column, layouts: Iterable[Layout] = LAYOUTS) -> Colu
             if layout.turns:
                 shapes = [f"OBJECT<{layout.turns}: ARRAY<OBJECT<{', '.join(f'{x}: *' for x in sorted((layout.role, layout.text)))}>>>", f"OBJECT<{layout.turns}: ARRAY<*>>"]
                 items = F.try_variant_get(value, f"$.{layout.turns}", f"array<struct<{layout.role}:string,{layout.text}:string>>")
-                turns = F.transform(F.coalesce(items, F.array()), lambda t, x=layout: _canonical(t[x.role], t[x.text])).cast(TURNS)
+                turns = _listed(items, layout)
             else:
                 shapes = [f"OBJECT<{', '.join(f'{x}: *' for x in sorted(paths))}>"]
                 turns = _parts([(role, F.try_variant_get(value, f"$.{name}", "string")) for role, name in layout.parts if name in paths])
