@@ -92,8 +92,9 @@ class Bench:
             at += (bits[symbol] >> np.uint64(j % 64) & np.uint64(1)).astype("i8")
         return key
 
-    def candidates(self, flat: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window starts, items) that met in some repetition, each pair once a size class."""
+    def candidates(self, flat: np.ndarray, inside: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window starts, items) that met in some repetition, each pair once a size class. Windows start at words, which
+        ``inside`` marks, not in the gaps between texts."""
         known = np.concatenate([[0], np.cumsum(flat > 0, dtype="i4")])
         again = np.concatenate([[0, 0], np.cumsum((flat[1:] == flat[:-1]) & (flat[1:] > 0), dtype="i4")])
         last = len(flat) - self.pad
@@ -102,7 +103,7 @@ class Bench:
             for n in np.unique(self.sizes[members]):
                 k = allowed(n, self.edits)
                 passed |= (known[n : n + last] - known[:last] >= n - k) & (again[n : n + last] - again[1 : 1 + last] <= 3 * k + self.repeats[int(n)])
-            starts = np.flatnonzero(passed)
+            starts = np.flatnonzero(passed & inside[:last])
             if not len(starts):
                 continue
             met = []
@@ -136,8 +137,9 @@ class Bench:
         gap = np.zeros(self.pad, "i4")
         flat = np.concatenate([x for t in texts for x in (t, gap)] + [gap])
         owner = np.repeat(np.arange(len(texts)), [len(t) + self.pad for t in texts])
+        inside = np.concatenate([x for t in texts for x in (np.ones(len(t), bool), np.zeros(self.pad, bool))] + [np.zeros(self.pad, bool)])
         found: dict[tuple[int, int], int] = {}
-        for starts, items in self.candidates(flat):
+        for starts, items in self.candidates(flat, inside):
             order = np.argsort(items, kind="stable")
             starts, items = starts[order], items[order]
             for item in np.unique(items):
