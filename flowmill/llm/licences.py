@@ -59,7 +59,7 @@ class Templates:
             starts.append(size)
             lines.append(np.fromiter((get(w, 0) for w in line), "i4", len(line)))
             size += len(line)
-        if size < 2:
+        if size < 2 or not self.names:
             return []
         flat = np.concatenate(lines).astype("i8")
         pairs = flat[:-1] * self.wide + flat[1:]
