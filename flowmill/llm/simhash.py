@@ -8,12 +8,17 @@ within the radius, some ``blocks - radius`` blocks are equal, so shards of the f
 hold every linked pair.  Each task builds a BK-tree of a shard (children keyed by Hamming distance to the parent) and runs all
 its members through it, following only edges within the radius.  Of a shard's links, a spanning forest is kept.  The trees
 grow with the corpus, so each is built where its queries are: nothing is broadcast.
+
+:func:`similar_documents` goes on to exact similarity: a wider radius, within which most texts with a Jaccard coefficient of
+0.8 over five-word shingles lie, gives pairs that are then compared by their shingles.  So wide a radius has no exact
+shards of use; fingerprints meet in shards that agree in randomly sampled bits, repeated to a target recall.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +34,12 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 #: A shard of more fingerprints is split once more, by blocks of its other bits.
 MAX_SHARD = 200_000
 
+#: For exact similarity: shingle, radius, the coefficient; pairs at distance NEAR meet in some shard with probability RECALL.
+WIDE_SHINGLE, WIDE_RADIUS, SIMILARITY, NEAR, RECALL = 5, 12, 0.8, 10, 0.95
+
+#: Keys of texts to compare that may be broadcast (16 bytes each); more are joined by a shuffle.
+MAX_BROADCAST_KEYS = 1_000_000
+
 LEAF, QUERIES, PAIRS, HASHES = 32, 2048, 1 << 20, 1 << 18
 
 
@@ -125,6 +136,61 @@ def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return fps[linked], fps[labels[linked]]
 
 
+def _spanning(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of pairs that connect what all of them connect; ``labels`` are merged in place."""
+    la, lb = labels[a], labels[b]
+    low, high = np.minimum(la, lb), np.maximum(la, lb)
+    _, first = np.unique(low * len(labels) + high, return_index=True)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    chosen = []
+    for at in np.sort(first).tolist():
+        x, y = root(int(low[at])), root(int(high[at]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            chosen.append(at)
+    moved = {x: root(x) for x in parent}
+    if moved:
+        table = np.arange(len(labels))
+        table[list(moved)] = list(moved.values())
+        labels[:] = table[labels]
+    return np.array(chosen, "i8")
+
+
+def close_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of pairs that are within the radius themselves, nearer ones first: a third of the radius, then two
+    thirds, then all of it.
+    """
+    labels, tree, out = np.arange(len(fps)), BKTree(np.arange(len(fps)), fps), []
+    for r in sorted({radius // 3, 2 * radius // 3, radius}):
+        for at in range(0, len(fps), QUERIES):
+            held, size = [], 0
+
+            def flush(held: list) -> None:
+                a, b = map(np.concatenate, zip(*held, strict=True))
+                pick = _spanning(labels, a, b)
+                out.append((a[pick], b[pick]))
+
+            for a, b in tree.near(np.arange(at, min(at + QUERIES, len(fps))), fps, r):
+                apart = labels[a] != labels[b]
+                if apart.any():
+                    held.append((a[apart], b[apart]))
+                    if (size := size + int(apart.sum())) >= PAIRS:
+                        flush(held)
+                        held, size = [], 0
+            if held:
+                flush(held)
+    if not out:
+        return fps[:0], fps[:0]
+    a, b = map(np.concatenate, zip(*out, strict=True))
+    return fps[a], fps[b]
+
+
 def _blocks(bits: list[int], many: int) -> list[int]:
     """The bits cut into ``many`` masks of nearly equal size."""
     return [sum(1 << b for b in part.tolist()) for part in np.array_split(np.array(bits), many)]
@@ -162,6 +228,12 @@ def links(fps: DataFrame, *, radius: int = RADIUS, max_shard: int = MAX_SHARD) -
         joined = keyed.join(hot, ["mask", "bits"], "left")
         keyed = joined.select("fp", F.explode(F.when(F.col("hot"), split(F.col("mask"), F.col("fp"))).otherwise(own)).alias("key")).select("fp", "key.mask", "key.bits")
 
+    return _search(keyed, lambda fps: forest(fps, radius))
+
+
+def _search(keyed: DataFrame, find) -> DataFrame:
+    """``a, b``: the pairs that ``find`` gives of the fingerprints of each shard (mask, bits)."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, 3), "i8")
         for batch in _with_end(batches):
@@ -173,14 +245,30 @@ def links(fps: DataFrame, *, radius: int = RADIUS, max_shard: int = MAX_SHARD) -
                 held, starts, ends = rows[starts[-1] :], starts[:-1], ends[:-1]
             a, b = [], []
             for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-                x, y = forest(np.ascontiguousarray(rows[s:e, 2]).view("u8"), radius)
+                x, y = find(np.ascontiguousarray(rows[s:e, 2]).view("u8"))
                 if len(x):
                     a.append(x.view("i8")), b.append(y.view("i8"))
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     sharded = keyed.select("mask", "bits", "fp").repartition("mask", "bits").sortWithinPartitions("mask", "bits", "fp")
-    return sharded.mapInArrow(search, "a long, b long").distinct()
+    return sharded.mapInArrow(search, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def sampled_masks(count: int, *, near: int = NEAR, recall: float = RECALL, seed: int = 20_010) -> list[int]:
+    """Masks of randomly sampled bits, more of them for more fingerprints, as many masks as the recall at ``near`` bits asks for."""
+    bits = min(32, max(6, round(log(max(count, 2), 2)) - 6))
+    met = comb(64 - near, bits) / comb(64, bits)
+    rng = np.random.default_rng(seed)
+    return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(ceil(log(1 - recall) / log(1 - met)))]
+
+
+def close_links(fps: DataFrame, *, radius: int = WIDE_RADIUS) -> DataFrame:
+    """``a, b``: pairs within the radius that connect most of what such pairs connect (see :func:`sampled_masks`)."""
+    masks = sampled_masks(fps.count())
+    keys = [F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(masks)]
+    keyed = fps.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.mask", "key.bits")
+    return _search(keyed, lambda own: close_pairs(own, radius))
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -188,6 +276,19 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
+def _with_kept(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with keep_id and keep_hash, of ``nodes`` (key columns node, first) and the components found among them."""
+    members = nodes.join(found.select("node", "root"), "node")
+    roots = members.groupBy("root").agg(F.min("first").alias("first"))
+    merged = members.select("node", "root").join(roots, "root").select(F.col("node").alias("linked"), F.col("first").alias("of_all"))
+    kept = nodes.join(merged, F.col("node") == F.col("linked"), "left").select(F.col("node").alias("k"), F.coalesce("of_all", "first").alias("first"))
+    return rows.join(kept, F.col("node") == F.col("k")).select("id", "text_hash", "fp", F.col("first.id").alias("keep_id"), F.col("first.text_hash").alias("keep_hash"))
+
+
+def _first() -> Column:
+    return F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, max_shard: int = MAX_SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, text_hash, fp, keep_id, keep_hash`` of every row: keep_id is the smallest id in the row's component.
 
@@ -195,23 +296,75 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RA
     rows in the component.  Rows without words share the fingerprint 0 and are linked like any other.
     """
     rows = cut(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))
-    per_fp = cut(rows.groupBy("fp").agg(first.alias("first")))
-    found = cut(components(links(per_fp.select("fp"), radius=radius, max_shard=max_shard)))
-    members = per_fp.join(found, per_fp["fp"] == found["node"]).select("fp", "root", "first")
-    roots = members.groupBy("root").agg(F.min("first").alias("first"))
-    merged = members.select("fp", "root").join(roots, "root").select(F.col("fp").alias("linked"), F.col("first").alias("of_all"))
-    per_fp = per_fp.join(merged, F.col("fp") == F.col("linked"), "left").select(F.col("fp").alias("k"), F.coalesce("of_all", "first").alias("first"))
-    return rows.join(per_fp, F.col("fp") == F.col("k")).select("id", "text_hash", "fp", F.col("first.id").alias("keep_id"), F.col("first.text_hash").alias("keep_hash"))
+    per_fp = cut(rows.groupBy(F.col("fp").alias("node")).agg(_first()))
+    found = cut(components(links(per_fp.select(F.col("node").alias("fp")), radius=radius, max_shard=max_shard)))
+    return _with_kept(rows.withColumn("node", F.col("fp")), per_fp, found)
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The hashes of a text's distinct shingles (of all its words, if they are fewer), sorted."""
+    words = text.lower().split()
+    width, digest = max(1, min(shingle, len(words))), xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[k : k + width])) for k in range(len(words) - width + 1)], "u8"))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; 1 for two empty ones."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
+
+
+def verified(pairs: DataFrame, texts: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
+    """Of ``pairs`` (a, b: text hashes) those whose texts (``text_hash, utf8``, one row each) are similar enough."""
+    left = pairs.join(texts.select(F.col("text_hash").alias("a"), F.col("utf8").alias("text_a")), "a")
+    both = left.join(texts.select(F.col("text_hash").alias("b"), F.col("utf8").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[bytes, np.ndarray] = (b"", shingle_set(b"", shingle))  # rows of one text come together
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                own = y.as_py()
+                if own != last[0]:
+                    last = (own, shingle_set(own, shingle))
+                keep[k] = jaccard(shingle_set(x.as_py(), shingle), last[1]) >= similarity
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep)).columns[:2], ["a", "b"])
+
+    return both.mapInArrow(check, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, *, shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As :func:`near_duplicates`, with texts linked by a Jaccard coefficient of at least ``similarity`` over their shingles.
+
+    A link is never false. One is found if the fingerprints are within the radius and meet in a shard, or if others lead
+    around it. Texts are told apart by their 64-bit hashes, so equal texts are compared once.
+    """
+    rows = cut(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col))
+    nodes = cut(rows.groupBy(F.col("text_hash").alias("node"), "fp").agg(_first()))
+    per_fp = nodes.groupBy("fp").agg(F.min("node").alias("of_fp"))
+    apart = cut(close_links(per_fp.select("fp"), radius=radius))
+    x, y = per_fp.select(F.col("fp").alias("a"), F.col("of_fp").alias("x")), per_fp.select(F.col("fp").alias("b"), F.col("of_fp").alias("y"))
+    pairs = apart.join(x, "a").join(y, "b").select("x", "y")
+    equal = nodes.join(per_fp, "fp").where(F.col("node") != F.col("of_fp")).select(F.col("node").alias("x"), F.col("of_fp").alias("y"))
+    pairs = cut(pairs.unionAll(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = cut(nodes.join(named, "node").select(F.col("first.id").alias("want_id"), F.col("node").alias("want_hash")))
+    wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_KEYS else wanted
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.col(id_col).alias("own_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("utf8"))
+    texts = own.join(wanted, (F.col("text_hash") == F.col("want_hash")) & F.col("own_id").eqNullSafe(F.col("want_id"))).select("text_hash", "utf8").dropDuplicates(["text_hash"])
+    found = cut(components(verified(pairs, cut(texts), shingle=shingle, similarity=similarity)))
+    return _with_kept(rows.withColumn("node", F.col("text_hash")), nodes.groupBy("node").agg(F.min("first").alias("first")), found)
 
 
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """One row of ``docs`` for each component: of the smallest id (null last), then of the least text hash; same columns."""
-    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+def drop_near_duplicates(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component in ``groups`` (of :func:`near_duplicates` or :func:`similar_documents`): of the
+    smallest id (null last), then of the least text hash; same columns.
+    """
     kept = groups.where(F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash")))
     kept = cut(kept.groupBy("id", "text_hash").agg(F.count("*").alias("rows")))
     text_hash, rows = fresh(docs, "text_hash"), fresh(docs, "rows")

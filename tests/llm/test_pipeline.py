@@ -41,11 +41,11 @@ def test_quality(spark, stages):
 
 
 def test_near_duplicates(stages):
-    from tests.llm.test_simhash import expected
+    from tests.llm.test_simhash import plain_similar
 
     before, after = stages[1]
-    rows = [(r["doc_id"], r["text"]) for r in before.collect()]
-    assert sorted(ids(after)) == sorted({keep for _, _, keep in expected(rows)})
+    want = set(plain_similar([(r["doc_id"], r["text"]) for r in before.collect()])[0])
+    assert want <= set(ids(after)) and len(set(ids(after)) - want) <= 0.01 * len(want)
 
 
 def test_decontamination(spark, stages):

@@ -114,7 +114,7 @@ def test_components_of_documents(spark, edges, source):
 @pytest.mark.parametrize("source", ["documents", "edges"])
 def test_one_of_each_group_stays(spark, edges, source):
     docs = edges if source == "edges" else table(spark, SF, "documents")
-    kept = simhash.drop_near_duplicates(docs)
+    kept = simhash.drop_near_duplicates(docs, simhash.near_duplicates(docs))
     assert kept.columns == docs.columns
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     fps = [plain_fingerprint(t) for _, t in rows]
@@ -126,4 +126,65 @@ def test_one_of_each_group_stays(spark, edges, source):
 
 def test_empty_table(spark, edges):
     assert simhash.near_duplicates(edges.limit(0)).count() == 0
-    assert simhash.drop_near_duplicates(edges.limit(0)).count() == 0
+    for groups in (simhash.near_duplicates, simhash.similar_documents):
+        assert simhash.drop_near_duplicates(edges.limit(0), groups(edges.limit(0))).count() == 0
+
+
+def plain_similar(rows, least=0.8, width=5):
+    """The least id of each row's component under exact similarity, and the number of linked pairs."""
+    sets = []
+    for _, t in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set())
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if (not sets[i] and not sets[j]) or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) > 0]
+    comp = plain_components([(i, i) for i in range(len(rows))] + pairs)
+    groups = {}
+    for i, r in comp.items():
+        groups.setdefault(r, []).append(rows[i][0])
+    return [min((x for x in groups[comp[i]] if x is not None), default=None) for i in range(len(rows))], pairs
+
+
+def mutated(seed=4):
+    rng = np.random.default_rng(seed)
+    vocabulary, rows = [f"w{k}" for k in range(400)], []
+    for group in range(40):
+        base = [str(w) for w in rng.choice(vocabulary, rng.integers(80, 300))]
+        for copy in range(6):
+            words = list(base)
+            for _ in range(int(len(words) * 0.015 * copy)):
+                words[rng.integers(len(words))] = str(rng.choice(vocabulary))
+            rows.append((group * 10 + copy, " ".join(words)))
+    return rows
+
+
+def test_similar_documents_recall_and_precision(spark):
+    rows = mutated()
+    got = {r["id"]: r["keep_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want, pairs = plain_similar(rows)
+    exact = dict(zip([i for i, _ in rows], want, strict=True))
+    assert len(got) == len(rows)
+    assert all(exact[i] == exact[k] for i, k in got.items())  # no false link
+    assert np.mean([got[rows[i][0]] == got[rows[j][0]] for i, j in pairs]) > 0.9
+
+
+@pytest.mark.parametrize("source", ["documents", "edges"])
+def test_similar_documents_of_tables(spark, edges, source):
+    docs = edges if source == "edges" else table(spark, SF, "documents")
+    groups = simhash.similar_documents(docs)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want, _ = plain_similar(rows)
+    got = sorted(map(str, (tuple(r) for r in groups.select("id", "keep_id").collect())))
+    exact = sorted(str((i, k)) for (i, _), k in zip(rows, want, strict=True))
+    assert len(got) == len(exact) and len(set(got) - set(exact)) <= 0.01 * len(exact)
+    kept = simhash.drop_near_duplicates(docs, groups)
+    assert kept.columns == docs.columns and kept.exceptAll(docs).count() == 0
+
+
+@pytest.mark.parametrize("radius", [4, 10])
+def test_close_pairs_span_and_are_close(radius):
+    fps = np.array(clustered(1200), "u8")
+    a, b = simhash.close_pairs(fps, radius)
+    assert (np.bitwise_count(a ^ b) <= radius).all()
+    got = plain_components(zip(a.tolist(), b.tolist(), strict=True))
+    want = plain_components((int(fps[i]), int(fps[j])) for i, j in near_pairs(fps, radius))
+    assert got == want and len(a) == len(got) - len(set(got.values()))
