@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.functions.expr import finite_or_zero, is_label, number_of
+from flowmill.functions.expr import file_safe, finite_or_zero, is_label, number_of, plain_title, value_type
 from flowmill.operators import balance, cleaning, correlation, dedup, evaluate, models, profile, sampling, schema
 from flowmill.plans import assembly
 from flowmill.sources.readers import mark_missing, row_counts
@@ -613,6 +613,40 @@ def union_by_name(spark, sf_dir):
     return rows.where("value > 50").select("id", "value", F.lit("a").alias("side")).unionByName(rows.where("value <= 50").select(F.lit("b").alias("side"), "id"), allowMissingColumns=True)
 
 
+@query("select p_partkey, trim(regexp_replace(p_name || ' #1/' || p_brand, '[^A-Za-z0-9_-]+', '_', 'g'), '_') as file_name, regexp_replace(p_name || ' #1/', '[^0-9A-Za-z _]', '', 'g') as title from part")
+def safe_names(spark, sf_dir):
+    rows = read(spark, sf_dir, "part")
+    return rows.select("p_partkey", file_safe(F.concat("p_name", F.lit(" #1/"), "p_brand")).alias("file_name"), plain_title(F.concat("p_name", F.lit(" #1/"))).alias("title"))
+
+
+@query("select 'event_id' as name, count(*) as n from events union all select 'event_type', count(*) from events")
+def normalized_columns(spark, sf_dir):
+    rows = schema.normalize_columns(read(spark, sf_dir, "events").select(F.col("event_id").alias(" Event_ID "), F.col("event_type").alias("EVENT_TYPE")))
+    return rows.select(F.explode(F.array(*map(F.lit, rows.columns))).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query(f"select event_id, row_number() over (order by {_HASH}, event_id) as row from events")
+def shuffled_rows(spark, sf_dir):
+    return sampling.rank_by_hash(read(spark, sf_dir, "events").select("event_id"), [], KEY, name="row")
+
+
+@query("select event_id, event_type, cast(dense_rank() over (order by event_type) - 1 as double) as code from events")
+def text_codes(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("event_id", "event_type", F.col("event_type").alias("code"))
+    return models.encode_text(rows, ["code"])[0]
+
+
+@query("select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax from lineitem")
+def drop_correlated(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *MEASURES, (F.col("l_extendedprice") * 2).alias("l_twice"))
+    return correlation.drop_correlated(rows, ["l_extendedprice", "l_discount", "l_tax", "l_twice"])
+
+
+@query(DIRTY + "select event_id, case when text_value is null then 'missing' when text_value = 'inf' then 'inf' when text_value = 'abc' then 'string' when text_value like '%.%' then 'float' else 'integer' end as kind from dirty")
+def value_types(spark, sf_dir):
+    return dirty_events(spark, sf_dir).select("event_id", value_type(F.col("text_value")).alias("kind"))
+
+
 # Balancing
 
 
@@ -670,6 +704,20 @@ def isolation_forest(spark, sf_dir):
     return models.isolation_scores(rows, forest, ["value", "number"], KEY)
 
 
+@query()
+def isolation_report(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 50 == 0, F.col("value") * 100).otherwise(F.col("value")).alias("value"))
+    scored = models.isolation_scores(rows, models.train_isolation_forest(rows, ["value"], KEY), ["value"], KEY, threshold=0.6)
+    return evaluate.anomaly_report(scored, F.col("event_id") % 50 == 0, F.col("prediction") == -1)
+
+
+@query()
+def live_scores(spark, sf_dir):
+    rows = embedded(spark, sf_dir)
+    trained = models.train_forest(rows, "label", DIMS, trees=20, depth=8)
+    return models.score_live(trained, rows.drop("label").withColumnRenamed("e0", " E0 "), keep=["vec_id"])
+
+
 @query()
 def grid_search(spark, sf_dir):
     rows = embedded(spark, sf_dir).withColumn("label", F.col("label") % 3)
