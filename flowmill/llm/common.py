@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowmill.storage import cut, shared_dir
+
+__all__ = ["WORD", "cut", "fresh", "held_out", "shared_dir", "table"]
+
 #: The white space of the word rule ``[^\x20\x09-\x0D]+``, which all word counts here share.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,31 +25,6 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a temporary folder is made and set, but only in local mode: on a cluster a machine-local
-    folder would lose data, so that is an error.
-    """
-    set_by_user = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if set_by_user:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(set_by_user)
-        return set_by_user
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    path = tempfile.mkdtemp(prefix="flowmill-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(f"file://{path}")
-    return f"file://{path}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, so that a lost executor costs no recomputation of what came before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     """True for the rows that no model may learn from: crc32 of the id as text is divisible by ``folds``.
 
