@@ -12,10 +12,11 @@ from flowmill.llm.components import components
 SF = "/root/testdata/sf0.001"
 
 
-def plain_fingerprint(text, width=4):
+def plain_fingerprint(text, width=4, distinct=False):
     text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     shingles = [" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))] if words else []
+    shingles = set(shingles) if distinct else shingles
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64)) if hashes else 0
 
@@ -44,6 +45,7 @@ def test_fingerprint(text, monkeypatch):
     assert simhash.fingerprint(text.encode()) % (1 << 64) == plain_fingerprint(text)
     monkeypatch.setattr(simhash, "HASHES", 2)
     assert simhash.fingerprint(text.encode(), 3) % (1 << 64) == plain_fingerprint(text, 3)
+    assert simhash.fingerprint(text.encode(), distinct=True) % (1 << 64) == plain_fingerprint(text, distinct=True)
 
 
 def clustered(n=3000, seed=5):
