@@ -83,9 +83,10 @@ def train_boosting(df: DataFrame, label: str, features: list[str], *, rounds: in
     return Trained(model, features, labels)
 
 
-def score(trained: Trained, df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
+def score(trained: Trained, df: DataFrame, keep: list[str | Column] | tuple = ()) -> DataFrame:
     """``keep``, ``code``, ``predicted_label`` and, where the model has probabilities, ``confidence`` of every row."""
     rows = trained.model.transform(assemble(df, trained.features, keep))
+    keep = rows.columns[: len(keep)]
     names = F.array(*map(F.lit, trained.labels))
     confidence = F.array_max(vector_to_array("probability")) if "probability" in rows.columns else F.lit(None).cast("double")
     return rows.select(*keep, F.col("prediction").cast("int").alias("code"), F.get(names, F.col("prediction").cast("int")).alias("predicted_label"), confidence.alias("confidence"))

@@ -407,6 +407,20 @@ def multiclass_training_set(spark, sf_dir):
     return assembly.multiclass_training_set(rows, "event_type", ["event_id", "value"], KEY, least=100, most=200, normal_label="view")[0]
 
 
+_TURNS = f"select event_id, event_type, event_id % 3 as source, row_number() over (partition by event_id % 3 order by {_HASH}, event_id) as turn from events where event_type is not null and event_type <> 'view'"
+
+
+@query(f"select event_id, event_type, source, turn, cast(floor((row_number() over (order by turn, source, event_id) - 1) / 500) as bigint) as part from ({_TURNS}) order by turn, source limit 1200")
+def interleaved_parts(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("event_id", "event_type", (F.col("event_id") % 3).alias("source"))
+    return assembly.interleaved_parts(rows, "event_type", "source", KEY, 500, mode="attacks", normal_label="view", max_rows=1200)
+
+
+@query(DIRTY + f"select event_id, case when isinf(value) then null else value end as value, case when text_value not in ('abc', 'inf') then cast(text_value as double) end as text_value from (select event_id, event_type, value, case when text_value in ('abc', 'inf') then null else text_value end as text_value from dirty) where event_type = 'click' and (not isinf(value) or text_value is not null) order by {_HASH}, event_id limit 300")
+def drift_sample(spark, sf_dir):
+    return assembly.drift_sample(dirty_events(spark, sf_dir), ["value", "text_value"], "event_type", " Click", 300, KEY)
+
+
 # Statistics
 
 
@@ -711,6 +725,11 @@ def isolation_report(spark, sf_dir):
     return evaluate.anomaly_report(scored, F.col("event_id") % 50 == 0, F.col("prediction") == -1)
 
 
+@query()
+def holdout_report(spark, sf_dir):
+    return assembly.holdout_report(embedded(spark, sf_dir), "label", DIMS, ["vec_id"], trees=20, depth=8)
+
+
 @query()
 def live_scores(spark, sf_dir):
     rows = embedded(spark, sf_dir)
