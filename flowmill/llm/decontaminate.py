@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from flowmill.llm.text import numbers, words
+from flowmill.llm.text import mix, numbers, words
 
 #: Edits allowed, as a share of the item's words; the least words of an item that can be told from common phrases.
 EDITS, MIN_WORDS = 0.2, 6
@@ -41,13 +41,6 @@ def allowed(size: int, edits: float) -> int:
     return int(edits * size + 1e-9)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """splitmix64's finaliser: well mixed bits of each number."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Bench:
     """The items' words as numbers (0: not in the benchmark), their sizes, and what each repetition samples of them."""
 
@@ -85,10 +78,10 @@ class Bench:
         for j in range(max(places) + 1):
             if j % 64 == 0:
                 salt = np.uint64(((r << 20) + j // 64 + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-                bits = _mix(np.arange(len(self.number) + 1, dtype="u8") * np.uint64(0xD1342543DE82EF95) + salt)
+                bits = mix(np.arange(len(self.number) + 1, dtype="u8") * np.uint64(0xD1342543DE82EF95) + salt)
             symbol = flat[at]
             if j in places:
-                key = _mix(key * np.uint64(31) + symbol.astype("u8") + np.uint64(1))
+                key = mix(key * np.uint64(31) + symbol.astype("u8") + np.uint64(1))
             at += (bits[symbol] >> np.uint64(j % 64) & np.uint64(1)).astype("i8")
         return key
 

@@ -11,12 +11,13 @@ grow with the corpus, so each is built where its queries are: nothing is broadca
 
 :func:`similar_documents` goes on to exact similarity: a wider radius, within which most texts with a Jaccard coefficient of
 0.8 over five-word shingles lie, gives pairs that are then compared by their shingles.  So wide a radius has no exact
-shards of use; fingerprints meet in shards that agree in randomly sampled bits, repeated to a target recall.
+shards of use; fingerprints meet in shards that agree in randomly sampled bits, repeated to a target recall.  Texts have two
+independent fingerprints there, and a pair is compared if it is close and meets in either.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate, combinations
 from math import ceil, comb, log
 
@@ -28,21 +29,25 @@ from pyspark.sql import functions as F
 
 from flowmill.llm.common import cut, fresh
 from flowmill.llm.components import components
+from flowmill.llm.text import mix
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 
 #: A shard of more fingerprints is split once more, by blocks of its other bits.
 MAX_SHARD = 200_000
 
-#: For exact similarity: shingle, radius, the coefficient; pairs at distance NEAR meet in some shard with probability RECALL.
-#: Of 954 pairs of a check table at 0.8 or more, 99 % lie within 14 bits and 98 % within 12 (by distinct shingles, as the
-#: coefficient counts them; with repeats, 95 % within 12).
-WIDE_SHINGLE, WIDE_RADIUS, SIMILARITY, NEAR, RECALL = 5, 14, 0.8, 12, 0.95
+#: For exact similarity: shingle, radius, the coefficient; pairs that differ in all of the radius meet in some shard of a
+#: fingerprint with probability RECALL. Texts of a coefficient of 0.8 differ in 9.7 bits on average (standard deviation 2.9)
+#: and are missed by one fingerprint in about 8 % of all cases, so by both in under 1 %; more similar ones far less often.
+WIDE_SHINGLE, WIDE_RADIUS, SIMILARITY, RECALL = 5, 14, 0.8, 0.9
 
 #: Keys of texts to compare that may be broadcast (16 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_KEYS = 1_000_000
 
-LEAF, QUERIES, PAIRS, HASHES = 32, 2048, 1 << 20, 1 << 18
+#: Members of a leaf: at a wide radius few edges can be left out, and larger leaves are compared at once.
+LEAF, WIDE_LEAF = 32, 128
+
+QUERIES, PAIRS, HASHES = 2048, 1 << 20, 1 << 18
 
 
 def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
@@ -65,36 +70,52 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, "u8"), *shingle_hashes(text, shingle)]))
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, *, distinct: bool = False) -> int:
-    """The fingerprint of a UTF-8 text, as a signed number; 0 without words. ``distinct``: repeats of a shingle don't count."""
+def _majority(hashes: Iterable[np.ndarray]) -> int:
+    """The bits that are 1 in over half of all hashes, as a signed number; 0 without hashes."""
     ones, total = np.zeros(64, "i8"), 0
-    for hashes in [shingle_set(text, shingle)] if distinct else shingle_hashes(text, shingle):
-        ones += np.unpackbits(hashes.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i8")
-        total += len(hashes)
+    for whole in hashes:
+        for at in range(0, len(whole), HASHES):
+            part = whole[at : at + HASHES]
+            ones += np.unpackbits(part.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="i8")
+            total += len(part)
     return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The fingerprint of a UTF-8 text, as a signed number; 0 without words."""
+    return _majority(shingle_hashes(text, shingle))
+
+
+def set_fingerprints(text: bytes, shingle: int = WIDE_SHINGLE) -> tuple[int, int]:
+    """Two independent fingerprints of a text's distinct shingles, the second of their mixed hashes; 0 without words."""
+    own = shingle_set(text, shingle)
+    return _majority([own]), _majority([mix(own)])
+
+
 def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, text_hash, fp`` (fp as a signed long) of every row; a null text counts as empty."""
+    """``id, text_hash, fp`` (fp as a signed long) of every row; a null text counts as empty. ``distinct``: repeats of a shingle
+    don't count, and the second fingerprint follows as ``fp2``.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    id_type = rows.schema["id"].dataType.simpleString()
+    id_type, names = rows.schema["id"].dataType.simpleString(), ["fp", "fp2"] if distinct else ["fp"]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array([fingerprint(t.as_py(), shingle, distinct=distinct) for t in batch.column(2)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], ["id", "text_hash", "fp"])
+            fps = [set_fingerprints(t.as_py(), shingle) if distinct else (fingerprint(t.as_py(), shingle),) for t in batch.column(2)]
+            columns = [pa.array([own[k] for own in fps], pa.int64()) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "text_hash", *names])
 
-    return rows.mapInArrow(compute, f"id {id_type}, text_hash long, fp long")
+    return rows.mapInArrow(compute, f"id {id_type}, text_hash long, " + ", ".join(f"{x} long" for x in names))
 
 
 class BKTree:
-    """A BK-tree of distinct fingerprints; subtrees of at most LEAF members are kept as arrays."""
+    """A BK-tree of distinct fingerprints; subtrees of at most ``leaf`` members are kept as arrays."""
 
     __slots__ = ("children", "key", "leaf")
 
-    def __init__(self, members: np.ndarray, fps: np.ndarray) -> None:
+    def __init__(self, members: np.ndarray, fps: np.ndarray, leaf: int = LEAF) -> None:
         self.leaf, self.children, self.key = None, [], -1
-        if len(members) <= LEAF:
+        if len(members) <= leaf:
             self.leaf = members
             return
         self.key, rest = int(members[0]), members[1:]
@@ -102,7 +123,7 @@ class BKTree:
         order = np.argsort(distance, kind="stable")
         values, starts = np.unique(distance[order], return_index=True)
         for value, part in zip(values.tolist(), np.split(rest[order], starts[1:]), strict=True):
-            self.children.append((value, BKTree(part, fps)))
+            self.children.append((value, BKTree(part, fps, leaf)))
 
     def near(self, queries: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(queries, members) within the radius, node by node."""
@@ -177,19 +198,21 @@ def _spanning(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def close_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of pairs that are within the radius themselves, nearer ones first: a third of the radius, then two
-    thirds, then all of it.
+    """A spanning forest of pairs that are within the radius themselves, nearer ones first: all within half the radius before
+    any beyond it, and in order of distance among PAIRS pairs at a time.
     """
-    labels, tree, out = np.arange(len(fps)), BKTree(np.arange(len(fps)), fps), []
-    for r in sorted({radius // 3, 2 * radius // 3, radius}):
-        for at in range(0, len(fps), QUERIES):
-            held, size = [], 0
+    labels, tree, out = np.arange(len(fps)), BKTree(np.arange(len(fps)), fps, WIDE_LEAF), []
 
-            def flush(held: list) -> None:
-                a, b = map(np.concatenate, zip(*held, strict=True))
-                pick = _spanning(labels, a, b)
-                out.append((a[pick], b[pick]))
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        a, b = map(np.concatenate, zip(*held, strict=True))
+        order = np.argsort(np.bitwise_count(fps[a] ^ fps[b]), kind="stable")
+        a, b = a[order], b[order]
+        pick = _spanning(labels, a, b)
+        out.append((a[pick], b[pick]))
 
+    for r in sorted({radius // 2, radius}):
+        held, size = [], 0
+        for at in range(0, len(fps), QUERIES):
             for a, b in tree.near(np.arange(at, min(at + QUERIES, len(fps))), fps, r):
                 apart = labels[a] != labels[b]
                 if apart.any():
@@ -197,8 +220,8 @@ def close_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
                     if (size := size + int(apart.sum())) >= PAIRS:
                         flush(held)
                         held, size = [], 0
-            if held:
-                flush(held)
+        if held:
+            flush(held)
     if not out:
         return fps[:0], fps[:0]
     a, b = map(np.concatenate, zip(*out, strict=True))
@@ -221,28 +244,37 @@ def _masks(count: int, radius: int) -> list[int]:
     return [sum(x) for x in combinations(blocks, 1 + more)]
 
 
+def _sharded(fps: DataFrame, masks: list[int], inner: Callable[[int], list[int]], max_shard: int) -> DataFrame:
+    """``fp, mask, bits``: each fingerprint once for each mask, with its bits under the mask. Where more than ``max_shard`` agree
+    in these, they must also agree in those of one of the ``inner`` masks of the other bits.
+    """
+    def key(k: int, mask: int, fp: Column) -> Column:
+        return F.struct(F.lit(k).alias("mask"), fp.bitwiseAND(F.lit(_signed(mask))).alias("bits"))
+
+    keyed = fps.select("fp", F.explode(F.array(*[key(k, m, F.col("fp")) for k, m in enumerate(masks)])).alias("key")).select("fp", "key.mask", "key.bits")
+    hot = cut(keyed.groupBy("mask", "bits").count().where(F.col("count") > max_shard).select("mask", "bits", F.lit(True).alias("hot")))
+    full = [r["mask"] for r in hot.select("mask").distinct().collect()]  # at most one row a mask
+    if not full:
+        return keyed
+    split, at = F.lit(None).cast("array<struct<mask:int,bits:bigint>>"), len(masks)
+    for k in sorted(full):
+        more = inner(masks[k])
+        parts = [key(at + j, masks[k] | x, F.col("fp")) for j, x in enumerate(more)]
+        split, at = F.when(F.col("mask") == k, F.array(*parts)).otherwise(split), at + len(more)
+    joined = keyed.join(hot, ["mask", "bits"], "left")
+    return joined.select("fp", F.explode(F.when(F.col("hot"), split).otherwise(F.array(F.struct("mask", "bits")))).alias("key")).select("fp", "key.mask", "key.bits")
+
+
+def _others(mask: int) -> list[int]:
+    return [b for b in range(64) if not mask >> b & 1]
+
+
 def links(fps: DataFrame, *, radius: int = RADIUS, max_shard: int = MAX_SHARD) -> DataFrame:
     """``a, b``: links that connect all fingerprints (column fp, distinct longs) within the radius of each other."""
     if not 0 <= radius < 60:
         raise ValueError("the radius must be from 0 to 59")
-    masks = _masks(fps.count(), radius)
-    inner = {m: _blocks([b for b in range(64) if not m >> b & 1], radius + 1) for m in masks}
-    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(masks)])).alias("key")).select("fp", "key.mask", "key.bits")
-    hot = cut(keyed.groupBy("mask", "bits").count().where(F.col("count") > max_shard).select("mask", "bits", F.lit(True).alias("hot")))
-    if hot.limit(1).count():
-        # What agrees in these bits must also agree in one of radius + 1 blocks of the others.
-        def split(mask: Column, fp: Column) -> Column:
-            out = F.lit(None).cast("array<struct<mask:int,bits:bigint>>")
-            for k, m in enumerate(masks):
-                parts = [F.struct(F.lit(len(masks) + k * (radius + 1) + j).alias("mask"), fp.bitwiseAND(F.lit(_signed(m | x))).alias("bits")) for j, x in enumerate(inner[m])]
-                out = F.when(mask == k, F.array(*parts)).otherwise(out)
-            return out
-
-        own = F.array(F.struct("mask", "bits"))
-        joined = keyed.join(hot, ["mask", "bits"], "left")
-        keyed = joined.select("fp", F.explode(F.when(F.col("hot"), split(F.col("mask"), F.col("fp"))).otherwise(own)).alias("key")).select("fp", "key.mask", "key.bits")
-
-    return _search(keyed, lambda fps: forest(fps, radius))
+    keyed = _sharded(fps, _masks(fps.count(), radius), lambda m: _blocks(_others(m), radius + 1), max_shard)
+    return _search(keyed, lambda own: forest(own, radius))
 
 
 def _search(keyed: DataFrame, find) -> DataFrame:
@@ -269,19 +301,20 @@ def _search(keyed: DataFrame, find) -> DataFrame:
     return sharded.mapInArrow(search, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def sampled_masks(count: int, *, near: int = NEAR, recall: float = RECALL, seed: int = 20_010) -> list[int]:
-    """Masks of randomly sampled bits, more of them for more fingerprints, as many masks as the recall at ``near`` bits asks for."""
-    bits = min(32, max(6, round(log(max(count, 2), 2)) - 6))
-    met = comb(64 - near, bits) / comb(64, bits)
+def sampled_masks(bits: int, among: list[int], *, near: int = WIDE_RADIUS, recall: float = RECALL, seed: int = 20_010) -> list[int]:
+    """Masks of ``bits`` randomly sampled bits of ``among``, as many as the recall of what differs in ``near`` of these asks for."""
+    met = comb(len(among) - near, bits) / comb(len(among), bits)
     rng = np.random.default_rng(seed)
-    return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(ceil(log(1 - recall) / log(1 - met)))]
+    return [sum(1 << int(b) for b in rng.choice(among, bits, replace=False)) for _ in range(ceil(log(1 - recall) / log(1 - met)))]
 
 
-def close_links(fps: DataFrame, *, radius: int = WIDE_RADIUS) -> DataFrame:
-    """``a, b``: pairs within the radius that connect most of what such pairs connect (see :func:`sampled_masks`)."""
-    masks = sampled_masks(fps.count())
-    keys = [F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(masks)]
-    keyed = fps.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.mask", "key.bits")
+def close_links(fps: DataFrame, *, radius: int = WIDE_RADIUS, max_shard: int = MAX_SHARD) -> DataFrame:
+    """``a, b``: pairs within the radius that connect most of what such pairs connect. Shards agree in 8 sampled bits, in more
+    where these would leave over about 1,000 in a shard of evenly spread fingerprints.
+    """
+    bits = min(32, max(8, round(log(max(fps.count(), 2), 2)) - 10))
+    masks = sampled_masks(bits, list(range(64)), near=radius)
+    keyed = _sharded(fps, masks, lambda m: sampled_masks(6, _others(m), near=radius), max_shard)
     return _search(keyed, lambda own: close_pairs(own, radius))
 
 
@@ -345,17 +378,21 @@ def verified(pairs: DataFrame, texts: DataFrame, *, shingle: int, similarity: fl
 def similar_documents(docs: DataFrame, *, shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As :func:`near_duplicates`, with texts linked by a Jaccard coefficient of at least ``similarity`` over their shingles.
 
-    A link is never false. One is found if the fingerprints are within the radius and meet in a shard, or if others lead
-    around it. Texts are told apart by their 64-bit hashes, so equal texts are compared once.
+    A link is never false. One is found if either fingerprint is within the radius and they meet in a shard, or if others
+    lead around it. Texts are told apart by their 64-bit hashes, so equal texts are compared once.
     """
     rows = cut(fingerprints(docs, shingle=shingle, distinct=True, id_col=id_col, text_col=text_col))
-    nodes = cut(rows.groupBy(F.col("text_hash").alias("node"), "fp").agg(_first()))
-    per_fp = nodes.groupBy("fp").agg(F.min("node").alias("of_fp"))
-    apart = cut(close_links(per_fp.select("fp"), radius=radius))
-    x, y = per_fp.select(F.col("fp").alias("a"), F.col("of_fp").alias("x")), per_fp.select(F.col("fp").alias("b"), F.col("of_fp").alias("y"))
-    pairs = apart.join(x, "a").join(y, "b").select("x", "y")
-    equal = nodes.join(per_fp, "fp").where(F.col("node") != F.col("of_fp")).select(F.col("node").alias("x"), F.col("of_fp").alias("y"))
-    pairs = cut(pairs.unionAll(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    nodes = cut(rows.groupBy(F.col("text_hash").alias("node"), "fp", "fp2").agg(_first()))
+    pairs = None
+    for name in ("fp", "fp2"):
+        own = nodes.select("node", F.col(name).alias("of"))
+        per_fp = own.groupBy("of").agg(F.min("node").alias("of_fp"))
+        apart = cut(close_links(per_fp.select(F.col("of").alias("fp")), radius=radius))
+        x, y = per_fp.select(F.col("of").alias("a"), F.col("of_fp").alias("x")), per_fp.select(F.col("of").alias("b"), F.col("of_fp").alias("y"))
+        equal = own.join(per_fp, "of").where(F.col("node") != F.col("of_fp")).select(F.col("node").alias("x"), F.col("of_fp").alias("y"))
+        found = apart.join(x, "a").join(y, "b").select("x", "y").unionAll(equal)
+        pairs = found if pairs is None else pairs.unionAll(found)
+    pairs = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = cut(nodes.join(named, "node").select(F.col("first.id").alias("want_id"), F.col("node").alias("want_hash")))
     wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_KEYS else wanted

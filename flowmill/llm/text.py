@@ -1,4 +1,4 @@
-"""Words of a text as numbers, for operators that compare passages."""
+"""Words of a text as numbers, for operators that compare passages, and well mixed bits of numbers."""
 
 from __future__ import annotations
 
@@ -31,3 +31,10 @@ def numbers(text: str, get: Callable[[str, int], int]) -> np.ndarray:
     """``get(word, 0)`` of each word; only the numbers of a long text are ever held whole."""
     found = [np.fromiter((get(w, 0) for w in own), "i4", len(own)) for own in map(words, pieces(text))]
     return np.concatenate(found) if found else np.zeros(0, "i4")
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """splitmix64's finaliser: well mixed bits of each number."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

@@ -45,7 +45,7 @@ def test_fingerprint(text, monkeypatch):
     assert simhash.fingerprint(text.encode()) % (1 << 64) == plain_fingerprint(text)
     monkeypatch.setattr(simhash, "HASHES", 2)
     assert simhash.fingerprint(text.encode(), 3) % (1 << 64) == plain_fingerprint(text, 3)
-    assert simhash.fingerprint(text.encode(), distinct=True) % (1 << 64) == plain_fingerprint(text, distinct=True)
+    assert simhash.set_fingerprints(text.encode(), 4)[0] % (1 << 64) == plain_fingerprint(text, distinct=True)
 
 
 def clustered(n=3000, seed=5):
