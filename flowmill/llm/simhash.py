@@ -12,7 +12,9 @@ grow with the corpus, so each is built where its queries are: nothing is broadca
 :func:`similar_documents` goes on to exact similarity: a wider radius, within which most texts with a Jaccard coefficient of
 0.8 over five-word shingles lie, gives pairs that are then compared by their shingles.  So wide a radius has no exact
 shards of use; fingerprints meet in shards that agree in randomly sampled bits, repeated to a target recall.  Texts have two
-independent fingerprints there, and a pair is compared if it is close and meets in either.
+independent fingerprints there, and a pair is compared if it is close and meets in either.  Of a dense shard's pairs only some
+are compared: first a spanning forest at half the radius; then, between the components that came of it, several disjoint
+spanning forests, nearest pairs first, so that a pair that turns out not to be similar leaves others to connect its ends.
 """
 
 from __future__ import annotations
@@ -41,6 +43,9 @@ MAX_SHARD = 200_000
 #: and are missed by one fingerprint in about 8 % of all cases, so by both in under 1 %; more similar ones far less often.
 WIDE_SHINGLE, WIDE_RADIUS, SIMILARITY, RECALL = 5, 14, 0.8, 0.9
 
+#: Disjoint spanning forests of a shard's pairs that are compared at the full radius.
+FORESTS = 8
+
 #: Keys of texts to compare that may be broadcast (16 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_KEYS = 1_000_000
 
@@ -197,24 +202,36 @@ def _spanning(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(chosen, "i8")
 
 
-def close_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of pairs that are within the radius themselves, nearer ones first: all within half the radius before
-    any beyond it, and in order of distance among PAIRS pairs at a time.
+def close_pairs(fps: np.ndarray, radius: int, other: np.ndarray | None = None, group: np.ndarray | None = None, forests: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (places in ``fps``) within the radius: as many disjoint spanning forests of such pairs as asked for.
+
+    Nearer pairs come first, by the distance of ``fps`` and ``other`` together: all within half the radius before any beyond
+    it, and in order among PAIRS pairs at a time.  Pairs within one ``group`` are left out.
     """
-    labels, tree, out = np.arange(len(fps)), BKTree(np.arange(len(fps)), fps, WIDE_LEAF), []
+    places = np.arange(len(fps))
+    start = np.unique(group, return_index=True, return_inverse=True) if group is not None else None
+    start = places if start is None else start[1][start[2]]
+    labels, tree, out = [start.copy() for _ in range(forests)], BKTree(places, fps, WIDE_LEAF), []
+    other = fps if other is None else other
 
     def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> None:
         a, b = map(np.concatenate, zip(*held, strict=True))
-        order = np.argsort(np.bitwise_count(fps[a] ^ fps[b]), kind="stable")
+        order = np.argsort(np.bitwise_count(fps[a] ^ fps[b]) + np.bitwise_count(other[a] ^ other[b]), kind="stable")
         a, b = a[order], b[order]
-        pick = _spanning(labels, a, b)
-        out.append((a[pick], b[pick]))
-
-    for r in sorted({radius // 2, radius}):
+        for own in labels:
+            pick = _spanning(own, a, b)
+            out.append((a[pick], b[pick]))
+            rest = np.ones(len(a), bool)
+            rest[pick] = False
+            a, b = a[rest], b[rest]
+
+    for low, r in [(-1, radius // 2), (radius // 2, radius)]:
         held, size = [], 0
         for at in range(0, len(fps), QUERIES):
-            for a, b in tree.near(np.arange(at, min(at + QUERIES, len(fps))), fps, r):
-                apart = labels[a] != labels[b]
+            for a, b in tree.near(places[at : at + QUERIES], fps, r):
+                # Each pair comes from either end, and near ones come at both radii; it is offered once.
+                apart = (a < b) & (labels[-1][a] != labels[-1][b])
+                apart[apart] = (start[a[apart]] != start[b[apart]]) & (np.bitwise_count(fps[a[apart]] ^ fps[b[apart]]).astype("i2") > low)
                 if apart.any():
                     held.append((a[apart], b[apart]))
                     if (size := size + int(apart.sum())) >= PAIRS:
@@ -222,10 +239,8 @@ def close_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
                         held, size = [], 0
         if held:
             flush(held)
-    if not out:
-        return fps[:0], fps[:0]
-    a, b = map(np.concatenate, zip(*out, strict=True))
-    return fps[a], fps[b]
+    a, b = map(np.concatenate, zip(*out, strict=True)) if out else (places[:0], places[:0])
+    return a, b
 
 
 def _blocks(bits: list[int], many: int) -> list[int]:
@@ -245,13 +260,13 @@ def _masks(count: int, radius: int) -> list[int]:
 
 
 def _sharded(fps: DataFrame, masks: list[int], inner: Callable[[int], list[int]], max_shard: int) -> DataFrame:
-    """``fp, mask, bits``: each fingerprint once for each mask, with its bits under the mask. Where more than ``max_shard`` agree
-    in these, they must also agree in those of one of the ``inner`` masks of the other bits.
+    """The rows of ``fps`` once for each mask, with ``mask, bits``: the mask's place and the bits of fp under it. Where more than
+    ``max_shard`` agree in these, they must also agree in those of one of the ``inner`` masks of the other bits.
     """
-    def key(k: int, mask: int, fp: Column) -> Column:
-        return F.struct(F.lit(k).alias("mask"), fp.bitwiseAND(F.lit(_signed(mask))).alias("bits"))
+    def key(k: int, mask: int) -> Column:
+        return F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("bits"))
 
-    keyed = fps.select("fp", F.explode(F.array(*[key(k, m, F.col("fp")) for k, m in enumerate(masks)])).alias("key")).select("fp", "key.mask", "key.bits")
+    keyed = fps.select("*", F.explode(F.array(*[key(k, m) for k, m in enumerate(masks)])).alias("key")).select(*fps.columns, "key.mask", "key.bits")
     hot = cut(keyed.groupBy("mask", "bits").count().where(F.col("count") > max_shard).select("mask", "bits", F.lit(True).alias("hot")))
     full = [r["mask"] for r in hot.select("mask").distinct().collect()]  # at most one row a mask
     if not full:
@@ -259,10 +274,10 @@ def _sharded(fps: DataFrame, masks: list[int], inner: Callable[[int], list[int]]
     split, at = F.lit(None).cast("array<struct<mask:int,bits:bigint>>"), len(masks)
     for k in sorted(full):
         more = inner(masks[k])
-        parts = [key(at + j, masks[k] | x, F.col("fp")) for j, x in enumerate(more)]
+        parts = [key(at + j, masks[k] | x) for j, x in enumerate(more)]
         split, at = F.when(F.col("mask") == k, F.array(*parts)).otherwise(split), at + len(more)
     joined = keyed.join(hot, ["mask", "bits"], "left")
-    return joined.select("fp", F.explode(F.when(F.col("hot"), split).otherwise(F.array(F.struct("mask", "bits")))).alias("key")).select("fp", "key.mask", "key.bits")
+    return joined.select(*fps.columns, F.explode(F.when(F.col("hot"), split).otherwise(F.array(F.struct("mask", "bits")))).alias("key")).select(*fps.columns, "key.mask", "key.bits")
 
 
 def _others(mask: int) -> list[int]:
@@ -273,31 +288,35 @@ def links(fps: DataFrame, *, radius: int = RADIUS, max_shard: int = MAX_SHARD) -
     """``a, b``: links that connect all fingerprints (column fp, distinct longs) within the radius of each other."""
     if not 0 <= radius < 60:
         raise ValueError("the radius must be from 0 to 59")
-    keyed = _sharded(fps, _masks(fps.count(), radius), lambda m: _blocks(_others(m), radius + 1), max_shard)
-    return _search(keyed, lambda own: forest(own, radius))
+    keyed = _sharded(fps.select("fp"), _masks(fps.count(), radius), lambda m: _blocks(_others(m), radius + 1), max_shard)
+    return _search(keyed.select("mask", "bits", "fp"), lambda own: forest(own[:, 0], radius))
 
 
-def _search(keyed: DataFrame, find) -> DataFrame:
-    """``a, b``: the pairs that ``find`` gives of the fingerprints of each shard (mask, bits)."""
+def _search(keyed: DataFrame, find: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``a, b``: the pairs that ``find`` gives of each shard's rows. ``keyed`` has mask, bits and further longs, which ``find``
+    gets as unsigned numbers.
+    """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 3), "i8")
+        held = None
         for batch in _with_end(batches):
-            rows = held if batch is None else np.concatenate([held, np.stack([np.asarray(c).astype("i8") for c in batch.columns], axis=1)])
+            new = None if batch is None else np.stack([np.asarray(c).astype("i8") for c in batch.columns], axis=1)
+            rows = new if held is None else held if new is None else np.concatenate([held, new])
+            if rows is None:
+                return
             cuts = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
-            starts = np.concatenate([[0], cuts]).astype("i8")
-            ends = np.concatenate([cuts, [len(rows)]]).astype("i8")
+            starts, ends = np.concatenate([[0], cuts]).astype("i8"), np.concatenate([cuts, [len(rows)]]).astype("i8")
             if batch is not None:  # the last shard may go on
                 held, starts, ends = rows[starts[-1] :], starts[:-1], ends[:-1]
             a, b = [], []
             for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-                x, y = find(np.ascontiguousarray(rows[s:e, 2]).view("u8"))
+                x, y = find(np.asfortranarray(rows[s:e, 2:].view("u8")))
                 if len(x):
                     a.append(x.view("i8")), b.append(y.view("i8"))
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    sharded = keyed.select("mask", "bits", "fp").repartition("mask", "bits").sortWithinPartitions("mask", "bits", "fp")
+    sharded = keyed.repartition("mask", "bits").sortWithinPartitions(*keyed.columns)
     return sharded.mapInArrow(search, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -308,14 +327,21 @@ def sampled_masks(bits: int, among: list[int], *, near: int = WIDE_RADIUS, recal
     return [sum(1 << int(b) for b in rng.choice(among, bits, replace=False)) for _ in range(ceil(log(1 - recall) / log(1 - met)))]
 
 
-def close_links(fps: DataFrame, *, radius: int = WIDE_RADIUS, max_shard: int = MAX_SHARD) -> DataFrame:
-    """``a, b``: pairs within the radius that connect most of what such pairs connect. Shards agree in 8 sampled bits, in more
-    where these would leave over about 1,000 in a shard of evenly spread fingerprints.
+def close_links(nodes: DataFrame, *, radius: int = WIDE_RADIUS, forests: int = 1, max_shard: int = MAX_SHARD) -> DataFrame:
+    """``a, b``: names of pairs within the radius (see :func:`close_pairs`) of ``nodes``: fp, other, group, name, all longs.
+
+    Shards agree in 8 sampled bits, in more where these would leave over about 1,000 in a shard of evenly spread fingerprints.
     """
-    bits = min(32, max(8, round(log(max(fps.count(), 2), 2)) - 10))
+    bits = min(32, max(8, round(log(max(nodes.count(), 2), 2)) - 10))
     masks = sampled_masks(bits, list(range(64)), near=radius)
-    keyed = _sharded(fps, masks, lambda m: sampled_masks(6, _others(m), near=radius), max_shard)
-    return _search(keyed, lambda own: close_pairs(own, radius))
+    keyed = _sharded(nodes, masks, lambda m: sampled_masks(6, _others(m), near=radius), max_shard)
+
+    def find(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fps, other, group, name = own.T
+        a, b = close_pairs(fps, radius, other, group, forests)
+        return name[a], name[b]
+
+    return _search(keyed.select("mask", "bits", "fp", "other", "group", "name"), find)
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -375,7 +401,7 @@ def verified(pairs: DataFrame, texts: DataFrame, *, shingle: int, similarity: fl
     return both.mapInArrow(check, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, *, shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, *, shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY, forests: int = FORESTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As :func:`near_duplicates`, with texts linked by a Jaccard coefficient of at least ``similarity`` over their shingles.
 
     A link is never false. One is found if either fingerprint is within the radius and they meet in a shard, or if others
@@ -383,23 +409,33 @@ def similar_documents(docs: DataFrame, *, shingle: int = WIDE_SHINGLE, radius: i
     """
     rows = cut(fingerprints(docs, shingle=shingle, distinct=True, id_col=id_col, text_col=text_col))
     nodes = cut(rows.groupBy(F.col("text_hash").alias("node"), "fp", "fp2").agg(_first()))
-    pairs = None
-    for name in ("fp", "fp2"):
-        own = nodes.select("node", F.col(name).alias("of"))
-        per_fp = own.groupBy("of").agg(F.min("node").alias("of_fp"))
-        apart = cut(close_links(per_fp.select(F.col("of").alias("fp")), radius=radius))
-        x, y = per_fp.select(F.col("of").alias("a"), F.col("of_fp").alias("x")), per_fp.select(F.col("of").alias("b"), F.col("of_fp").alias("y"))
-        equal = own.join(per_fp, "of").where(F.col("node") != F.col("of_fp")).select(F.col("node").alias("x"), F.col("of_fp").alias("y"))
-        found = apart.join(x, "a").join(y, "b").select("x", "y").unionAll(equal)
-        pairs = found if pairs is None else pairs.unionAll(found)
-    pairs = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = cut(nodes.join(named, "node").select(F.col("first.id").alias("want_id"), F.col("node").alias("want_hash")))
-    wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_KEYS else wanted
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).alias("own_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("utf8"))
-    texts = own.join(wanted, (F.col("text_hash") == F.col("want_hash")) & F.col("own_id").eqNullSafe(F.col("want_id"))).select("text_hash", "utf8").dropDuplicates(["text_hash"])
-    found = cut(components(verified(pairs, cut(texts), shingle=shingle, similarity=similarity)))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = cut(nodes.join(named, "node").select(F.col("first.id").alias("want_id"), F.col("node").alias("want_hash")))
+        wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_KEYS else wanted
+        texts = own.join(wanted, (F.col("text_hash") == F.col("want_hash")) & F.col("own_id").eqNullSafe(F.col("want_id"))).select("text_hash", "utf8").dropDuplicates(["text_hash"])
+        return cut(verified(pairs, cut(texts), shingle=shingle, similarity=similarity))
+
+    def close(grouped: DataFrame, radius: int, forests: int) -> DataFrame:
+        out = None
+        for fp, other in (("fp", "fp2"), ("fp2", "fp")):
+            # Texts of one fingerprint are compared with one of them, which meets the others' in the shards.
+            per_fp = cut(grouped.groupBy(F.col(fp).alias("of")).agg(F.min(F.struct("node", F.col(other).alias("other"), "group")).alias("x")))
+            equal = grouped.select("node", F.col(fp).alias("of"), "group").join(per_fp, "of").where((F.col("node") != F.col("x.node")) & (F.col("group") != F.col("x.group")))
+            met = close_links(per_fp.select(F.col("of").alias("fp"), "x.other", "x.group", F.col("x.node").alias("name")), radius=radius, forests=forests)
+            found = met.unionAll(equal.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")))
+            out = found if out is None else out.unionAll(found)
+        return cut(out.distinct())
+
+    first = close(nodes.withColumn("group", F.col("node")), radius // 2, 1)
+    sure = compared(first)
+    joined = cut(components(sure))
+    grouped = nodes.join(joined, "node", "left").withColumn("group", F.coalesce("root", "node"))
+    more = cut(close(cut(grouped), radius, forests).join(first, ["a", "b"], "left_anti"))
+    found = cut(components(sure.unionAll(compared(more))))
     return _with_kept(rows.withColumn("node", F.col("text_hash")), nodes.groupBy("node").agg(F.min("first").alias("first")), found)
 
 

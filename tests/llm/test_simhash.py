@@ -185,8 +185,30 @@ def test_similar_documents_of_tables(spark, edges, source):
 @pytest.mark.parametrize("radius", [4, 10])
 def test_close_pairs_span_and_are_close(radius):
     fps = np.array(clustered(1200), "u8")
-    a, b = simhash.close_pairs(fps, radius)
+    a, b = (fps[x] for x in simhash.close_pairs(fps, radius))
     assert (np.bitwise_count(a ^ b) <= radius).all()
     got = plain_components(zip(a.tolist(), b.tolist(), strict=True))
     want = plain_components((int(fps[i]), int(fps[j])) for i, j in near_pairs(fps, radius))
     assert got == want and len(a) == len(got) - len(set(got.values()))
+
+
+def test_forests_are_disjoint_and_skip_groups():
+    fps = np.array(clustered(600), "u8")
+    one, many = ({*zip(*map(np.ndarray.tolist, simhash.close_pairs(fps, 10, forests=k)), strict=True)} for k in (1, 5))
+    assert one < many <= {(min(p), max(p)) for p in near_pairs(fps.tolist(), 10)}
+    degree = np.bincount(np.array(sorted(many)).ravel(), minlength=len(fps))
+    near = np.bincount(np.array(near_pairs(fps.tolist(), 10)).ravel(), minlength=len(fps))
+    assert (degree >= np.minimum(near, 5)).all()
+    group = np.arange(len(fps)) // 40
+    a, b = simhash.close_pairs(fps, 10, group=group, forests=2)
+    assert len(a) and (group[a] != group[b]).all()
+
+
+@pytest.mark.parametrize("max_shard", [1 << 30, 20])
+def test_hot_shards_of_close_links_are_split(spark, max_shard):
+    fps = sorted(set(clustered(500)))
+    nodes = spark.createDataFrame([(simhash._signed(x), simhash._signed(x), k, k) for k, x in enumerate(fps)], "fp long, other long, `group` long, name long")
+    got = plain_components([(k, k) for k in range(len(fps))] + [(r["a"], r["b"]) for r in simhash.close_links(nodes, max_shard=max_shard).collect()])
+    want = plain_components([(k, k) for k in range(len(fps))] + near_pairs(fps, simhash.WIDE_RADIUS))
+    apart = sum(got[i] != got[j] for i, j in near_pairs(fps, simhash.WIDE_RADIUS))
+    assert all(want[i] == want[k] for i, k in got.items()) and apart <= 0.02 * len(near_pairs(fps, simhash.WIDE_RADIUS))
