@@ -177,29 +177,32 @@ def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _spanning(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Places of pairs that connect what all of them connect; ``labels`` are merged in place."""
-    la, lb = labels[a], labels[b]
-    low, high = np.minimum(la, lb), np.maximum(la, lb)
-    _, first = np.unique(low * len(labels) + high, return_index=True)
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(up, up)
-        return x
-
-    chosen = []
-    for at in np.sort(first).tolist():
-        x, y = root(int(low[at])), root(int(high[at]))
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            chosen.append(at)
-    moved = {x: root(x) for x in parent}
-    if moved:
-        table = np.arange(len(labels))
-        table[list(moved)] = list(moved.values())
-        labels[:] = table[labels]
-    return np.array(chosen, "i8")
+    """Places of pairs that connect what all of them connect, earlier pairs first; ``labels`` are merged in place."""
+    chosen, left, step = [np.zeros(0, "i8")], np.arange(len(a)), max(1024, 2 * len(labels))
+    while len(left):
+        part = left[:step]
+        la, lb = labels[a[part]], labels[b[part]]
+        low, high = np.minimum(la, lb), np.maximum(la, lb)
+        _, first = np.unique(low * len(labels) + high, return_index=True)
+        parent: dict[int, int] = {}
+        for at in np.sort(first).tolist():
+            x, y = _root(parent, int(low[at])), _root(parent, int(high[at]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                chosen.append(part[at : at + 1])
+        if parent:
+            table = np.arange(len(labels))
+            table[list(parent)] = [_root(parent, x) for x in list(parent)]
+            labels[:] = table[labels]
+        left = left[step:]
+        left = left[labels[a[left]] != labels[b[left]]]  # in a dense shard the first parts connect nearly all
+    return np.concatenate(chosen)
+
+
+def _root(parent: dict[int, int], x: int) -> int:
+    while (up := parent.get(x, x)) != x:
+        parent[x] = x = parent.get(up, up)
+    return x
 
 
 def close_pairs(fps: np.ndarray, radius: int, other: np.ndarray | None = None, group: np.ndarray | None = None, forests: int = 1) -> tuple[np.ndarray, np.ndarray]:
