@@ -12,9 +12,11 @@ grow with the corpus, so each is built where its queries are: nothing is broadca
 :func:`similar_documents` goes on to exact similarity: a wider radius, within which most texts with a Jaccard coefficient of
 0.8 over five-word shingles lie, gives pairs that are then compared by their shingles.  So wide a radius has no exact
 shards of use; fingerprints meet in shards that agree in randomly sampled bits, repeated to a target recall.  Texts have two
-independent fingerprints there, and a pair is compared if it is close and meets in either.  Of a dense shard's pairs only some
-are compared: first a spanning forest at half the radius; then, between the components that came of it, several disjoint
-spanning forests, nearest pairs first, so that a pair that turns out not to be similar leaves others to connect its ends.
+independent fingerprints there.  These only join most copies cheaply, by a spanning forest of each shard at half the radius.
+What they miss is found exactly: of two sets with a Jaccard coefficient of t, each has a shingle of the other among its first
+n - ceil(t n) + 1 in any order that both share (prefix filter), and at the first shared one enough shingles of both must be
+left (positional filter).  The order is by frequency, rare ones first, so boilerplate comes last.  Every pair that passes both
+bounds and isn't in one component yet is compared: first neighbours by size, then all that are left.
 """
 
 from __future__ import annotations
@@ -43,8 +45,8 @@ MAX_SHARD = 200_000
 #: and are missed by one fingerprint in about 8 % of all cases, so by both in under 1 %; more similar ones far less often.
 WIDE_SHINGLE, WIDE_RADIUS, SIMILARITY, RECALL = 5, 14, 0.8, 0.9
 
-#: Disjoint spanning forests of a shard's pairs that are compared at the full radius.
-FORESTS = 8
+#: Buckets in which the frequencies of shingles are counted; they order the shingles, and don't change what is found.
+BUCKETS = 1 << 20
 
 #: Keys of texts to compare that may be broadcast (16 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_KEYS = 1_000_000
@@ -301,16 +303,7 @@ def _search(keyed: DataFrame, find: Callable[[np.ndarray], tuple[np.ndarray, np.
     """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in _with_end(batches):
-            new = None if batch is None else np.stack([np.asarray(c).astype("i8") for c in batch.columns], axis=1)
-            rows = new if held is None else held if new is None else np.concatenate([held, new])
-            if rows is None:
-                return
-            cuts = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
-            starts, ends = np.concatenate([[0], cuts]).astype("i8"), np.concatenate([cuts, [len(rows)]]).astype("i8")
-            if batch is not None:  # the last shard may go on
-                held, starts, ends = rows[starts[-1] :], starts[:-1], ends[:-1]
+        for rows, starts, ends in _whole(batches, 2):
             a, b = [], []
             for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
                 x, y = find(np.asfortranarray(rows[s:e, 2:].view("u8")))
@@ -347,6 +340,29 @@ def close_links(nodes: DataFrame, *, radius: int = WIDE_RADIUS, forests: int = 1
     return _search(keyed.select("mask", "bits", "fp", "other", "group", "name"), find)
 
 
+def _whole(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of longs, sorted by the first ``keys`` columns, in parts that hold whole groups of these; the groups' starts and ends."""
+    held: list[np.ndarray] = []
+    for batch in _with_end(batches):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            new = np.stack([np.asarray(c).astype("i8") for c in batch.columns], axis=1)
+            if held and (new[-1, :keys] == held[0][0, :keys]).all():  # one group all through
+                held.append(new)
+                continue
+            held.append(new)
+        if not held:
+            return
+        rows = np.concatenate(held)
+        cuts = np.flatnonzero((rows[1:, :keys] != rows[:-1, :keys]).any(axis=1)) + 1
+        starts, ends = np.concatenate([[0], cuts]).astype("i8"), np.concatenate([cuts, [len(rows)]]).astype("i8")
+        if batch is not None:  # the last group may go on
+            held, starts, ends = [rows[starts[-1] :]], starts[:-1], ends[:-1]
+        if len(starts):
+            yield rows[: ends[-1]], starts, ends
+
+
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
@@ -404,12 +420,115 @@ def verified(pairs: DataFrame, texts: DataFrame, *, shingle: int, similarity: fl
     return both.mapInArrow(check, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, *, shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY, forests: int = FORESTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How often the shingles of each bucket come in ``texts`` (column utf8), about: buckets that are rare in a task count 0 there."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, "i8")
+        for batch in batches:
+            for text in batch.column(0):
+                np.add.at(counts, (shingle_set(text.as_py(), shingle) % np.uint64(BUCKETS)).astype("i8"), 1)
+        often = np.flatnonzero(counts > 8 + 2 * counts.mean())
+        yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(counts[often])], ["bucket", "n"])
+
+    out = np.zeros(BUCKETS, "i8")
+    for row in texts.select("utf8").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():  # at most BUCKETS rows
+        out[row["bucket"]] = row["n"]
+    return out
+
+
+def least_shared(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """The least shingles that two sets share, which have these sizes together and are similar enough."""
+    return np.ceil(similarity / (1 + similarity) * sizes - 1e-9).astype("i8")
+
+
+def prefix(own: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """Of a set of shingles, the first ones by rising frequency: a similar set has one of these among its own first ones."""
+    ordered = own[np.lexsort((own, counts[(own % np.uint64(len(counts))).astype("i8")]))]
+    return ordered[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]
+
+
+def prefixes(texts: DataFrame, counts: np.ndarray, *, shingle: int, similarity: float) -> DataFrame:
+    """``token, size, node``: the prefix of each text (``text_hash, utf8``), where it shares a token with another text. size has
+    the set's size in its high half, and in its low half how many of the set come from this token on.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            parts = [np.zeros((3, 0), "i8")]
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if node in seen:
+                    continue
+                seen.add(node)
+                own = shingle_set(text.as_py(), shingle)
+                own = own if len(own) else np.zeros(1, "u8")  # texts without words are alike
+                first = prefix(own, shared.value, similarity)
+                parts.append(np.stack([first.view("i8"), (len(own) << 32) + len(own) - np.arange(len(first)), np.full(len(first), node)]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(parts, axis=1)], ["token", "size", "node"])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts, ends in _whole(batches, 1):
+            fresh_row = np.ones(len(rows), bool)
+            fresh_row[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+            many = np.add.reduceat(fresh_row.astype("i8"), starts) > 1
+            rows = rows[fresh_row & np.repeat(many, ends - starts)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T.copy()], ["token", "size", "node"])
+
+    schema = "token long, size long, node long"
+    return texts.select("text_hash", "utf8").mapInArrow(tokens, schema).repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(several, schema)
+
+
+def meetings(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, similarity: float, steps: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes that share a token and may be similar, of different groups. ``rows``: token, size, node, group, sorted. With
+    ``steps``, only nodes so many places from each other.
+    """
+    size, left, node, group = rows[:, 1] >> 32, rows[:, 1] & 0xFFFFFFFF, rows[:, 2], rows[:, 3]
+    mixed = np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts)
+    end = np.repeat(ends, ends - starts)
+    at, step = np.flatnonzero(np.repeat(mixed, ends - starts)), 0
+    while len(at) and step != steps:
+        step += 1
+        at = at[at + step < end[at]]
+        at = at[least_shared(size[at] + size[at + step], similarity) <= size[at]]  # sizes rise: what is too large stays so
+        to = at + step
+        hit = (group[at] != group[to]) & (np.minimum(left[at], left[to]) >= least_shared(size[at] + size[to], similarity))
+        if hit.any():
+            yield node[at[hit]], node[to[hit]]
+
+
+def meeting_pairs(shared: DataFrame, groups: DataFrame, *, similarity: float, steps: int | None = None) -> DataFrame:
+    """``a, b``: the pairs of :func:`meetings` among :func:`prefixes`, for the components found so far (node, root)."""
+    grouped = shared.join(groups, "node", "left").select("token", "size", "node", F.coalesce("root", "node").alias("group"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts, ends in _whole(batches, 1):
+            held, many = [], 0
+            for pair in meetings(rows, starts, ends, similarity, steps):
+                held.append(pair)
+                if (many := many + len(pair[0])) >= PAIRS:
+                    yield distinct(held)
+                    held, many = [], 0
+            if held:
+                yield distinct(held)
+
+    def distinct(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = map(np.concatenate, zip(*held, strict=True))
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in pairs], ["a", "b"])
+
+    return grouped.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(search, "a long, b long").distinct()
+
+
+def similar_documents(docs: DataFrame, *, shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As :func:`near_duplicates`, with texts linked by a Jaccard coefficient of at least ``similarity`` over their shingles.
 
-    A link is never false. One is found if either fingerprint is within the radius and they meet in a shard, or if others
-    lead around it. Texts are told apart by their 64-bit hashes, so equal texts are compared once.
+    Exact: a link is never false, and none is missed; ``radius`` (that of the fingerprints compared first) changes the time
+    only. Texts are told apart by their 64-bit hashes, so equal texts are compared once.
     """
+    if not 0 < similarity <= 1:
+        raise ValueError("the similarity must be over 0 and at most 1")
     rows = cut(fingerprints(docs, shingle=shingle, distinct=True, id_col=id_col, text_col=text_col))
     nodes = cut(rows.groupBy(F.col("text_hash").alias("node"), "fp", "fp2").agg(_first()))
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -422,23 +541,25 @@ def similar_documents(docs: DataFrame, *, shingle: int = WIDE_SHINGLE, radius: i
         texts = own.join(wanted, (F.col("text_hash") == F.col("want_hash")) & F.col("own_id").eqNullSafe(F.col("want_id"))).select("text_hash", "utf8").dropDuplicates(["text_hash"])
         return cut(verified(pairs, cut(texts), shingle=shingle, similarity=similarity))
 
-    def close(grouped: DataFrame, radius: int, forests: int) -> DataFrame:
+    def close() -> DataFrame:
         out = None
         for fp, other in (("fp", "fp2"), ("fp2", "fp")):
             # Texts of one fingerprint are compared with one of them, which meets the others' in the shards.
-            per_fp = cut(grouped.groupBy(F.col(fp).alias("of")).agg(F.min(F.struct("node", F.col(other).alias("other"), "group")).alias("x")))
-            equal = grouped.select("node", F.col(fp).alias("of"), "group").join(per_fp, "of").where((F.col("node") != F.col("x.node")) & (F.col("group") != F.col("x.group")))
-            met = close_links(per_fp.select(F.col("of").alias("fp"), "x.other", "x.group", F.col("x.node").alias("name")), radius=radius, forests=forests)
+            per_fp = cut(nodes.groupBy(F.col(fp).alias("of")).agg(F.min(F.struct("node", F.col(other).alias("other"))).alias("x")))
+            equal = nodes.select("node", F.col(fp).alias("of")).join(per_fp, "of").where(F.col("node") != F.col("x.node"))
+            met = close_links(per_fp.select(F.col("of").alias("fp"), "x.other", F.col("x.node").alias("group"), F.col("x.node").alias("name")), radius=radius // 2)
             found = met.unionAll(equal.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")))
             out = found if out is None else out.unionAll(found)
         return cut(out.distinct())
 
-    first = close(nodes.withColumn("group", F.col("node")), radius // 2, 1)
-    sure = compared(first)
-    joined = cut(components(sure))
-    grouped = nodes.join(joined, "node", "left").withColumn("group", F.coalesce("root", "node"))
-    more = cut(close(cut(grouped), radius, forests).join(first, ["a", "b"], "left_anti"))
-    found = cut(components(sure.unionAll(compared(more))))
+    tested = close()
+    sure = compared(tested)
+    found = cut(components(sure))
+    shared = cut(prefixes(own, shingle_counts(own, shingle), shingle=shingle, similarity=similarity))
+    for steps in (1, None):
+        more = cut(meeting_pairs(shared, found, similarity=similarity, steps=steps).join(tested, ["a", "b"], "left_anti"))
+        tested, sure = tested.unionAll(more), sure.unionAll(compared(more))
+        found = cut(components(sure))
     return _with_kept(rows.withColumn("node", F.col("text_hash")), nodes.groupBy("node").agg(F.min("first").alias("first")), found)
 
 

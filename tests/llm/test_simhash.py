@@ -212,3 +212,39 @@ def test_hot_shards_of_close_links_are_split(spark, max_shard):
     want = plain_components([(k, k) for k in range(len(fps))] + near_pairs(fps, simhash.WIDE_RADIUS))
     apart = sum(got[i] != got[j] for i, j in near_pairs(fps, simhash.WIDE_RADIUS))
     assert all(want[i] == want[k] for i, k in got.items()) and apart <= 0.02 * len(near_pairs(fps, simhash.WIDE_RADIUS))
+
+
+def boilerplate(many, seed=9):
+    """Texts that share 82 of 100 words (J of about 0.7), and for every tenth one a copy with six words changed (J of 0.8 and more)."""
+    rng = np.random.default_rng(seed)
+    shared, rows = [f"b{k}" for k in range(86)], []
+    for k in range(many):
+        own = [f"t{k}x{j}" for j in range(14)]
+        rows.append((2 * k, " ".join(own + shared)))
+        if k % 10 == 0:
+            at = int(rng.integers(20, 80))
+            rows.append((2 * k + 1, " ".join(own + shared[:at] + [f"c{k}x{j}" for j in range(6)] + shared[at + 6 :])))
+    return rows
+
+
+def test_similar_documents_lose_nothing(spark):
+    for rows in (mutated(), mutated(7)):
+        got = {r["id"]: r["keep_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == dict(zip([i for i, _ in rows], plain_similar(rows)[0], strict=True))
+
+
+def test_similar_documents_among_boilerplate(spark):
+    rows = boilerplate(1500)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["id"]: r["keep_id"] for r in simhash.similar_documents(docs).collect()} == dict(zip([i for i, _ in rows], plain_similar(rows)[0], strict=True))
+
+
+@pytest.mark.parametrize("steps", [None, 1])
+def test_meetings_of_prefixes(spark, steps):
+    rows = [(k, t.encode()) for k, (_, t) in enumerate(mutated())]
+    texts = spark.createDataFrame(rows, "text_hash long, utf8 binary").repartition(3)
+    shared = simhash.prefixes(texts, simhash.shingle_counts(texts, 5), shingle=5, similarity=0.8)
+    groups = spark.createDataFrame([(k, k - k % 2) for k in range(len(rows))], "node long, root long")
+    got = {tuple(r) for r in simhash.meeting_pairs(shared, groups, similarity=0.8, steps=steps).collect()}
+    want = {(min(p), max(p)) for p in plain_similar([(k, t.decode()) for k, t in rows])[1] if p[0] // 2 != p[1] // 2}
+    assert all(a // 2 != b // 2 for a, b in got) and (steps == 1 or want <= got)
