@@ -6,6 +6,10 @@ symbol and moves on or stays, as a random bit of (j, symbol) says.  Bit-sampling
 embeddings; with enough repetitions, each with its own walk, a passage within the bound meets its item with the wanted
 recall.  Each meeting is verified by the exact edit distance, which leaves no false ones.
 
+The walks of long passages drift apart, so items of over PIECE words are cut into pieces of nearly equal size.  If a passage is
+within the bound, some piece is within its own (else the pieces' edits would add up to more), and its meeting leads to the
+whole item's verification.
+
 Two exact bounds go first and spare most windows the walks: a window of n words within k edits of an item has at least
 n - k words that are in the benchmark, and few words that repeat the word before them.
 """
@@ -27,6 +31,9 @@ from flowmill.llm.text import mix, numbers, words
 #: Edits allowed, as a share of the item's words; the least words of an item that can be told from common phrases.
 EDITS, MIN_WORDS = 0.2, 6
 
+#: Most words that are embedded at once; longer items are cut.
+PIECE = 32
+
 #: Places sampled in each repetition, and repetitions: recall of passages with as many edits as allowed is over 0.95
 #: (0.997 measured on 400 such passages).
 SAMPLES, REPETITIONS, SEED = 2, 16, 20_021
@@ -52,16 +59,25 @@ class Bench:
         self.items = [np.array([self.number.setdefault(x, len(self.number) + 1) for x in w], "i4") for _, w in split]
         self.sizes = np.array([len(w) for w in self.items], "i8")
         self.bound = np.array([allowed(n, edits) for n in self.sizes], "i8")
-        self.pad = int(self.sizes.max(initial=0) + self.bound.max(initial=0) + 1)
-        self.repeats = {int(n): max(int((w[1:] == w[:-1]).sum()) for w in self.items if len(w) == n) for n in np.unique(self.sizes)}
-        #: Items of nearly one size share their walks: (smallest size, items).
+        self.pad = int(self.sizes.max(initial=0) + 2 * self.bound.max(initial=0) + 1)
+        cuts = [np.linspace(0, n, ceil(n / PIECE) + 1).astype("i8") for n in self.sizes]
+        #: Of each piece: its item, and where it starts and how long it is.
+        self.whole = np.repeat(np.arange(len(cuts)), [len(c) - 1 for c in cuts])
+        self.offset = np.concatenate([np.zeros(0, "i8"), *[c[:-1] for c in cuts]])
+        lengths = np.concatenate([np.zeros(0, "i8"), *[np.diff(c) for c in cuts]])
+        self.lengths = lengths
+        self.repeats: dict[int, int] = {}
+        for item, at, n in zip(self.whole.tolist(), self.offset.tolist(), lengths.tolist(), strict=True):
+            w = self.items[item][at : at + n]
+            self.repeats[n] = max(self.repeats.get(n, 0), int((w[1:] == w[:-1]).sum()))
+        #: Pieces of nearly one size share their walks: (smallest size, pieces).
         self.classes: list[tuple[int, np.ndarray]] = []
         for n in sorted(self.repeats):
             if not self.classes or n > 1.25 * self.classes[-1][0]:
                 self.classes.append((n, np.zeros(0, "i8")))
-            self.classes[-1] = (self.classes[-1][0], np.concatenate([self.classes[-1][1], np.flatnonzero(self.sizes == n)]))
+            self.classes[-1] = (self.classes[-1][0], np.concatenate([self.classes[-1][1], np.flatnonzero(lengths == n)]))
         flat = np.concatenate([np.concatenate([w, np.zeros(self.pad, "i4")]) for w in self.items]) if split else np.zeros(0, "i4")
-        starts = np.concatenate([[0], np.cumsum(self.sizes + self.pad)])[:-1]
+        starts = np.concatenate([[0], np.cumsum(self.sizes + self.pad)])[:-1].astype("i8")[self.whole] + self.offset
         self.keys = {}
         for size, members in self.classes:
             for r in range(REPETITIONS):
@@ -86,14 +102,14 @@ class Bench:
         return key
 
     def candidates(self, flat: np.ndarray, inside: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window starts, items) that met in some repetition, each pair once a size class. Windows start at words, which
+        """(window starts, pieces) that met in some repetition, each pair once a size class. Windows start at words, which
         ``inside`` marks, not in the gaps between texts."""
         known = np.concatenate([[0], np.cumsum(flat > 0, dtype="i4")])
         again = np.concatenate([[0, 0], np.cumsum((flat[1:] == flat[:-1]) & (flat[1:] > 0), dtype="i4")])
         last = len(flat) - self.pad
         for size, members in self.classes:
             passed = np.zeros(last, bool)
-            for n in np.unique(self.sizes[members]):
+            for n in np.unique(self.lengths[members]):
                 k = allowed(n, self.edits)
                 passed |= (known[n : n + last] - known[:last] >= n - k) & (again[n : n + last] - again[1 : 1 + last] <= 3 * k + self.repeats[int(n)])
             starts = np.flatnonzero(passed & inside[:last])
@@ -101,21 +117,22 @@ class Bench:
                 continue
             met = []
             for r in range(REPETITIONS):
-                keys, items = self.keys[size, r]
+                keys, pieces = self.keys[size, r]
                 own = self.sample(flat, starts, size, r)
                 low, high = np.searchsorted(keys, own), np.searchsorted(keys, own, side="right")
                 count = high - low
                 which = np.repeat(np.arange(len(starts)), count)
                 pick = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + low[which]
-                met.append(np.unique(which * len(self.items) + items[pick]))
+                met.append(np.unique(which * len(self.whole) + pieces[pick]))
             pairs = np.unique(np.concatenate(met))
-            yield starts[pairs // len(self.items)], pairs % len(self.items)
+            yield starts[pairs // len(self.whole)], pairs % len(self.whole)
 
-    def distances(self, flat: np.ndarray, starts: np.ndarray, item: int) -> np.ndarray:
-        """The least edit distance of the item to any passage from k words before each window to k words after it."""
+    def distances(self, flat: np.ndarray, starts: np.ndarray, item: int, more: int = 0) -> np.ndarray:
+        """The least edit distance of the item to any passage from k words before each window to ``k + more`` words after it."""
         words, k = self.items[item], int(self.bound[item])
-        columns = np.arange(len(words) + 2 * k)
-        near = flat[np.clip(starts[:, None] - k + columns, 0, len(flat) - 1)]
+        columns = np.arange(len(words) + 2 * k + more)
+        at = starts[:, None] - k + columns
+        near = np.where((at >= 0) & (at < len(flat)), flat[np.clip(at, 0, len(flat) - 1)], 0)
         slope = np.arange(len(columns) + 1, dtype="i4")
         row = np.zeros((len(starts), len(columns) + 1), "i4")  # a passage may start anywhere
         for i, word in enumerate(words, 1):
@@ -132,16 +149,20 @@ class Bench:
         owner = np.repeat(np.arange(len(texts)), [len(t) + self.pad for t in texts])
         inside = np.concatenate([x for t in texts for x in (np.ones(len(t), bool), np.zeros(self.pad, bool))] + [np.zeros(self.pad, bool)])
         found: dict[tuple[int, int], int] = {}
-        for starts, items in self.candidates(flat, inside):
+        for starts, pieces in self.candidates(flat, inside):
+            items, begins = self.whole[pieces], starts - self.offset[pieces]  # where the whole item would begin
             order = np.argsort(items, kind="stable")
-            starts, items = starts[order], items[order]
+            starts, items, begins = starts[order], items[order], begins[order]
             for item in np.unique(items):
-                own = starts[np.searchsorted(items, item) : np.searchsorted(items, item, side="right")]
-                for a in range(0, len(own), PAIRS):
-                    some = own[a : a + PAIRS]
-                    distance = self.distances(flat, some, item)
-                    for s, d in zip(some[distance <= self.bound[item]], distance[distance <= self.bound[item]], strict=True):
-                        key = (int(owner[s]), int(item))
+                own = slice(np.searchsorted(items, item), np.searchsorted(items, item, side="right"))
+                step = max(int(self.bound[item]), 1)  # neighbours are verified at once
+                blocks, first = np.unique(begins[own] // step, return_index=True)
+                texts_of = owner[starts[own][first]]
+                for a in range(0, len(blocks), PAIRS):
+                    distance = self.distances(flat, blocks[a : a + PAIRS] * step, item, step - 1)
+                    hit = distance <= self.bound[item]
+                    for t, d in zip(texts_of[a : a + PAIRS][hit], distance[hit], strict=True):
+                        key = (int(t), int(item))
                         found[key] = min(int(d), found.get(key, 1 << 30))
         return found
 

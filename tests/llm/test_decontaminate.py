@@ -99,3 +99,20 @@ def test_long_texts_in_pieces(monkeypatch):
     monkeypatch.setattr(text, "PIECE_CHARS", 7)
     assert np.array_equal(numbers(whole, get), want)
     assert F is not None
+
+
+@pytest.mark.parametrize("size", [40, 60, 100, 250, 500])
+def test_recall_of_long_items(size):
+    rng = np.random.default_rng(size)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    items = [(k, " ".join(map(str, rng.choice(vocabulary, size)))) for k in range(20)]
+    made = d.Bench(items, d.EDITS, d.MIN_WORDS)
+    texts, planted = [], []
+    for n in range(100):
+        k, around = n % len(items), [str(x) for x in rng.choice(vocabulary, 40)]
+        texts.append(numbers(" ".join(around[:20] + edited(words(items[k][1]), d.allowed(size, d.EDITS), vocabulary, rng) + around[20:]), made.number.get))
+        planted.append((n, k))
+    found = made.find(texts)
+    assert np.mean([p in found for p in planted]) >= 0.98
+    for t, i in list(found)[:5]:
+        assert found[t, i] == passage_distance(made.items[i].tolist(), texts[t].tolist())
