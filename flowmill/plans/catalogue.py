@@ -71,11 +71,14 @@ def twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(rows.where("l_orderkey % 5 = 0"))
 
 
-def embedded(spark: SparkSession, sf_dir: str, dims: int = 8) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").select("vec_id", F.col("label"), *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(dims)])
+def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every component of the vectors as a column; a vector of another length is an error, a missing one gives nulls."""
+    fits = F.col("embedding").isNull() | (F.size("embedding") == len(DIMS))
+    whole = F.when(fits, F.col("embedding")).otherwise(F.raise_error(F.lit(f"an embedding doesn't have {len(DIMS)} components")))
+    return read(spark, sf_dir, "embeddings").withColumn("embedding", whole).select("vec_id", F.col("label"), *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(DIMS)])
 
 
-DIMS = [f"e{k}" for k in range(8)]
+DIMS = [f"e{k}" for k in range(64)]
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 ITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *MEASURES, "l_returnflag", "l_linestatus", "l_shipdate"]
 FLAGS = ["l_returnflag", "l_linestatus", "l_linenumber"]

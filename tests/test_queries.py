@@ -1,6 +1,7 @@
 """Every registered query of the library against its SQL, over the smallest tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from flowmill.plans.catalogue import QUERIES, SQL
 from tests.oracle import compare
@@ -24,3 +25,17 @@ def test_entry_and_registration(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) <= set(entry.queries())
+
+
+def test_models_use_whole_embeddings(spark, tmp_path):
+    from flowmill.plans import catalogue
+
+    raw = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows = catalogue.embedded(spark, SF)
+    assert rows.columns == ["vec_id", "label", *[f"e{k}" for k in range(64)]] and rows.count() == raw.count()
+    one = rows.orderBy("vec_id").first()
+    assert list(one)[2:] == list(raw.orderBy("vec_id").first()["embedding"])
+    assert {r["feature"] for r in QUERIES["boosting_importance"](spark, SF).collect()} == set(catalogue.DIMS)
+    raw.limit(5).withColumn("embedding", F.slice("embedding", 1, 8)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    with pytest.raises(Exception, match="64 components"):
+        catalogue.embedded(spark, str(tmp_path)).collect()
