@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import decontaminate, mixing, quality, simhash, tokens
+from flowmill.llm import decontaminate, mixing, quality, similar, simhash, tokens
 from flowmill.llm.common import fresh, held_out, table
 from flowmill.llm.queries import END_ID, MIX_CAP, MIX_SEED, MIX_SHARE, MIX_WEIGHTS, QUALITY_THRESHOLD, TOKENIZER
 
@@ -26,7 +26,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, a similarity of 0.8 or more."""
-    return simhash.drop_near_duplicates(docs, simhash.similar_documents(docs))
+    return simhash.drop_near_duplicates(docs, similar.similar_documents(docs))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

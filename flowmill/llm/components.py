@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from flowmill.llm.common import cut
 
 
+#: Rows of links to a task, about: a small table needs no more tasks than its size asks for.
+TASK_LINKS = 100_000
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour, or to the node if that is smaller."""
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -35,7 +39,7 @@ def components(links: DataFrame) -> DataFrame:
     links = cut(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while (now := _state(links)) != before:
-        before = now
-        links = cut(_small_star(_large_star(links)))
+        before, tasks = now, now[0] // TASK_LINKS + 1
+        links = cut(_small_star(_large_star(links.coalesce(tasks)).coalesce(tasks)).coalesce(tasks))
     # Now every node but a root leads to its root.
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

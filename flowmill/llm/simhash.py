@@ -7,23 +7,16 @@ Distinct fingerprints are few bytes each, and only these are compared.  The bits
 within the radius, some ``blocks - radius`` blocks are equal, so shards of the fingerprints that agree in so many blocks
 hold every linked pair.  Each task builds a BK-tree of a shard (children keyed by Hamming distance to the parent) and runs all
 its members through it, following only edges within the radius.  Of a shard's links, a spanning forest is kept.  The trees
-grow with the corpus, so each is built where its queries are: nothing is broadcast.
-
-:func:`similar_documents` goes on to exact similarity: a wider radius, within which most texts with a Jaccard coefficient of
-0.8 over five-word shingles lie, gives pairs that are then compared by their shingles.  So wide a radius has no exact
-shards of use; fingerprints meet in shards that agree in randomly sampled bits, repeated to a target recall.  Texts have two
-independent fingerprints there.  These only join most copies cheaply, by a spanning forest of each shard at half the radius.
-What they miss is found exactly: of two sets with a Jaccard coefficient of t, each has a shingle of the other among its first
-n - ceil(t n) + 1 in any order that both share (prefix filter), and at the first shared one enough shingles of both must be
-left (positional filter).  The order is by frequency, rare ones first, so boilerplate comes last.  Every pair that passes both
-bounds and isn't in one component yet is compared: first neighbours by size, then all that are left.
+hold the fingerprints of all documents, which must not go through the driver, so each is built where its queries are and
+none is broadcast.
+
+:mod:`flowmill.llm.similar` goes on from there to exact similarity of shingle sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate, combinations
-from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -33,26 +26,17 @@ from pyspark.sql import functions as F
 
 from flowmill.llm.common import cut, fresh
 from flowmill.llm.components import components
-from flowmill.llm.text import mix
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 
-#: A shard of more fingerprints is split once more, by blocks of its other bits.
-MAX_SHARD = 200_000
-
-#: For exact similarity: shingle, radius, the coefficient; pairs that differ in all of the radius meet in some shard of a
-#: fingerprint with probability RECALL. Texts of a coefficient of 0.8 differ in 9.7 bits on average (standard deviation 2.9)
-#: and are missed by one fingerprint in about 8 % of all cases, so by both in under 1 %; more similar ones far less often.
-WIDE_SHINGLE, WIDE_RADIUS, SIMILARITY, RECALL = 5, 14, 0.8, 0.9
+#: A shard of more fingerprints is split by blocks of its other bits, as often as that makes shards smaller, LEVELS times at most.
+MAX_SHARD, LEVELS = 20_000, 3
 
-#: Buckets in which the frequencies of shingles are counted; they order the shingles, and don't change what is found.
-BUCKETS = 1 << 20
-
-#: Keys of texts to compare that may be broadcast (16 bytes each); more are joined by a shuffle.
+#: Keys of rows that may be broadcast (16 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_KEYS = 1_000_000
 
-#: Members of a leaf: at a wide radius few edges can be left out, and larger leaves are compared at once.
-LEAF, WIDE_LEAF = 32, 128
+#: A leaf of a tree: so many members are compared at once.
+LEAF = 32
 
 QUERIES, PAIRS, HASHES = 2048, 1 << 20, 1 << 18
 
@@ -77,7 +61,7 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, "u8"), *shingle_hashes(text, shingle)]))
 
 
-def _majority(hashes: Iterable[np.ndarray]) -> int:
+def majority(hashes: Iterable[np.ndarray]) -> int:
     """The bits that are 1 in over half of all hashes, as a signed number; 0 without hashes."""
     ones, total = np.zeros(64, "i8"), 0
     for whole in hashes:
@@ -90,29 +74,21 @@ def _majority(hashes: Iterable[np.ndarray]) -> int:
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """The fingerprint of a UTF-8 text, as a signed number; 0 without words."""
-    return _majority(shingle_hashes(text, shingle))
-
+    return majority(shingle_hashes(text, shingle))
 
-def set_fingerprints(text: bytes, shingle: int = WIDE_SHINGLE) -> tuple[int, int]:
-    """Two independent fingerprints of a text's distinct shingles, the second of their mixed hashes; 0 without words."""
-    own = shingle_set(text, shingle)
-    return _majority([own]), _majority([mix(own)])
 
-
-def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, text_hash, fp`` (fp as a signed long) of every row; a null text counts as empty. ``distinct``: repeats of a shingle
-    don't count, and the second fingerprint follows as ``fp2``.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    id_type, names = rows.schema["id"].dataType.simpleString(), ["fp", "fp2"] if distinct else ["fp"]
+def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, text_hash, fp`` (fp as a signed long) of every row; a null text counts as empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
+    id_type = rows.schema["id"].dataType.simpleString()
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [set_fingerprints(t.as_py(), shingle) if distinct else (fingerprint(t.as_py(), shingle),) for t in batch.column(2)]
-            columns = [pa.array([own[k] for own in fps], pa.int64()) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "text_hash", *names])
+            fps = pa.array([fingerprint(t.as_py(), shingle) for t in batch.column(2)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], ["id", "text_hash", "fp"])
 
-    return rows.mapInArrow(compute, f"id {id_type}, text_hash long, " + ", ".join(f"{x} long" for x in names))
+    return rows.mapInArrow(compute, f"id {id_type}, text_hash long, fp long")
 
 
 class BKTree:
@@ -161,13 +137,16 @@ def _join(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = jumped
 
 
-def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, its component's first) that connect what is within the radius among these fingerprints."""
+def forest(fps: np.ndarray, radius: int, asking: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fingerprint, its component's first) that connect what is within the radius among these fingerprints; of the
+    pairs with one at the places ``asking``, if these are given.
+    """
     labels, tree = np.arange(len(fps)), BKTree(np.arange(len(fps)), fps)
-    for at in range(0, len(fps), QUERIES):
+    asking = labels.copy() if asking is None else asking
+    for at in range(0, len(asking), QUERIES):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        for pair in tree.near(np.arange(at, min(at + QUERIES, len(fps))), fps, radius):
+        for pair in tree.near(asking[at : at + QUERIES], fps, radius):
             held.append(pair)
             if (size := size + len(pair[0])) >= PAIRS:
                 _join(labels, *map(np.concatenate, zip(*held, strict=True)))
@@ -178,82 +157,12 @@ def forest(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return fps[linked], fps[labels[linked]]
 
 
-def _spanning(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Places of pairs that connect what all of them connect, earlier pairs first; ``labels`` are merged in place."""
-    chosen, left, step = [np.zeros(0, "i8")], np.arange(len(a)), max(1024, 2 * len(labels))
-    while len(left):
-        part = left[:step]
-        la, lb = labels[a[part]], labels[b[part]]
-        low, high = np.minimum(la, lb), np.maximum(la, lb)
-        _, first = np.unique(low * len(labels) + high, return_index=True)
-        parent: dict[int, int] = {}
-        for at in np.sort(first).tolist():
-            x, y = _root(parent, int(low[at])), _root(parent, int(high[at]))
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                chosen.append(part[at : at + 1])
-        if parent:
-            table = np.arange(len(labels))
-            table[list(parent)] = [_root(parent, x) for x in list(parent)]
-            labels[:] = table[labels]
-        left = left[step:]
-        left = left[labels[a[left]] != labels[b[left]]]  # in a dense shard the first parts connect nearly all
-    return np.concatenate(chosen)
-
-
-def _root(parent: dict[int, int], x: int) -> int:
-    while (up := parent.get(x, x)) != x:
-        parent[x] = x = parent.get(up, up)
-    return x
-
-
-def close_pairs(fps: np.ndarray, radius: int, other: np.ndarray | None = None, group: np.ndarray | None = None, forests: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (places in ``fps``) within the radius: as many disjoint spanning forests of such pairs as asked for.
-
-    Nearer pairs come first, by the distance of ``fps`` and ``other`` together: all within half the radius before any beyond
-    it, and in order among PAIRS pairs at a time.  Pairs within one ``group`` are left out.
-    """
-    places = np.arange(len(fps))
-    start = np.unique(group, return_index=True, return_inverse=True) if group is not None else None
-    start = places if start is None else start[1][start[2]]
-    labels, tree, out = [start.copy() for _ in range(forests)], BKTree(places, fps, WIDE_LEAF), []
-    other = fps if other is None else other
-
-    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        a, b = map(np.concatenate, zip(*held, strict=True))
-        order = np.argsort(np.bitwise_count(fps[a] ^ fps[b]) + np.bitwise_count(other[a] ^ other[b]), kind="stable")
-        a, b = a[order], b[order]
-        for own in labels:
-            pick = _spanning(own, a, b)
-            out.append((a[pick], b[pick]))
-            rest = np.ones(len(a), bool)
-            rest[pick] = False
-            a, b = a[rest], b[rest]
-
-    for low, r in [(-1, radius // 2), (radius // 2, radius)]:
-        held, size = [], 0
-        for at in range(0, len(fps), QUERIES):
-            for a, b in tree.near(places[at : at + QUERIES], fps, r):
-                # Each pair comes from either end, and near ones come at both radii; it is offered once.
-                apart = (a < b) & (labels[-1][a] != labels[-1][b])
-                apart[apart] = (start[a[apart]] != start[b[apart]]) & (np.bitwise_count(fps[a[apart]] ^ fps[b[apart]]).astype("i2") > low)
-                if apart.any():
-                    held.append((a[apart], b[apart]))
-                    if (size := size + int(apart.sum())) >= PAIRS:
-                        flush(held)
-                        held, size = [], 0
-        if held:
-            flush(held)
-    a, b = map(np.concatenate, zip(*out, strict=True)) if out else (places[:0], places[:0])
-    return a, b
-
-
 def _blocks(bits: list[int], many: int) -> list[int]:
     """The bits cut into ``many`` masks of nearly equal size."""
     return [sum(1 << b for b in part.tolist()) for part in np.array_split(np.array(bits), many)]
 
 
-def _signed(mask: int) -> int:
+def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
@@ -264,28 +173,44 @@ def _masks(count: int, radius: int) -> list[int]:
     return [sum(x) for x in combinations(blocks, 1 + more)]
 
 
-def _sharded(fps: DataFrame, masks: list[int], inner: Callable[[int], list[int]], max_shard: int) -> DataFrame:
-    """The rows of ``fps`` once for each mask, with ``mask, bits``: the mask's place and the bits of fp under it. Where more than
-    ``max_shard`` agree in these, they must also agree in those of one of the ``inner`` masks of the other bits.
+def sharded(fps: DataFrame, masks: list[int], inner: Callable[[int], list[int]], max_shard: int) -> DataFrame:
+    """The rows of ``fps`` once for each mask, with ``mask, bits, block, asks``: the mask's place and the bits of fp under it.
+
+    Where more than ``max_shard`` agree in these, they must also agree in those of one of the ``inner`` masks of the other bits,
+    if that leaves less to compare; and so on, up to LEVELS times.  What is too large even then (fingerprints of a dense ball
+    agree in nearly all bits, however they are split) goes to several blocks whole, and each row asks (1, else 0) in one of them.
     """
-    def key(k: int, mask: int) -> Column:
-        return F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("bits"))
-
-    keyed = fps.select("*", F.explode(F.array(*[key(k, m) for k, m in enumerate(masks)])).alias("key")).select(*fps.columns, "key.mask", "key.bits")
-    hot = cut(keyed.groupBy("mask", "bits").count().where(F.col("count") > max_shard).select("mask", "bits", F.lit(True).alias("hot")))
-    full = [r["mask"] for r in hot.select("mask").distinct().collect()]  # at most one row a mask
-    if not full:
-        return keyed
-    split, at = F.lit(None).cast("array<struct<mask:int,bits:bigint>>"), len(masks)
-    for k in sorted(full):
-        more = inner(masks[k])
-        parts = [key(at + j, masks[k] | x) for j, x in enumerate(more)]
-        split, at = F.when(F.col("mask") == k, F.array(*parts)).otherwise(split), at + len(more)
-    joined = keyed.join(hot, ["mask", "bits"], "left")
-    return joined.select(*fps.columns, F.explode(F.when(F.col("hot"), split).otherwise(F.array(F.struct("mask", "bits")))).alias("key")).select(*fps.columns, "key.mask", "key.bits")
-
-
-def _others(mask: int) -> list[int]:
+    names, masks, at = fps.columns, list(masks), 0
+
+    def key(k: int) -> Column:
+        return F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(signed(masks[k]))).alias("bits"))
+
+    keyed = fps.select("*", F.explode(F.array(*map(key, range(len(masks))))).alias("key")).select(*names, "key.mask", "key.bits")
+    for _ in range(LEVELS):
+        hot = cut(keyed.where(F.col("mask") >= at).groupBy("mask", "bits").count().where(F.col("count") > max_shard))
+        full = sorted(r["mask"] for r in hot.select("mask").distinct().collect())  # at most one row a mask
+        at, split = len(masks), F.lit(None).cast("array<struct<mask:int,bits:bigint>>")
+        for k in full:
+            first = len(masks)
+            masks += [masks[k] | x for x in inner(masks[k])]
+            if len(masks) > first:
+                split = F.when(F.col("mask") == k, F.array(*map(key, range(first, len(masks))))).otherwise(split)
+        if len(masks) == at:
+            break
+        parts = keyed.join(hot, ["mask", "bits"]).select("mask", "bits", "count", F.explode(split).alias("key")).groupBy("mask", "bits", "count", "key").agg(F.count("*").cast("double").alias("n"))
+        parts = parts.groupBy("mask", "bits", "count").agg(F.sum(F.col("n") * F.col("n")).alias("work"))
+        cheaper = cut(parts.where(F.col("work") < F.col("count").cast("double") * F.col("count")).select("mask", "bits", F.lit(True).alias("hot")))
+        joined = keyed.join(cheaper, ["mask", "bits"], "left")
+        keyed = joined.select(*names, F.explode(F.when(F.col("hot"), split).otherwise(F.array(F.struct("mask", "bits")))).alias("key")).select(*names, "key.mask", "key.bits")
+    large = cut(keyed.groupBy("mask", "bits").count().where(F.col("count") > max_shard).select("mask", "bits", F.ceil(F.col("count") / max_shard).cast("int").alias("blocks")))
+    if large.isEmpty():
+        return keyed.select("*", F.lit(0).alias("block"), F.lit(1).alias("asks"))
+    dealt = keyed.join(large, ["mask", "bits"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("fp"), "blocks")
+    return dealt.select(*keyed.columns, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select(*keyed.columns, "block", (F.col("block") == F.col("own")).cast("int").alias("asks"))
+
+
+def others(mask: int) -> list[int]:
     return [b for b in range(64) if not mask >> b & 1]
 
 
@@ -293,57 +218,34 @@ def links(fps: DataFrame, *, radius: int = RADIUS, max_shard: int = MAX_SHARD) -
     """``a, b``: links that connect all fingerprints (column fp, distinct longs) within the radius of each other."""
     if not 0 <= radius < 60:
         raise ValueError("the radius must be from 0 to 59")
-    keyed = _sharded(fps.select("fp"), _masks(fps.count(), radius), lambda m: _blocks(_others(m), radius + 1), max_shard)
-    return _search(keyed.select("mask", "bits", "fp"), lambda own: forest(own[:, 0], radius))
+    keyed = sharded(fps.select("fp"), _masks(fps.count(), radius), lambda m: _blocks(others(m), radius + 1) if len(others(m)) > radius else [], max_shard)
+    return search_shards(keyed, ["fp"], lambda own, asking: forest(own[:, 0], radius, asking))
 
 
-def _search(keyed: DataFrame, find: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """``a, b``: the pairs that ``find`` gives of each shard's rows. ``keyed`` has mask, bits and further longs, which ``find``
-    gets as unsigned numbers.
+def search_shards(keyed: DataFrame, names: list[str], find: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``a, b``: the pairs that ``find`` gives of each shard's rows: the columns ``names``, longs, which it gets as unsigned
+    numbers, and the places of the rows that ask.
     """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts, ends in _whole(batches, 2):
+        for rows, starts, ends in whole_groups(batches, 3):
             a, b = [], []
             for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-                x, y = find(np.asfortranarray(rows[s:e, 2:].view("u8")))
+                x, y = find(np.asfortranarray(rows[s:e, 4:].view("u8")), np.flatnonzero(rows[s:e, 3]))
                 if len(x):
                     a.append(x.view("i8")), b.append(y.view("i8"))
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    sharded = keyed.repartition("mask", "bits").sortWithinPartitions(*keyed.columns)
-    return sharded.mapInArrow(search, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
+    key = ["mask", "bits", "block"]
+    shards = keyed.select(*key, "asks", *names).repartition(*key).sortWithinPartitions(*key, *names)
+    return shards.mapInArrow(search, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-def sampled_masks(bits: int, among: list[int], *, near: int = WIDE_RADIUS, recall: float = RECALL, seed: int = 20_010) -> list[int]:
-    """Masks of ``bits`` randomly sampled bits of ``among``, as many as the recall of what differs in ``near`` of these asks for."""
-    met = comb(len(among) - near, bits) / comb(len(among), bits)
-    rng = np.random.default_rng(seed)
-    return [sum(1 << int(b) for b in rng.choice(among, bits, replace=False)) for _ in range(ceil(log(1 - recall) / log(1 - met)))]
 
-
-def close_links(nodes: DataFrame, *, radius: int = WIDE_RADIUS, forests: int = 1, max_shard: int = MAX_SHARD) -> DataFrame:
-    """``a, b``: names of pairs within the radius (see :func:`close_pairs`) of ``nodes``: fp, other, group, name, all longs.
-
-    Shards agree in 8 sampled bits, in more where these would leave over about 1,000 in a shard of evenly spread fingerprints.
-    """
-    bits = min(32, max(8, round(log(max(nodes.count(), 2), 2)) - 10))
-    masks = sampled_masks(bits, list(range(64)), near=radius)
-    keyed = _sharded(nodes, masks, lambda m: sampled_masks(6, _others(m), near=radius), max_shard)
-
-    def find(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        fps, other, group, name = own.T
-        a, b = close_pairs(fps, radius, other, group, forests)
-        return name[a], name[b]
-
-    return _search(keyed.select("mask", "bits", "fp", "other", "group", "name"), find)
-
-
-def _whole(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Rows of longs, sorted by the first ``keys`` columns, in parts that hold whole groups of these; the groups' starts and ends."""
     held: list[np.ndarray] = []
-    for batch in _with_end(batches):
+    for batch in with_end(batches):
         if batch is not None:
             if not batch.num_rows:
                 continue
@@ -363,12 +265,12 @@ def _whole(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.nd
             yield rows[: ends[-1]], starts, ends
 
 
-def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+def with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
 
 
-def _with_kept(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+def with_kept(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     """``rows`` with keep_id and keep_hash, of ``nodes`` (key columns node, first) and the components found among them."""
     members = nodes.join(found.select("node", "root"), "node")
     roots = members.groupBy("root").agg(F.min("first").alias("first"))
@@ -379,7 +281,7 @@ def _with_kept(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame
     return rows.join(kept, F.col("node") == F.col("k")).select("id", "text_hash", "fp", F.col("first.id").alias("keep_id"), F.col("first.text_hash").alias("keep_hash"))
 
 
-def _first() -> Column:
+def first_row() -> Column:
     return F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first")
 
 
@@ -390,177 +292,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RA
     rows in the component.  Rows without words share the fingerprint 0 and are linked like any other.
     """
     rows = cut(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col))
-    per_fp = cut(rows.groupBy(F.col("fp").alias("node")).agg(_first()))
+    per_fp = cut(rows.groupBy(F.col("fp").alias("node")).agg(first_row()))
     found = cut(components(links(per_fp.select(F.col("node").alias("fp")), radius=radius, max_shard=max_shard)))
-    return _with_kept(rows.withColumn("node", F.col("fp")), per_fp, found)
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted sets; 1 for two empty ones."""
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
-
-
-def verified(pairs: DataFrame, texts: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
-    """Of ``pairs`` (a, b: text hashes) those whose texts (``text_hash, utf8``, one row each) are similar enough."""
-    left = pairs.join(texts.select(F.col("text_hash").alias("a"), F.col("utf8").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("text_hash").alias("b"), F.col("utf8").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes, np.ndarray] = (b"", shingle_set(b"", shingle))  # rows of one text come together
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                own = y.as_py()
-                if own != last[0]:
-                    last = (own, shingle_set(own, shingle))
-                keep[k] = jaccard(shingle_set(x.as_py(), shingle), last[1]) >= similarity
-            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep)).columns[:2], ["a", "b"])
-
-    return both.mapInArrow(check, "a long, b long")
-
-
-def shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
-    """How often the shingles of each bucket come in ``texts`` (column utf8), about: buckets that are rare in a task count 0 there."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, "i8")
-        for batch in batches:
-            for text in batch.column(0):
-                np.add.at(counts, (shingle_set(text.as_py(), shingle) % np.uint64(BUCKETS)).astype("i8"), 1)
-        often = np.flatnonzero(counts > 8 + 2 * counts.mean())
-        yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(counts[often])], ["bucket", "n"])
-
-    out = np.zeros(BUCKETS, "i8")
-    for row in texts.select("utf8").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():  # at most BUCKETS rows
-        out[row["bucket"]] = row["n"]
-    return out
-
-
-def least_shared(sizes: np.ndarray, similarity: float) -> np.ndarray:
-    """The least shingles that two sets share, which have these sizes together and are similar enough."""
-    return np.ceil(similarity / (1 + similarity) * sizes - 1e-9).astype("i8")
-
-
-def prefix(own: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """Of a set of shingles, the first ones by rising frequency: a similar set has one of these among its own first ones."""
-    ordered = own[np.lexsort((own, counts[(own % np.uint64(len(counts))).astype("i8")]))]
-    return ordered[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]
-
-
-def prefixes(texts: DataFrame, counts: np.ndarray, *, shingle: int, similarity: float) -> DataFrame:
-    """``token, size, node``: the prefix of each text (``text_hash, utf8``), where it shares a token with another text. size has
-    the set's size in its high half, and in its low half how many of the set come from this token on.
-    """
-    shared = texts.sparkSession.sparkContext.broadcast(counts)
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            parts = [np.zeros((3, 0), "i8")]
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if node in seen:
-                    continue
-                seen.add(node)
-                own = shingle_set(text.as_py(), shingle)
-                own = own if len(own) else np.zeros(1, "u8")  # texts without words are alike
-                first = prefix(own, shared.value, similarity)
-                parts.append(np.stack([first.view("i8"), (len(own) << 32) + len(own) - np.arange(len(first)), np.full(len(first), node)]))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(parts, axis=1)], ["token", "size", "node"])
-
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts, ends in _whole(batches, 1):
-            fresh_row = np.ones(len(rows), bool)
-            fresh_row[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-            many = np.add.reduceat(fresh_row.astype("i8"), starts) > 1
-            rows = rows[fresh_row & np.repeat(many, ends - starts)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T.copy()], ["token", "size", "node"])
-
-    schema = "token long, size long, node long"
-    return texts.select("text_hash", "utf8").mapInArrow(tokens, schema).repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(several, schema)
-
-
-def meetings(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, similarity: float, steps: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Nodes that share a token and may be similar, of different groups. ``rows``: token, size, node, group, sorted. With
-    ``steps``, only nodes so many places from each other.
-    """
-    size, left, node, group = rows[:, 1] >> 32, rows[:, 1] & 0xFFFFFFFF, rows[:, 2], rows[:, 3]
-    mixed = np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts)
-    end = np.repeat(ends, ends - starts)
-    at, step = np.flatnonzero(np.repeat(mixed, ends - starts)), 0
-    while len(at) and step != steps:
-        step += 1
-        at = at[at + step < end[at]]
-        at = at[least_shared(size[at] + size[at + step], similarity) <= size[at]]  # sizes rise: what is too large stays so
-        to = at + step
-        hit = (group[at] != group[to]) & (np.minimum(left[at], left[to]) >= least_shared(size[at] + size[to], similarity))
-        if hit.any():
-            yield node[at[hit]], node[to[hit]]
-
-
-def meeting_pairs(shared: DataFrame, groups: DataFrame, *, similarity: float, steps: int | None = None) -> DataFrame:
-    """``a, b``: the pairs of :func:`meetings` among :func:`prefixes`, for the components found so far (node, root)."""
-    grouped = shared.join(groups, "node", "left").select("token", "size", "node", F.coalesce("root", "node").alias("group"))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, starts, ends in _whole(batches, 1):
-            held, many = [], 0
-            for pair in meetings(rows, starts, ends, similarity, steps):
-                held.append(pair)
-                if (many := many + len(pair[0])) >= PAIRS:
-                    yield distinct(held)
-                    held, many = [], 0
-            if held:
-                yield distinct(held)
-
-    def distinct(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        a, b = map(np.concatenate, zip(*held, strict=True))
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in pairs], ["a", "b"])
-
-    return grouped.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(search, "a long, b long").distinct()
-
-
-def similar_documents(docs: DataFrame, *, shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As :func:`near_duplicates`, with texts linked by a Jaccard coefficient of at least ``similarity`` over their shingles.
-
-    Exact: a link is never false, and none is missed; ``radius`` (that of the fingerprints compared first) changes the time
-    only. Texts are told apart by their 64-bit hashes, so equal texts are compared once.
-    """
-    if not 0 < similarity <= 1:
-        raise ValueError("the similarity must be over 0 and at most 1")
-    rows = cut(fingerprints(docs, shingle=shingle, distinct=True, id_col=id_col, text_col=text_col))
-    nodes = cut(rows.groupBy(F.col("text_hash").alias("node"), "fp", "fp2").agg(_first()))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.col(id_col).alias("own_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("utf8"))
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = cut(nodes.join(named, "node").select(F.col("first.id").alias("want_id"), F.col("node").alias("want_hash")))
-        wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_KEYS else wanted
-        texts = own.join(wanted, (F.col("text_hash") == F.col("want_hash")) & F.col("own_id").eqNullSafe(F.col("want_id"))).select("text_hash", "utf8").dropDuplicates(["text_hash"])
-        return cut(verified(pairs, cut(texts), shingle=shingle, similarity=similarity))
-
-    def close() -> DataFrame:
-        out = None
-        for fp, other in (("fp", "fp2"), ("fp2", "fp")):
-            # Texts of one fingerprint are compared with one of them, which meets the others' in the shards.
-            per_fp = cut(nodes.groupBy(F.col(fp).alias("of")).agg(F.min(F.struct("node", F.col(other).alias("other"))).alias("x")))
-            equal = nodes.select("node", F.col(fp).alias("of")).join(per_fp, "of").where(F.col("node") != F.col("x.node"))
-            met = close_links(per_fp.select(F.col("of").alias("fp"), "x.other", F.col("x.node").alias("group"), F.col("x.node").alias("name")), radius=radius // 2)
-            found = met.unionAll(equal.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")))
-            out = found if out is None else out.unionAll(found)
-        return cut(out.distinct())
-
-    tested = close()
-    sure = compared(tested)
-    found = cut(components(sure))
-    shared = cut(prefixes(own, shingle_counts(own, shingle), shingle=shingle, similarity=similarity))
-    for steps in (1, None):
-        more = cut(meeting_pairs(shared, found, similarity=similarity, steps=steps).join(tested, ["a", "b"], "left_anti"))
-        tested, sure = tested.unionAll(more), sure.unionAll(compared(more))
-        found = cut(components(sure))
-    return _with_kept(rows.withColumn("node", F.col("text_hash")), nodes.groupBy("node").agg(F.min("first").alias("first")), found)
+    return with_kept(rows.withColumn("node", F.col("fp")), per_fp, found)
 
 
 def hex_digits(fp: Column) -> Column:
@@ -568,15 +302,24 @@ def hex_digits(fp: Column) -> Column:
 
 
 def drop_near_duplicates(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each component in ``groups`` (of :func:`near_duplicates` or :func:`similar_documents`): of the
-    smallest id (null last), then of the least text hash; same columns.
+    """One row of ``docs`` for each component in ``groups`` (of :func:`near_duplicates` or
+    :func:`flowmill.llm.similar.similar_documents`): of the smallest id (null last), then of the least text hash; same columns.
+
+    The keys of dropped rows go to the rows where they are few enough to be broadcast; else both are shuffled.
     """
-    kept = groups.where(F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash")))
-    kept = cut(kept.groupBy("id", "text_hash").agg(F.count("*").alias("rows")))
-    text_hash, rows = fresh(docs, "text_hash"), fresh(docs, "rows")
+    text_hash = fresh(docs, "text_hash")
     own = docs.withColumn(text_hash, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    keys = kept.select(F.col("id").alias("keep_id"), F.col("text_hash").alias("keep_hash"), F.col("rows").alias(rows))
-    stay = own.join(keys, F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col(text_hash) == F.col("keep_hash"))).drop("keep_id", "keep_hash")
-    if kept.where("rows > 1").limit(1).count():  # rows of one id and text: any of them
-        stay = stay.where(F.col(rows) == 1).unionAll(stay.where(F.col(rows) > 1).dropDuplicates([id_col, text_hash]))
+    stays = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash"))
+    keys = groups.groupBy(F.col("id").alias("drop_id"), F.col("text_hash").alias("drop_hash")).agg(F.first(stays).alias("stays"), F.count("*").alias("rows"))
+    keys = cut(keys.where("not stays or rows > 1"))  # rows of one id and text are in one component: all of these stay or none
+    same = F.col(id_col).eqNullSafe(F.col("drop_id")) & (F.col(text_hash) == F.col("drop_hash"))
+
+    def bounded(part: DataFrame) -> DataFrame:
+        return F.broadcast(part) if part.count() <= MAX_BROADCAST_KEYS else part
+
+    stay = own.join(bounded(keys.where("not stays")), same, "left_anti")
+    repeated = keys.where("stays")
+    if not repeated.isEmpty():  # any one of the rows of one id and text
+        repeated = bounded(repeated)
+        stay = stay.join(repeated, same, "left_anti").unionAll(stay.join(repeated, same, "left_semi").dropDuplicates([id_col, text_hash]))
     return stay.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -41,7 +41,7 @@ def test_quality(spark, stages):
 
 
 def test_near_duplicates(stages):
-    from tests.llm.test_simhash import plain_similar
+    from tests.llm.test_similar import plain_similar
 
     before, after = stages[1]
     want = set(plain_similar([(r["doc_id"], r["text"]) for r in before.collect()])[0])
