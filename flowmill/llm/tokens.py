@@ -21,6 +21,7 @@ import re
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -207,11 +208,20 @@ def read_document(folder: str, name: str, row: int) -> np.ndarray:
     return np.frombuffer(ids, index.item).astype("<u4")
 
 
+def _bounds(keys: DataFrame, parts: int) -> list[tuple]:
+    """The first key (no_id, id, tie) of each of ``parts`` ranges of nearly equal counts but the first; a row a range is collected."""
+    order = [F.col("no_id").desc(), F.col("id"), F.col("tie")]
+    ranges = keys.repartitionByRange(parts, *order).groupBy(F.spark_partition_id().alias("part"))
+    first = ranges.agg(F.min(F.struct((~F.col("no_id")).alias("has_id"), "id", "tie")).alias("first")).select("first.*").collect()
+    return sorted((r.has_id, r.id or 0, r.tie) for r in first)[1:]
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the shards, the dictionary and the manifest of ``docs`` to ``folder``.
 
     Null texts are empty; null ids come first; rows of one id are ordered by a hash of their text; repeated rows are each
-    written.  Other columns are not read.  The ids' column must be a whole number.
+    written.  Other columns are not read.  The ids' column must be a whole number.  A very long text is one frame, held in memory
+    with its ids.  Texts are encoded and compressed where they are read, so only frames are shuffled.
     """
     fs, path = _fs(folder)
     fs.create_dir(path)
@@ -220,24 +230,39 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: i
     if data:
         with fs.open_output_stream(f"{path}/dictionary-{dict_hash.hex()}.zdict") as f:
             f.write(data)
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("tie"), _text_bytes(text_col).alias("text")).withColumn("no_id", F.col("id").isNull())
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = _bounds(keyed.select("no_id", "id", "tie"), parts)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer)
+        end, item = np.array([end_id], dtype=enc.dtype).tobytes(), enc.dtype.itemsize
+        press = zstandard.ZstdCompressor(level=LEVEL, **({"dict_data": zstandard.ZstdCompressionDict(data)} if data else {}))
+        for batch in batches:
+            ids, ties = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            shards = [bisect_right(bounds, (i is not None, i or 0, t)) for i, t in zip(ids, ties, strict=True)]
+            counts, frames = [], []
+            for text in batch.column(2):
+                raw = enc.encode(text.as_py()) + end
+                counts.append(len(raw) // item), frames.append(press.compress(raw))
+            columns = [pa.array(shards, pa.int32()), batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "id", "tie", "n", "frame"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _fs(folder)
-        enc, end = encoder(tokenizer), np.array([end_id], dtype=encoder(tokenizer).dtype).tobytes()
-        dictionary = {"dict_data": zstandard.ZstdCompressionDict(data)} if data else {}
-        press = zstandard.ZstdCompressor(level=LEVEL, **dictionary)
-        shard = TaskContext.get().partitionId()
+        shard, item = TaskContext.get().partitionId(), encoder(tokenizer).dtype.itemsize
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}.tokz"
         ids, null, counts, offsets, f = [], [], [], [struct.calcsize(HEAD)], None
         for batch in batches:
             if f is None and batch.num_rows:
                 f = fs.open_output_stream(f"{path}/{name}")
-                f.write(struct.pack(HEAD, MAGIC, enc.dtype.itemsize, dict_hash))
-            frames = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = enc.encode(text.as_py()) + end
-                frames.append(frame := press.compress(raw))
-                ids.append(doc_id or 0), null.append(doc_id is None), counts.append(len(raw) // enc.dtype.itemsize), offsets.append(offsets[-1] + len(frame))
+                f.write(struct.pack(HEAD, MAGIC, item, dict_hash))
+            own, frames = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            ids += [i or 0 for i in own]
+            null += [i is None for i in own]
+            counts += batch.column(1).to_pylist()
+            for frame in frames:
+                offsets.append(offsets[-1] + len(frame))
             if f is not None:
                 f.write(b"".join(frames))
         if f is None:
@@ -247,10 +272,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: i
         f.close()
         yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [name], "docs": [len(ids)], "ids": [sum(counts)]}, pa.schema([("shard", pa.int32()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("id"), _text_bytes(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("tie"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ordered.repartitionByRange(parts, F.col("id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("id").asc_nulls_first(), "tie")
-    ordered.select("id", "text").mapInArrow(write, "shard int, name string, docs long, ids long").write.parquet(f"{folder}/manifest")
+    framed = keyed.select("id", "tie", "text").mapInArrow(encode, "shard int, id long, tie long, n long, frame binary")
+    ordered = framed.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions(F.col("id").asc_nulls_first(), "tie")
+    ordered.select("id", "n", "frame").mapInArrow(write, "shard int, name string, docs long, ids long").write.parquet(f"{folder}/manifest")
 
 
 def read_token_files(spark: SparkSession, folder: str, *, id_col: str = "doc_id") -> DataFrame:

@@ -4,11 +4,14 @@ import numpy as np
 import public_tokenizers
 import pyarrow.fs
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from flowmill.llm import tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+ENCODERS = tokens.Encoder(PATH), Tokenizer.from_file(PATH)
 TEXTS = [
     "", None, " ", "The cat's hat, isn't it?", "THE !!! $$$ 12345 x9", "Größe ñandú l'été Éa", "İstanbul ΣΑΣ ΟΔΟΣ. Σ", "é ́a  x y\u0085z\x1cq w", "a<|endoftext|>b <|startoftext|> <|im_end|>",
     "日本語 テキスト 한국어", "½ ² ٣ Ⅷ x²", "\t\n mixed\r\n\x0b\x0c end ", "a" * 200 + " " + "🙂👍🏽" * 20, "ﬁ ﬂ ß ſ K Å", "don't DON'T y'all'd've", "word " * 5000,
@@ -24,6 +27,20 @@ def test_encoder_matches_the_library():
             assert got == whole.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_encoder_matches_the_library_on_a_table(spark):
+    enc, whole = tokens.Encoder(PATH), Tokenizer.from_file(PATH)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for t, want in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(enc.encode(t.encode()), enc.dtype).tolist() == want.ids
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \t\n'<|>aAéİßſ\u0301\u0345\u200d\u00a0\u0085\u1fb3")), max_size=40))
+def test_encoder_matches_the_library_on_any_text(text):
+    enc, whole = ENCODERS
+    assert np.frombuffer(enc.encode(text.encode()), enc.dtype).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_other_tokenizers_go_whole():
     path = public_tokenizers.path("byte_bpe_50k.json")
     enc, whole = tokens.Encoder(path), Tokenizer.from_file(path)
@@ -51,6 +68,14 @@ def test_round_trip(spark, copies):
     assert order == sorted(order)
 
 
+def test_shards_are_ranges_of_ids_and_texts(spark):
+    docs = spark.createDataFrame([(None if k % 3 else 7, f"text {k}") for k in range(400)], "doc_id long, text string")
+    folder = tokens.new_folder(spark)
+    tokens.write_token_files(docs, PATH, folder)
+    shards = spark.read.parquet(f"{folder}/manifest").collect()
+    assert len(shards) > 1 and sum(r.docs for r in shards) == 400 and max(r.docs for r in shards) < 400  # one id is split by its texts
+
+
 def test_single_documents_and_damage(spark):
     docs = spark.createDataFrame([(k, f"text number {k} " * 8) for k in range(300)], "doc_id long, text string")
     folder = tokens.new_folder(spark)
