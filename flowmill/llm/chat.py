@@ -75,8 +75,8 @@ def known(layouts: Iterable[Layout] = LAYOUTS) -> dict[str, Layout]:
     return {fingerprint(paths): layout for layout in layouts for paths in layout.path_sets()}
 
 
-def schema_paths(schema: T.StructType, only: set[str] | None = None) -> list[str]:
-    """The leaf field paths of a typed schema; ``only``: top-level fields that count."""
+def schema_paths(schema: T.StructType) -> list[str]:
+    """The leaf field paths of a typed schema."""
 
     def walk(kind: T.DataType, at: str) -> list[str]:
         if isinstance(kind, T.ArrayType):
@@ -85,14 +85,18 @@ def schema_paths(schema: T.StructType, only: set[str] | None = None) -> list[str
             return [x for f in kind.fields for x in walk(f.dataType, f"{at}.{f.name}" if at else f.name)]
         return [at]
 
-    return [x for f in schema.fields if only is None or f.name in only for x in walk(f.dataType, f.name)]
+    return [x for f in schema.fields for x in walk(f.dataType, f.name)]
+
+
+def named_paths(layouts: Iterable[Layout]) -> set[str]:
+    return {p for x in layouts for paths in x.path_sets() for p in paths}
 
 
 def layout_of(df: DataFrame, layouts: Iterable[Layout] = LAYOUTS) -> Layout:
     """The layout that the schema's fingerprint selects; fields that no layout names don't count."""
     layouts = tuple(layouts)
-    named = {p.split("[")[0] for x in layouts for s in x.path_sets() for p in s}
-    paths = schema_paths(df.schema, named)
+    named = named_paths(layouts)
+    paths = [p for p in schema_paths(df.schema) if p in named]
     table = known(layouts)
     if (found := table.get(fingerprint(paths))) is None:
         raise ValueError(f"no layout has the field paths {sorted(paths)}")
@@ -124,30 +128,57 @@ def turns_of(df: DataFrame, layout: Layout | None = None) -> Column:
     return _parts([(role, F.col(name)) for role, name in layout.parts if name in df.columns])
 
 
+def _field_path(value: Column, name: str, path: str) -> Column:
+    """``path`` if the variant has a plain value or null under ``name``, ``path.*`` if a list or record, else null."""
+    inside = F.try_variant_get(value, f"$.{name}", "variant")
+    nested = F.schema_of_variant(inside).rlike("^(ARRAY|OBJECT)<")
+    return F.when(inside.isNotNull(), F.when(nested, path + ".*").otherwise(path))
+
+
+def _item_paths(item: Column, name: str, fields: list[str]) -> Column:
+    own = F.filter(F.array(*[_field_path(item, f, f"{name}[].{f}") for f in fields]), lambda p: p.isNotNull())
+    return F.when(F.size(own) > 0, own).otherwise(F.array(F.lit(f"{name}[]")))
+
+
+def _list_paths(value: Column, name: str, fields: list[str]) -> Column:
+    items = F.try_variant_get(value, f"$.{name}", "array<variant>")
+    listed = F.when(F.size(items) > 0, F.flatten(F.transform(items, lambda item: _item_paths(item, name, fields)))).otherwise(F.array(F.lit(f"{name}[]")))
+    return F.when(items.isNotNull(), listed).otherwise(F.array().cast("array<string>"))
+
+
+def json_paths(value: Column, layouts: Iterable[Layout] = LAYOUTS) -> Column:
+    """The nested field paths of a variant that the layouts name, sorted; of other fields nothing.
+
+    An empty list is the path ``name[]``, and so is an item without any named field.  Lists and records where plain values
+    belong are paths of their own, which no layout has.
+    """
+    named = named_paths(layouts)
+    plain = F.filter(F.array(*[_field_path(value, name, name) for name in sorted(p for p in named if "[" not in p)]), lambda p: p.isNotNull())
+    lists: dict[str, list[str]] = {}
+    for name, _, inner in sorted(p.partition("[].") for p in named if "[" in p):
+        lists.setdefault(name, []).append(inner)
+    return F.array_sort(F.array_distinct(F.concat(plain, *[_list_paths(value, name, fields) for name, fields in lists.items()])))
+
+
 def turns_from_json(record: Column, layouts: Iterable[Layout] = LAYOUTS) -> Column:
-    """``struct<layout, turns>`` of a JSON record, its layout chosen row by row.
+    """``struct<layout, turns>`` of a JSON record, its layout chosen row by row by the fingerprint of its :func:`json_paths`.
 
-    The field paths come from the schema of the parsed variant.  Text that isn't JSON, or of an unknown layout, gets a
+    Fields that no layout names don't count, in records and in turns.  Text that isn't JSON, or of an unknown layout, gets a
     null layout and null turns: it is kept for the caller to see.
     """
+    layouts = [x for x in layouts if not x.rows]
     value = F.try_parse_json(record)
-    schema = F.schema_of_variant(value)
-    # A variant's schema lists its fields in order of name, so the text without scalar types stands for the path set.
-    shape = F.regexp_replace(schema, r"(?<=: |^|ARRAY<)(STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DATE|TIMESTAMP|BINARY|DECIMAL\(\d+, ?\d+\))(?=[,>]|$)", "*")
+    shape = F.sha2(F.array_join(json_paths(value, layouts), "\n"), 256)
     out = F.lit(None).cast(f"struct<layout:string,turns:{TURNS}>")
     for layout in layouts:
-        if layout.rows:
-            continue
-        for paths in layout.path_sets():
+        for paths in [*layout.path_sets(), *([[f"{layout.turns}[]"]] if layout.turns else [])]:
             if layout.turns:
-                shapes = [f"OBJECT<{layout.turns}: ARRAY<OBJECT<{', '.join(f'{x}: *' for x in sorted((layout.role, layout.text)))}>>>", f"OBJECT<{layout.turns}: ARRAY<*>>"]
                 items = F.try_variant_get(value, f"$.{layout.turns}", f"array<struct<{layout.role}:string,{layout.text}:string>>")
                 turns = _listed(items, layout)
             else:
-                shapes = [f"OBJECT<{', '.join(f'{x}: *' for x in sorted(paths))}>"]
                 turns = _parts([(role, F.try_variant_get(value, f"$.{name}", "string")) for role, name in layout.parts if name in paths])
             here = F.struct(F.lit(layout.name).alias("layout"), turns.alias("turns"))
-            out = F.when(F.sha2(shape, 256).isin([hashlib.sha256(s.encode()).hexdigest() for s in shapes]), here).otherwise(out)
+            out = F.when(shape == fingerprint(paths), here).otherwise(out)
     return out
 
 

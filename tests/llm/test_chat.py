@@ -87,3 +87,30 @@ def test_a_long_conversation(spark):
     made = chat.turns_from_rows(df).select(chat.format_turns(F.col("turns")).alias("x")).select("x.*")
     loss = made.select(chat.read_loss(F.col("formatted"), F.col("loss_mask"))).first()[0]
     assert loss == "".join(f"text <| {k}" for k in range(1, 20_000, 2))
+
+
+@pytest.mark.parametrize(
+    ("record", "layout", "turns"),
+    [
+        ('{"id": 7, "messages": [{"role": "user", "content": "a", "weight": 1}, {"role": "assistant", "content": null}]}', "messages", [("user", "a"), ("assistant", "")]),
+        ('{"messages": [], "id": {"x": [1]}}', "messages", []),
+        ('{"messages": [{"role": "user", "content": [{"type": "text"}]}]}', None, None),
+        ('{"messages": ["a", {"role": "user", "content": "b"}]}', None, None),
+        ('{"messages": "a"}', None, None),
+        ('{"meta": 1, "instruction": "do", "output": "done"}', "instruction", [("user", "do"), ("assistant", "done")]),
+        ('{"prompt": "p", "response": 5, "tags": ["x"]}', "response", [("user", "p"), ("assistant", "5")]),
+        ('{"prompt": ["p"], "response": "r"}', None, None),
+        ('{"prompt": "p", "response": "r", "completion": "c"}', None, None),
+        ("{}", None, None), ("[1]", None, None), ("no json", None, None), (None, None, None),
+    ],
+)
+def test_json_fields_that_no_layout_names(spark, record, layout, turns):
+    got = spark.createDataFrame([(record,)], "r string").select(chat.turns_from_json(F.col("r")).alias("x")).first()["x"]
+    found = (None, None) if got is None else (got["layout"], got["turns"] and [tuple(t) for t in got["turns"]])
+    assert found == (layout, turns) or (turns == [] and found == (layout, []))
+
+
+def test_typed_turns_with_more_fields(spark):
+    df = spark.createDataFrame([(1, [("user", "a", 0.5)])], "id long, messages array<struct<role:string,content:string,weight:double>>")
+    assert chat.layout_of(df).name == "messages"
+    assert [tuple(t) for t in df.select(chat.turns_of(df).alias("t")).first()["t"]] == [("user", "a")]
