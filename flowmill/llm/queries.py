@@ -111,7 +111,7 @@ with cut as (
   values ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'), ('allow', 'www.example.com/en/', 'www.example.com', '/en/'),
     ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')
 ), met as (
-  select p.*, r.rule, r.verdict, row_number() over (partition by page_id, host, path order by length(r.rule) desc nulls last) as n
+  select p.*, r.rule, r.verdict, row_number() over (partition by page_id, host, path order by length(r.rule) desc nulls last, length(r.r_host) desc) as n
   from parts p left join rules r on (p.host = r.r_host or ends_with(p.host, '.' || r.r_host)) and starts_with(p.path, r.r_path)
 )
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from met where n = 1

@@ -1,8 +1,8 @@
 """URL filter: allow and block rules in a trie over reversed host labels and path segments.
 
 A rule is a host, ``/`` and a path, like ``example.com/en/``; it fits its host and all subdomains, for urls whose path
-starts with the rule's path.  Of the rules that fit a url, the one with the most host labels wins, among those the one
-with the longest path; a rule given as both allow and block counts as block.
+starts with the rule's path.  Of the rules that fit a url, the longest wins (code points of host and path); of equally long
+ones that with the longer host; a rule given as both allow and block counts as block.
 
 The trie is broadcast while its pickled size is under ``max_broadcast_bytes``; a larger rule set is joined instead
 (:func:`filter_by_join`), with the same results.
@@ -34,7 +34,8 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(_ASCII_LOWER), path
 
 
-_ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_ASCII_LOWER = str.maketrans(UPPER, UPPER.lower())
 
 
 def split_rule(rule: str) -> tuple[str, str]:
@@ -97,14 +98,15 @@ def _longest_path(at: PathNode, segments: list[str]) -> tuple[str, str] | None:
 
 def look_up(trie: Node, host: str, path: str) -> tuple[str, str] | None:
     """(verdict, rule) of the longest rule that fits, or None."""
-    best, node, segments = None, trie, path.split("/")
+    best, longest, node, segments = None, 0, trie, path.split("/")
     for label in [None, *_labels(host)]:
         if label is not None:
             node = node.below.get(label)
         if node is None:
             break
-        if node.paths is not None:
-            best = _longest_path(node.paths, segments) or best
+        # Hosts get longer on the way down, so of equally long rules the last has the longest host.
+        if node.paths is not None and (found := _longest_path(node.paths, segments)) and len(found[1]) >= longest:
+            best, longest = found, len(found[1])
     return best
 
 
@@ -147,7 +149,7 @@ def filter_by_join(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id
     url = F.col(url_col)
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.regexp_extract(F.expr(f"substring(`{url_col}`, instr(`{url_col}`, '://') + 3)"), r"^[^?#]*", 0))
-    host = F.coalesce(F.translate(F.regexp_extract(rest, r"^[^/]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    host = F.coalesce(F.translate(F.regexp_extract(rest, r"^[^/]*", 0), UPPER, UPPER.lower()), F.lit(""))
     path = F.coalesce(F.regexp_extract(rest, r"^[^/]*((?s:.*))$", 1), F.lit(""))
     urls = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     distinct = urls.select("host", "path").distinct()
@@ -156,9 +158,9 @@ def filter_by_join(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id
     starts = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda n: F.array_join(F.slice(segments, 1, n - 1), "/"))
     keyed = distinct.withColumn("k_host", F.explode(F.array_distinct(suffixes))).withColumn("k_path", F.explode(F.array_distinct(starts)))
     rule_path = F.expr("substring(rule, length(substring_index(rule, '/', 1)) + 1)")
-    ruled = rules.where("verdict is not null and rule is not null").select("verdict", "rule", F.lower(F.substring_index("rule", "/", 1)).alias("k_host"), rule_path.alias("r_path"))
+    ruled = rules.where("verdict is not null and rule is not null").select("verdict", "rule", F.translate(F.substring_index("rule", "/", 1), UPPER, UPPER.lower()).alias("k_host"), rule_path.alias("r_path"))
     ruled = ruled.withColumn("k_path", F.regexp_extract("r_path", r"^((?s:.*))/[^/]*$", 1))
     met = keyed.join(ruled, ["k_host", "k_path"]).where(F.startswith("path", "r_path"))
-    order = F.struct(F.when(F.col("k_host") == "", 0).otherwise(F.size(F.split("k_host", r"\."))), F.length("r_path"), F.col("verdict") == "block", "rule", "verdict")
+    order = F.struct(F.length("k_host") + F.length("r_path"), F.length("k_host"), F.col("verdict") == "block", "rule", "verdict")
     best = met.groupBy("host", "path").agg(F.max(order).alias("best"))
     return urls.join(best, ["host", "path"], "left").select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -7,6 +7,7 @@ from tests.oracle import compare
 URLS = [
     None, "", "no scheme", "http://", "HTTP://EXAMPLE.com/en/x", "http://example.com", "http://example.com/", "http://example.com/en", "http://example.com/en/", "http://www.Example.COM/en/1?q=/es/", "http://a.www.example.com/en/2",
     "http://notexample.com/en/2", "http://x.net/es/1", "http://net/fr/#x", "http://x.net/de/", "http://x.org/en/", "a://b://c.com/en/", "http://com/x", "http://.com/", "http://x.com./en/", "http://ÄÖ.com/Ä", "x://h#/en/", "x://h.net?/es/", "http://u@example.com:80/en/", "http://example.com/en//x\ny",
+    "http://x.Äb.com/q", "http://x.äb.com/q", "http://a.b.com/very/long/path/1", "http://a.b.com/x", "http://x.b.com/en",
 ]
 
 
@@ -16,12 +17,12 @@ def brute(url, rules, default="allow"):
     for verdict, rule in rules:
         h, p = url_filter.split_rule(rule)
         if (h == "" or host == h or host.endswith("." + h)) and path.startswith(p):
-            fits.append((len(h.split(".")) if h else 0, len(p), verdict == "block", rule, verdict))
+            fits.append((len(h) + len(p), len(h), verdict == "block", rule, verdict))
     best = max(fits, default=(0, 0, 0, None, default))
     return (host, path, best[3], best[4])
 
 
-RULES = [*URL_RULES, ("block", "example.com/e"), ("allow", "example.com/en/1"), ("block", "/x"), ("allow", "example.com/en//"), ("block", "net/es/1"), ("allow", "net/es/1"), ("block", "h/")]
+RULES = [*URL_RULES, ("block", "example.com/e"), ("allow", "example.com/en/1"), ("block", "/x"), ("allow", "example.com/en//"), ("block", "net/es/1"), ("allow", "net/es/1"), ("block", "h/"), ("block", "x.Äb.com/"), ("allow", "a.b.com/"), ("block", "b.com/very/long/path/"), ("allow", "b.com/en"), ("block", "x.b.com")]
 
 
 @pytest.mark.parametrize("rules", [list(URL_RULES), RULES, []])
