@@ -2,7 +2,7 @@
 
 Sizes are added up by source; the targets share a budget by weight, none above ``cap`` times its source, what is over
 going to the others by weight (water filling).  With rate = target / source size, each document is taken floor(rate)
-times plus once more with probability rate - floor(rate), by a hash of its id and a seed.
+times plus once more with probability rate - floor(rate), by a hash of its id (without one, of its text) and a seed.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from flowmill.llm.common import WORD, cut, fresh
 #: Sources are broadcast to the documents up to this many (a few MB); more are joined by a shuffle.
 MAX_BROADCAST_SOURCES = 50_000
 
+#: The sources' totals, a row each, are ordered in one task; more sources than this are an error.
+MAX_SOURCES = 1_000_000
+
 
 def word_count(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text; 0 for null."""
@@ -57,14 +60,18 @@ def targets(sizes: DataFrame, share: float, cap: float) -> DataFrame:
 def source_targets(docs: DataFrame, weights: tuple[float, ...], *, share: float = 1.5, cap: float = 2.0, source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The targets of ``docs``, whose sources take the weights in turn; cut from its lineage, one row a source."""
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(word_count(F.col(text_col))).alias("source_size"))
-    return cut(targets(cyclic_weights(cut(sizes), weights), share, cap))
+    sizes = cut(sizes)
+    if sizes.count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    return cut(targets(cyclic_weights(sizes, weights), share, cap))
 
 
 def plan_mix(docs: DataFrame, targets: DataFrame, *, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with the columns size, source_size, target and copies added, and the names they got (no clash with docs').
 
-    Repeated rows, and different texts of one id, get equally many copies: the draw is a hash of the id.  A null source
-    is a source of its own.  A source that ``targets`` lacks is taken 0 times.
+    Repeated rows, and different texts of one id, get equally many copies: the draw is a hash of the id, or of the text where
+    the id is null.  A null source is a source of its own.  A source that ``targets`` lacks is taken 0 times.  A null or empty
+    text has size 0; a very long one counts whole.
     """
     names: dict[str, str] = {}
     for x in ("size", "source_size", "target", "copies"):
@@ -75,7 +82,8 @@ def plan_mix(docs: DataFrame, targets: DataFrame, *, seed: int = 17, id_col: str
     out = docs.join(known, F.col(source_col).eqNullSafe(F.col("mix_key")), "left").drop("mix_key")
     out = out.withColumn(names["size"], word_count(F.col(text_col)))
     rate = F.when(F.col(names["source_size"]) > 0, F.col(names["target"]) / F.col(names["source_size"])).otherwise(F.lit(0.0))
-    more = (unit_hash(F.col(id_col), seed) < rate - F.floor(rate)).cast("int")
+    key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    more = (unit_hash(key, seed) < rate - F.floor(rate)).cast("int")
     return out.withColumn(names["copies"], F.floor(rate).cast("int") + more), names
 
 

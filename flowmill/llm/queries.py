@@ -127,7 +127,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 with sized as (
-  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size from documents
+  select doc_id, coalesce(cast(doc_id as varchar), md5(coalesce(text, ''))) as draw, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size from documents
 ), sources as (
   select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) as n from sized group by source
 ), weighed as (
@@ -141,7 +141,7 @@ with sized as (
   select l.source, l.source_size, least(l.lim, coalesce(o.level * l.weight, l.lim)) as target from levels l, open o
 ), rated as (
   select d.doc_id, d.size, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0.0::double end as rate,
-    cast('0x' || substr(md5(coalesce(cast(d.doc_id as varchar), '') || ':17'), 1, 12) as bigint) / 281474976710656.0::double as u
+    cast('0x' || substr(md5(d.draw || ':17'), 1, 12) as bigint) / 281474976710656.0::double as u
   from sized d join targets t on d.source is not distinct from t.source
 )
 select doc_id, size, source_size, target, cast(size * (floor(rate) + case when u < rate - floor(rate) then 1 else 0 end) as bigint) as taken from rated

@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +55,22 @@ def test_edges(spark, edges):
     assert mixing.mix(edges.limit(0), MIX_WEIGHTS).count() == 0
     with pytest.raises(ValueError, match="positive"):
         mixing.source_targets(edges, (1.0, 0.0))
+
+
+def test_rows_without_ids_are_drawn_by_their_texts(spark, tmp_path):
+    docs = spark.range(6000).selectExpr("cast(null as bigint) doc_id", "'a' source", "concat('w ', id) text").unionAll(spark.range(6000).selectExpr("id", "'b'", "'w w'"))
+    mixed = mixing.mix(docs, (1.0, 2.0), share=0.75, cap=1.0).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n"))
+    got = {r["source"]: r["n"] for r in mixed.collect()}
+    for r in mixing.source_targets(docs, (1.0, 2.0), share=0.75, cap=1.0).collect():
+        assert got[r["source"]] == pytest.approx(r["target"], rel=0.05)
+    docs.selectExpr("doc_id", "text", "'en' lang", "source").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.sql(f"select size, sum(taken) taken, count(*) n from ({OP8_SQL}) group by size order by size").fetchall()
+    assert [tuple(r) for r in op8_mixing(spark, str(tmp_path)).groupBy("size").agg(F.sum("taken"), F.count("*")).orderBy("size").collect()] == want
+
+
+def test_too_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    with pytest.raises(ValueError, match="sources"):
+        mixing.source_targets(spark.range(3).selectExpr("id doc_id", "string(id) source", "'a' text"), (1.0,))
