@@ -28,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from flowmill.llm.text import mix, numbers, words
 
-#: Edits allowed, as a share of the item's words; the least words of an item that can be told from common phrases.
+#: Edits allowed, as a share of the item's words; items of fewer words, which can't be told from common phrases, allow none.
 EDITS, MIN_WORDS = 0.2, 6
 
 #: Most words that are embedded at once; longer items are cut.
@@ -38,27 +38,27 @@ PIECE = 32
 #: (0.997 measured on 400 such passages).
 SAMPLES, REPETITIONS, SEED = 2, 16, 20_021
 
-#: Benchmark rows that are collected and sent to all tasks at once; more are taken in blocks of as many, each with its own scan.
-MAX_ITEMS = 50_000
+#: Benchmark rows, and characters of these, that are sent to all tasks at once; more are taken in blocks, about so large each.
+MAX_ITEMS, MAX_CHARS = 50_000, 64 << 20
 
 BLOCK_WORDS, PAIRS = 1 << 21, 1 << 12
 
 
-def allowed(size: int, edits: float) -> int:
-    return int(edits * size + 1e-9)
+def allowed(size: int, edits: float, min_words: int = MIN_WORDS) -> int:
+    return int(edits * size + 1e-9) if size >= min_words else 0
 
 
 class Bench:
     """The items' words as numbers (0: not in the benchmark), their sizes, and what each repetition samples of them."""
 
     def __init__(self, items: list[tuple[object, str]], edits: float, min_words: int) -> None:
-        self.edits, self.number = edits, {}
+        self.edits, self.min_words, self.number = edits, min_words, {}
         split = [(i, words(t)) for i, t in items]
-        split = [(i, w) for i, w in split if len(w) >= min_words]
+        split = [(i, w) for i, w in split if w]
         self.ids = [i for i, _ in split]
         self.items = [np.array([self.number.setdefault(x, len(self.number) + 1) for x in w], "i4") for _, w in split]
         self.sizes = np.array([len(w) for w in self.items], "i8")
-        self.bound = np.array([allowed(n, edits) for n in self.sizes], "i8")
+        self.bound = np.array([allowed(n, edits, min_words) for n in self.sizes], "i8")
         self.pad = int(self.sizes.max(initial=0) + 2 * self.bound.max(initial=0) + 1)
         cuts = [np.linspace(0, n, ceil(n / PIECE) + 1).astype("i8") for n in self.sizes]
         #: Of each piece: its item, and where it starts and how long it is.
@@ -110,7 +110,7 @@ class Bench:
         for size, members in self.classes:
             passed = np.zeros(last, bool)
             for n in np.unique(self.lengths[members]):
-                k = allowed(n, self.edits)
+                k = allowed(n, self.edits, self.min_words)
                 passed |= (known[n : n + last] - known[:last] >= n - k) & (again[n : n + last] - again[1 : 1 + last] <= 3 * k + self.repeats[int(n)])
             starts = np.flatnonzero(passed & inside[:last])
             if not len(starts):
@@ -180,7 +180,8 @@ def _bench(key: str, items: list[tuple[object, str]], edits: float, min_words: i
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, max_items: int) -> Iterator[list[tuple[object, str]]]:
     usable = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
-    many = ceil(usable.count() / max_items)
+    rows, chars = usable.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    many = max(ceil(rows / max_items), ceil(chars / MAX_CHARS))
     for k in range(many):
         part = usable if many == 1 else usable.where(F.pmod(F.xxhash64("item", "text"), F.lit(many)) == k)
         yield [(r.item, r.text) for r in part.orderBy("item", "text").collect()]
@@ -190,8 +191,9 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, *, edits: float = EDITS
     """``id, item, item_words, edits``: a row for each document and item of which it holds a passage within
     ``edits * item_words`` edits (words inserted, left out or replaced).
 
-    Clean documents have no row.  Null texts and ids, items of fewer than ``min_words`` words, and other columns take no
-    part; repeated documents with one id give one row an item, with the least edits.
+    Clean documents have no row.  Items of fewer than ``min_words`` words are found where they come word for word.  Null texts
+    and ids, items without words, and other columns take no part; repeated documents with one id give one row an item, with
+    the least edits; a very long text is searched whole.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     id_type, item_type = rows.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()

@@ -116,3 +116,23 @@ def test_recall_of_long_items(size):
     assert np.mean([p in found for p in planted]) >= 0.98
     for t, i in list(found)[:5]:
         assert found[t, i] == passage_distance(made.items[i].tolist(), texts[t].tolist())
+
+
+def test_items_of_few_words_are_found_word_for_word(spark):
+    items = spark.createDataFrame([(k, " ".join("abcdefgh"[:k])) for k in range(1, 8)] + [(9, "--- !")], "item_id int, text string")
+    texts = [(k, "x y " + " ".join("abcdefgh"[:k]) + " z") for k in range(1, 8)] + [(8, "b a c"), (9, "a b x d e"), (10, "A, b; C d e!"), (11, "")]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in d.find_passages(docs, items).collect()}
+    split = {i: words(t) for i, t in [*texts, *((-i, " ".join("abcdefgh"[:i])) for i in range(1, 8))]}
+    want = {(i, k) for i, _ in texts for k in range(1, 8) if split[i] and passage_distance(split[-k], split[i]) <= d.allowed(k, d.EDITS)}
+    assert got == want and (10, 5) in got and (9, 5) not in got and all(d.allowed(k, d.EDITS) == 0 for k in range(6))
+
+
+def test_blocks_by_characters(spark, monkeypatch):
+    items = spark.createDataFrame([(k, f"item number {k} " + "of some words " * 4) for k in range(6)], "item_id int, text string")
+    docs = spark.createDataFrame([(k, f"an item number {k} " + "of some words " * 4) for k in range(6)], "doc_id int, text string")
+    want = sorted(map(tuple, d.find_passages(docs, items).collect()))
+    monkeypatch.setattr(d, "MAX_CHARS", 100)
+    assert len(list(d._blocks(items, "item_id", "text", 1000))) > 2
+    assert sorted(map(tuple, d.find_passages(docs, items).collect())) == want
+    assert d.remove_contaminated(docs, items).count() == 0
