@@ -18,24 +18,33 @@ ORACLE_SQL = None
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on labelled ones of ``docs``, scores at the threshold or above."""
+    """Documents that the classifier, fitted on labelled ones of ``docs``, scores at the threshold or above.
+
+    Null and empty texts have a score like any other, rows without ids too; repeated rows stay or go together.
+    """
     model = quality.learn(docs, table(spark, sf_dir, "labels").where(~held_out()))
     score = fresh(docs, "score")
     return quality.score(docs, model, name=score).where(F.col(score) >= QUALITY_THRESHOLD).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, a similarity of 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, a similarity of 0.8 or more.
+
+    The smallest id stays (null last), and one of repeated rows.  Null texts and texts without words are one group.
+    """
     return simhash.drop_near_duplicates(docs, similar.similar_documents(docs))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
+    """Documents without a passage of a benchmark item. Null texts stay; repeated rows stay or go together."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, each as often as its source's target asks for."""
+    """The documents, each as often as its source's target asks for.
+
+    A null source is one of its own; texts without words have size 0; rows without ids are drawn by their texts.
+    """
     return mixing.mix(docs, MIX_WEIGHTS, share=MIX_SHARE, cap=MIX_CAP, seed=MIX_SEED)
 
 

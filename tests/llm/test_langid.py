@@ -34,6 +34,27 @@ def test_bundles_equal_the_plain_sum(monkeypatch, chars):
     assert np.array_equal(got, np.stack([plain_vector(t) for t in texts]))
 
 
+@pytest.mark.parametrize("source", ["documents", "edges"])
+def test_predictions_equal_the_plain_cosine(spark, edges, source):
+    docs = (edges if source == "edges" else table(spark, SF, "documents")).where("text is null or length(text) < 1500").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    vectors = [plain_vector(r["text"] or "") for r in rows]
+    sums = {}
+    for r, v in zip(rows, vectors, strict=True):
+        if r["text"] is not None and r["lang"] is not None:
+            sums[r["lang"]] = sums.get(r["lang"], 0) + np.rint(v * (langid.SCALE / max(np.linalg.norm(v), 1)))
+    known = sorted((x, v / np.linalg.norm(v)) for x, v in sums.items() if np.any(v))
+    want = []
+    for r, v in zip(rows, vectors, strict=True):
+        size = np.linalg.norm(v)
+        cosines = [float(v @ p) / size for _, p in known] if size else []
+        best = max(range(len(known)), key=lambda k: cosines[k]) if size else None
+        want.append((str(r["doc_id"]), known[best][0] if size else "und", max(0.0, min(1.0, cosines[best])) if size else 0.0))
+    got = [(str(r["doc_id"]), r["lang_pred"], r["score"]) for r in langid.identify(docs, langid.learn(docs)).collect()]
+    assert [g[:2] for g in sorted(got)] == [w[:2] for w in sorted(want)]
+    assert [g[2] for g in sorted(got)] == pytest.approx([w[2] for w in sorted(want)], abs=1e-5)
+
+
 def test_held_out_accuracy(spark):
     docs = table(spark, SF, "documents")
     model = langid.learn(docs.where(~held_out()))

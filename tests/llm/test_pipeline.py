@@ -73,3 +73,27 @@ def test_tokens(stages):
 def test_run_repeats(spark):
     a, b = (sorted(map(tuple, p.run(spark, SF).collect())) for _ in range(2))
     assert [r[0] for r in a] == [r[0] for r in b] and a == b
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_edges(spark, edges, k):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names; what must stay stays."""
+    name, stage = p.STAGES[k]
+    rows = stage(spark, edges, SF)
+    assert k == 4 or rows.columns == edges.columns
+    got = sorted(str(r["doc_id"]) for r in rows.collect())
+    mine = sorted(str(r["doc_id"]) for r in edges.collect())
+    if name == "near duplicates":
+        assert got == sorted(["1", "10", "11", "4", "5", "6", "7", "8", "9", "None"])  # 1 to 3 are without words, 6 repeats
+    elif name == "mixing":
+        assert set(got) <= set(mine) and max(map(got.count, got)) <= 4
+    elif name == "quality":
+        assert set(got) <= set(mine) and got.count("6") in (0, 2)
+    else:
+        assert got == mine
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_empty_tables(spark, edges, k):
+    rows = p.STAGES[k][1](spark, edges.limit(0), SF)
+    assert rows.count() == 0 and (k == 4 or rows.columns == edges.columns)

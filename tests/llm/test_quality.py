@@ -1,3 +1,6 @@
+from bisect import bisect_right
+from math import exp
+
 import numpy as np
 import pytest
 
@@ -15,6 +18,20 @@ def test_held_out_accuracy(spark):
     assert model.pairs and all(t.any() for t in model.pair_tables[:1])
 
 
+def test_scores_equal_the_plain_sum(spark):
+    """Each row's score by bisection of its features, one table entry after the other."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    model = quality.learn(docs, table(spark, "/root/testdata/sf0.001", "labels"))
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model, keep=["doc_id"]).collect()}
+    for r in docs.collect():
+        x = quality.features((r["text"] or "").encode())
+        z = model.intercept + sum(t[bisect_right(e.tolist(), v)] for v, e, t in zip(x, model.edges, model.tables, strict=True))
+        for (a, b), t in zip(model.pairs, model.pair_tables, strict=True):
+            z += t[bisect_right(model.pair_edges[a].tolist(), x[a]), bisect_right(model.pair_edges[b].tolist(), x[b])]
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + exp(-z)), abs=1e-9)
+    assert len(set(got.values())) > 10 and model.pairs
+
+
 def test_interactions_are_learned():
     rng = np.random.default_rng(2)
     x = rng.uniform(size=(4000, 3))
