@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowmill.functions.expr import any_of, finite, finite_or_zero, has_keyword, is_inf, number_of
-from flowmill.operators.profile import BATCH, inf_profile
+from flowmill.operators.profile import inf_profile, melt
+from flowmill.operators.quantiles import group_percentiles
 from flowmill.operators.schema import numeric_columns
 
 #: Name parts of quantities that can't be negative, and of those that can. Fixed values.
@@ -96,13 +97,14 @@ def null_to_zero(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFram
 
 def inf_to_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Infinite values as the median of the column's finite ones; missing values stay. The medians are one row, broadcast."""
-    for start in range(0, len(columns), BATCH):
-        some = columns[start : start + BATCH]
-        row = df.agg(*[F.median(finite(number_of(df, n))).alias(f"__m{k}") for k, n in enumerate(some)])
-        at = {n: k for k, n in enumerate(some)}
-        joined = df.join(F.broadcast(row))
-        df = joined.select(*[(F.when(is_inf(number_of(df, n)), F.col(f"__m{at[n]}")).otherwise(number_of(df, n)).alias(n) if n in at else F.col(f"`{n}`")) for n in df.columns])
-    return df
+    columns = list(columns)
+    if not columns:
+        return df
+    cells = melt(inf_to_null(df.select(*[F.col(f"`{n}`") for n in columns]), columns), columns)
+    medians = group_percentiles(cells, ["column"], [0.5])
+    row = medians.agg(F.map_from_entries(F.collect_list(F.struct("column", F.col("q")[0]))).alias("__medians"))
+    joined = df.join(F.broadcast(row))
+    return _replace(joined, columns, lambda n: F.when(is_inf(number_of(df, n)), F.try_element_at("__medians", F.lit(n))).otherwise(number_of(df, n))).drop("__medians")
 
 
 def drop_inf_columns(df: DataFrame, columns: list[str] | None = None, *, most: float = 0.30) -> DataFrame:

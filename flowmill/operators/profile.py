@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowmill.functions.expr import INF, is_inf, number_of, value_type
+from flowmill.operators.quantiles import group_percentiles, with_percentiles
 from flowmill.operators.schema import numeric_columns
+from flowmill.storage import cut
 
 BATCH = 60
 
@@ -101,9 +103,14 @@ def type_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def low_variance(df: DataFrame, columns: list[str] | None = None, *, most: int = 3) -> DataFrame:
     """``column, n_distinct, kind, distinct_values``: columns of 1 (constant) to ``most`` distinct values, not counting NULL.
 
-    Distinct values are counted by value first, so no task holds a column; only the few of the columns found are listed.
+    One pass estimates all columns; only those that may be so few are shuffled and counted by value.
     """
-    seen = melt(df, columns or df.columns, text=True).where(F.col("value").isNotNull()).select("column", "value").distinct()
+    names = columns or df.columns
+    about = _wide(df, names, lambda n: F.approx_count_distinct(F.col(f"`{n}`").cast("string"))).where(F.col("x") <= 2 * most + 10)
+    names = sorted(r["column"] for r in about.select("column").collect())  # estimates; the columns left are counted exactly
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, n_distinct long, kind string, distinct_values string")
+    seen = melt(df, names, text=True).where(F.col("value").isNotNull()).select("column", "value").distinct()
     few = seen.groupBy("column").agg(F.count("*").alias("n_distinct")).where(F.col("n_distinct") <= most)
     listed = seen.join(F.broadcast(few), "column").groupBy("column", "n_distinct").agg(F.array_join(F.sort_array(F.collect_list("value")), "|").alias("distinct_values"))
     return listed.select("column", "n_distinct", F.when(F.col("n_distinct") == 1, "constant").otherwise("low variance").alias("kind"), "distinct_values")
@@ -167,15 +174,20 @@ def top_values(counts: DataFrame, top: int) -> DataFrame:
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """``column, n, mean, std, min, p25, p50, p75, max`` of the non-NULL values; exact percentiles, sample deviation."""
     v = F.col("value")
-    quarter = [F.percentile(v, q) for q in (0.25, 0.5, 0.75)]
-    return each_column(df, columns, {"n": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "p25": quarter[0], "p50": quarter[1], "p75": quarter[2], "max": F.max(v)})
+    stats = each_column(df, columns, {"n": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v)})
+    out = with_percentiles(stats, melt(df, columns), ["column"], {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return out.select("column", "n", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def percentiles(df: DataFrame, columns: list[str], at: Iterable[float], *, accuracy: int | None = None) -> DataFrame:
-    """``column, q, value``: linear between ranks; with ``accuracy``, approximate and of bounded memory, for huge columns."""
+    """``column, q, value``: linear between ranks; with ``accuracy``, approximate in one pass. A column of NULLs has NULLs."""
     at = [float(q) for q in at]
-    measure = F.percentile("value", at) if accuracy is None else F.percentile_approx("value", at, accuracy)
-    found = each_column(df, columns, {"x": measure})
+    if accuracy is None:
+        names = F.explode(F.array(*map(F.lit, columns))).alias("column")
+        every = df.sparkSession.range(1).select(names)
+        found = with_percentiles(every, melt(df, columns), ["column"], {f"x{k}": q for k, q in enumerate(at)}).select("column", F.array(*[f"x{k}" for k in range(len(at))]).alias("x"))
+    else:
+        found = each_column(df, columns, {"x": F.percentile_approx("value", at, accuracy)})
     return found.select("column", F.explode(F.arrays_zip(F.array(*map(F.lit, at)).alias("q"), F.col("x").alias("value"))).alias("z")).select("column", "z.q", "z.value")
 
 
@@ -183,10 +195,18 @@ def feature_stats(df: DataFrame, columns: list[str], *, by: list[str] | None = N
     """``column, min, median, max, mean, zero_percent`` (and n_distinct), by label if asked. NULL cells count in the
     zeros' denominator, not as zeros.
     """
-    v = F.col("value")
+    v, groups = F.col("value"), [*(by or []), "column"]
     zero = F.lit(100.0) * F.count_if(v == 0) / F.count("*")
-    more = {"n_distinct": F.count_distinct(v)} if distinct else {}
-    return each_column(df, columns, {"min": F.min(v), "median": F.median(v), "max": F.max(v), "mean": F.avg(v), "zero_percent": zero} | more, by=by)
+    stats = each_column(df, columns, {"min": F.min(v), "max": F.max(v), "mean": F.avg(v), "zero_percent": zero}, by=by)
+    out = with_percentiles(stats, melt(df, columns, by or []), groups, {"median": 0.5}).select(*groups, "min", "median", "max", "mean", "zero_percent")
+    if not distinct:
+        return out
+    values = melt(df, columns, by or []).where(v.isNotNull()).select(*groups, "value").distinct().groupBy(*groups).agg(F.count("*").alias("__d"))
+    same = F.lit(True)
+    for k, g in enumerate(groups):
+        values = values.withColumnRenamed(g, f"__d{k}")
+        same = same & F.col(g).eqNullSafe(F.col(f"__d{k}"))
+    return out.join(values, same, "left").select(*out.columns, F.coalesce("__d", F.lit(0)).alias("n_distinct"))
 
 
 def abnormal_by_label(df: DataFrame, columns: list[str], label: str, threshold: float) -> DataFrame:
@@ -199,16 +219,22 @@ def abnormal_by_label(df: DataFrame, columns: list[str], label: str, threshold:
 def median_compare(df: DataFrame, columns: list[str], first: Column, second: Column) -> DataFrame:
     """``column, first_median, second_median`` of two subsets, side by side."""
     marked = df.select("*", F.when(first, 1).when(second, 2).alias("__side")).where("__side is not null")
-    v = F.col("value")
-    cells = melt(marked, columns, ["__side"])
-    return cells.groupBy("column").agg(F.median(F.when(F.col("__side") == 1, v)).alias("first_median"), F.median(F.when(F.col("__side") == 2, v)).alias("second_median"))
+    return _side_medians(melt(marked, columns, ["__side"]))
+
+
+def _side_medians(cells: DataFrame) -> DataFrame:
+    """``column, first_median, second_median`` of cells whose __side is 1 or 2; every column that has a cell."""
+    medians = group_percentiles(cells, ["column", "__side"], [0.5])
+    found = medians.groupBy("column").agg(*[F.max(F.when(F.col("__side") == k, F.col("q")[0])).alias(n) for k, n in ((1, "first_median"), (2, "second_median"))])
+    return cells.select("column").distinct().join(found, "column", "left")
 
 
 def iqr_bounds(df: DataFrame, columns: list[str], *, factor: float = 1.5) -> DataFrame:
     """``column, low, high``: quartiles less and plus ``factor`` times their distance; of columns with over one value."""
     v = F.col("value")
-    quarters = each_column(df, columns, {"q": F.percentile(v, [0.25, 0.75]), "a": F.min(v), "b": F.max(v)}).where("a < b")
-    low, high = F.col("q")[0], F.col("q")[1]
+    spread = each_column(df, columns, {"a": F.min(v), "b": F.max(v)}).where("a < b")
+    quarters = with_percentiles(spread, melt(df, columns), ["column"], {"p25": 0.25, "p75": 0.75})
+    low, high = F.col("p25"), F.col("p75")
     return quarters.select("column", (low - factor * (high - low)).alias("low"), (high + factor * (high - low)).alias("high"))
 
 
@@ -226,14 +252,17 @@ def histogram(df: DataFrame, column: str, *, bins: int = 50) -> DataFrame:
     """
     value = number_of(df, column)
     rows = df.select(value.alias("v")).where("v is not null").where(F.abs("v") < INF)
-    counts = rows.groupBy("v").agg(F.count("*").alias("n"))
-    span = counts.agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("d"))
-    joined = counts.join(F.broadcast(span))
-    few = F.col("d") <= bins
+    span = rows.agg(F.min("v").alias("a"), F.max("v").alias("b"), F.approx_count_distinct("v").alias("about"))
+    span = cut(span)
+    few = span.first()["about"] <= 2 * bins + 10  # the estimate is off by a few percent, so near ones are counted exactly
+    if few:
+        counts = cut(rows.groupBy("v").agg(F.count("*").alias("n")))
+        if counts.count() <= bins:
+            return counts.select(F.lit(None).cast("long").alias("bin"), F.col("v").alias("low"), "n")
     width = (F.col("b") - F.col("a")) / bins
-    bin_ = F.when(few, F.lit(None)).otherwise(F.least(F.floor(F.try_divide(F.col("v") - F.col("a"), width)), F.lit(bins - 1)))
-    low = F.when(few, F.col("v")).otherwise(F.col("a") + bin_ * width)
-    return joined.groupBy(bin_.cast("long").alias("bin"), low.alias("low")).agg(F.sum("n").alias("n"))
+    bin_ = F.least(F.floor(F.try_divide(F.col("v") - F.col("a"), width)), F.lit(bins - 1))
+    binned = rows.join(F.broadcast(span)).groupBy(bin_.cast("long").alias("bin"), "a", "b").agg(F.count("*").alias("n"))
+    return binned.select("bin", (F.col("a") + F.col("bin") * width).alias("low"), "n")
 
 
 def drift_range(first: DataFrame, second: DataFrame, columns: list[str], *, tail: float = 0.005) -> DataFrame:
@@ -242,20 +271,19 @@ def drift_range(first: DataFrame, second: DataFrame, columns: list[str], *, tail
     """
     both = first.select(*columns, F.lit(1).alias("__side")).unionByName(second.select(*columns, F.lit(2).alias("__side")))
     v, side = F.col("value"), F.col("__side")
-    out = melt(both, columns, ["__side"]).groupBy("column").agg(
-        F.percentile(v, [tail, 1 - tail]).alias("q"),
-        F.median(F.when(side == 1, v)).alias("first_median"), F.median(F.when(side == 2, v)).alias("second_median"),
-        F.avg(F.when(side == 1, v)).alias("first_mean"), F.avg(F.when(side == 2, v)).alias("second_mean"),
-    )
-    low, high = F.col("q")[0], F.col("q")[1]
+    cells = melt(both, columns, ["__side"])
+    means = cells.groupBy("column").agg(F.avg(F.when(side == 1, v)).alias("first_mean"), F.avg(F.when(side == 2, v)).alias("second_mean"))
+    out = with_percentiles(means, cells, ["column"], {"low": tail, "high": 1 - tail}).join(_side_medians(cells), "column")
+    low, high = F.col("low"), F.col("high")
     pad = F.when(low == high, F.when(low == 0, 1.0).otherwise(F.abs(low) * 0.05)).otherwise(0.0)
     return out.select("column", (low - pad).alias("low"), (high + pad).alias("high"), "first_median", "second_median", "first_mean", "second_mean")
 
 
 def spread_by_label(df: DataFrame, column: str, label: str) -> DataFrame:
     """``label, p0, p25, p50, p75, p100``: what a violin or box plot of the column by label shows."""
-    q = df.groupBy(F.col(label).alias("label")).agg(F.percentile(number_of(df, column), [0.0, 0.25, 0.5, 0.75, 1.0]).alias("q"))
-    return q.select("label", *[F.col("q")[k].alias(n) for k, n in enumerate(("p0", "p25", "p50", "p75", "p100"))])
+    cells = df.select(F.col(label).alias("label"), number_of(df, column).alias("value"))
+    at = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p100": 1.0}
+    return with_percentiles(cells.select("label").distinct(), cells, ["label"], at)
 
 
 def dominance_compare(first: DataFrame, second: DataFrame, columns: list[str], *, low: float = 0.9, high: float = 1.0) -> DataFrame:
