@@ -1,10 +1,14 @@
-"""Reports and cleaning of a CSV folder or Parquet table from the command line: ``python -m flowmill.cli TASK INPUT``."""
+"""Reports and cleaning of a CSV folder or Parquet table from the command line: ``python -m flowmill.cli TASK INPUT``.
+
+The rows read and written are observed while the task runs, without a pass of their own.
+"""
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from flowmill.operators import cleaning, correlation, dedup, profile, sampling
 from flowmill.operators.schema import drop_columns, find_label, normalize_columns, numeric_columns
@@ -54,10 +58,12 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--ratio", type=float, default=0.6)
     args = parser.parse_args(argv)
     spark = session()
-    df = load(spark, args.input)
+    totals = Observation("input")
+    df = load(spark, args.input).observe(totals, F.count("*").alias("rows_read"))
     if args.task in REPORTS:
         report = REPORTS[args.task](df, args)
         print(report_text(report, args.task))
+        print(f"rows read: {totals.get['rows_read']}")
         if args.output:
             report.write.parquet(run_folder(args.output))
         return 0
@@ -68,8 +74,11 @@ def main(argv: list[str] | None = None) -> int:
         from flowmill.functions.expr import is_label
 
         write_by_class(df, folder, is_label(df[find_label(df, args.label)], "benign"), name="is_benign")
+        print(f"rows read: {totals.get['rows_read']}")
     else:
-        CLEANERS[args.task](df, args).write.parquet(folder)
+        written = Observation("output")
+        CLEANERS[args.task](df, args).observe(written, F.count("*").alias("rows_written")).write.parquet(folder)
+        print(f"rows read: {totals.get['rows_read']}, written: {written.get['rows_written']}")
     print(folder)
     return 0
 

@@ -6,8 +6,6 @@ into blocks of bounded size, and each task compares one block with another by ma
 
 from __future__ import annotations
 
-from math import ceil
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +13,7 @@ from pyspark.sql import functions as F
 
 from flowmill.functions.expr import stable_hash, unit_draw
 from flowmill.operators.sampling import rank_by_hash
-from flowmill.storage import cut
+from flowmill.storage import bounded, cut
 
 BLOCK = 2048
 
@@ -29,7 +27,7 @@ def oversample_targets(df: DataFrame, label: str, ratio: float) -> DataFrame:
 
 def undersample(df: DataFrame, label: str, most: int, key: list[str], *, seed: int = 42) -> DataFrame:
     """At most ``most`` rows of each class."""
-    return rank_by_hash(df.where(F.col(label).isNotNull()), [label], key, seed=seed, name="__place").where(F.col("__place") <= most).drop("__place")
+    return rank_by_hash(df.where(F.col(label).isNotNull()), [label], key, seed=seed, name="__place", most=most).drop("__place")
 
 
 def _vectors(df: DataFrame, key: str, label: str, features: list[str] | str) -> DataFrame:
@@ -41,11 +39,21 @@ def _vectors(df: DataFrame, key: str, label: str, features: list[str] | str) ->
 
 
 def neighbours(asking: DataFrame, all_rows: DataFrame, k: int, *, same_label: bool) -> DataFrame:
-    """``id, neighbour, place, same``: the k nearest other rows (Euclidean, ties by id), of the same label or of all."""
-    blocks_a, blocks_b = max(1, ceil(asking.count() / BLOCK)), max(1, ceil(all_rows.count() / BLOCK))
+    """``id, neighbour, place, same``: the k nearest other rows (Euclidean, ties by id), of the same label or of all.
+
+    Rows are dealt into blocks of bounded size, within their label if only that counts; each asking block meets each answering
+    one of its label, so a row is sent once for each block that it is compared with.
+    """
+    group = F.col("label") if same_label else F.lit("")
     cols = ["id", "label", "x"]
-    a = asking.select(*[F.col(c).alias(c) for c in cols], F.pmod(F.xxhash64("id"), F.lit(blocks_a)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks_b - 1))).alias("b"))
-    b = all_rows.select(*[F.col(c).alias(c) for c in cols], F.pmod(F.xxhash64("id"), F.lit(blocks_b)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(blocks_a - 1))).alias("a"))
+    asking, all_rows = asking.select(*cols, group.alias("of")), all_rows.select(*cols, group.alias("of"))
+    blocks = [df.groupBy("of").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n)) for df, n in ((asking, "blocks_a"), (all_rows, "blocks_b"))]
+    blocks = cut(blocks[0].join(blocks[1], "of"))
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    renewed = [F.col(c).alias(c) for c in (*cols, "of")]  # both sides may be of one table
+    a = asking.join(bounded(blocks), "of").select(*renewed, own("blocks_a").alias("a"), spread("blocks_b").alias("b"))
+    b = all_rows.join(bounded(blocks), "of").select(*renewed, own("blocks_b").alias("b"), spread("blocks_a").alias("a"))
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("id", pa.int64()), ("neighbour", pa.int64()), ("same", pa.bool_()), ("distance", pa.float64())])
@@ -56,14 +64,14 @@ def neighbours(asking: DataFrame, all_rows: DataFrame, k: int, *, same_label: bo
         x, y = (np.array(t.column("x").to_pylist(), "f8") for t in (left, right))
         distance = np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T, 0)
         same = labels[:, None] == labels_b[None, :]
-        distance[(ids[:, None] == other[None, :]) | (~same if same_label else False)] = np.inf
+        distance[ids[:, None] == other[None, :]] = np.inf
         order = np.lexsort((np.broadcast_to(other, distance.shape), distance), axis=1)[:, :k]
         rows = np.repeat(np.arange(len(ids)), order.shape[1])
         at = order.ravel()
         real = np.isfinite(distance[rows, at])
         return pa.table([ids[rows][real], other[at][real], same[rows, at][real].astype(bool), distance[rows, at][real]], schema=schema)
 
-    found = a.groupBy("a", "b").cogroup(b.groupBy("a", "b")).applyInArrow(nearest, "id long, neighbour long, same boolean, distance double")
+    found = a.groupBy("of", "a", "b").cogroup(b.groupBy("of", "a", "b")).applyInArrow(nearest, "id long, neighbour long, same boolean, distance double")
     order = Window.partitionBy("id").orderBy("distance", "neighbour")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("id", "neighbour", "place", "same")
 
@@ -76,7 +84,8 @@ def _synthesise(wanted: DataFrame, near: DataFrame, rows: DataFrame, seed: int)
     """``label, x, id, neighbour, nth`` on the segment from each wanted (id, nth) to one of its neighbours, drawn by hash."""
     degree = near.groupBy("id").agg(F.count("*").alias("degree"))
     pick = F.floor(unit_draw([F.col("id"), F.col("nth")], seed) * F.col("degree")) + 1
-    drawn = wanted.join(degree, "id").withColumn("place", pick.cast("int")).withColumn("u", unit_draw([F.col("nth"), F.col("id")], seed + 1))
+    alone = F.raise_error(F.lit("a row to grow from has no neighbour"))
+    drawn = wanted.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", alone)).withColumn("place", pick.cast("int")).withColumn("u", unit_draw([F.col("nth"), F.col("id")], seed + 1))
     linked = drawn.join(near.select("id", "neighbour", "place"), ["id", "place"])
     from_ = linked.join(rows, "id")
     to = rows.select(F.col("id").alias("neighbour"), F.col("x").alias("y"))
@@ -103,8 +112,8 @@ def _setup(df: DataFrame, key: str, label: str, features: list[str] | str, ratio
 def _dealt(ids: DataFrame, growth: DataFrame, seed: int) -> DataFrame:
     """``id, nth`` for ``more`` synthetic rows of each label, spread evenly over its rows in hash order."""
     ranked = rank_by_hash(ids, ["label"], ["id"], seed=seed, name="__place")
-    counts = ids.groupBy("label").agg(F.count("*").alias("__n"))
-    joined = ranked.join(F.broadcast(counts), "label").join(F.broadcast(growth.select("label", "more")), "label")
+    counts = cut(ids.groupBy("label").agg(F.count("*").alias("__n")))
+    joined = ranked.join(bounded(counts), "label").join(bounded(growth.select("label", "more")), "label")
     times = F.floor(F.col("more") / F.col("__n")) + (F.col("__place") <= F.col("more") % F.col("__n")).cast("long")
     return joined.withColumn("times", times).where("times > 0").select("id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("nth"))
 
@@ -112,7 +121,7 @@ def _dealt(ids: DataFrame, growth: DataFrame, seed: int) -> DataFrame:
 def smote(df: DataFrame, key: str, label: str, features: list[str] | str, ratio: float, *, seed: int = 42) -> DataFrame:
     """``label, x, id, neighbour, nth``: synthetic rows that bring each class to its target (Chawla et al., 2002)."""
     rows, growth, k = _setup(df, key, label, features, ratio)
-    small = rows.join(F.broadcast(growth), "label").select("id", "label", "x")
+    small = rows.join(bounded(growth), "label").select("id", "label", "x")
     near = cut(neighbours(small, small, k, same_label=True))
     return _synthesise(_dealt(small.select("id", "label"), growth, seed), near, rows, seed)
 
@@ -122,7 +131,7 @@ def borderline_smote(df: DataFrame, key: str, label: str, features: list[str] |
     classes (Han et al., 2005). Classes without such rows stay as they are.
     """
     rows, growth, k = _setup(df, key, label, features, ratio)
-    small = rows.join(F.broadcast(growth), "label").select("id", "label", "x")
+    small = rows.join(bounded(growth), "label").select("id", "label", "x")
     foreign = neighbours(small, rows, around, same_label=False).groupBy("id").agg(F.count_if(~F.col("same")).alias("foreign"), F.count("*").alias("n"))
     danger = cut(small.join(foreign.where("foreign * 2 >= n and foreign < n").select("id"), "id"))
     near = cut(neighbours(danger, small, k, same_label=True))
@@ -134,13 +143,13 @@ def adasyn(df: DataFrame, key: str, label: str, features: list[str] | str, ratio
     a class may miss its target by some. It is an error if no row of a class to grow has a neighbour of another.
     """
     rows, growth, k = _setup(df, key, label, features, ratio)
-    small = rows.join(F.broadcast(growth), "label").select("id", "label", "x")
+    small = rows.join(bounded(growth), "label").select("id", "label", "x")
     share = neighbours(small, rows, k, same_label=False).groupBy("id").agg((F.count_if(~F.col("same")) / F.count("*")).alias("share"))
     weighed = cut(small.select("id", "label").join(share, "id"))
-    total = weighed.groupBy("label").agg(F.sum("share").alias("total"))
+    total = cut(weighed.groupBy("label").agg(F.sum("share").alias("total")))
     if growth.limit(1).count() and total.where("total > 0").limit(1).count() == 0:
         raise ValueError("no row has a neighbour of another class")
-    counts = weighed.join(F.broadcast(total), "label").join(F.broadcast(growth), "label")
+    counts = weighed.join(bounded(total), "label").join(bounded(growth), "label")
     wanted = counts.withColumn("times", F.bround(F.coalesce(F.try_divide("share", "total"), F.lit(0.0)) * F.col("more")).cast("long")).where("times > 0")
     near = cut(neighbours(small, small, k, same_label=True))
     return _synthesise(wanted.select("id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("nth")), near, rows, seed)

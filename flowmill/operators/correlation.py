@@ -3,36 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowmill.functions.expr import finite, number_of
 
 
-def masked_corr(a: Column, b: Column) -> Column:
-    """Pearson's r over the rows where both are known; NULL where one is constant there."""
-    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
-def correlations(df: DataFrame, columns: list[str], *, most_sql: int = 12) -> DataFrame:
+def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """``first, second, r`` of each pair, in the order of ``columns``. Infinite values count as missing.
 
-    Few columns are one aggregate; more are summed as matrices in every task (a Gram matrix a batch), then added up.
+    Sums are taken as matrices in every task (a Gram matrix a batch), then added up.  r is NULL where a column is constant over
+    the pair's rows: its spread there is under 1e-12 of the squares around the column's mean, which is as far as doubles tell.
     """
-    values = df.select(*[finite(number_of(df, n)).alias(f"v{k}") for k, n in enumerate(columns)])
-    pairs = list(combinations(range(len(columns)), 2))
-    if not pairs:
+    if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "first string, second string, r double")
-    if len(columns) <= most_sql:
-        row = values.agg(*[masked_corr(F.col(f"v{a}"), F.col(f"v{b}")).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
-        cells = F.array(*[F.struct(F.lit(columns[a]).alias("first"), F.lit(columns[b]).alias("second"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)])
-        return row.select(F.explode(cells).alias("c")).select("c.*")
-    return _by_matrices(values, columns)
+    return _by_matrices(df.select(*[finite(number_of(df, n)).alias(f"v{k}") for k, n in enumerate(columns)]), columns)
 
 
 def _by_matrices(values: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,18 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowmill.functions.expr import safe_ratio
+from flowmill.storage import cut
 
 UNKNOWN = "Unknown_Zero_Day_Attack"
 
+#: Labels of a confusion grid, which has their square of rows.
+MAX_LABELS = 5_000
+
 
 def confusion(df: DataFrame, truth: str, prediction: str, labels: DataFrame | None = None) -> DataFrame:
     """``truth, prediction, n`` over the full grid of labels, 0 where nothing fell. Rows without a true label, or with one
-    that isn't in ``labels`` (column label), are left out. Labels are few; the grid is theirs, not the rows'.
+    that isn't in ``labels`` (column label), are left out. The grid is the labels', not the rows'; it is an error if there are more
+    than MAX_LABELS.
     """
-    counts = df.where(F.col(truth).isNotNull()).groupBy(F.col(truth).alias("truth"), F.col(prediction).alias("prediction")).agg(F.count("*").alias("n"))
+    counts = cut(df.where(F.col(truth).isNotNull()).groupBy(F.col(truth).alias("truth"), F.col(prediction).alias("prediction")).agg(F.count("*").alias("n")))
     if labels is None:
         labels = counts.select(F.explode(F.array("truth", "prediction")).alias("label")).where("label is not null").distinct()
     label = labels.select("label").distinct()
+    if label.limit(MAX_LABELS + 1).count() > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
     grid = label.select(F.col("label").alias("t")).join(F.broadcast(label.select(F.col("label").alias("p"))))
     joined = grid.join(counts, (F.col("t") == F.col("truth")) & (F.col("p") == F.col("prediction")), "left")
     return joined.select(F.col("t").alias("truth"), F.col("p").alias("prediction"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -7,14 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import product
+from time import time
 from typing import NamedTuple
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +27,13 @@ from flowmill.functions.expr import finite_or_zero, number_of
 from flowmill.operators.evaluate import class_report, confusion, macro_average, named_prediction
 from flowmill.operators.sampling import folds, label_codes, map_labels, rank_by_hash
 from flowmill.operators.schema import forbid_columns, normalize_columns, require_columns
-from flowmill.storage import cut
+from flowmill.storage import cut, shared_dir
 
 PREFIX = "__feature_"
 
+#: Labels that a model may have; a column of more isn't one, and is an error.
+MAX_CLASSES = 10_000
+
 
 class Trained(NamedTuple):
     """A fitted model, its features in order, and the labels by code."""
@@ -37,17 +43,17 @@ class Trained(NamedTuple):
     labels: list[str]
 
 
-def encode_text(df: DataFrame, columns: Iterable[str]) -> tuple[DataFrame, dict[str, list[str]]]:
-    """Text columns as the place of their value in sorted order (missing as ''), and the values. Each column's distinct
-    values are a small model, as label encoders are.
+def encode_text(df: DataFrame, columns: Iterable[str]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Text columns as the place of their value in sorted order (missing as ''), and ``label, code`` of each column. Values
+    are numbered in sorted parts where they are many, and joined to the rows.
     """
-    names = list(columns)
-    if not names:
-        return df, {}
-    filled = df.fillna("", subset=names)
-    model = StringIndexer(inputCols=names, outputCols=[f"__code_{n}" for n in names], stringOrderType="alphabetAsc", handleInvalid="keep").fit(filled)
-    coded = model.transform(filled)
-    return coded.select(*[F.col(f"__code_{n}").alias(n) if n in names else F.col(f"`{n}`") for n in df.columns]), dict(zip(names, map(list, model.labelsArray), strict=True))
+    codes: dict[str, DataFrame] = {}
+    order = df.columns
+    for n in columns:
+        df = df.withColumn(n, F.coalesce(F.col(f"`{n}`"), F.lit("")))
+        codes[n] = cut(label_codes(df, n))
+        df = map_labels(df, n, codes[n], name="__code").withColumn(n, F.col("__code").cast("double")).drop("__code")
+    return df.select(*[F.col(f"`{c}`") for c in order]), codes
 
 
 def assemble(df: DataFrame, features: list[str], keep: Iterable[str | Column] = (), *, name: str = "features") -> DataFrame:
@@ -60,16 +66,20 @@ def assemble(df: DataFrame, features: list[str], keep: Iterable[str | Column] =
 def prepare(df: DataFrame, label: str, features: list[str], keep: Iterable[str] = ()) -> tuple[DataFrame, list[str]]:
     """(``keep``, code, features) of the labelled rows, and the labels by code."""
     codes = label_codes(df, label)
-    labels = [r["label"] for r in codes.orderBy("code").limit(10_000).collect()]  # classes, not rows
+    labels = [r["label"] for r in codes.orderBy("code").limit(MAX_CLASSES + 1).collect()]  # classes, not rows
+    if len(labels) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} labels")
     coded = map_labels(df.where(F.col(label).isNotNull()), label, codes, name="__code")
     rows = assemble(coded, features, [*keep, F.col("__code").cast("double").alias("code")])
     return rows, [str(x) for x in labels]
 
 
 def train_forest(df: DataFrame, label: str, features: list[str], *, trees: int = 100, depth: int = 20, subset: str = "sqrt", least: int = 1, seed: int = 42, max_bins: int = 64, max_rows: int | None = None, key: list[str] | None = None) -> Trained:
-    """A random forest of Gini trees; with ``max_rows``, on the rows whose keys hash lowest."""
+    """A random forest of Gini trees; with ``max_rows``, on the rows whose ``key`` (columns that tell rows apart) hashes lowest."""
     if max_rows is not None:
-        df = rank_by_hash(df, [], key or [label], seed=seed, name="__place").where(F.col("__place") <= max_rows).drop("__place")
+        if not key:
+            raise ValueError("a sample of rows needs a key that tells them apart")
+        df = rank_by_hash(df, [], key, seed=seed, name="__place", most=max_rows).drop("__place")
     rows, labels = prepare(df, label, features)
     model = RandomForestClassifier(labelCol="code", numTrees=trees, maxDepth=min(depth, 30), featureSubsetStrategy=subset, minInstancesPerNode=least, seed=seed, maxBins=max_bins, impurity="gini").fit(rows)
     return Trained(model, features, labels)
@@ -84,11 +94,17 @@ def train_boosting(df: DataFrame, label: str, features: list[str], *, rounds: in
 
 
 def score(trained: Trained, df: DataFrame, keep: list[str | Column] | tuple = ()) -> DataFrame:
-    """``keep``, ``code``, ``predicted_label`` and, where the model has probabilities, ``confidence`` of every row."""
+    """``keep``, ``code``, ``predicted_label`` and ``confidence`` of every row: the winning label's probability, or where models of one
+    label against the rest were fitted, its share by softmax of their raw scores.
+    """
     rows = trained.model.transform(assemble(df, trained.features, keep))
     keep = rows.columns[: len(keep)]
     names = F.array(*map(F.lit, trained.labels))
-    confidence = F.array_max(vector_to_array("probability")) if "probability" in rows.columns else F.lit(None).cast("double")
+    if "probability" in rows.columns:
+        confidence = F.array_max(vector_to_array("probability"))
+    else:
+        raw = vector_to_array("rawPrediction")
+        confidence = F.lit(1.0) / F.aggregate(F.transform(raw, lambda v: F.exp(v - F.array_max(raw))), F.lit(0.0), lambda a, b: a + b)
     return rows.select(*keep, F.col("prediction").cast("int").alias("code"), F.get(names, F.col("prediction").cast("int")).alias("predicted_label"), confidence.alias("confidence"))
 
 
@@ -128,7 +144,9 @@ def importance(trained: Trained, spark) -> DataFrame:
 
 def importance_by_label(df: DataFrame, label: str, features: list[str], *, top: int = 10, rounds: int = 20, depth: int = 5, seed: int = 42) -> DataFrame:
     """``label, feature, percent, place``: the strongest features of each label against the rest. One model a class."""
-    labels = [r["label"] for r in label_codes(df, label).orderBy("label").limit(1000).collect()]
+    labels = [r["label"] for r in label_codes(df, label).orderBy("label").limit(MAX_CLASSES + 1).collect()]
+    if len(labels) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} labels")
     out = []
     for x in labels:
         trained = train_boosting(df.withColumn("__is", F.when(F.col(label).isNotNull(), (F.col(label) == F.lit(x)).cast("int"))), "__is", features, rounds=rounds, depth=depth, seed=seed)
@@ -161,29 +179,47 @@ def grid(**values: Iterable) -> list[dict]:
     return [dict(zip(values, x, strict=True)) for x in product(*values.values())]
 
 
-def tune(df: DataFrame, label: str, features: list[str], options: list[dict], make, key: list[str], *, k: int = 3, seed: int = 42, done: DataFrame | None = None) -> DataFrame:
-    """``combination, fold, f1``: macro-F1 of each combination on each stratified fold.
+def tune(df: DataFrame, label: str, features: list[str], options: list[dict], make, key: list[str], *, k: int = 3, seed: int = 42, folder: str | None = None) -> DataFrame:
+    """``combination, fold, f1, seconds``: macro-F1 of each combination on each stratified fold, and how long its fit took.
 
-    ``make`` gives an estimator for a combination (label column ``code``). Combinations in ``done`` (an earlier, unfinished
-    result) are taken from there.
+    ``make`` gives an estimator for a combination (label column ``code``).  Each combination's rows are written to ``folder``
+    (one of its own in the shared folder, if not given) as soon as they are known; combinations that are there already, from
+    a run that broke off, aren't fitted again.
     """
-    rows, _ = prepare(folds(df.where(F.col(label).isNotNull()), label, k, key, seed=seed, name="__fold"), label, features, ["__fold"])
-    rows = cut(rows)
-    past = {r["combination"] for r in done.select("combination").distinct().collect()} if done is not None else set()
-    out = []
+    spark = df.sparkSession
+    folder = folder or f"{shared_dir(spark)}/tuning-{uuid4().hex}"
+    schema = "combination string, fold int, f1 double, seconds double"
+    try:
+        past = {r["combination"] for r in spark.read.schema(schema).parquet(folder).select("combination").distinct().collect()}
+    except AnalysisException:  # nothing there yet
+        past = set()
+    rows = None
     for option in options:
         if str(option) in past:
             continue
+        if rows is None:
+            rows = cut(prepare(folds(df.where(F.col(label).isNotNull()), label, k, key, seed=seed, name="__fold"), label, features, ["__fold"])[0])
+        out = []
         for fold in range(k):
+            began = time()
             model = make(option).fit(rows.where(F.col("__fold") != fold))
-            out.append((str(option), fold, MacroF1().evaluate(model.transform(rows.where(F.col("__fold") == fold)))))
-    made = df.sparkSession.createDataFrame(out, "combination string, fold int, f1 double")
-    return made if done is None else done.select("combination", "fold", "f1").unionByName(made)
+            took = time() - began
+            out.append((str(option), fold, MacroF1().evaluate(model.transform(rows.where(F.col("__fold") == fold))), took))
+        spark.createDataFrame(out, schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.read.schema(schema).parquet(folder)
+
+
+def refit_best(df: DataFrame, label: str, features: list[str], results: DataFrame, options: list[dict], make) -> tuple[Trained, dict]:
+    """The best combination of :func:`tune`'s results, fitted on all labelled rows of ``df``, and that combination."""
+    best = tuning_summary(results).first()["combination"]
+    option = next(x for x in options if str(x) == best)
+    rows, labels = prepare(df, label, features)
+    return Trained(make(option).fit(rows), features, labels), option
 
 
 def tuning_summary(results: DataFrame) -> DataFrame:
-    """``combination, mean_f1, std_f1``, best first."""
-    return results.groupBy("combination").agg(F.avg("f1").alias("mean_f1"), F.stddev_pop("f1").alias("std_f1")).orderBy(F.desc("mean_f1"), "combination")
+    """``combination, mean_f1, std_f1, mean_seconds``, best first."""
+    return results.groupBy("combination").agg(F.avg("f1").alias("mean_f1"), F.stddev_pop("f1").alias("std_f1"), F.avg("seconds").alias("mean_seconds")).orderBy(F.desc("mean_f1"), "combination")
 
 
 def forest_of(option: dict, seed: int = 42) -> RandomForestClassifier:
@@ -233,7 +269,7 @@ def train_isolation_forest(df: DataFrame, features: list[str], key: list[str], *
     are fewer) goes to one tree.
     """
     values = df.select(*key, *[finite_or_zero(number_of(df, n)).alias(f"{PREFIX}{k}") for k, n in enumerate(features)])
-    drawn = cut(rank_by_hash(values, [], key, seed=seed, name="__place").where(F.col("__place") <= trees * sample))
+    drawn = cut(rank_by_hash(values, [], key, seed=seed, name="__place", most=trees * sample))
     n = drawn.count()
     x = F.array(*[f"{PREFIX}{k}" for k in range(len(features))]).alias("x")
     size = min(sample, n)

@@ -6,20 +6,26 @@ hash, counted, and numbered within these pieces from the counts before them.
 
 from __future__ import annotations
 
+from math import floor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowmill.functions.expr import stable_hash, unit_draw
-from flowmill.storage import cut
+from flowmill.storage import bounded, cut
 
 #: Leading hex digits of the hash that rows of a group are dealt by: 4096 pieces a group.
 DIGITS = 3
 
+#: Labels that are numbered in one task; more are sorted in parts.
+MAX_LABELS = 100_000
+
 
-def rank_by_hash(df: DataFrame, by: list[str], key: list[str], *, seed: int = 42, name: str = "place") -> DataFrame:
+def rank_by_hash(df: DataFrame, by: list[str], key: list[str], *, seed: int = 42, name: str = "place", most: int | None = None) -> DataFrame:
     """``df`` with each row's place (from 1) in its group, in the order of the stable hash of ``key``, then of key.
 
-    The key should be unique within a group. NULL groups are groups.
+    With ``most``, only the rows up to that place: whole pieces behind it go before anything is shuffled or sorted.  The key
+    should be unique within a group. NULL groups are groups.
     """
     hashed = df.withColumn("__hash", stable_hash([F.col(k) for k in key], seed)).withColumn("__piece", F.substring("__hash", 1, DIGITS))
     counts = hashed.groupBy(*by, "__piece").agg(F.count("*").alias("__n"))
@@ -29,8 +35,12 @@ def rank_by_hash(df: DataFrame, by: list[str], key: list[str], *, seed: int = 42
     for k, b in enumerate(by):
         same = same & F.col(b).eqNullSafe(F.col(f"__by{k}"))
     within = Window.partitionBy(*by, "__piece").orderBy("__hash", *key)
-    ranked = hashed.withColumn("__row", F.row_number().over(within)).join(starts, same)
-    return ranked.withColumn(name, F.col("__row") + F.col("__start")).select(*[F.col(f"`{c}`") for c in df.columns], name)
+    if most is not None:
+        few = hashed.join(bounded(cut(starts.where(F.col("__start") < most))), same)
+        ranked = few.withColumn(name, F.row_number().over(within) + F.col("__start")).where(F.col(name) <= most)
+    else:
+        ranked = hashed.withColumn("__row", F.row_number().over(within)).join(starts, same).withColumn(name, F.col("__row") + F.col("__start"))
+    return ranked.select(*[F.col(f"`{c}`") for c in df.columns], name)
 
 
 def number_rows(df: DataFrame, order: list[str | Column], *, name: str = "row") -> DataFrame:
@@ -46,7 +56,7 @@ def number_rows(df: DataFrame, order: list[str | Column], *, name: str = "row")
 
 def sample_rows(df: DataFrame, n: int, key: list[str], *, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (all, if there are fewer): those whose hashes come first in the whole table."""
-    return rank_by_hash(df, [], key, seed=seed, name="__place").where(F.col("__place") <= n).drop("__place")
+    return rank_by_hash(df, [], key, seed=seed, name="__place", most=n).drop("__place")
 
 
 def sample_fraction(df: DataFrame, fraction: float, key: list[str], *, seed: int = 42) -> DataFrame:
@@ -58,15 +68,13 @@ def class_floor_cap(df: DataFrame, label: str, key: list[str], *, least: int, mo
     """Classes of under ``least`` rows are left out, those of over ``most`` cut to ``most``; exempt and NULL classes too are left out."""
     rows = df.where(F.col(label).isNotNull() & ~F.col(label).isin(*exempt) if exempt else F.col(label).isNotNull())
     counts = rows.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__count")).where(F.col("__count") >= least)
-    ranked = rank_by_hash(rows, [label], key, seed=seed, name="__place").where(F.col("__place") <= most)
+    ranked = rank_by_hash(rows, [label], key, seed=seed, name="__place", most=most)
     return ranked.join(counts, F.col(label) == F.col("__label"), "left_semi").drop("__place")
 
 
 def ratio_sample(rows: DataFrame, others: DataFrame, ratio: float, key: list[str], *, seed: int = 42) -> DataFrame:
     """At most ``ratio`` times as many of ``rows`` as ``others`` has."""
-    limit = others.agg(F.floor(F.count("*") * F.lit(ratio)).alias("__limit"))
-    ranked = rank_by_hash(rows, [], key, seed=seed, name="__place")
-    return ranked.join(F.broadcast(limit)).where(F.col("__place") <= F.col("__limit")).drop("__place", "__limit")
+    return sample_rows(rows, floor(others.count() * ratio), key, seed=seed)
 
 
 def downscale(df: DataFrame, is_normal: Column, fraction: float, key: list[str], *, seed: int = 42, null_label: str = "other") -> DataFrame:
@@ -105,8 +113,10 @@ def binary_label(label: str, normal: str = "benign") -> Column:
 
 
 def label_codes(df: DataFrame, label: str) -> DataFrame:
-    """``label, code``: distinct labels numbered from 0 in order. Labels are few; rows are merged before they meet."""
-    labels = df.where(F.col(label).isNotNull()).select(F.col(label).alias("label")).distinct()
+    """``label, code``: distinct labels numbered from 0 in order; up to MAX_LABELS in one task, more in sorted parts."""
+    labels = cut(df.where(F.col(label).isNotNull()).select(F.col(label).alias("label")).distinct())
+    if labels.count() > MAX_LABELS:
+        return number_rows(labels, ["label"], name="code").withColumn("code", (F.col("code") - 1).cast("int"))
     return labels.withColumn("code", (F.row_number().over(Window.orderBy("label")) - 1).cast("int"))
 
 

@@ -80,6 +80,18 @@ def drop_report(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column string, found boolean")
 
 
+def deletion_summary(spark: SparkSession, files: dict[str, Iterable[str]], names: Iterable[str]) -> DataFrame:
+    """``file, found_count, not_found_count, removed_columns, requested_missing`` of a drop list and each file's columns."""
+    wanted = list(dict.fromkeys(names))
+    rows = []
+    for file, columns in files.items():
+        columns, asked = list(columns), {normal_name(n) for n in wanted}
+        have = {normal_name(c) for c in columns}
+        missing = [n for n in wanted if normal_name(n) not in have]
+        rows.append((file, len(wanted) - len(missing), len(missing), [c for c in columns if normal_name(c) in asked], missing))
+    return spark.createDataFrame(rows, "file string, found_count int, not_found_count int, removed_columns array<string>, requested_missing array<string>")
+
+
 def deletion_list(base: Iterable[str], add: Iterable[str] = (), keep: Iterable[str] = ()) -> tuple[list[str], list[str]]:
     """(names to drop, names given more than once): base, then add, without keep; first occurrence wins."""
     keep = {normal_name(n) for n in keep}

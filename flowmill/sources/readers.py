@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowmill.functions.expr import NA_TOKENS, blank_to_null, to_number
+from flowmill.operators.schema import unique_header
+
+#: Lines of a column list or label map, which the driver reads; longer files are an error.
+MAX_LINES = 100_000
 
 
 def _options(path: str | list[str], recursive: bool, pattern: str | None) -> dict[str, str]:
@@ -68,15 +72,28 @@ def preview(df: DataFrame, n: int) -> DataFrame:
     return df.limit(n)
 
 
-def read_column_list(spark: SparkSession, path: str) -> list[str]:
+def read_unique(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """All columns as text, of columns of one name only the first: also of ``x`` and ``x.1``, and where case differs by nothing."""
+    names = raw_header(spark, path, sep)
+    keep = unique_header(names)
+    raw = spark.read.schema(", ".join(f"c{k} string" for k in range(len(names)))).csv(path, header=True, sep=sep)
+    return raw.select(*[F.col(f"c{k}").alias(names[k]) for k in keep])
+
+
+def _lines(spark: SparkSession, path: str, most: int) -> list[str]:
+    """The lines of a small text file, in order; it is an error if there are more than ``most``."""
+    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id()).orderBy("n").limit(most + 1).collect()
+    if len(lines) > most:
+        raise ValueError(f"{path} has more than {most} lines")
+    return [r[0] for r in lines]
+
+
+def read_column_list(spark: SparkSession, path: str, *, most: int = MAX_LINES) -> list[str]:
     """Names of a small text file: one or several (by commas) a line, ``#`` starts a comment."""
-    lines = [r[0] for r in spark.read.text(path, wholetext=False).limit(100_000).collect()]
-    return [n for line in lines for x in line.split("#")[0].split(",") if (n := x.strip())]
+    return [n for line in _lines(spark, path, most) for x in line.split("#")[0].split(",") if (n := x.strip())]
 
 
-def read_label_map(spark: SparkSession, path: str, skip: int = 2) -> DataFrame:
+def read_label_map(spark: SparkSession, path: str, skip: int = 2, *, most: int = MAX_LINES) -> DataFrame:
     """``label, code`` of a text file of ``name : number`` lines after ``skip`` header lines. A name may hold colons."""
-    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id()).orderBy("n").limit(1_000_000 + skip)
-    rows = [r[0] for r in lines.collect()][skip:]
-    pairs = [(a.strip(), int(b)) for a, _, b in (x.rpartition(":") for x in rows if x.strip())]
+    pairs = [(a.strip(), int(b)) for a, _, b in (x.rpartition(":") for x in _lines(spark, path, most)[skip:] if x.strip())]
     return spark.createDataFrame(pairs, "label string, code int")

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,3 +31,8 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder: a lost executor costs no recomputation of what came before."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bounded(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` marked for a broadcast if it has at most ``most`` rows, else as it is, for Spark to join by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

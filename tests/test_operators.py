@@ -81,19 +81,31 @@ def test_correlation_masks_and_groups(spark):
     cols = {"a": a, "b": 2 * a, "c": -a, "noise": noise, "fixed": np.ones(200)}
     rows = [[None if (k + j) % 7 == 0 and n != "fixed" else float(v[k]) for j, (n, v) in enumerate(cols.items())] for k in range(200)]
     df = spark.createDataFrame(rows, "a double, b double, c double, noise double, fixed double")
-    for most in (12, 1):  # as one aggregate, and by matrices
-        pairs = correlation.correlations(df, list(cols), most_sql=most)
-        got = {(r["first"], r["second"]): r["r"] for r in pairs.collect()}
-        assert math.isclose(got["a", "b"], 1, abs_tol=1e-9) and math.isclose(got["a", "c"], -1, abs_tol=1e-9)
-        assert got["a", "fixed"] is None
-        both = [(r[0], r[3]) for r in rows if r[0] is not None and r[3] is not None]
-        assert math.isclose(got["a", "noise"], np.corrcoef(*zip(*both, strict=True))[0, 1], abs_tol=1e-9)
-        groups = correlation.correlation_groups(pairs)
-        assert groups == [["a", "b", "c"]]
-        assert correlation.group_report(pairs, groups).count() == 3
+    pairs = correlation.correlations(df, list(cols))
+    got = {(r["first"], r["second"]): r["r"] for r in pairs.collect()}
+    assert math.isclose(got["a", "b"], 1, abs_tol=1e-9) and math.isclose(got["a", "c"], -1, abs_tol=1e-9)
+    assert got["a", "fixed"] is None
+    both = [(r[0], r[3]) for r in rows if r[0] is not None and r[3] is not None]
+    assert math.isclose(got["a", "noise"], np.corrcoef(*zip(*both, strict=True))[0, 1], abs_tol=1e-9)
+    groups = correlation.correlation_groups(pairs)
+    assert groups == [["a", "b", "c"]]
+    assert correlation.group_report(pairs, groups).count() == 3
     assert correlation.drop_correlated(df, list(cols)).columns == ["a", "noise", "fixed"]
 
 
+@pytest.mark.parametrize("many", [2, 14])
+def test_correlation_of_far_columns(spark, many):
+    """One way for few and many columns: the same r for values near 1e9 with a small spread."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, many)) * 0.1
+    x[:, 1] += 0.2 * x[:, 0]
+    df = spark.createDataFrame((x + 1e9).tolist(), ", ".join(f"c{k} double" for k in range(many))).repartition(3)
+    got = {(r["first"], r["second"]): r["r"] for r in correlation.correlations(df, df.columns).collect()}
+    shifted = (x + 1e9) - 1e9
+    assert len(got) == many * (many - 1) // 2
+    assert got["c0", "c1"] == pytest.approx(np.corrcoef(shifted[:, 0], shifted[:, 1])[0, 1], abs=1e-6)
+
+
 def test_correlation_chain_is_one_group(spark):
     pairs = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.9), ("a", "c", 0.5)], "first string, second string, r double")
     groups = correlation.correlation_groups(pairs)
@@ -267,9 +279,104 @@ def test_isolation_forest_finds_the_odd_one(spark):
 def test_text_codes(spark):
     rows = spark.createDataFrame([("b",), ("a",), (None,)], "v string")
     coded, values = models.encode_text(rows, ["v"])
-    assert sorted(r[0] for r in coded.collect()) == [0, 1, 2] and values["v"] == ["", "a", "b"]
+    assert sorted(r[0] for r in coded.collect()) == [0, 1, 2]
+    assert [r["label"] for r in values["v"].orderBy("code").collect()] == ["", "a", "b"]
+
+
+def test_many_labels_are_numbered_in_parts(spark, monkeypatch):
+    rows = spark.range(50).selectExpr("concat('v', id % 20) v")
+    want = sorted(map(tuple, sampling.label_codes(rows, "v").collect()))
+    monkeypatch.setattr(sampling, "MAX_LABELS", 5)
+    assert sorted(map(tuple, sampling.label_codes(rows, "v").collect())) == want and [c for _, c in want] == list(range(20))
+
+
+def test_bounds_are_errors(spark, tmp_path, monkeypatch):
+    (tmp_path / "list.txt").write_text("a\nb\nc\n")
+    assert readers.read_column_list(spark, str(tmp_path / "list.txt"), most=3) == ["a", "b", "c"]
+    with pytest.raises(ValueError, match="lines"):
+        readers.read_column_list(spark, str(tmp_path / "list.txt"), most=2)
+    monkeypatch.setattr(models, "MAX_CLASSES", 1)
+    with pytest.raises(ValueError, match="labels"):
+        models.train_forest(wide(spark), "label", ["f0"], trees=1, depth=1)
+    with pytest.raises(ValueError, match="labels"):
+        models.importance_by_label(wide(spark), "label", ["f0"])
+    with pytest.raises(ValueError, match="key"):
+        models.train_forest(wide(spark), "label", ["f0"], max_rows=10)
+    monkeypatch.setattr(evaluate, "MAX_LABELS", 1)
+    with pytest.raises(ValueError, match="labels"):
+        evaluate.confusion(wide(spark), "label", "label")
+
+
+def test_samples_are_of_all_classes(spark):
+    rows = spark.range(3000).selectExpr("id", "concat('c', id % 3) label", "double(id % 3) f0")
+    drawn = sampling.sample_rows(rows, 900, ["id"])
+    assert drawn.count() == 900 and all(200 < r["count"] < 400 for r in drawn.groupBy("label").count().collect())
+    assert models.train_forest(rows, "label", ["f0"], max_rows=900, key=["id"], trees=2, depth=3).labels == ["c0", "c1", "c2"]
+
+
+def test_capped_ranks_equal_whole_ones(spark):
+    rows = spark.range(5000).selectExpr("id", "if(id % 3 = 0, 'hot', if(id % 7 = 0, null, concat('s', id % 5))) g")
+    for most in (0, 1, 40, 700, 10_000):
+        want = sampling.rank_by_hash(rows, ["g"], ["id"]).where(F.col("place") <= most)
+        got = sampling.rank_by_hash(rows, ["g"], ["id"], most=most)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_boosting_of_many_classes_has_confidence(spark):
+    rows = spark.range(300).selectExpr("id", "concat('c', id % 3) label", "double(id % 3) + (id % 7) / 20 f0", "double(id % 5) f1")
+    trained = models.train_boosting(rows, "label", ["f0", "f1"], rounds=4, depth=2)
+    scored = models.score(trained, rows, ["label"]).collect()
+    assert all(1 / 3 <= r["confidence"] <= 1 for r in scored) and np.mean([r["label"] == r["predicted_label"] for r in scored]) > 0.95
+    said = {r["IDS_Prediction"] for r in models.score_live(trained, rows.drop("label"), least=1.01).collect()}
+    assert said == {evaluate.UNKNOWN}
 
 
+def test_tuning_goes_on_where_it_broke_off(spark, tmp_path):
+    rows, options, fitted = wide(spark), models.grid(trees=[1, 3], depth=[2]), []
+
+    def make(option):
+        fitted.append(str(option))
+        if len(fitted) == 3 + 1:
+            raise RuntimeError("lost")
+        return models.forest_of(option)
+
+    folder = str(tmp_path / "tuning")
+    with pytest.raises(RuntimeError):
+        models.tune(rows, "label", ["f0", "f1"], options, make, ["id"], folder=folder)
+    results = models.tune(rows, "label", ["f0", "f1"], options, make, ["id"], folder=folder)
+    assert results.count() == 6 and fitted[:3] == [str(options[0])] * 3 and fitted[4:] == [str(options[1])] * 3
+    assert results.where("seconds > 0 and f1 between 0 and 1").count() == 6
+    best, option = models.refit_best(rows, "label", ["f0", "f1"], results, options, models.forest_of)
+    assert option in options and models.score(best, rows, ["id"]).count() == rows.count()
+
+
+def test_weak_features(spark):
+    given = spark.createDataFrame([("a", 99.95), ("c", 0.02), ("b", 0.03)], "feature string, percent double")
+    assert models.weak_features(given, 0.1) == ["b", "c"]
+
+
+def test_headers_with_repeats(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,x,Label,x.1,y\n1,2,b,3,4\n5,6,m,7,8\n")
+    got = readers.read_unique(spark, str(tmp_path / "a.csv"))
+    assert got.columns == ["x", "Label", "y"] and sorted(map(tuple, got.collect())) == [("1", "b", "4"), ("5", "m", "8")]
+
+
+def test_deletion_summary(spark):
+    got = schema.deletion_summary(spark, {"a": ["X ", "y"], "b": []}, ["x", "z", "x"]).orderBy("file").collect()
+    assert [tuple(r) for r in got] == [("a", 1, 1, ["X "], ["z"]), ("b", 0, 2, [], ["x", "z"])]
+
+
+def test_neighbours_within_labels(spark, monkeypatch):
+    monkeypatch.setattr(balance, "BLOCK", 7)
+    rows = spark.createDataFrame([(k, "ab"[k % 3 == 0], [float(k * 37 % 101), float(k % 11)]) for k in range(60)], "id long, label string, x array<double>")
+    data = {r["id"]: (r["label"], np.array(r["x"])) for r in rows.collect()}
+    got = {}
+    for r in balance.neighbours(rows, rows, 4, same_label=True).collect():
+        got.setdefault(r["id"], {})[r["place"]] = r["neighbour"]
+    for k, (label, x) in data.items():
+        near = sorted((float(((x - y) ** 2).sum()), j) for j, (other, y) in data.items() if j != k and other == label)[:4]
+        assert [got[k][p] for p in range(1, 5)] == [j for _, j in near]
+
 def test_streams(spark, tmp_path):
     from flowmill.streaming import scoring
 
