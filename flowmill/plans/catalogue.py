@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from flowmill.functions.expr import file_safe, finite_or_zero, is_label, number_of, plain_title, value_type
 from flowmill.operators import balance, cleaning, correlation, dedup, evaluate, models, profile, sampling, schema
 from flowmill.plans import assembly
-from flowmill.sources.readers import mark_missing, row_counts
-from flowmill.sources.sinks import split_parts
+from flowmill.sources.readers import mark_missing, preview, raw_header, read_column_list, read_csv, read_csv_text, read_label_map, read_unique, row_counts
+from flowmill.sources.sinks import report_text, run_folder, split_parts, write_by_class, write_csv, write_label_map, write_parts
+from flowmill.storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -303,26 +304,33 @@ def first_rows(spark, sf_dir):
     return dedup.first_rows(rows, ["l_returnflag", "l_linestatus", "l_linenumber"], ["l_orderkey"])
 
 
-_SLICES = "with raw as (select * from lineitem where l_orderkey % 4 <> 0), processed as (select * from lineitem where l_orderkey % 3 <> 0)"
+# All of lineitem against a processed table in which some rows are changed.
+_SLICES = "with raw as (select * from lineitem), processed as (select * replace (case when l_orderkey % 7 = 0 then l_quantity + 1000 else l_quantity end as l_quantity) from lineitem)"
+
+
+def raw_and_processed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = read(spark, sf_dir, "lineitem")
+    changed = F.when(F.col("l_orderkey") % 7 == 0, F.col("l_quantity") + 1000).otherwise(F.col("l_quantity"))
+    return rows, rows.withColumn("l_quantity", changed)
 
 
 @query(_SLICES + """ select (select count(*) from (select distinct * from raw)) as raw_distinct, (select count(*) from (select distinct * from processed)) as processed_distinct,
   (select count(*) from (select * from raw except select * from processed)) as missing, (select count(*) from (select * from processed except select * from raw)) as extra""")
 def difference_counts(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem")
-    return dedup.difference_counts(rows.where("l_orderkey % 4 <> 0"), rows.where("l_orderkey % 3 <> 0"))
+    raw, processed = raw_and_processed(spark, sf_dir)
+    return dedup.difference_counts(raw, processed)
 
 
 @query(_SLICES + " select * from raw except select * from processed")
 def missing_rows(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem")
-    return dedup.missing_rows(rows.where("l_orderkey % 4 <> 0"), rows.where("l_orderkey % 3 <> 0"))
+    raw, processed = raw_and_processed(spark, sf_dir)
+    return dedup.missing_rows(raw, processed)
 
 
-@query("select distinct l_orderkey, l_partkey from lineitem where l_orderkey % 3 = 0 order by 1, 2 limit 10")
+@query(_SLICES + " select * from (select l_orderkey, l_quantity from raw except select l_orderkey, l_quantity from processed) order by 1, 2 limit 10")
 def sample_missing(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    return dedup.sample_missing(rows, rows.where("l_orderkey % 3 <> 0"))
+    raw, processed = raw_and_processed(spark, sf_dir)
+    return dedup.sample_missing(raw.select("l_orderkey", "l_quantity"), processed.select("l_orderkey", "l_quantity"))
 
 
 # Samples and splits
@@ -745,3 +753,233 @@ def grid_search(spark, sf_dir):
     rows = embedded(spark, sf_dir).withColumn("label", F.col("label") % 3)
     options = models.grid(trees=[5, 10], depth=[3])
     return models.tuning_summary(models.tune(rows, "label", DIMS, options, models.forest_of, ["vec_id"]))
+
+
+# Invariants of models, as far as SQL can say them
+
+
+@query("select count(*) as n_rows, count(distinct vec_id) as n_ids, true as known_labels, true as sure_enough, true as better_than_chance from embeddings")
+def forest_invariants(spark, sf_dir):
+    rows = forest_scores(spark, sf_dir)
+    labels = read(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("known")).distinct()
+    joined = rows.join(labels, rows["predicted_label"] == labels["known"], "left")
+    hit = F.avg((F.col("predicted_label") == F.col("label").cast("string")).cast("int"))
+    return joined.agg(F.count("*").alias("n_rows"), F.count_distinct("vec_id").alias("n_ids"), F.every(F.col("known").isNotNull()).alias("known_labels"), F.every(F.col("confidence").between(0.1, 1.0)).alias("sure_enough"), (hit > 0.2).alias("better_than_chance"))
+
+
+@query("select cast(64 as bigint) as n_features, cast(100 as decimal(24,7)) as percent, true as positive")
+def boosting_invariants(spark, sf_dir):
+    return boosting_importance(spark, sf_dir).agg(F.count_distinct("feature").alias("n_features"), dec(F.round(F.sum("percent"), 6)).alias("percent"), F.every(F.col("percent") >= 0).alias("positive"))
+
+
+@query("select cast(label % 3 as varchar) as label, cast(5 as bigint) as n_features, cast(15 as bigint) as places from embeddings group by 1")
+def importance_invariants(spark, sf_dir):
+    return importance_by_label(spark, sf_dir).groupBy("label").agg(F.count_distinct("feature").alias("n_features"), F.sum("place").alias("places"))
+
+
+@query("select count(*) as n_rows, count(distinct event_id) as n_ids, true as in_bounds, true as by_threshold from events")
+def isolation_invariants(spark, sf_dir):
+    score, low = F.col("anomaly_score"), F.col("prediction") == -1
+    return isolation_forest(spark, sf_dir).agg(F.count("*").alias("n_rows"), F.count_distinct("event_id").alias("n_ids"), F.every((score > 0) & (score < 1)).alias("in_bounds"), F.every(low == (score > 0.5)).alias("by_threshold"))
+
+
+@query("select cast(sum(n - round_even(n * 0.8, 0)) as bigint) as n_held_out, true as in_bounds from (select count(*) as n from embeddings where label is not null group by label)")
+def holdout_invariants(spark, sf_dir):
+    bounded = [F.every(F.col(c).between(0.0, 1.0)) for c in ("precision", "recall", "f1")]
+    return holdout_report(spark, sf_dir).agg(F.sum("support").alias("n_held_out"), (bounded[0] & bounded[1] & bounded[2]).alias("in_bounds"))
+
+
+@query("select count(*) as n_rows, true as known from embeddings")
+def live_invariants(spark, sf_dir):
+    known = F.col("IDS_Prediction").isin(evaluate.UNKNOWN, *[str(k) for k in range(10)])
+    kept = (F.col("IDS_Prediction") == evaluate.UNKNOWN) == (F.col("IDS_Confidence") < 0.60)
+    return live_scores(spark, sf_dir).agg(F.count("*").alias("n_rows"), F.every(known & kept).alias("known"))
+
+
+@query("select 'trees ' || x as trees, cast(3 as bigint) as folds, true as in_bounds, true as timed from (values ('5'), ('10')) v(x)")
+def tuning_folds(spark, sf_dir):
+    rows = embedded(spark, sf_dir).withColumn("label", F.col("label") % 3)
+    tried = models.tune(rows, "label", DIMS, models.grid(trees=[5, 10], depth=[3]), models.forest_of, ["vec_id"])
+    trees = F.concat(F.lit("trees "), F.regexp_extract("combination", "'trees': ([0-9]+)", 1))
+    return tried.groupBy(trees.alias("trees")).agg(F.count_distinct("fold").alias("folds"), F.every(F.col("f1").between(0.0, 1.0)).alias("in_bounds"), F.every(F.col("seconds") > 0).alias("timed"))
+
+
+# Neighbours and what is drawn between them
+
+
+_DISTANCES = """
+with v as (select vec_id as id, cast(label as varchar) as label, [cast(x as double) for x in embedding] as x from embeddings where vec_id is not null and label is not null and embedding is not null),
+d as (select a.id, b.id as neighbour, a.label = b.label as same, list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(a.x, b.x)]) as distance from v a join v b on a.id <> b.id $)
+select id, neighbour, cast(row_number() over (partition by id order by distance, neighbour) as integer) as place, same from d qualify place <= 5
+"""
+
+
+@query(_DISTANCES.replace("$", "and a.label = b.label"))
+def nearest_of_label(spark, sf_dir):
+    rows = balance._vectors(read(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+    return balance.neighbours(rows, rows, 5, same_label=True)
+
+
+@query(_DISTANCES.replace("$", ""))
+def nearest_of_all(spark, sf_dir):
+    rows = balance._vectors(read(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+    return balance.neighbours(rows, rows, 5, same_label=False)
+
+
+@query("with c as (select cast(label as varchar) as label, count(*) as n from embeddings where label is not null group by 1), m as (select max(n) as most from c) select label, most - n as n_rows, true as on_segments from c, m where most > n")
+def smote_counts(spark, sf_dir):
+    made = smote(spark, sf_dir)
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+    ends = made.join(rows.select(F.col("vec_id").alias("id"), F.col("v").alias("a")), "id").join(rows.select(F.col("vec_id").alias("neighbour"), F.col("v").alias("b")), "neighbour")
+    inside = F.forall(F.arrays_zip("x", "a", "b"), lambda t: (t["x"] >= F.least(t["a"], t["b"]) - 1e-9) & (t["x"] <= F.greatest(t["a"], t["b"]) + 1e-9))
+    return ends.groupBy("label").agg(F.count("*").alias("n_rows"), F.every(inside).alias("on_segments"))
+
+
+# Sources and sinks: written to the shared folder, and read back
+
+
+def _folder(spark: SparkSession) -> str:
+    return run_folder(shared_dir(spark))
+
+
+def _csv(spark: SparkSession, sf_dir: str) -> str:
+    folder = _folder(spark)
+    write_csv(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"), folder)
+    return folder
+
+
+def _text_file(spark: SparkSession, lines: list[str]) -> str:
+    folder = _folder(spark)
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(folder)
+    return folder
+
+
+@query("select l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag, cast(null as double) as absent from lineitem")
+def csv_folder(spark, sf_dir):
+    return read_csv(spark, _csv(spark, sf_dir), "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, absent double")
+
+
+@query("select cast(l_orderkey as varchar) as l_orderkey, cast(l_linenumber as varchar) as l_linenumber, l_returnflag from lineitem")
+def csv_text(spark, sf_dir):
+    return read_csv_text(spark, _csv(spark, sf_dir)).select("l_orderkey", "l_linenumber", "l_returnflag")
+
+
+@query("select l_extendedprice, l_returnflag from lineitem")
+def csv_projection(spark, sf_dir):
+    return read_csv(spark, _csv(spark, sf_dir), "l_extendedprice double, l_returnflag string")
+
+
+@query("select x as place, y as name from (values (0, 'l_orderkey'), (1, 'l_linenumber'), (2, 'l_quantity'), (3, 'l_extendedprice'), (4, 'l_returnflag')) v(x, y)")
+def csv_header(spark, sf_dir):
+    names = raw_header(spark, _csv(spark, sf_dir))
+    return spark.createDataFrame([(k, n) for k, n in enumerate(names)], "place int, name string")
+
+
+@query("select cast(count(distinct l_returnflag) as bigint) as n_files, count(*) as n_rows from lineitem")
+def csv_discovery(spark, sf_dir):
+    folder = _folder(spark)
+    read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("flag")).repartition(1).write.partitionBy("flag").csv(folder, header=True)
+    return read_csv_text(spark, folder, source_col="file").agg(F.count_distinct("file").alias("n_files"), F.count("*").alias("n_rows"))
+
+
+@query("select least(count(*), 100) as n_rows from lineitem")
+def preview_rows(spark, sf_dir):
+    return preview(read(spark, sf_dir, "lineitem"), 100).agg(F.count("*").alias("n_rows"))
+
+
+@query("select name, place from (values ('a', 0), ('b', 1), ('c d', 2)) v(name, place)")
+def column_list(spark, sf_dir):
+    names = read_column_list(spark, _text_file(spark, ["a, b # two", "# none", "c d"]))
+    return spark.createDataFrame([(n, k) for k, n in enumerate(names)], "name string, place int")
+
+
+@query("select event_type as label, cast(row_number() over (order by event_type) - 1 as integer) as code from (select distinct event_type from events where event_type is not null)")
+def label_map_text(spark, sf_dir):
+    codes = sampling.label_codes(read(spark, sf_dir, "events"), "event_type").collect()
+    return read_label_map(spark, _text_file(spark, ["labels", "---", *[f"{r['label']} : {r['code']}" for r in codes]]))
+
+
+@query("select event_type as label, cast(row_number() over (order by event_type) - 1 as integer) as code from (select distinct event_type from events where event_type is not null)")
+def label_map_json(spark, sf_dir):
+    folder = _folder(spark)
+    write_label_map(sampling.label_codes(read(spark, sf_dir, "events"), "event_type"), folder)
+    return spark.read.schema("label string, code int").json(folder)
+
+
+@query("select l_orderkey, l_linenumber from lineitem order by l_orderkey, l_linenumber limit 1000")
+def capped_csv(spark, sf_dir):
+    folder = _folder(spark)
+    write_csv(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), folder, max_rows=1000, order=[F.col("l_orderkey"), F.col("l_linenumber")])
+    return read_csv(spark, folder, "l_orderkey long, l_linenumber int")
+
+
+@query("select cast((n - 1) // 1500 as integer) as part, count(*) as n_rows from (select row_number() over (order by event_id) as n from events) group by 1")
+def csv_parts(spark, sf_dir):
+    folder = _folder(spark)
+    write_parts(read(spark, sf_dir, "events").select("event_id"), folder, 1500, ["event_id"])
+    return spark.read.schema("event_id long, part int").csv(folder, header=True).groupBy("part").agg(F.count("*").alias("n_rows"))
+
+
+@query("select event_type as kind, count(*) as n_rows, min(event_id) as first_id from events group by 1")
+def class_folders(spark, sf_dir):
+    folder = _folder(spark)
+    write_by_class(read(spark, sf_dir, "events").select("event_id", "event_type"), folder, F.col("event_type"), name="kind")
+    kinds = spark.read.schema("event_id long, event_type string, kind string").parquet(folder)
+    return kinds.groupBy("kind").agg(F.count("*").alias("n_rows"), F.min("event_id").alias("first_id"))
+
+
+@query("select place, line from (values (0, 'Regions'), (1, '======='), (2, 'r_regionkey  size'), (3, '-----------------')) v(place, line) union all select 4 + r_regionkey, rpad(cast(r_regionkey as varchar), 13, ' ') || printf('%.4f', r_regionkey / 4) from region")
+def text_report(spark, sf_dir):
+    rows = read(spark, sf_dir, "region").orderBy("r_regionkey").select("r_regionkey", (F.col("r_regionkey") / 4).alias("size"))
+    return spark.createDataFrame([(k, x) for k, x in enumerate(report_text(rows, "Regions").splitlines())], "place int, line string")
+
+
+# Names
+
+
+@query("select l_orderkey as avg_segment_size, l_quantity as rate from lineitem")
+def aliased_columns(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias(" Segment_Size_Mean "), F.col("l_quantity").alias("RATE"))
+    return schema.normalize_columns(rows, schema.ALIASES)
+
+
+@query("select l_linenumber as x, l_quantity as y from lineitem")
+def last_of_duplicates(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("x"), F.col("l_quantity").alias("y"), F.col("l_linenumber").alias(" X"))
+    return schema.normalize_columns(rows, on_duplicate="last")
+
+
+@query("select cast(l_orderkey as varchar) as x, l_returnflag as y from lineitem")
+def first_of_duplicates(spark, sf_dir):
+    folder = _folder(spark)
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), "l_returnflag")
+    rows.toDF("x", "x.1", "y").write.csv(folder, header=True)
+    return read_unique(spark, folder)
+
+
+@query("select x as name, y as times from (values ('a', 1), ('c', 1)) v(x, y)")
+def delete_list(spark, sf_dir):
+    names, twice_named = schema.deletion_list(["a", "b", "A "], ["c"], ["b"])
+    return spark.createDataFrame([(n, 1) for n in names], "name string, times int")
+
+
+@query("select file, found_count, not_found_count, removed, missing from (values ('lineitem', 2, 1, 'l_tax|l_discount', 'nope'), ('region', 0, 3, '', 'L_TAX|l_discount|nope')) v(file, found_count, not_found_count, removed, missing)")
+def deletion_summary(spark, sf_dir):
+    files = {n: read(spark, sf_dir, n).columns for n in ("lineitem", "region")}
+    made = schema.deletion_summary(spark, files, ["L_TAX", "l_discount", "nope"])
+    ordered = F.array_join(F.reverse(F.array_sort("removed_columns")), "|")
+    return made.select("file", "found_count", "not_found_count", ordered.alias("removed"), F.array_join("requested_missing", "|").alias("missing"))
+
+
+# Rows and columns with missing or infinite cells
+
+
+@query(DIRTY + "select event_id, value from dirty where value is not null and text_value is not null")
+def drop_missing(spark, sf_dir):
+    return cleaning.drop_missing(dirty_events(spark, sf_dir), "value", "text_value").select("event_id", "value")
+
+
+@query(DIRTY + "select event_id, case when value is null or isinf(value) then 0 else value end as value from dirty")
+def handled_inf_columns(spark, sf_dir):
+    rows = dirty_events(spark, sf_dir).select("event_id", "value", "text_value")
+    return cleaning.handle_inf_columns(rows, zero=["value"], delete=["text_value"])
