@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowmill.storage import cut, shared_dir
 
-__all__ = ["WORD", "cut", "fresh", "held_out", "shared_dir", "table"]
+__all__ = ["WORD", "cut", "fresh", "held_out", "shared_dir", "slices", "table"]
 
 #: The white space of the word rule ``[^\x20\x09-\x0D]+``, which all word counts here share.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,3 +34,10 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     A null id is held out, too: nothing is learned from rows that can't be told apart.
     """
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == 0, F.lit(True))
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows, for work whose results are much larger than a row."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

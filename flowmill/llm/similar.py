@@ -8,9 +8,10 @@ No radius finds all pairs of a coefficient, so the rest is found exactly.  Of tw
 of the other among its first n - ceil(t n) + 1 in any order that both share (prefix filter), and at the first shared one enough
 shingles of both must be left (positional filter).  The order is by frequency, rare ones first, so boilerplate comes last.  Texts
 that meet in a shingle and aren't in one component yet are compared by sketches, the parities of how many shingles fall in each of
-SKETCH_BITS bins: these differ in at most as many bins as the sets do in shingles, so this bound loses nothing either.  What
-passes is verified by the exact coefficient: first each text's nearest one in each shingle, which joins what is left of dense
-groups, then every pair that is still apart.
+SKETCH_BITS bins: these differ in at most as many bins as the sets do in shingles, so this bound loses nothing either.  Long
+texts fill so few bins, so pairs of them go on to sketches that grow with the text.  What passes is verified by the exact
+coefficient: first each text's nearest one in each shingle, which joins what is left of dense groups, then every pair that is
+still apart.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowmill.llm.common import cut
+from flowmill.llm.common import cut, slices
 from flowmill.llm.components import components
 from flowmill.llm.simhash import MAX_BROADCAST_KEYS, MAX_SHARD, PAIRS, QUERIES, BKTree, first_row, majority, others, search_shards, sharded, shingle_set, whole_groups, with_end, with_kept
 from flowmill.llm.text import mix
@@ -42,14 +43,31 @@ SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 #: Buckets in which the frequencies of shingles are counted; they order the shingles, and don't change what is found.
 BUCKETS = 1 << 20
 
+#: Partners of a text that one task compares with it.
+MAX_PARTNERS = 1000
+
 #: Texts of one shingle that a task compares; where more share one, each pair of such parts is a task of its own.
 MAX_TOKEN_ROWS = 50_000
 
 
-def sketch(own: np.ndarray) -> np.ndarray:
+def sketch(own: np.ndarray, bins: int = SKETCH_BITS) -> np.ndarray:
     """The parities of how many of a set fall in each bin, as signed numbers of 64 bits."""
-    bits = np.bincount((own % np.uint64(SKETCH_BITS)).astype("i8"), minlength=SKETCH_BITS).astype("u1") & 1
-    return np.packbits(bits).view("<i8")
+    bits = np.bincount((own % np.uint64(bins)).astype("i8"), minlength=bins).astype("u1") & 1
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
+def long_sketch(own: np.ndarray) -> np.ndarray:
+    """A sketch of at least two bins a shingle, a power of two and not fewer than SKETCH_BITS."""
+    return sketch(own, max(SKETCH_BITS, 1 << (2 * len(own) - 1).bit_length()))
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> int:
+    """In how many bins two sketches differ; the larger one is folded to the other's bins."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count((a ^ b).view("u8")).sum(dtype="i8"))
 
 
 def profiles(docs: DataFrame, *, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,7 +81,7 @@ def profiles(docs: DataFrame, *, shingle: int, id_col: str = "doc_id", text_col:
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, id_type = np.zeros(BUCKETS, "i8"), None
-        for batch in batches:
+        for batch in slices(batches):
             id_type, out = batch.column(0).type, np.zeros((batch.num_rows, 2 + len(SKETCH)), "i8")
             for k, text in enumerate(batch.column(2)):
                 own = nonempty_set(text.as_py(), shingle)
@@ -176,23 +194,68 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
-    """Of ``pairs`` (a, b: text hashes) those whose texts (``text_hash, utf8``, one row each) are similar enough."""
-    left = pairs.join(texts.select(F.col("text_hash").alias("a"), F.col("utf8").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("text_hash").alias("b"), F.col("utf8").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+def texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``wanted`` (node and other columns) with utf8: the text of a row with that text hash. ``nodes``: node, id; ``texts``: id, text_hash, utf8."""
+    others = [c for c in wanted.columns if c != "node"]
+    keys = cut(wanted.join(nodes, "node").select(*others, F.col("node").alias("want_hash"), F.col("id").alias("want_id")))
+    keys = F.broadcast(keys) if keys.count() <= MAX_BROADCAST_KEYS else keys
+    found = texts.join(keys, (F.col("text_hash") == F.col("want_hash")) & F.col("id").eqNullSafe(F.col("want_id")))
+    return found.select(*others, F.col("text_hash").alias("node"), "utf8")
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
+    """Of ``pairs`` (a, b: text hashes) those that may be similar by :func:`long_sketch`. The sketches, not the texts, go to the pairs."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [nonempty_set(t.as_py(), shingle) for t in batch.column(1)]
+            columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([long_sketch(x).tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "size", "bins"])
+
+    drawn = texts_of(named, nodes, texts).select("node", "utf8").mapInArrow(draw, "node long, size long, bins binary")
+    drawn = cut(drawn.groupBy("node").agg(F.first("size").alias("size"), F.first("bins").alias("bins")))  # a text may be there twice
+    left, right = (drawn.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("bins").alias(f"bins_{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "bins_a", "bins_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes, np.ndarray] = (b"", nonempty_set(b"", shingle))  # rows of one text come together
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                own = y.as_py()
-                if own != last[0]:
-                    last = (own, nonempty_set(own, shingle))
-                keep[k] = jaccard(nonempty_set(x.as_py(), shingle), last[1]) >= similarity
+            sizes = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
+            most = sizes - 2 * least_shared(sizes, similarity)
+            sketches = zip(*[[np.frombuffer(x.as_buffer(), "<i8") for x in batch.column(k)] for k in (4, 5)], strict=True)
+            keep = np.array([apart(x, y) for x, y in sketches], "i8") <= most
             yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep)).columns[:2], ["a", "b"])
 
-    return both.mapInArrow(check, "a long, b long")
+    return cut(both.mapInArrow(check, "a long, b long"))
+
+
+def compared(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
+    """Of ``pairs`` (a, b: text hashes) those whose texts are similar enough. ``nodes``: node, id; ``texts``: id, text_hash, utf8.
+
+    Texts go to the pairs' end with more partners, each once a pair, in one shuffle; an end with very many partners is dealt out.
+    """
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
+    ends = pairs.join(degree.select(F.col("node").alias("a"), F.col("count").alias("of_a")), "a").join(degree.select(F.col("node").alias("b"), F.col("count").alias("of_b")), "b")
+    turned = F.col("of_b") > F.col("of_a")
+    dealt_to = F.pmod(F.xxhash64("a", "b"), F.ceil(F.greatest("of_a", "of_b") / MAX_PARTNERS)).cast("int")
+    keyed = cut(ends.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("centre"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("node"), dealt_to.alias("part")))
+    wanted = keyed.select("centre", "part", "node", F.lit(1).alias("partner")).unionAll(keyed.select("centre", "part", F.col("centre").alias("node"), F.lit(0).alias("partner")).distinct())
+    sent = texts_of(wanted, nodes, texts).select("centre", "part", "partner", "node", "utf8")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, np.zeros(0, "u8")
+        for batch in batches:
+            found = []
+            for key, partner, node, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                if partner:
+                    if jaccard(nonempty_set(text.as_py(), shingle), own) >= similarity:
+                        found.append((key, node) if key < node else (node, key))
+                elif key != last:
+                    last, own = key, nonempty_set(text.as_py(), shingle)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    key = ["centre", "part"]
+    return cut(sent.repartition(*key).sortWithinPartitions(*key, "partner").mapInArrow(check, "a long, b long").distinct())
 
 
 def bucket_counts(rows: DataFrame) -> np.ndarray:
@@ -222,7 +285,7 @@ def prefixes(texts: DataFrame, counts: np.ndarray, *, shingle: int, similarity:
     names = ["token", "size", "node"]
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             parts = [np.zeros((3, 0), "i8")]
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = nonempty_set(text.as_py(), shingle)
@@ -292,16 +355,19 @@ def dealt(shared: DataFrame, max_rows: int) -> DataFrame:
     return several.select(*shared.columns, F.least("own", "to").alias("part"), F.greatest("own", "to").alias("with_part"))
 
 
+def of_several_groups(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``shared`` (:func:`prefixes`) whose token comes in texts of several of ``groups`` (node, root; others are alone)."""
+    own = shared.join(groups, "node", "left").select("token", "size", "node", F.coalesce("root", "node").alias("group"))
+    mixed = own.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x != y").select("token")
+    return own.join(mixed, "token").select("token", "size", "node")
+
+
 def meeting_pairs(shared: DataFrame, groups: DataFrame, *, similarity: float, all_pairs: bool = True) -> DataFrame:
     """``a, b``: pairs that meet in a token of ``shared`` (:func:`prefixes`, :func:`dealt`) and may be similar, for ``groups`` (node,
     group and sketch of every node). Without ``all_pairs``, only each text's nearest one in each token.
     """
     key = ["token", "part", "with_part"]
-    # A token of a single group has no pair; the sketches of its texts stay where they are.
-    own = shared.join(groups.select("node", "group"), "node")
-    mixed = own.groupBy(*key).agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x != y").select(*key)
-    rows = own.join(mixed, key).select(*key, "size", "node", "group")
-    rows = rows.join(groups.drop("group"), "node").select(*key, "size", "node", "group", *SKETCH)
+    rows = shared.join(groups, "node").select(*key, "size", "node", "group", *SKETCH)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, starts, ends in whole_groups(batches, 3):
@@ -340,14 +406,8 @@ def similar_documents(docs: DataFrame, *, shingle: int = SHINGLE, radius: int =
     rows = found_rows.where("text_hash is not null").drop("bucket", "n")
     nodes = cut(rows.groupBy(F.col("text_hash").alias("node")).agg(first_row(), *[F.min(x).alias(x) for x in ("fp", "fp2", *SKETCH)]))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.col(id_col).alias("own_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("utf8"))
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        named = pairs.select("a").unionAll(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "node")
-        wanted = cut(nodes.join(named, "node").select(F.col("first.id").alias("want_id"), F.col("node").alias("want_hash")))
-        wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_KEYS else wanted
-        texts = own.join(wanted, (F.col("text_hash") == F.col("want_hash")) & F.col("own_id").eqNullSafe(F.col("want_id"))).select("text_hash", "utf8").dropDuplicates(["text_hash"])
-        return cut(verified(pairs, cut(texts), shingle=shingle, similarity=similarity))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("utf8"))
+    of_nodes = nodes.select("node", F.col("first.id").alias("id"))
 
     def close() -> DataFrame:
         out = None
@@ -361,12 +421,14 @@ def similar_documents(docs: DataFrame, *, shingle: int = SHINGLE, radius: int =
         return cut(out.distinct())
 
     tested = close()
-    sure = compared(tested)
+    sure = compared(tested, of_nodes, texts, shingle=shingle, similarity=similarity)
     found = cut(components(sure))
-    shared = cut(dealt(cut(prefixes(own, bucket_counts(found_rows), shingle=shingle, similarity=similarity)), max_token_rows))
+    shared = prefixes(texts, bucket_counts(found_rows), shingle=shingle, similarity=similarity)
+    shared = dealt(cut(of_several_groups(shared, found)), max_token_rows)
     for all_pairs in (False, True):
         groups = cut(nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("group"), *SKETCH))
         more = cut(meeting_pairs(shared, groups, similarity=similarity, all_pairs=all_pairs).join(tested, ["a", "b"], "left_anti"))
-        tested, sure = tested.unionAll(more), sure.unionAll(compared(more))
+        near = possible(more, of_nodes, texts, shingle=shingle, similarity=similarity)
+        tested, sure = tested.unionAll(more), sure.unionAll(compared(near, of_nodes, texts, shingle=shingle, similarity=similarity))
         found = cut(components(sure))
     return with_kept(rows.select("id", "text_hash", "fp", F.col("text_hash").alias("node")), nodes.select("node", "first"), found)

@@ -128,7 +128,10 @@ def test_sketches_bound_the_difference():
     for _ in range(200):
         pool = rng.integers(0, 1 << 62, 900, dtype="u8")
         a, b = (np.unique(rng.choice(pool, rng.integers(1, 900))) for _ in range(2))
-        assert np.bitwise_count((similar.sketch(a) ^ similar.sketch(b)).view("u8")).sum() <= len(np.setxor1d(a, b))
+        differ = len(np.setxor1d(a, b))
+        assert similar.apart(similar.long_sketch(a), similar.long_sketch(b)) <= differ
+        assert similar.apart(similar.sketch(a, 4096), similar.sketch(b)) == similar.apart(similar.sketch(a), similar.sketch(b))
+        assert np.bitwise_count((similar.sketch(a) ^ similar.sketch(b)).view("u8")).sum() <= differ
 
 
 def test_one_row_batches_keep_what_meets(spark):
