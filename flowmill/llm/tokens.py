@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowmill.llm.common import shared_dir
+from flowmill.llm.common import shared_dir, slices
 
 MAGIC = b"FMTOKZ01"
 HEAD, FOOT = "<8sB32s", "<QQ8s"
@@ -44,7 +44,7 @@ HEAD, FOOT = "<8sB32s", "<QQ8s"
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, LEVEL = 1000, (64, 8192), 64 << 10, 3
 
 #: Words remembered with their ids in a Python worker; then it starts anew.
-MEMO_WORDS, MEMO_BYTES = 400_000, 48
+MEMO_WORDS, MEMO_BYTES = 200_000, 48
 
 
 def _fs(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -238,7 +238,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: i
         enc = encoder(tokenizer)
         end, item = np.array([end_id], dtype=enc.dtype).tobytes(), enc.dtype.itemsize
         press = zstandard.ZstdCompressor(level=LEVEL, **({"dict_data": zstandard.ZstdCompressionDict(data)} if data else {}))
-        for batch in batches:
+        for batch in slices(batches):
             ids, ties = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             shards = [bisect_right(bounds, (i is not None, i or 0, t)) for i, t in zip(ids, ties, strict=True)]
             counts, frames = [], []
