@@ -41,7 +41,7 @@ SAMPLES, REPETITIONS, SEED = 2, 16, 20_021
 #: Benchmark rows, and characters of these, that are sent to all tasks at once; more are taken in blocks, about so large each.
 MAX_ITEMS, MAX_CHARS = 50_000, 64 << 20
 
-BLOCK_WORDS, PAIRS = 1 << 21, 1 << 12
+BLOCK_WORDS, PAIRS = 1 << 20, 1 << 12
 
 
 def allowed(size: int, edits: float, min_words: int = MIN_WORDS) -> int:
@@ -128,19 +128,29 @@ class Bench:
             yield starts[pairs // len(self.whole)], pairs % len(self.whole)
 
     def distances(self, flat: np.ndarray, starts: np.ndarray, item: int, more: int = 0) -> np.ndarray:
-        """The least edit distance of the item to any passage from k words before each window to ``k + more`` words after it."""
+        """The least edit distance of the item to any passage from k words before each window to ``k + more`` words after it;
+        where that is over k, a number over k. Passages within k edits have at least n - k words of the item's n, so only windows
+        with so many are compared word for word.
+        """
         words, k = self.items[item], int(self.bound[item])
         columns = np.arange(len(words) + 2 * k + more)
         at = starts[:, None] - k + columns
         near = np.where((at >= 0) & (at < len(flat)), flat[np.clip(at, 0, len(flat) - 1)], 0)
-        slope = np.arange(len(columns) + 1, dtype="i4")
-        row = np.zeros((len(starts), len(columns) + 1), "i4")  # a passage may start anywhere
+        known = np.zeros(len(self.number) + 1, bool)
+        known[words] = True
+        out = np.full(len(starts), len(words) + 1, "i4")
+        some = np.flatnonzero(known[near].sum(axis=1) >= len(words) - k)
+        if not len(some):
+            return out
+        near, slope = near[some], np.arange(len(columns) + 1, dtype="i4")
+        row = np.zeros((len(some), len(columns) + 1), "i4")  # a passage may start anywhere
         for i, word in enumerate(words, 1):
             new = np.empty_like(row)
             new[:, 0] = i
             np.minimum(row[:, :-1] + (near != word), row[:, 1:] + 1, out=new[:, 1:])
             row = np.minimum.accumulate(new - slope, axis=1) + slope
-        return row.min(axis=1)
+        out[some] = row.min(axis=1)
+        return out
 
     def find(self, texts: list[np.ndarray]) -> dict[tuple[int, int], int]:
         """(text, item) -> least edits found, of all within the bound."""
