@@ -17,11 +17,20 @@ from flowmill.llm.queries import END_ID, MIX_CAP, MIX_SEED, MIX_SHARE, MIX_WEIGH
 ORACLE_SQL = None
 
 
+#: Texts may be long, so Python takes few rows at a time: a batch of some MB instead of a whole file's part.
+ARROW_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on labelled ones of ``docs``, scores at the threshold or above.
 
     Null and empty texts have a score like any other, rows without ids too; repeated rows stay or go together.
     """
+    small_batches(spark)
     model = quality.learn(docs, table(spark, sf_dir, "labels").where(~held_out()))
     score = fresh(docs, "score")
     return quality.score(docs, model, name=score).where(F.col(score) >= QUALITY_THRESHOLD).drop(score)
@@ -32,11 +41,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The smallest id stays (null last), and one of repeated rows.  Null texts and texts without words are one group.
     """
+    small_batches(spark)
     return simhash.drop_near_duplicates(docs, similar.similar_documents(docs))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item. Null texts stay; repeated rows stay or go together."""
+    small_batches(spark)
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -50,6 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids in binary shards; what the files hold of each, read back."""
+    small_batches(spark)
     folder = tokens.new_folder(spark)
     tokens.write_token_files(docs, public_tokenizers.path(TOKENIZER), folder, end_id=END_ID)
     return tokens.read_token_files(spark, folder)

@@ -22,7 +22,7 @@ import struct
 import uuid
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,8 +43,8 @@ HEAD, FOOT = "<8sB32s", "<QQ8s"
 #: a shared dictionary helps short documents.  It changes the files' size only, never what is read back.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, LEVEL = 1000, (64, 8192), 64 << 10, 3
 
-#: Words remembered with their ids in a Python worker; then it starts anew.
-MEMO_WORDS, MEMO_BYTES = 200_000, 48
+#: Words, and parts of words with signs, remembered with their ids in a task (about 200 bytes each); then it starts anew.
+MEMO_WORDS, MEMO_BYTES, MEMO_PIECES = 400_000, 48, 200_000
 
 
 def _fs(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -60,6 +60,20 @@ _BY_WORD = (
 )
 
 
+class Memo(dict):
+    """Words and what ``make`` gives for them, made when first asked for; long words aren't kept."""
+
+    def __init__(self, make: Callable[[bytes], bytes]) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: bytes) -> bytes:
+        made = self.make(word)
+        if len(word) <= MEMO_BYTES:
+            self[word] = made
+        return made
+
+
 class Encoder:
     """Texts (UTF-8 bytes) to id arrays (bytes), as ``encode(text, add_special_tokens=False)`` gives them.
 
@@ -75,7 +89,8 @@ class Encoder:
             setup = json.load(f)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.by_word = (setup["normalizer"], setup["pre_tokenizer"]) == _BY_WORD and all(re.fullmatch(r"\S*<\|\S+", x["content"]) and not x["lstrip"] and not x["rstrip"] for x in setup["added_tokens"])
-        self.memo: dict[bytes, bytes] = {}
+        self.memo = Memo(self._word)
+        self.packed = [self._pack([k]) for k in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.pieces: dict[str, bytes] = {}
         self.pattern = regex.compile(_PATTERN)
         self.plain = re.compile("[\x21-\x7e¡-ɏ]+")  # NFC and lower case act on each of these alone
@@ -83,50 +98,46 @@ class Encoder:
         hidden = [b for b in range(256) if b not in set(shown)]
         self.byte_chars = dict(zip(shown, shown, strict=True)) | {b: 256 + k for k, b in enumerate(hidden)}
 
+    def forget(self) -> None:
+        """Give back the memory of remembered words: the worker goes on to other work."""
+        self.memo.clear()
+        self.pieces.clear()
+
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
 
     def _whole(self, text: str) -> bytes:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _model(self, piece: str) -> bytes:
+        shown = piece.encode().decode("latin-1").translate(self.byte_chars)
+        return self._pack([t.id for t in self.tokenizer.model.tokenize(shown)])
+
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            shown = piece.encode().decode("latin-1").translate(self.byte_chars)
-            found = self._pack([t.id for t in self.tokenizer.model.tokenize(shown)])
-            if len(self.pieces) >= MEMO_WORDS:
+        if (found := self.pieces.get(piece)) is None:
+            if len(self.pieces) >= MEMO_PIECES:
                 self.pieces.clear()
-            self.pieces[piece] = found
+            found = self.pieces[piece] = self._model(piece)
         return found
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
+        if text.isascii() and text.isalpha():  # byte-level BPE shows these letters as themselves
+            found = self.tokenizer.model.tokenize(text.lower())
+            return self.packed[found[0].id] if len(found) == 1 else b"".join([self.packed[t.id] for t in found])
         if "<|" in text or not self.plain.fullmatch(text):
             return self._whole(text)
         text = text.lower()
-        if text.isalpha():
-            return self._piece(text)
+        if text.isalpha():  # remembered as a word
+            return self._model(text)
         return b"".join(map(self._piece, self.pattern.findall(text)))
 
     def encode(self, text: bytes) -> bytes:
         if not self.by_word:
             return self._whole(text.decode())
-        words, memo = text.split(), self.memo
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            pass
-        if len(memo) >= MEMO_WORDS:
-            memo.clear()
-        out = []
-        for w in words:
-            ids = memo.get(w)
-            if ids is None:
-                ids = self._word(w)
-                if len(w) <= MEMO_BYTES:
-                    memo[w] = ids
-            out.append(ids)
-        return b"".join(out)
+        if len(self.memo) >= MEMO_WORDS:
+            self.memo.clear()
+        return b"".join(map(self.memo.__getitem__, text.split()))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -247,6 +258,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: i
                 counts.append(len(raw) // item), frames.append(press.compress(raw))
             columns = [pa.array(shards, pa.int32()), batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["shard", "id", "tie", "n", "frame"])
+        enc.forget()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _fs(folder)
