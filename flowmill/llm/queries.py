@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import chat, decontaminate, langid, licences, mixing, quality, simhash, tokens, topk, url_filter
-from flowmill.llm.common import held_out, table
+from flowmill.llm import chat, decontaminate, langid, licences, mixing, prefix_trie, quality, simhash, tokens, topk, url_filter
+from flowmill.llm.common import cut, held_out, table
 
 #: The query's rules.
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -160,10 +160,62 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"), F.col("keep_id").alias("component_id"))
 
 
+def conversation_nodes(rows: DataFrame) -> DataFrame:
+    """The trie of rebuilt conversations: the first h turns of the hundred's first conversation, then the own ones after h."""
+    head, base = F.crc32(F.col("conv_id").cast("string")) % 6, F.col("conv_id") - F.col("conv_id") % 100
+    return prefix_trie.prefix_trie(*prefix_trie.spliced(cut(prefix_trie.ordered_turns(rows)), head=head, base=base, most=5))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_nodes(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = r"""
+with plain as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as pos from plain
+), steps as (
+  select conv_id, flatten(list_transform(string_split(cast(conv_id as varchar), ''), lambda ch: [cast(ascii(ch) as bigint), 0, 0, 0, 0, 0, 0, 0])) as bits
+  from (select distinct conv_id from plain)
+), convs as (
+  select conv_id, conv_id - conv_id % 100 as base, xor(4294967295, list_reduce(list_concat([cast(4294967295 as bigint)], bits),
+    lambda c, x: case when xor(c, x) % 2 = 1 then xor(xor(c, x) // 2, 3988292384) else xor(c, x) // 2 end)) % 6 as h from steps
+), built as (
+  select c.conv_id, 0 as part, p.pos, p.role, p.text from convs c join placed p on p.conv_id = c.base and p.pos < c.h
+  union all select c.conv_id, 1, p.pos, p.role, p.text from convs c join placed p on p.conv_id = c.conv_id and p.pos >= c.h
+), turns as (
+  select *, row_number() over (partition by conv_id order by part, pos) as depth from built
+), paths as (
+  select conv_id, depth, length(text) as chars,
+    sha256(string_agg(sha256(length(role) || ':' || role || text), '' order by depth) over (partition by conv_id order by depth)) as path from turns
+  union all select conv_id, 0, 0, '' from convs
+), lengths as (
+  select conv_id, max(depth) as n_turns from paths group by conv_id
+), nodes as (
+  select p.path, p.depth, min(p.conv_id) as conv_id, count(*) as n_convs, max(p.chars) as chars,
+    sha256(coalesce(string_agg(cast(p.conv_id as varchar), ',' order by p.conv_id) filter (l.n_turns = p.depth), '')) as ends_sha256
+  from paths p join lengths l using (conv_id) group by p.path, p.depth
+), linked as (
+  select n.*, up.path as parent, o.conv_id as parent_conv_id from nodes n
+  left join paths up on up.conv_id = n.conv_id and up.depth = n.depth - 1 left join nodes o on o.path = up.path and o.depth = up.depth
+), children as (
+  select parent as path, count(*) as n_children from linked where parent is not null group by parent
+), counted as (
+  select l.*, coalesce(c.n_children, 0) as n_children from linked l left join children c using (path)
+), below as (
+  select p.path, count(*) filter (y.n_children = 0) as n_leaves, sum((y.n_convs - 1) * y.chars) as saved
+  from counted y join paths p on p.conv_id = y.conv_id and p.depth <= y.depth group by p.path
+)
+select conv_id, cast(depth as bigint) as depth, parent_conv_id, n_convs, n_children, n_leaves, cast(saved as bigint) as saved_tokens, ends_sha256
+from counted join below using (path)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_chat_format, op3_token_files, op4_topk, op5_licences, op6_decontaminate, op7_url_filter, op8_mixing, op9_quality, op10_simhash)
+    every = (op1_language_id, op2_chat_format, op3_token_files, op4_topk, op5_licences, op6_decontaminate, op7_url_filter, op8_mixing, op9_quality, op10_simhash, op13_prefix_trie)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op4_topk": OP4_SQL, "op7_url_filter": OP7_SQL, "op8_mixing": OP8_SQL}
+    return {"op2_chat_format": OP2_SQL, "op4_topk": OP4_SQL, "op7_url_filter": OP7_SQL, "op8_mixing": OP8_SQL, "op13_prefix_trie": OP13_SQL}
