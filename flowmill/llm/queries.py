@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import chat, decontaminate, langid, licences, mixing, prefix_trie, quality, simhash, tokens, topk, url_filter
+from flowmill.llm import chat, decontaminate, divergence, langid, licences, mixing, prefix_trie, quality, simhash, tokens, topk, url_filter
 from flowmill.llm.common import cut, held_out, table
 
 #: The query's rules.
@@ -160,6 +160,44 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"), F.col("keep_id").alias("component_id"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as t from documents
+), raw as (
+  select r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d
+), words as (
+  select r, lang, source, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from raw
+), kept as (
+  select lang, term, count(*) as total from words group by lang, term having count(distinct r) >= 30
+), langs as (
+  select lang, count(*) as v, sum(total) as n from kept group by lang
+), sides as (
+  select distinct lang, source from d
+), counts as (
+  select lang, source, term, count(*) as n from words group by lang, source, term
+), cells as (
+  select s.lang, s.source, k.term, k.total, coalesce(c.n, 0) as n, sum(coalesce(c.n, 0)) over (partition by s.lang, s.source) as group_n
+  from sides s join kept k on k.lang = s.lang left join counts c on c.lang = s.lang and c.source = s.source and c.term = k.term
+), shares as (
+  select c.lang, c.source, c.term, c.n, 1 + (cast(1000000000 as hugeint) * (c.n + 5)) // (c.group_n + 5 * l.v) as p, 1 + (cast(1000000000 as hugeint) * (c.total + 5)) // (l.n + 5 * l.v) as q
+  from cells c join langs l using (lang)
+), sums as (
+  select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), found as (
+  select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(s.value, 0) as bigint) as value
+  from sides a join sides b on a.lang = b.lang and a.source <> b.source left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source
+  union all select lang, source, 'term', term, cast(p - q as bigint) from shares where n > 0 and p > q
+), ranked as (
+  select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from found
+)
+select * from ranked where part = 'pair' or rank <= 50
+"""
+
+
 def conversation_nodes(rows: DataFrame) -> DataFrame:
     """The trie of rebuilt conversations: the first h turns of the hundred's first conversation, then the own ones after h."""
     head, base = F.crc32(F.col("conv_id").cast("string")) % 6, F.col("conv_id") - F.col("conv_id") % 100
@@ -213,9 +251,9 @@ from counted join below using (path)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_chat_format, op3_token_files, op4_topk, op5_licences, op6_decontaminate, op7_url_filter, op8_mixing, op9_quality, op10_simhash, op13_prefix_trie)
+    every = (op1_language_id, op2_chat_format, op3_token_files, op4_topk, op5_licences, op6_decontaminate, op7_url_filter, op8_mixing, op9_quality, op10_simhash, op11_source_divergence, op13_prefix_trie)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op4_topk": OP4_SQL, "op7_url_filter": OP7_SQL, "op8_mixing": OP8_SQL, "op13_prefix_trie": OP13_SQL}
+    return {"op2_chat_format": OP2_SQL, "op4_topk": OP4_SQL, "op7_url_filter": OP7_SQL, "op8_mixing": OP8_SQL, "op11_source_divergence": OP11_SQL, "op13_prefix_trie": OP13_SQL}
