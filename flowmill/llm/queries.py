@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowmill.llm import chat, decontaminate, divergence, langid, licences, mixing, prefix_trie, quality, simhash, tokens, topk, url_filter
+from flowmill.llm import chat, decontaminate, divergence, langid, licences, mixing, prefix_trie, quality, set_join, simhash, tokens, topk, url_filter
 from flowmill.llm.common import cut, held_out, table
 
 #: The query's rules.
@@ -198,6 +198,35 @@ select * from ranked where part = 'pair' or rank <= 50
 """
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = set_join.jaccard_join(table(spark, sf_dir, "documents"))
+    return linked.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("keep_id").alias("component_id"))
+
+
+OP12_SQL = r"""
+with recursive worded as (
+  select row_number() over () as r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), sets as (
+  select r, doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' '))) end as s from worded
+), distinct_sets as (
+  select list_sort(s) as s, min(doc_id) as first_id, row_number() over () as node, len(list_sort(s)) as n from sets where len(s) > 0 group by list_sort(s)
+), tokens as (
+  select node, n, hash(unnest(s)) as token from distinct_sets
+), links as (
+  select a.node as x, b.node as y from tokens a join tokens b on a.token = b.token and a.node <> b.node and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  group by a.node, b.node, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reached(node, other) as (
+  select node, node from distinct_sets union select r.node, l.y from reached r join links l on l.x = r.other
+), components as (
+  select r.node, min(d.first_id) as component_id from reached r join distinct_sets d on d.node = r.other group by r.node
+)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, case when len(s.s) = 0 then s.doc_id else c.component_id end as component_id
+from sets s left join distinct_sets d on d.s = list_sort(s.s) left join components c on c.node = d.node
+"""
+
+
 def conversation_nodes(rows: DataFrame) -> DataFrame:
     """The trie of rebuilt conversations: the first h turns of the hundred's first conversation, then the own ones after h."""
     head, base = F.crc32(F.col("conv_id").cast("string")) % 6, F.col("conv_id") - F.col("conv_id") % 100
@@ -251,9 +280,9 @@ from counted join below using (path)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_chat_format, op3_token_files, op4_topk, op5_licences, op6_decontaminate, op7_url_filter, op8_mixing, op9_quality, op10_simhash, op11_source_divergence, op13_prefix_trie)
+    every = (op1_language_id, op2_chat_format, op3_token_files, op4_topk, op5_licences, op6_decontaminate, op7_url_filter, op8_mixing, op9_quality, op10_simhash, op11_source_divergence, op12_jaccard_join, op13_prefix_trie)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op4_topk": OP4_SQL, "op7_url_filter": OP7_SQL, "op8_mixing": OP8_SQL, "op11_source_divergence": OP11_SQL, "op13_prefix_trie": OP13_SQL}
+    return {"op2_chat_format": OP2_SQL, "op4_topk": OP4_SQL, "op7_url_filter": OP7_SQL, "op8_mixing": OP8_SQL, "op11_source_divergence": OP11_SQL, "op12_jaccard_join": OP12_SQL, "op13_prefix_trie": OP13_SQL}

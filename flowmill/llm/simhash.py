@@ -270,15 +270,15 @@ def with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
     yield None
 
 
-def with_kept(rows: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """``rows`` with keep_id and keep_hash, of ``nodes`` (key columns node, first) and the components found among them."""
+def with_kept(rows: DataFrame, nodes: DataFrame, found: DataFrame, *, carried: str = "fp") -> DataFrame:
+    """``rows`` (node, id, text_hash and one column more) with keep_id and keep_hash, of ``nodes`` (key columns node, first) and the components found among them."""
     members = nodes.join(found.select("node", "root"), "node")
     roots = members.groupBy("root").agg(F.min("first").alias("first"))
     merged = members.select("node", "root").join(roots, "root").select(F.col("node").alias("linked"), F.col("first").alias("of_all"))
     kept = nodes.join(merged, F.col("node") == F.col("linked"), "left").select(F.col("node").alias("k"), F.coalesce("of_all", "first").alias("first"))
     # Both sides are plain tables here, so that Spark can split the join where one fingerprint has very many rows.
     kept = cut(kept)
-    return rows.join(kept, F.col("node") == F.col("k")).select("id", "text_hash", "fp", F.col("first.id").alias("keep_id"), F.col("first.text_hash").alias("keep_hash"))
+    return rows.join(kept, F.col("node") == F.col("k")).select("id", "text_hash", carried, F.col("first.id").alias("keep_id"), F.col("first.text_hash").alias("keep_hash"))
 
 
 def first_row() -> Column:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowmill.llm import similar, simhash
+from flowmill.llm import shingle_sets, similar, simhash
 from flowmill.llm.common import table
 from tests.llm.test_simhash import SF, clustered, near_pairs, plain_components
 
@@ -114,9 +114,9 @@ def test_similar_documents_among_boilerplate(spark):
 def test_meetings_of_prefixes(spark, all_pairs, max_token_rows):
     rows = [(k, t.encode()) for k, (_, t) in enumerate(mutated())]
     texts = spark.createDataFrame(rows, "text_hash long, utf8 binary").repartition(3)
-    shared = similar.dealt(similar.prefixes(texts, np.zeros(similar.BUCKETS, "i8"), shingle=5, similarity=0.8), max_token_rows)
+    shared = shingle_sets.dealt(shingle_sets.prefixes(texts, np.zeros(shingle_sets.BUCKETS, "i8"), shingle=5, similarity=0.8), max_token_rows)
     sets = [simhash.shingle_set(t, 5) for _, t in rows]
-    groups = spark.createDataFrame([(k, k - k % 2, *similar.sketch(s).tolist()) for k, s in enumerate(sets)], f"node long, `group` long, {', '.join(f'{x} long' for x in similar.SKETCH)}")
+    groups = spark.createDataFrame([(k, k - k % 2, *shingle_sets.sketch(s).tolist()) for k, s in enumerate(sets)], f"node long, `group` long, {', '.join(f'{x} long' for x in shingle_sets.SKETCH)}")
     got = {tuple(r) for r in similar.meeting_pairs(shared, groups, similarity=0.8, all_pairs=all_pairs).collect()}
     want = {(min(p), max(p)) for p in plain_similar([(k, t.decode()) for k, t in rows])[1] if p[0] // 2 != p[1] // 2}
     assert all(a // 2 != b // 2 for a, b in got)
@@ -129,16 +129,16 @@ def test_sketches_bound_the_difference():
         pool = rng.integers(0, 1 << 62, 900, dtype="u8")
         a, b = (np.unique(rng.choice(pool, rng.integers(1, 900))) for _ in range(2))
         differ = len(np.setxor1d(a, b))
-        assert similar.apart(similar.long_sketch(a), similar.long_sketch(b)) <= differ
-        assert similar.apart(similar.sketch(a, 4096), similar.sketch(b)) == similar.apart(similar.sketch(a), similar.sketch(b))
-        assert np.bitwise_count((similar.sketch(a) ^ similar.sketch(b)).view("u8")).sum() <= differ
+        assert shingle_sets.apart(shingle_sets.long_sketch(a), shingle_sets.long_sketch(b)) <= differ
+        assert shingle_sets.apart(shingle_sets.sketch(a, 4096), shingle_sets.sketch(b)) == shingle_sets.apart(shingle_sets.sketch(a), shingle_sets.sketch(b))
+        assert np.bitwise_count((shingle_sets.sketch(a) ^ shingle_sets.sketch(b)).view("u8")).sum() <= differ
 
 
 def test_one_row_batches_keep_what_meets(spark):
     rows = [(k, t.encode()) for k, (_, t) in enumerate(mutated()[:60])] * 2
     texts = spark.createDataFrame(rows, "text_hash long, utf8 binary")
     def found():
-        return sorted(map(tuple, similar.prefixes(texts, np.zeros(similar.BUCKETS, "i8"), shingle=5, similarity=0.8).collect()))
+        return sorted(map(tuple, shingle_sets.prefixes(texts, np.zeros(shingle_sets.BUCKETS, "i8"), shingle=5, similarity=0.8).collect()))
     want, size = found(), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     try:
