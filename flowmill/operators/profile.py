@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowmill.functions.expr import INF, is_inf, number_of, value_type
-from flowmill.operators.quantiles import group_percentiles, with_percentiles
+from flowmill.operators.quantiles import group_percentiles, measured_percentiles, with_percentiles
 from flowmill.operators.schema import numeric_columns
 from flowmill.storage import cut
 
@@ -134,32 +135,85 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return melt(df, columns, text=True).where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
+def _text(name: str) -> Column:
+    return F.col(f"`{name}`").cast("string")
+
+
+def heavy_candidates(df: DataFrame, columns: list[str], least: float) -> dict[str, list[str]]:
+    """Of each column the values that may hold a share of ``least`` or more of its non-NULL cells: all that do, and few others.
+
+    One pass over wide rows fills a frequent-items sketch a column (of some 32 / ``least`` counters, in each task) and merges them; no
+    cell is shuffled.  A count is off by at most a ninth of ``least``, so the first 2 / ``least`` values hold all that are wanted.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("the share must be over 0 and at most 1")
+    most, found = ceil(2 / least), {}
+    for start in range(0, len(columns), BATCH):
+        some = columns[start : start + BATCH]
+        sketches = [F.call_function("approx_top_k", _text(n), F.lit(most + 1), F.lit(max(128, 16 * most))).alias(f"x{k}") for k, n in enumerate(some)]  # NULL takes one place
+        row = df.agg(*sketches).first()
+        for k, n in enumerate(some):
+            found[n] = [x["item"] for x in row[f"x{k}"] if x["item"] is not None]
+    return found
+
+
 def dominance(df: DataFrame, columns: list[str], *, least: float = 0.5) -> DataFrame:
     """``column, dominant_value, dominant_count, total_count, dominant_ratio, bucket``: each column's most common value.
 
     Shares are of the non-NULL cells; of equally common values the least counts. Columns under ``least`` aren't reported.
+    Two passes: sketches name the candidates (:func:`heavy_candidates`), which are then counted exactly, in wide rows.
     """
+    candidates = heavy_candidates(df, columns, least)
+    columns, parts = [n for n in columns if candidates[n]], []
+    for start in range(0, len(columns), BATCH):
+        some = columns[start : start + BATCH]
+        counts = [F.count_if(_text(n) == F.lit(x)).alias(f"c{k}_{j}") for k, n in enumerate(some) for j, x in enumerate(candidates[n])]
+        row = df.agg(*[F.count(F.col(f"`{n}`")).alias(f"n{k}") for k, n in enumerate(some)], *counts)
+        cells = [F.struct(F.lit(n).alias("column"), F.lit(x).alias("value"), F.col(f"c{k}_{j}").alias("n"), F.col(f"n{k}").alias("total_count")) for k, n in enumerate(some) for j, x in enumerate(candidates[n])]
+        parts.append(row.select(F.explode(F.array(*cells)).alias("x")).select("x.*"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column string, dominant_value string, dominant_count long, total_count long, dominant_ratio double, bucket string")
     top = F.min(F.struct((-F.col("n")).alias("n"), "value"))
-    found = value_counts(df, columns).groupBy("column").agg(top.alias("top"), F.sum("n").alias("total_count"))
+    found = reduce(DataFrame.unionAll, parts).groupBy("column", "total_count").agg(top.alias("top"))
     ratio = -F.col("top.n") / F.col("total_count").cast("double")
     out = found.select("column", F.col("top.value").alias("dominant_value"), (-F.col("top.n")).alias("dominant_count"), "total_count", ratio.alias("dominant_ratio"))
     return out.where(F.col("dominant_ratio") >= least).withColumn("bucket", share_bucket(F.col("dominant_ratio")))
 
 
+def _dominant(df: DataFrame, columns: list[str], least: float) -> dict[str, str]:
+    """The dominant value of each dominated column: a row a column."""
+    return {r["column"]: r["dominant_value"] for r in dominance(df, columns, least=least).select("column", "dominant_value").collect()}
+
+
 def dominance_by_label(df: DataFrame, columns: list[str], label: str, *, least: float = 0.5) -> DataFrame:
-    """``column, side, label, n``: the labels of the rows that hold the dominant value, and of those with another."""
-    top = dominance(df, columns, least=least).select(F.col("column").alias("dominated"), "dominant_value")
-    cells = melt(df, columns, [F.col(label).alias("label")], text=True).where(F.col("value").isNotNull())
-    cells = cells.join(F.broadcast(top), F.col("column") == F.col("dominated"))
-    side = F.when(F.col("value") == F.col("dominant_value"), "dominant").otherwise("rest")
-    return cells.groupBy("column", side.alias("side"), "label").agg(F.count("*").alias("n"))
+    """``column, side, label, n``: the labels of the rows that hold the dominant value, and of those with another.
+
+    Only dominated columns are counted, by label in wide rows.
+    """
+    top = _dominant(df, columns, least)
+    named, parts = [n for n in columns if n in top], []
+    for start in range(0, len(named), BATCH):
+        some = named[start : start + BATCH]
+        sides = [(k, n, side, F.count_if((_text(n) == F.lit(top[n])) if side == "dominant" else (_text(n) != F.lit(top[n])))) for k, n in enumerate(some) for side in ("dominant", "rest")]
+        rows = df.groupBy(F.col(label).alias("label")).agg(*[c.alias(f"{side}{k}") for k, _, side, c in sides])
+        cells = F.array(*[F.struct(F.lit(n).alias("column"), F.lit(side).alias("side"), F.col(f"{side}{k}").alias("n")) for k, n, side, _ in sides])
+        parts.append(rows.select("label", F.explode(cells).alias("x")).select("x.column", "x.side", "label", "x.n").where("n > 0"))
+    if not parts:
+        return df.select(F.lit("").alias("column"), F.lit("").alias("side"), F.col(label).alias("label"), F.lit(0).cast("long").alias("n")).limit(0)
+    return reduce(DataFrame.unionAll, parts)
 
 
 def dominance_rest(df: DataFrame, columns: list[str], *, least: float = 0.5, top: int = 5) -> DataFrame:
-    """``column, value, n, place``: the most common values beside the dominant one, of dominated columns."""
-    found = dominance(df, columns, least=least).select(F.col("column").alias("dominated"), "dominant_value")
-    rest = value_counts(df, columns).join(F.broadcast(found), (F.col("column") == F.col("dominated")) & (F.col("value") != F.col("dominant_value")))
-    return top_values(rest.select("column", "value", "n"), top)
+    """``column, value, n, place``: the most common values beside the dominant one, of dominated columns.
+
+    Dominant values go before the others are counted, so at most a share of 1 - ``least`` of these columns' cells is shuffled.
+    """
+    found = _dominant(df, columns, least)
+    if not found:
+        return df.sparkSession.createDataFrame([], "column string, value string, n long, place long")
+    known = F.create_map(*[F.lit(x) for pair in found.items() for x in pair])
+    cells = melt(df, [n for n in columns if n in found], text=True).where(F.col("value") != known[F.col("column")])
+    return top_values(cells.groupBy("column", "value").agg(F.count("*").alias("n")), top)
 
 
 def top_values(counts: DataFrame, top: int) -> DataFrame:
@@ -174,8 +228,8 @@ def top_values(counts: DataFrame, top: int) -> DataFrame:
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """``column, n, mean, std, min, p25, p50, p75, max`` of the non-NULL values; exact percentiles, sample deviation."""
     v = F.col("value")
-    stats = each_column(df, columns, {"n": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v)})
-    out = with_percentiles(stats, melt(df, columns), ["column"], {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    stats = {"n": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v)}
+    out = measured_percentiles(melt(df, columns), ["column"], stats, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     return out.select("column", "n", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
@@ -197,8 +251,8 @@ def feature_stats(df: DataFrame, columns: list[str], *, by: list[str] | None = N
     """
     v, groups = F.col("value"), [*(by or []), "column"]
     zero = F.lit(100.0) * F.count_if(v == 0) / F.count("*")
-    stats = each_column(df, columns, {"min": F.min(v), "max": F.max(v), "mean": F.avg(v), "zero_percent": zero}, by=by)
-    out = with_percentiles(stats, melt(df, columns, by or []), groups, {"median": 0.5}).select(*groups, "min", "median", "max", "mean", "zero_percent")
+    stats = {"min": F.min(v), "max": F.max(v), "mean": F.avg(v), "zero_percent": zero}
+    out = measured_percentiles(melt(df, columns, by or []), groups, stats, {"median": 0.5}).select(*groups, "min", "median", "max", "mean", "zero_percent")
     if not distinct:
         return out
     values = melt(df, columns, by or []).where(v.isNotNull()).select(*groups, "value").distinct().groupBy(*groups).agg(F.count("*").alias("__d"))
@@ -232,8 +286,7 @@ def _side_medians(cells: DataFrame) -> DataFrame:
 def iqr_bounds(df: DataFrame, columns: list[str], *, factor: float = 1.5) -> DataFrame:
     """``column, low, high``: quartiles less and plus ``factor`` times their distance; of columns with over one value."""
     v = F.col("value")
-    spread = each_column(df, columns, {"a": F.min(v), "b": F.max(v)}).where("a < b")
-    quarters = with_percentiles(spread, melt(df, columns), ["column"], {"p25": 0.25, "p75": 0.75})
+    quarters = measured_percentiles(melt(df, columns), ["column"], {"a": F.min(v), "b": F.max(v)}, {"p25": 0.25, "p75": 0.75}).where("a < b")
     low, high = F.col("p25"), F.col("p75")
     return quarters.select("column", (low - factor * (high - low)).alias("low"), (high + factor * (high - low)).alias("high"))
 
@@ -272,8 +325,8 @@ def drift_range(first: DataFrame, second: DataFrame, columns: list[str], *, tail
     both = first.select(*columns, F.lit(1).alias("__side")).unionByName(second.select(*columns, F.lit(2).alias("__side")))
     v, side = F.col("value"), F.col("__side")
     cells = melt(both, columns, ["__side"])
-    means = cells.groupBy("column").agg(F.avg(F.when(side == 1, v)).alias("first_mean"), F.avg(F.when(side == 2, v)).alias("second_mean"))
-    out = with_percentiles(means, cells, ["column"], {"low": tail, "high": 1 - tail}).join(_side_medians(cells), "column")
+    means = {"first_mean": F.avg(F.when(side == 1, v)), "second_mean": F.avg(F.when(side == 2, v))}
+    out = measured_percentiles(cells, ["column"], means, {"low": tail, "high": 1 - tail}).join(_side_medians(cells), "column")
     low, high = F.col("low"), F.col("high")
     pad = F.when(low == high, F.when(low == 0, 1.0).otherwise(F.abs(low) * 0.05)).otherwise(0.0)
     return out.select("column", (low - pad).alias("low"), (high + pad).alias("high"), "first_median", "second_median", "first_mean", "second_mean")

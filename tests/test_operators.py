@@ -1,6 +1,7 @@
 """Hand-made rows for the operators' rules: dirty cells, boundaries, ties, empty tables."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -74,6 +75,38 @@ def test_dominance_buckets(spark, share, bucket):
     assert (got["bucket"] if got else None) == bucket
 
 
+def plain_dominant(values, least):
+    """The least of the most common non-NULL values and its count, if its share is ``least`` or more."""
+    counts = Counter(v for v in values if v is not None)
+    if counts:
+        value, n = min(counts.items(), key=lambda x: (-x[1], x[0]))
+        if n >= least * sum(counts.values()):
+            return value, n, sum(counts.values())
+
+
+@pytest.mark.parametrize("least", [0.5, 0.2, 0.03])
+def test_dominance_against_counts(spark, least):
+    rng = np.random.default_rng(5)
+    n, columns = 4000, {}
+    columns["even"] = [f"v{k % 2}" for k in range(n)]  # a tie at exactly a half
+    columns["distinct"] = [f"v{k}" for k in range(n)]
+    columns["few of many nulls"] = [None if k % 50 else ("x" if k % 100 else f"y{k}") for k in range(n)]
+    columns["all null"] = [None] * n
+    columns["late"] = [f"v{k}" if k < n * 0.45 else "late" for k in range(n)]
+    columns["zipf"] = [f"z{min(x, 5000)}" for x in rng.zipf(1.4, n)]
+    columns["thirds"] = [f"t{k % 3}" if k % 10 else f"u{k}" for k in range(n)]
+    rows = spark.createDataFrame([*zip(*columns.values(), strict=True)], ", ".join(f"`{c}` string" for c in columns)).repartition(7)
+    got = {r["column"]: (r["dominant_value"], r["dominant_count"], r["total_count"]) for r in profile.dominance(rows, list(columns), least=least).collect()}
+    assert got == {c: x for c, v in columns.items() if (x := plain_dominant(v, least))}
+    assert profile.dominance_by_label(rows, list(columns), "even", least=1.0).count() == 0 and profile.dominance_rest(rows, list(columns), least=1.0).count() == 0
+
+
+def test_dominance_shuffles_no_values(spark):
+    rows = spark.range(1000).selectExpr("string(id) a", "string(id % 2) b")
+    plan = profile.dominance(rows, ["a", "b"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [column" in plan and "Aggregate [value" not in plan and plan.count("Generate") == 1  # of one row's counts
+
+
 def test_correlation_masks_and_groups(spark):
     rng = np.random.default_rng(3)
     a = rng.normal(size=200)
