@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from flowmill.functions.expr import file_safe, finite_or_zero, is_label, number_of, plain_title, value_type
 from flowmill.operators import balance, cleaning, correlation, dedup, evaluate, models, profile, sampling, schema
 from flowmill.plans import assembly
-from flowmill.sources.readers import mark_missing, preview, raw_header, read_column_list, read_csv, read_csv_text, read_label_map, read_unique, row_counts
+from flowmill.sources.readers import file_counts, mark_missing, preview, raw_header, read_column_list, read_csv, read_csv_text, read_label_map, read_unique, row_counts
 from flowmill.sources.sinks import report_text, run_folder, split_parts, write_by_class, write_csv, write_label_map, write_parts
 from flowmill.storage import shared_dir
 
@@ -882,6 +882,26 @@ def csv_discovery(spark, sf_dir):
     return read_csv_text(spark, folder, source_col="file").agg(F.count_distinct("file").alias("n_files"), F.count("*").alias("n_rows"))
 
 
+def _mixed_csv(spark: SparkSession, sf_dir: str) -> str:
+    """Three folders of files in one, whose headers differ in order, case and width."""
+    folder, rows = _folder(spark), read(spark, sf_dir, "lineitem")
+    write_csv(rows.where("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"), f"{folder}/wide")
+    write_csv(rows.where("l_linenumber = 2").select("l_returnflag", F.col("l_orderkey").alias("L_ORDERKEY"), "l_linenumber"), f"{folder}/turned")
+    write_csv(rows.where("l_linenumber > 2").select("l_linenumber", "l_tax", "l_quantity", "l_orderkey", "l_linestatus"), f"{folder}/other")
+    return folder
+
+
+@query("""select l_orderkey, l_linenumber, case when l_linenumber <= 2 then l_returnflag end as l_returnflag, case when l_linenumber <> 2 then l_quantity end as l_quantity,
+  case when l_linenumber > 2 then l_tax end as l_tax, case when l_linenumber > 2 then l_linestatus end as l_linestatus from lineitem""")
+def csv_mixed_headers(spark, sf_dir):
+    return read_csv(spark, _mixed_csv(spark, sf_dir), "l_orderkey long, l_linenumber int, l_returnflag string, l_quantity double, l_tax double, l_linestatus string")
+
+
+@query("select n_columns, count(*) as n_rows from (select cast(case when l_linenumber = 1 then 4 when l_linenumber = 2 then 3 else 5 end as bigint) as n_columns from lineitem) group by 1")
+def csv_columns_by_file(spark, sf_dir):
+    return file_counts(spark, _mixed_csv(spark, sf_dir)).where("n_rows > 0").groupBy("n_columns").agg(F.sum("n_rows").alias("n_rows"))
+
+
 @query("select least(count(*), 100) as n_rows from lineitem")
 def preview_rows(spark, sf_dir):
     return preview(read(spark, sf_dir, "lineitem"), 100).agg(F.count("*").alias("n_rows"))

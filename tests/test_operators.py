@@ -1,5 +1,6 @@
 """Hand-made rows for the operators' rules: dirty cells, boundaries, ties, empty tables."""
 
+import gzip
 import math
 from collections import Counter
 
@@ -228,6 +229,29 @@ def test_csv_files(spark, tmp_path):
     assert sorted(tuple(r) for r in readers.read_label_map(spark, str(tmp_path / "map.txt")).collect()) == [("Benign", 0), ("DoS: slow", 3)]
 
 
+def test_files_of_different_headers(spark, tmp_path):
+    folder = tmp_path / "a b [1]"
+    (folder / "deep").mkdir(parents=True)
+    (folder / "one.csv").write_text("label,rate,port\nx,1.5,80\ny,2.5,\n")
+    (folder / "two.csv").write_text("\ufeffPort, Label ,label,extra\n443,z,ignored,e\n")
+    (folder / "deep" / "three%20+.csv").write_text('"rate","la,bel"\n7,8\n')
+    (folder / "header only.csv").write_text("label,rate,port\n")
+    (folder / "empty.csv").write_text("")
+    (folder / "notes.txt").write_text("not,a,table\n1,2,3\n")
+    with gzip.open(folder / "four.csv.gz", "wt") as f:
+        f.write("rate,label\n9,w\n")
+    path = str(folder).replace("[", "\\[").replace("]", "\\]")
+    rows = readers.read_csv_text(spark, path, pattern="*.csv*", source_col="file")
+    assert sorted(rows.columns) == sorted(["label", "rate", "port", "extra", "la,bel", "file"])
+    got = sorted((r["label"] or "", r["rate"] or "", r["port"] or "", r["extra"] or "", r["la,bel"] or "") for r in rows.collect())
+    assert got == sorted([("x", "1.5", "80", "", ""), ("y", "2.5", "", "", ""), ("z", "", "443", "e", ""), ("", "7", "", "", "8"), ("w", "9", "", "", "")])
+    typed = readers.read_csv(spark, path, "port int, rate double", pattern="*.csv*")
+    assert sorted((r["port"] or 0, r["rate"] or 0.0) for r in typed.collect()) == [(0, 2.5), (0, 7.0), (0, 9.0), (80, 1.5), (443, 0.0)]
+    counts = {r["source"].rsplit("/")[-1]: (r["n_rows"], r["n_columns"]) for r in readers.file_counts(spark, path, pattern="*.csv*").collect()}
+    assert {k[:4]: v for k, v in counts.items()} == {"one.": (2, 3), "two.": (1, 4), "thre": (1, 2), "head": (0, 3), "four": (1, 2)}
+    assert readers.read_csv_text(spark, path, pattern="*.none").count() == 0
+
+
 def test_writers(spark, tmp_path):
     rows = spark.range(10).selectExpr("id", "id % 2 c")
     sinks.write_parts(rows, str(tmp_path / "parts"), 4, ["id"])
