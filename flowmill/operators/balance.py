@@ -1,11 +1,13 @@
 """Class balancing: oversampling targets, undersampling, SMOTE, Borderline-SMOTE and ADASYN.
 
-Neighbours are found exactly, in blocks: the rows that ask (of the small classes) and the rows that may answer are dealt
-into blocks of bounded size, and each task compares one block with another by matrix products.
+Neighbours are found exactly, in blocks around pivots: the rows that ask (of the small classes) meet the rows that may answer only
+where the triangle inequality doesn't rule it out, and each task compares one block with another by matrix products.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +17,8 @@ from flowmill.functions.expr import stable_hash, unit_draw
 from flowmill.operators.sampling import rank_by_hash
 from flowmill.storage import bounded, cut
 
-BLOCK = 2048
+#: Rows of a block; most pivots; rows that go to pivots at once; of bounds, as a share of the lengths (distances are differences of squares).
+BLOCK, PIVOTS, VISITS, SLACK = 2048, 256, 4096, 1e-7
 
 
 def oversample_targets(df: DataFrame, label: str, ratio: float) -> DataFrame:
@@ -38,22 +41,70 @@ def _vectors(df: DataFrame, key: str, label: str, features: list[str] | str) ->
     return rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & ~F.coalesce(bad, F.lit(True)))
 
 
-def neighbours(asking: DataFrame, all_rows: DataFrame, k: int, *, same_label: bool) -> DataFrame:
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(flat.flatten(), "f8").reshape(len(flat), -1)
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squares of the distances of all rows of x and y."""
+    return np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T, 0)
+
+
+def _near_pivots(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``rows`` (id, label, x, of) with ``pivot, away``: the nearest pivot and how far it is."""
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            squares = _squares(_matrix(batch.column(2)), shared.value) if batch.num_rows else np.zeros((0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(squares.argmin(axis=1)), pa.array(np.sqrt(squares.min(axis=1)))], [*batch.schema.names, "pivot", "away"])
+
+    return rows.mapInArrow(nearest, "id long, label string, x array<double>, of string, pivot long, away double")
+
+
+def visits(asking: DataFrame, pivots: np.ndarray, radii: dict[str, dict[int, float]]) -> DataFrame:
+    """``id, label, x, of, visit`` of the rows that ask (with pivot and reach): every pivot but their own that may have a row within
+    their reach, by the triangle inequality. ``radii``: of each group and pivot, how far its rows are from it at most.
+    """
+    shared = asking.sparkSession.sparkContext.broadcast((pivots, {g: (np.array([*x]), np.array([*x.values()])) for g, x in radii.items()}))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, reached = shared.value
+        norms = np.sqrt((centres * centres).sum(axis=1))
+        for batch in batches:
+            groups, own, reach = batch.column(3).to_pylist(), batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            rows, to = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
+            for group in set(groups) & reached.keys():
+                at, (names, radius) = np.flatnonzero([g == group for g in groups]), reached[group]
+                x = _matrix(batch.column(2).take(pa.array(at)))
+                slack = SLACK * (np.sqrt((x * x).sum(axis=1))[:, None] + norms[names][None, :]) + SLACK
+                may = np.sqrt(_squares(x, centres[names])) - radius[None, :] - slack <= reach[at][:, None]
+                row, pick = np.nonzero(may & (names[None, :] != own[at][:, None]))
+                rows.append(at[row]), to.append(names[pick])
+            rows, to = np.concatenate(rows), np.concatenate(to)
+            for start in range(0, len(rows), VISITS):  # a row goes to many pivots where nothing can be pruned
+                part = batch.select([0, 1, 2, 3]).take(pa.array(rows[start : start + VISITS]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(to[start : start + VISITS])], ["id", "label", "x", "of", "visit"])
+
+    return asking.select("id", "label", "x", "of", "pivot", "reach").mapInArrow(choose, "id long, label string, x array<double>, of string, visit long")
+
+
+def neighbours(asking: DataFrame, all_rows: DataFrame, k: int, *, same_label: bool, block: int = BLOCK, max_pivots: int = PIVOTS) -> DataFrame:
     """``id, neighbour, place, same``: the k nearest other rows (Euclidean, ties by id), of the same label or of all.
 
-    Rows are dealt into blocks of bounded size, within their label if only that counts; each asking block meets each answering
-    one of its label, so a row is sent once for each block that it is compared with.
+    Rows are dealt to the nearest of a bounded sample of rows, the pivots (those whose ids hash lowest).  A first pass compares
+    each asking row with the rows of its own pivot, which gives it a k-th distance; a second one takes it to those pivots only whose
+    rows may be nearer.  Rows of one pivot are dealt into blocks of bounded size, within their label if only that counts.
     """
     group = F.col("label") if same_label else F.lit("")
     cols = ["id", "label", "x"]
     asking, all_rows = asking.select(*cols, group.alias("of")), all_rows.select(*cols, group.alias("of"))
-    blocks = [df.groupBy("of").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n)) for df, n in ((asking, "blocks_a"), (all_rows, "blocks_b"))]
-    blocks = cut(blocks[0].join(blocks[1], "of"))
-    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    renewed = [F.col(c).alias(c) for c in (*cols, "of")]  # both sides may be of one table
-    a = asking.join(bounded(blocks), "of").select(*renewed, own("blocks_a").alias("a"), spread("blocks_b").alias("b"))
-    b = all_rows.join(bounded(blocks), "of").select(*renewed, own("blocks_b").alias("b"), spread("blocks_a").alias("a"))
+    many = min(max_pivots, all_rows.count() // block + 1)
+    chosen = [r["x"] for r in all_rows.orderBy(F.xxhash64("id"), "id").limit(many).collect()]  # at most max_pivots rows
+    pivots = np.array(chosen, "f8") if chosen else np.zeros((1, 0))
+    asking, all_rows = cut(_near_pivots(asking, pivots)), cut(_near_pivots(all_rows, pivots))
+    sizes = cut(all_rows.groupBy("of", "pivot").agg(F.count("*").alias("n"), F.max("away").alias("radius")))
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("id", pa.int64()), ("neighbour", pa.int64()), ("same", pa.bool_()), ("distance", pa.float64())])
@@ -61,8 +112,7 @@ def neighbours(asking: DataFrame, all_rows: DataFrame, k: int, *, same_label: bo
             return schema.empty_table()
         ids, other = np.asarray(left.column("id")), np.asarray(right.column("id"))
         labels, labels_b = (np.array(t.column("label").to_pylist(), dtype=object) for t in (left, right))
-        x, y = (np.array(t.column("x").to_pylist(), "f8") for t in (left, right))
-        distance = np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T, 0)
+        distance = _squares(_matrix(left.column("x")), _matrix(right.column("x")))
         same = labels[:, None] == labels_b[None, :]
         distance[ids[:, None] == other[None, :]] = np.inf
         order = np.lexsort((np.broadcast_to(other, distance.shape), distance), axis=1)[:, :k]
@@ -71,9 +121,30 @@ def neighbours(asking: DataFrame, all_rows: DataFrame, k: int, *, same_label: bo
         real = np.isfinite(distance[rows, at])
         return pa.table([ids[rows][real], other[at][real], same[rows, at][real].astype(bool), distance[rows, at][real]], schema=schema)
 
-    found = a.groupBy("of", "a", "b").cogroup(b.groupBy("of", "a", "b")).applyInArrow(nearest, "id long, neighbour long, same boolean, distance double")
-    order = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("id", "neighbour", "place", "same")
+    def compared(rows: DataFrame) -> DataFrame:
+        """The k nearest of each asking row among the rows of the pivots that it visits."""
+        blocks = rows.groupBy("of", "visit").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks_a"))
+        blocks = bounded(cut(blocks.join(sizes.select("of", F.col("pivot").alias("visit"), F.ceil(F.col("n") / block).cast("int").alias("blocks_b")), ["of", "visit"])))
+        own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+        spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        renewed = [F.col(c).alias(c) for c in (*cols, "of", "visit")]  # both sides may be of one table
+        a = rows.join(blocks, ["of", "visit"]).select(*renewed, own("blocks_a").alias("a"), spread("blocks_b").alias("b"))
+        b = all_rows.withColumnRenamed("pivot", "visit").join(blocks, ["of", "visit"]).select(*renewed, own("blocks_b").alias("b"), spread("blocks_a").alias("a"))
+        key = ["of", "visit", "a", "b"]
+        found = a.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(nearest, "id long, neighbour long, same boolean, distance double")
+        return found.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))).where(F.col("place") <= k)
+
+    found = compared(asking.select(*cols, "of", F.col("pivot").alias("visit")))
+    if many > 1:
+        found = cut(found)
+        radii: dict[str, dict[int, float]] = {}
+        for r in sizes.collect():  # a row a label and pivot
+            radii.setdefault(r["of"], {})[r["pivot"]] = r["radius"]
+        reach = found.where(F.col("place") == k).select(F.col("id").alias("of_id"), F.sqrt("distance").alias("reach"))
+        told = asking.join(reach, F.col("id") == F.col("of_id"), "left").select(*cols, "of", "pivot", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
+        found = found.drop("place").unionAll(compared(cut(visits(told, pivots, radii))).drop("place"))
+        found = found.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))).where(F.col("place") <= k)
+    return found.select("id", "neighbour", "place", "same")
 
 
 def _between(x: Column, y: Column, u: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Training, scoring, importance and tuning of classifiers, on pyspark.ml; isolation forests with NumPy trees in tasks.
+"""Training, scoring, importance and tuning of classifiers, on pyspark.ml and by softmax boosting; isolation forests with NumPy trees in tasks.
 
 Inputs are always cleaned first: numbers out of text, infinities and missing values to 0 for trees.
 """
@@ -6,6 +6,8 @@ Inputs are always cleaned first: numbers out of text, infinities and missing val
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from hashlib import sha256
 from itertools import product
 from time import time
 from typing import NamedTuple
@@ -13,9 +15,9 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
+from pyspark import SparkContext
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowmill.functions.expr import finite_or_zero, number_of
+from flowmill.operators.boosting import SoftmaxBooster, SoftmaxModel
 from flowmill.operators.evaluate import class_report, confusion, macro_average, named_prediction
 from flowmill.operators.sampling import folds, label_codes, map_labels, rank_by_hash
 from flowmill.operators.schema import forbid_columns, normalize_columns, require_columns
@@ -86,26 +89,20 @@ def train_forest(df: DataFrame, label: str, features: list[str], *, trees: int =
 
 
 def train_boosting(df: DataFrame, label: str, features: list[str], *, rounds: int = 100, depth: int = 6, rate: float = 0.3, subsample: float = 1.0, seed: int = 42, max_bins: int = 64) -> Trained:
-    """Gradient boosted trees; one against the rest for more than two labels."""
+    """Gradient boosted trees: Spark's for two labels, of all classes at once by softmax for more (:mod:`flowmill.operators.boosting`)."""
     rows, labels = prepare(df, label, features)
-    one = GBTClassifier(labelCol="code", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed, maxBins=max_bins)
-    model = one.fit(rows) if len(labels) <= 2 else OneVsRest(classifier=one, labelCol="code").fit(rows)
-    return Trained(model, features, labels)
+    if len(labels) <= 2:
+        return Trained(GBTClassifier(labelCol="code", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed, maxBins=max_bins).fit(rows), features, labels)
+    return Trained(SoftmaxBooster(rounds=rounds, depth=depth, rate=rate, subsample=subsample, seed=seed, bins=max_bins).fit(rows), features, labels)
 
 
 def score(trained: Trained, df: DataFrame, keep: list[str | Column] | tuple = ()) -> DataFrame:
-    """``keep``, ``code``, ``predicted_label`` and ``confidence`` of every row: the winning label's probability, or where models of one
-    label against the rest were fitted, its share by softmax of their raw scores.
-    """
+    """``keep``, ``code``, ``predicted_label`` and ``confidence`` of every row: the winning label's probability."""
     rows = trained.model.transform(assemble(df, trained.features, keep))
-    keep = rows.columns[: len(keep)]
+    keep = [c for c in rows.columns if c not in ("features", "rawPrediction", "probability", "prediction")][: len(keep)]
     names = F.array(*map(F.lit, trained.labels))
-    if "probability" in rows.columns:
-        confidence = F.array_max(vector_to_array("probability"))
-    else:
-        raw = vector_to_array("rawPrediction")
-        confidence = F.lit(1.0) / F.aggregate(F.transform(raw, lambda v: F.exp(v - F.array_max(raw))), F.lit(0.0), lambda a, b: a + b)
-    return rows.select(*keep, F.col("prediction").cast("int").alias("code"), F.get(names, F.col("prediction").cast("int")).alias("predicted_label"), confidence.alias("confidence"))
+    chance = F.col("probability") if isinstance(trained.model, SoftmaxModel) else vector_to_array("probability")
+    return rows.select(*keep, F.col("prediction").cast("int").alias("code"), F.get(names, F.col("prediction").cast("int")).alias("predicted_label"), F.array_max(chance).alias("confidence"))
 
 
 def score_live(trained: Trained, df: DataFrame, *, aliases: dict[str, str] | None = None, leaks: Iterable[str] = ("label",), least: float = 0.60, keep: Iterable[str] = ()) -> DataFrame:
@@ -121,38 +118,46 @@ def score_live(trained: Trained, df: DataFrame, *, aliases: dict[str, str] | Non
 
 def save(trained: Trained, spark, path: str) -> None:
     """The model, and its features and labels as JSON lines beside it. Never overwrites."""
-    PipelineModel([trained.model]).write().save(f"{path}/model")
-    spark.createDataFrame([(trained.features, trained.labels)], "features array<string>, labels array<string>").coalesce(1).write.json(f"{path}/names")
+    boosted = isinstance(trained.model, SoftmaxModel)
+    if boosted:
+        trained.model.table(spark).write.parquet(f"{path}/nodes")
+    else:
+        PipelineModel([trained.model]).write().save(f"{path}/model")
+    spark.createDataFrame([(trained.features, trained.labels, boosted)], "features array<string>, labels array<string>, boosted boolean").coalesce(1).write.json(f"{path}/names")
 
 
 def load(spark, path: str) -> Trained:
-    names = spark.read.schema("features array<string>, labels array<string>").json(f"{path}/names").first()
-    return Trained(PipelineModel.load(f"{path}/model").stages[0], list(names["features"]), list(names["labels"]))
+    names = spark.read.schema("features array<string>, labels array<string>, boosted boolean").json(f"{path}/names").first()
+    features, labels = list(names["features"]), list(names["labels"])
+    model = SoftmaxModel.of_table(spark.read.parquet(f"{path}/nodes"), len(labels), len(features)) if names["boosted"] else PipelineModel.load(f"{path}/model").stages[0]
+    return Trained(model, features, labels)
 
 
 # Importance
 
 
-def importance(trained: Trained, spark) -> DataFrame:
-    """``feature, percent`` of all importance, highest first."""
-    model = trained.model
-    parts = [m.featureImportances.toArray() for m in model.models] if hasattr(model, "models") else [model.featureImportances.toArray()]
-    mean = np.mean(parts, axis=0)
+def importance(trained: Trained, spark, *, label: str | None = None) -> DataFrame:
+    """``feature, percent`` of all importance, highest first; with ``label``, in the trees of this class (of a softmax model)."""
+    if isinstance(trained.model, SoftmaxModel):
+        mean = trained.model.gains(None if label is None else trained.labels.index(label))
+    elif label is None:
+        mean = trained.model.featureImportances.toArray()
+    else:
+        raise ValueError("only a model of all classes at once has importances by label")
     share = 100 * mean / mean.sum() if mean.sum() else mean
     return spark.createDataFrame([(f, float(x)) for f, x in zip(trained.features, share, strict=True)], "feature string, percent double").orderBy(F.desc("percent"), "feature")
 
 
 def importance_by_label(df: DataFrame, label: str, features: list[str], *, top: int = 10, rounds: int = 20, depth: int = 5, seed: int = 42) -> DataFrame:
-    """``label, feature, percent, place``: the strongest features of each label against the rest. One model a class."""
-    labels = [r["label"] for r in label_codes(df, label).orderBy("label").limit(MAX_CLASSES + 1).collect()]
-    if len(labels) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} labels")
+    """``label, feature, percent, place``: the strongest features of each label's trees, all from one model of all classes at once."""
+    spark = df.sparkSession
+    rows, labels = prepare(df, label, features)
+    trained = Trained(SoftmaxBooster(rounds=rounds, depth=depth, seed=seed).fit(rows), features, labels)
     out = []
     for x in labels:
-        trained = train_boosting(df.withColumn("__is", F.when(F.col(label).isNotNull(), (F.col(label) == F.lit(x)).cast("int"))), "__is", features, rounds=rounds, depth=depth, seed=seed)
-        rows = importance(trained, df.sparkSession).limit(top).collect()
-        out += [(str(x), r["feature"], r["percent"], k) for k, r in enumerate(rows, 1)]
-    return df.sparkSession.createDataFrame(out, "label string, feature string, percent double, place int")
+        found = importance(trained, spark, label=x).limit(top).collect()
+        out += [(x, r["feature"], r["percent"], k) for k, r in enumerate(found, 1)]
+    return spark.createDataFrame(out, "label string, feature string, percent double, place int")
 
 
 def weak_features(importances: DataFrame, least: float) -> list[str]:
@@ -179,34 +184,83 @@ def grid(**values: Iterable) -> list[dict]:
     return [dict(zip(values, x, strict=True)) for x in product(*values.values())]
 
 
-def tune(df: DataFrame, label: str, features: list[str], options: list[dict], make, key: list[str], *, k: int = 3, seed: int = 42, folder: str | None = None) -> DataFrame:
+#: Options whose smaller values are the beginning of an ensemble of a larger one.
+SIZES = ("trees", "rounds")
+
+
+def first_part(model, size: int):
+    """The first ``size`` trees or rounds of a fitted ensemble, as a model."""
+    if isinstance(model, SoftmaxModel):
+        return model.first(size)
+    jvm, java = SparkContext._active_spark_context._jvm, model._java_obj
+    if isinstance(model, RandomForestClassificationModel):
+        kind, made = jvm.org.apache.spark.ml.classification.DecisionTreeClassificationModel, jvm.org.apache.spark.ml.classification.RandomForestClassificationModel
+    elif isinstance(model, GBTClassificationModel):
+        kind, made = jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, jvm.org.apache.spark.ml.classification.GBTClassificationModel
+    else:
+        raise ValueError(f"{type(model).__name__} has no first part")
+    gateway, trees = SparkContext._active_spark_context._gateway, java.trees()
+    part = gateway.new_array(kind, size)
+    for k in range(size):
+        part[k] = trees[k]
+    if isinstance(model, GBTClassificationModel):
+        weights = gateway.new_array(gateway.jvm.double, size)
+        for k, w in enumerate(model.treeWeights[:size]):
+            weights[k] = float(w)
+        return GBTClassificationModel(made(java.uid(), part, weights, java.numFeatures(), 2))
+    return RandomForestClassificationModel(made(java.uid(), part, java.numFeatures(), java.numClasses()))
+
+
+def tune(df: DataFrame, label: str, features: list[str], options: list[dict], make, key: list[str], *, k: int = 3, seed: int = 42, folder: str | None = None, parallel: int = 4) -> DataFrame:
     """``combination, fold, f1, seconds``: macro-F1 of each combination on each stratified fold, and how long its fit took.
 
-    ``make`` gives an estimator for a combination (label column ``code``).  Each combination's rows are written to ``folder``
-    (one of its own in the shared folder, if not given) as soon as they are known; combinations that are there already, from
-    a run that broke off, aren't fitted again.
+    ``make`` gives an estimator for a combination (label column ``code``).  Combinations that differ in ``trees`` or ``rounds`` only
+    share one fit of the most of them, whose beginnings are evaluated (``seconds`` is that fit's share); ``parallel`` fits run
+    at once.  Results are written to ``folder`` (one of its own in the shared folder, if not given) as soon as a fit is
+    evaluated; what is there of the same rows, label, features, folds and seed, from a run that broke off, isn't fitted again.
     """
     spark = df.sparkSession
     folder = folder or f"{shared_dir(spark)}/tuning-{uuid4().hex}"
-    schema = "combination string, fold int, f1 double, seconds double"
-    try:
-        past = {r["combination"] for r in spark.read.schema(schema).parquet(folder).select("combination").distinct().collect()}
-    except AnalysisException:  # nothing there yet
-        past = set()
-    rows = None
+    rows = cut(prepare(folds(df.where(F.col(label).isNotNull()), label, k, key, seed=seed, name="__fold"), label, features, ["__fold"])[0])
+    state = rows.agg(F.count("*"), F.bit_xor(F.xxhash64("__fold", "code", vector_to_array("features")))).first()
+    inputs = sha256(repr((label, features, key, k, seed, *state)).encode()).hexdigest()
+    schema = "inputs string, combination string, fold int, f1 double, seconds double"
+    past = set()
+    if _exists(spark, folder):
+        past = {(r["combination"], r["fold"]) for r in _results(spark, folder, schema).where(F.col("inputs") == inputs).select("combination", "fold").distinct().collect()}
+    shared: dict[str, list[dict]] = {}
     for option in options:
-        if str(option) in past:
-            continue
-        if rows is None:
-            rows = cut(prepare(folds(df.where(F.col(label).isNotNull()), label, k, key, seed=seed, name="__fold"), label, features, ["__fold"])[0])
+        shared.setdefault(str({n: v for n, v in option.items() if n not in SIZES}), []).append(option)
+
+    def fit(alike: list[dict], fold: int) -> None:
+        todo = [x for x in alike if (str(x), fold) not in past]
+        if not todo:
+            return
+        size = next((n for n in SIZES if n in todo[0]), None)
+        largest = max(todo, key=lambda x: x.get(size, 0))
+        began = time()
+        model = make(largest).fit(rows.where(F.col("__fold") != fold))
+        took, held = time() - began, rows.where(F.col("__fold") == fold)
         out = []
-        for fold in range(k):
-            began = time()
-            model = make(option).fit(rows.where(F.col("__fold") != fold))
-            took = time() - began
-            out.append((str(option), fold, MacroF1().evaluate(model.transform(rows.where(F.col("__fold") == fold))), took))
-        spark.createDataFrame(out, schema).coalesce(1).write.mode("append").parquet(folder)
-    return spark.read.schema(schema).parquet(folder)
+        for x in todo:
+            part = model if x is largest or size is None else first_part(model, x[size])
+            share = x[size] / largest[size] if size else 1.0
+            out.append((inputs, str(x), fold, MacroF1().evaluate(part.transform(held)), took * share))
+        spark.createDataFrame(out, schema).coalesce(1).write.parquet(f"{folder}/fit-{uuid4().hex}")  # one job's files can't meet another's
+
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        for done in [pool.submit(fit, alike, fold) for alike in shared.values() for fold in range(k)]:
+            done.result()
+    return _results(spark, folder, schema).where(F.col("inputs") == inputs).drop("inputs")
+
+
+def _results(spark, folder: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
+
+
+def _exists(spark, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
 def refit_best(df: DataFrame, label: str, features: list[str], results: DataFrame, options: list[dict], make) -> tuple[Trained, dict]:
@@ -217,6 +271,16 @@ def refit_best(df: DataFrame, label: str, features: list[str], results: DataFram
     return Trained(make(option).fit(rows), features, labels), option
 
 
+def search(train: DataFrame, test: DataFrame, label: str, features: list[str], options: list[dict], make, key: list[str], **how) -> tuple[DataFrame, Trained, dict, DataFrame]:
+    """The whole search: results by combination (best first), the best one refitted on all of ``train``, what it is, and its report on
+    ``test`` (:func:`flowmill.operators.evaluate.class_report`).
+    """
+    results = cut(tune(train, label, features, options, make, key, **how))
+    best, option = refit_best(train, label, features, results, options, make)
+    scored = score(best, test.where(F.col(label).isNotNull()), [F.col(label).cast("string").alias("truth")])
+    return tuning_summary(results), best, option, class_report(confusion(scored, "truth", "predicted_label"))
+
+
 def tuning_summary(results: DataFrame) -> DataFrame:
     """``combination, mean_f1, std_f1, mean_seconds``, best first."""
     return results.groupBy("combination").agg(F.avg("f1").alias("mean_f1"), F.stddev_pop("f1").alias("std_f1"), F.avg("seconds").alias("mean_seconds")).orderBy(F.desc("mean_f1"), "combination")
@@ -227,10 +291,12 @@ def forest_of(option: dict, seed: int = 42) -> RandomForestClassifier:
     return RandomForestClassifier(labelCol="code", numTrees=option.get("trees", 100), maxDepth=min(option.get("depth", 20), 30), minInstancesPerNode=option.get("least", 1), featureSubsetStrategy=option.get("subset", "sqrt"), seed=seed)
 
 
-def boosting_of(option: dict, seed: int = 42) -> OneVsRest | GBTClassifier:
-    """A boosting estimator for a tuning combination (rounds, depth, rate, subsample)."""
-    one = GBTClassifier(labelCol="code", maxIter=option.get("rounds", 100), maxDepth=option.get("depth", 5), stepSize=option.get("rate", 0.1), subsamplingRate=option.get("subsample", 1.0), seed=seed)
-    return one if option.get("binary") else OneVsRest(classifier=one, labelCol="code")
+def boosting_of(option: dict, seed: int = 42) -> SoftmaxBooster | GBTClassifier:
+    """A boosting estimator for a tuning combination (rounds, depth, rate, subsample; binary: Spark's, of two classes)."""
+    rounds, depth, rate, subsample = option.get("rounds", 100), option.get("depth", 5), option.get("rate", 0.1), option.get("subsample", 1.0)
+    if option.get("binary"):
+        return GBTClassifier(labelCol="code", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed)
+    return SoftmaxBooster(rounds=rounds, depth=depth, rate=rate, subsample=subsample, seed=seed)
 
 
 # Isolation forest (Liu et al., 2008)

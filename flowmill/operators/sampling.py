@@ -43,6 +43,38 @@ def rank_by_hash(df: DataFrame, by: list[str], key: list[str], *, seed: int = 42
     return ranked.select(*[F.col(f"`{c}`") for c in df.columns], name)
 
 
+def file_order() -> Column:
+    """Where a row stands in its files: file, start of the block that was read, place in it. Only right at a scan, before any shuffle;
+    rows sort by it in the order of the files' names and of their lines, however the files are cut into blocks.
+    """
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+
+
+def rank_in_files(df: DataFrame, by: list[str], order: str, *, name: str = "place") -> DataFrame:
+    """``df`` with each row's place (from 1) in its group, in file order (``order``: a column of :func:`file_order`).
+
+    Rows are counted by group and block and numbered within these from the counts before them, so no group meets in one task.
+    """
+    rows = df.withColumn("__piece", F.struct(F.col(order)["file"].alias("file"), F.col(order)["block"].alias("block")))
+    counts = rows.groupBy(*by, "__piece").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(b).alias(f"__by{k}") for k, b in enumerate(by)], F.col("__piece").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    same = F.col("__piece") == F.col("__of")
+    for k, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"__by{k}"))
+    within = Window.partitionBy(*by, "__piece").orderBy(F.col(order)["at"])
+    ranked = rows.withColumn("__row", F.row_number().over(within)).join(bounded(starts), same)
+    return ranked.withColumn(name, F.col("__row") + F.col("__start")).select(*[F.col(f"`{c}`") for c in df.columns], name)
+
+
+def split_in_files(df: DataFrame, label: str, ratio: float, order: str, *, name: str = "split") -> DataFrame:
+    """As :func:`stratified_split`, but the rows that train are the first of each label in file order."""
+    rows = df.where(F.col(label).isNotNull())
+    counts = rows.groupBy(F.col(label).alias("__label")).agg(F.bround(F.count("*") * F.lit(ratio)).alias("__train"))
+    ranked = rank_in_files(rows, [label], order, name="__place").join(bounded(cut(counts)), F.col(label) == F.col("__label"))
+    return ranked.withColumn(name, F.when(F.col("__place") <= F.col("__train"), "train").otherwise("test")).drop("__label", "__train", "__place")
+
+
 def number_rows(df: DataFrame, order: list[str | Column], *, name: str = "row") -> DataFrame:
     """``df`` with global row numbers from 1 in ``order`` (unique): sorted parts, counted, and numbered from the counts."""
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowmill.functions.expr import NA_TOKENS, blank_to_null, to_number
+from flowmill.operators.sampling import file_order
 from flowmill.operators.schema import unique_header
 from flowmill.storage import cut
 
@@ -65,25 +66,28 @@ def header_groups(found: DataFrame, *, most: int = MAX_HEADERS) -> list[tuple[li
     return sorted(((r["names"], r["files"]) for r in rows), key=lambda g: g[1][0])
 
 
-def read_csv_text(spark: SparkSession, path: str | list[str], *, recursive: bool = True, pattern: str | None = "*.[cC][sS][vV]", source_col: str | None = None, sep: str = ",") -> DataFrame:
-    """All columns as text, as written; missing only where empty. ``source_col``: adds each row's file.
+def read_csv_text(spark: SparkSession, path: str | list[str], *, recursive: bool = True, pattern: str | None = "*.[cC][sS][vV]", source_col: str | None = None, order_col: str | None = None, sep: str = ",") -> DataFrame:
+    """All columns as text, as written; missing only where empty. ``source_col``: adds each row's file; ``order_col``: its place in the
+    files (:func:`flowmill.operators.sampling.file_order`).
 
     Files may have different headers: there is one scan for those that have the same, and scans are united by name (a trimmed
     name's case is that of its first file; of columns of one name in a file the first counts).  What a file lacks is NULL.
     """
     spelled: dict[str, str] = {}
-    parts = []
+    parts, added = [], [n for n in (source_col, order_col) if n]
     for names, files in header_groups(headers(spark, path, recursive=recursive, pattern=pattern, sep=sep)):
         keep = unique_header(names)
         raw = spark.read.schema(T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))])).csv([_escaped(f) for f in files], header=True, sep=sep)
         columns = {}
         for k in keep:
             columns.setdefault(spelled.setdefault(names[k].lower(), names[k]), F.col(f"c{k}"))
-        parts.append(raw.select(*[c.alias(n) for n, c in columns.items()], *([F.col("_metadata.file_path").alias(source_col)] if source_col else [])))
+        more = {source_col: F.col("_metadata.file_path"), order_col: file_order()}
+        parts.append(raw.select(*[c.alias(n) for n, c in columns.items()], *[more[n].alias(n) for n in added]))
     if not parts:
-        return spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in ([source_col] if source_col else [])]))
+        place = T.StructType([T.StructField("file", T.StringType()), T.StructField("block", T.LongType()), T.StructField("at", T.LongType())])
+        return spark.createDataFrame([], T.StructType([T.StructField(n, place if n == order_col else T.StringType()) for n in added]))
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return whole.select(*[F.col(f"`{n}`") for n in [*spelled.values(), *([source_col] if source_col else [])]])
+    return whole.select(*[F.col(f"`{n}`") for n in [*spelled.values(), *added]])
 
 
 def _escaped(file: str) -> str:

@@ -6,11 +6,12 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from flowmill.functions.expr import clean_text, file_safe, finite_or_zero, is_label, number_of, plain_title, to_number, value_type
-from flowmill.operators import balance, cleaning, correlation, dedup, evaluate, models, profile, sampling, schema
-from flowmill.sources import readers, sinks
+from flowmill.operators import balance, boosting, cleaning, correlation, dedup, evaluate, models, profile, sampling, schema
+from flowmill.sources import parts, readers, sinks
 from flowmill.storage import shared_dir
 
 INF, NAN = float("inf"), float("nan")
@@ -392,21 +393,95 @@ def test_tuning_goes_on_where_it_broke_off(spark, tmp_path):
     rows, options, fitted = wide(spark), models.grid(trees=[1, 3], depth=[2]), []
 
     def make(option):
-        fitted.append(str(option))
-        if len(fitted) == 3 + 1:
+        fitted.append(option["trees"])
+        if len(fitted) == 2:
             raise RuntimeError("lost")
         return models.forest_of(option)
 
     folder = str(tmp_path / "tuning")
     with pytest.raises(RuntimeError):
-        models.tune(rows, "label", ["f0", "f1"], options, make, ["id"], folder=folder)
-    results = models.tune(rows, "label", ["f0", "f1"], options, make, ["id"], folder=folder)
-    assert results.count() == 6 and fitted[:3] == [str(options[0])] * 3 and fitted[4:] == [str(options[1])] * 3
+        models.tune(rows, "label", ["f0", "f1"], options, make, ["id"], folder=folder, parallel=1)
+    before = len(fitted)
+    results = models.tune(rows, "label", ["f0", "f1"], options, make, ["id"], folder=folder, parallel=1)
+    assert results.count() == 6 and set(fitted) == {3} and len(fitted) == 4 and before < 4  # one fit a fold for both sizes, the one that failed again
     assert results.where("seconds > 0 and f1 between 0 and 1").count() == 6
+    other = models.tune(rows, "label", ["f0"], options, make, ["id"], folder=folder)
+    assert len(fitted) == 7 and other.count() == 6  # other features: nothing is taken from the past
     best, option = models.refit_best(rows, "label", ["f0", "f1"], results, options, models.forest_of)
     assert option in options and models.score(best, rows, ["id"]).count() == rows.count()
 
 
+def test_first_parts_of_ensembles(spark):
+    rows, labels = models.prepare(wide(spark), "label", ["f0", "f1", "f2"])
+    forest = models.forest_of({"trees": 5, "depth": 3}).fit(rows)
+    whole, same = (m.transform(rows).select("rawPrediction").collect() for m in (forest, models.first_part(forest, 5)))
+    assert whole == same
+    first = models.first_part(forest, 1).transform(rows).select("prediction").collect()
+    assert [r[0] for r in first] == [r[0] for r in forest.trees[0].transform(rows).select("prediction").collect()]
+    two = rows.withColumn("code", (F.col("code") > 0).cast("double"))
+    boosted, shorter = (models.boosting_of({"rounds": n, "depth": 2, "binary": True}).fit(two) for n in (4, 2))
+    assert models.first_part(boosted, 2).transform(two).select("probability").collect() == shorter.transform(two).select("probability").collect()
+
+
+def plain_boosting(x, y, edges, rounds, depth, rate, least=1.0, penalty=1.0):
+    """Margins by the textbook: for each node every feature and edge is tried on the rows themselves."""
+    classes, margins = y.max() + 1, np.zeros((len(x), y.max() + 1))
+    for _ in range(rounds):
+        raised = np.exp(margins - margins.max(axis=1, keepdims=True))
+        chance, add = raised / raised.sum(axis=1, keepdims=True), np.zeros_like(margins)
+        for k in range(classes):
+            g, h = np.rint((chance[:, k] - (y == k)) * 2**24) / 2**24, np.rint(chance[:, k] * (1 - chance[:, k]) * 2**24) / 2**24
+
+            def grow(rows, left, k=k, g=g, h=h, add=add):
+                best = (1e-9, None)
+                whole = g[rows].sum() ** 2 / (h[rows].sum() + penalty)
+                for f in range(x.shape[1]) if left else ():
+                    for edge in edges[f]:
+                        side = x[rows, f] <= edge
+                        if min(h[rows[side]].sum(), h[rows[~side]].sum()) >= least:
+                            gain = sum(g[s].sum() ** 2 / (h[s].sum() + penalty) for s in (rows[side], rows[~side])) - whole
+                            if gain > best[0] + 1e-12:
+                                best = (gain, (f, edge))
+                if best[1] is None:
+                    add[rows, k] = -rate * g[rows].sum() / (h[rows].sum() + penalty)
+                else:
+                    side = x[rows, best[1][0]] <= best[1][1]
+                    grow(rows[side], left - 1), grow(rows[~side], left - 1)
+
+            grow(np.arange(len(x)), depth)
+        margins = margins + add
+    return margins
+
+
+def test_softmax_boosting_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    y = rng.integers(0, 3, 240)
+    x = np.stack([y + rng.normal(size=240), rng.normal(size=240) - (y == 1), rng.integers(0, 4, 240) + 0.0], axis=1)
+    rows = spark.createDataFrame([(k, f"c{y[k]}", *map(float, x[k])) for k in range(240)], "id long, label string, f0 double, f1 double, f2 double").repartition(5)
+    prepared, labels = models.prepare(rows, "label", ["f0", "f1", "f2"])
+    booster = boosting.SoftmaxBooster(rounds=10, depth=3, rate=0.4, bins=16)
+    edges = booster._edges(prepared.select(vector_to_array("features").alias("x")), 3)
+    model = booster.fit(prepared)
+    want = plain_boosting(x, y, edges, 10, 3, 0.4)
+    assert np.allclose(model.margins(x), want, atol=1e-6)
+    again = booster.fit(prepared.repartition(2))
+    assert np.array_equal(again.margins(x), model.margins(x))  # however rows are dealt
+    assert np.array_equal(model.first(4).margins(x), boosting.SoftmaxBooster(rounds=4, depth=3, rate=0.4, bins=16).fit(prepared).margins(x))
+    trained = models.Trained(model, ["f0", "f1", "f2"], labels)
+    scored = {r["id"]: r for r in models.score(trained, rows, ["id"]).collect()}
+    chance = boosting.softmax(want)
+    assert all(abs(scored[k]["confidence"] - chance[k].max()) < 1e-6 and scored[k]["code"] == chance[k].argmax() for k in range(240))
+    models.save(trained, spark, str(tmp_path / "m"))
+    back = models.load(spark, str(tmp_path / "m"))
+    assert np.array_equal(back.model.margins(x), model.margins(x)) and back.labels == labels
+    gains = sum(model.gains(k) for k in range(3))
+    assert np.allclose(gains, model.gains()) and models.importance(trained, spark, label="c1").first()["percent"] > 0
+    half = boosting.SoftmaxBooster(rounds=3, depth=2, subsample=0.5).fit(prepared)
+    assert np.mean(half.margins(x).argmax(axis=1) == y) > 0.6
+    with pytest.raises(ValueError, match="rows"):
+        booster.fit(prepared.limit(0))
+
+
 def test_weak_features(spark):
     given = spark.createDataFrame([("a", 99.95), ("c", 0.02), ("b", 0.03)], "feature string, percent double")
     assert models.weak_features(given, 0.1) == ["b", "c"]
@@ -423,17 +498,89 @@ def test_deletion_summary(spark):
     assert [tuple(r) for r in got] == [("a", 1, 1, ["X "], ["z"]), ("b", 0, 2, [], ["x", "z"])]
 
 
-def test_neighbours_within_labels(spark, monkeypatch):
-    monkeypatch.setattr(balance, "BLOCK", 7)
+@pytest.mark.parametrize("max_pivots", [1, 9])
+def test_neighbours_within_labels(spark, max_pivots):
     rows = spark.createDataFrame([(k, "ab"[k % 3 == 0], [float(k * 37 % 101), float(k % 11)]) for k in range(60)], "id long, label string, x array<double>")
     data = {r["id"]: (r["label"], np.array(r["x"])) for r in rows.collect()}
     got = {}
-    for r in balance.neighbours(rows, rows, 4, same_label=True).collect():
+    for r in balance.neighbours(rows, rows, 4, same_label=True, block=7, max_pivots=max_pivots).collect():
         got.setdefault(r["id"], {})[r["place"]] = r["neighbour"]
     for k, (label, x) in data.items():
         near = sorted((float(((x - y) ** 2).sum()), j) for j, (other, y) in data.items() if j != k and other == label)[:4]
         assert [got[k][p] for p in range(1, 5)] == [j for _, j in near]
 
+
+def test_pivots_prune_neighbours(spark, monkeypatch):
+    """Of clusters that are far apart, rows meet few others; ties and rows of one place are found all the same."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(30, 6)) * 50
+    x = np.concatenate([c + np.round(rng.normal(size=(30, 6)), 1) for c in centres])
+    x[100:110] = x[100]
+    rows = spark.createDataFrame([(k, str(k % 3), v.tolist()) for k, v in enumerate(x)], "id long, label string, x array<double>")
+    sent, visits = [], balance.visits
+    monkeypatch.setattr(balance, "visits", lambda *a: (out := visits(*a), sent.append(out.count()))[0])
+    got = {}
+    for r in balance.neighbours(rows, rows, 5, same_label=False, block=30, max_pivots=30).collect():
+        got.setdefault(r["id"], {})[r["place"]] = r["neighbour"]
+    for k, v in enumerate(x):
+        distance = np.maximum((v * v).sum() + (x * x).sum(axis=1) - 2 * x @ v, 0)
+        near = sorted((float(((v - x[j]) ** 2).sum()), j) for j in np.argsort(distance)[:60] if j != k)
+        assert [round(float(((v - x[j]) ** 2).sum()), 6) for j in (got[k][p] for p in range(1, 6))] == [round(d, 6) for d, _ in near[:5]]
+    assert sent[0] < 0.2 * len(x) * 29  # of all rows to all other pivots
+
+
+def test_file_order(spark, tmp_path):
+    for name, start in (("b", 0), ("a", 1000), ("c", 2000)):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{name}.csv").write_text("n,label\n" + "".join(f"{start + (k * 7) % 900},{'xyz'[k % 3] if k % 11 else ''}\n" for k in range(900)))
+    lines = [x.split(",") for name in "abc" for x in (tmp_path / "in" / f"{name}.csv").read_text().splitlines()[1:]]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for most in ("1000", "64m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            rows = readers.read_csv_text(spark, str(tmp_path / "in"), order_col="at")
+            ranked = {r["n"]: (r["label"], r["place"]) for r in sampling.rank_in_files(rows, ["label"], "at").collect()}
+            split = {r["n"]: r["split"] for r in sampling.split_in_files(rows, "label", 0.6, "at").collect()}
+            seen = Counter()
+            counts = Counter(x or None for _, x in lines)
+            for n, x in lines:
+                seen[x or None] += 1
+                assert ranked[n] == (x or None, seen[x or None])
+                assert not x or split[n] == ("train" if seen[x] <= round(counts[x] * 0.6) else "test")
+            assert len(split) == sum(counts.values()) - counts[None]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_cell_profile_is_what_its_reports_say(spark):
+    rows = spark.createDataFrame([("1", 1.5, None), ("inf", INF, None), ("abc", None, None), (None, 2.0, None), ("2.5", NAN, None)], "t string, d double, n int")
+    got = {r["column"]: r.asDict() for r in profile.cell_profile(rows).collect()}
+    assert [got["t"][k] for k in profile.KINDS] == [1, 1, 1, 1, 1] and got["n"]["missing"] == 5 and got["n"]["about_distinct"] == 0
+    assert {r["column"]: r["missing"] for r in profile.missing_profile(rows).collect()} == {"t": 1, "d": 1, "n": 5}
+    for r in profile.type_profile(rows).collect():
+        assert got[r["column"]][r["kind"]] == r["cells"]
+    plan = profile.cell_profile(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def test_numbered_parts(spark, tmp_path):
+    rows = spark.range(25).selectExpr("id", "if(id % 4 = 0, null, concat('a,\"', id)) t", "id / 4 x")
+    folder = tmp_path / "parts"
+    parts.write_numbered(rows.repartition(3), str(folder), 10, ["id"])
+    assert sorted(p.name for p in folder.iterdir()) == ["base.csv", "base_1.csv", "base_2.csv"]
+    assert [len((folder / f).read_text().splitlines()) for f in ("base.csv", "base_1.csv", "base_2.csv")] == [11, 11, 6]
+    back = spark.read.schema("id long, t string, x double").option("escape", '"').csv(str(folder), header=True)
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
+    with pytest.raises(ValueError, match="already"):
+        parts.write_numbered(rows, str(folder), 10, ["id"])
+    bad = rows.withColumn("x", F.when(F.col("id") == 13, F.raise_error(F.lit("lost"))).otherwise(F.col("x")))
+    with pytest.raises(Exception, match="lost"):
+        parts.write_numbered(bad, str(tmp_path / "bad"), 10, ["id"], base="other")
+    assert not [*(tmp_path / "bad").iterdir()]
+    parts.write_numbered(rows.limit(0), str(tmp_path / "none"), 10, ["id"])
+    assert not [*(tmp_path / "none").iterdir()]
+
+
 def test_streams(spark, tmp_path):
     from flowmill.streaming import scoring
 
