@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder: a lost executor costs no recomputation of what came before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared folder and read again: a lost executor costs no recomputation of what came before.
+
+    It is written as Parquet, so later plans know its true size.  (A checkpoint keeps the estimate it was planned with; joins multiply
+    estimates, and after some rounds of joins the planner computes with numbers of millions of digits.)  What Parquet can't
+    hold, columns without a type or of names that differ in case only, is checkpointed.
+    """
+    folder = shared_dir(df.sparkSession).rstrip("/")
+    names = [n.lower() for n in df.columns]
+    if not names or len(set(names)) < len(names) or "void" in df.schema.simpleString() or "interval" in df.schema.simpleString():
+        return df.checkpoint(eager=True)
+    path = f"{folder}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bounded(df: DataFrame, most: int = 100_000) -> DataFrame:
