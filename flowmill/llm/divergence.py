@@ -2,8 +2,8 @@
 
 Terms are runs of ASCII letters (A-Z in lower case) and of bytes from 0x80 on.  They are found on the bytes of a batch's UTF-8 buffer: a
 lookup table of 256 entries lowers letters and marks what separates, and differences of the marks give the boundaries.
-Slices are grouped by their XXH64; a slice whose bytes are not those of its group's first one goes to a group of its own, so a
-collision merges nothing.
+Equal slices of a buffer are grouped and verified byte by byte, so that a collision merges nothing; each distinct one is known
+by its XXH64, and where counts of tasks meet, by its bytes.
 
 Two passes over the texts.  The first counts the documents of each (language, term) by a 64-bit key, which gives a superset of
 the terms that are kept; the second counts the occurrences of these only, by source, and the documents again by the terms
@@ -76,41 +76,51 @@ def windows(text: np.ndarray, starts: np.ndarray, size: int) -> Iterator[tuple[b
         at = end
 
 
-def hashes(low: bytes, a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    found = np.fromiter((digest(low[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)), "u8", len(a))
-    return found >> np.uint64(64 - bits)
+def packed(low: bytes, a: np.ndarray, length: np.ndarray, at: int) -> np.ndarray:
+    """The eight bytes from ``at`` on of each slice, as a number; bytes beyond its end count as 0."""
+    data = np.concatenate([np.frombuffer(low, "u1"), np.zeros(at + 8, "u1")])
+    whole = np.lib.stride_tricks.sliding_window_view(data, 8)[a + at].view("<u8")[:, 0]
+    some = np.clip(length - at, 0, 8).astype("u8") * np.uint64(8)
+    return np.where(some < 64, whole & ((np.uint64(1) << (some % np.uint64(64))) - np.uint64(1)), whole)
+
 
+def same_rest(low: bytes, a: np.ndarray, to: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether slices of equal lengths over 16 that begin at ``a`` and at ``to`` have the same bytes from the 16th on."""
+    if not len(a):
+        return np.zeros(0, bool)
+    data, size = np.frombuffer(low, "u1"), length - 16
+    begin = np.cumsum(size) - size
+    step = np.arange(int(size.sum())) - np.repeat(begin - 16, size)
+    return np.logical_and.reduceat(data[np.repeat(a, size) + step] == data[np.repeat(to, size) + step], begin)
 
-def keys_of(found: np.ndarray, docs: np.ndarray, langs: np.ndarray) -> np.ndarray:
-    """The key of each (language, term). ``langs``: a number for each document's language."""
-    return mix(found ^ langs[docs]).view("i8")
 
+def distinct(low: bytes, a: np.ndarray, b: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct slices from a to b: the place of one of each, the number of each slice's own one, and their XXH64.
 
-def same_bytes(low: bytes, a: np.ndarray, b: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """Whether each slice from a to b has the bytes of the slice at the place ``to``."""
+    Slices are grouped by a mix of their first 16 bytes and lengths, and verified: those that differ from the first one of their group
+    in any byte go on to groups of their own.  So each distinct slice is hashed once.
+    """
     length = b - a
-    same = length == length[to]
-    some = np.flatnonzero(same)
-    if len(some):
-        data, size = np.frombuffer(low, "u1"), length[some]
-        begin = np.cumsum(size) - size
-        step = np.arange(int(size.sum())) - np.repeat(begin, size)
-        equal = data[np.repeat(a[some], size) + step] == data[np.repeat(a[to[some]], size) + step]
-        same[some] = np.logical_and.reduceat(equal, begin)
-    return same
-
-
-def groups(low: bytes, a: np.ndarray, b: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """For each slice the place of the first one with the same bytes: by hash, and verified byte by byte."""
-    out, left = np.zeros(len(a), "i8"), np.arange(len(a))
+    head, tail = packed(low, a, length, 0), packed(low, a, length, 8)
+    key = mix(head ^ mix(tail + length.astype("u8"))) >> np.uint64(64 - bits)
+    firsts, number, left = [], np.zeros(len(a), "i8"), np.arange(len(a))
     while len(left):
-        _, first, inverse = np.unique(found[left], return_index=True, return_inverse=True)
+        _, first, inverse = np.unique(key[left], return_index=True, return_inverse=True)
         to = left[first][inverse]
-        same = same_bytes(low, a[left], b[left], first[inverse])
-        out[left[same]] = to[same]
-        left = left[~same]  # other terms of the same hash
-    return out
+        same = (head[left] == head[to]) & (tail[left] == tail[to]) & (length[left] == length[to])
+        long = np.flatnonzero(same & (length[left] > 16))
+        same[long] = same_rest(low, a[left[long]], a[to[long]], length[left[long]])
+        number[left[same]] = inverse[same] + sum(map(len, firsts))
+        firsts.append(left[first])
+        left = left[~same]  # other terms of the same key
+    places = np.concatenate(firsts) if firsts else left
+    digest = xxhash.xxh64_intdigest
+    return places, number, np.fromiter((digest(low[x:y]) for x, y in zip(a[places].tolist(), b[places].tolist(), strict=True)), "u8", len(places))
+
+
+def keys_of(found: np.ndarray, langs: np.ndarray) -> np.ndarray:
+    """The key of each (term, language), by the hashes of both."""
+    return mix(found ^ langs).view("i8")
 
 
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -142,14 +152,11 @@ def frequent_keys(texts: DataFrame, min_docs: int, *, window: int = WINDOW, bits
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
         for batch in batches:
-            langs = _lang_hashes(batch.column(0))
+            langs, rows = _lang_hashes(batch.column(0)), batch.num_rows
             for low, a, b, docs in windows(*buffers(batch.column(2)), window):
-                key = keys_of(hashes(low, a, b, bits), docs, langs)
-                order = np.lexsort((key, docs))
-                key, docs = key[order], docs[order]
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | (docs[1:] != docs[:-1])
-                some, n = np.unique(key[new], return_counts=True)
+                _, number, found = distinct(low, a, b, bits)
+                pair = np.unique(number * rows + docs)  # once a document
+                some, n = np.unique(keys_of(found[pair // rows], langs[pair % rows]), return_counts=True)
                 keys.append(some), counts.append(n)
                 if sum(map(len, keys)) > HELD:
                     keys, counts = ([x] for x in merged(keys, counts))
@@ -173,25 +180,27 @@ def term_counts(texts: DataFrame, min_docs: int, *, window: int = WINDOW, bits:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, (own, names) = _lang_hashes(batch.column(0)), _numbered(batch.column(0), batch.column(1))
+            langs, (own, names), rows = _lang_hashes(batch.column(0)), _numbered(batch.column(0), batch.column(1)), batch.num_rows
             vocabulary: dict[bytes, int] = {}
-            held, size = [], 0  # (document, term, n)
+            held, size = [], 0  # (document, term), n
             for low, a, b, docs in windows(*buffers(batch.column(2)), window):
-                found = hashes(low, a, b, bits)
+                places, number, found = distinct(low, a, b, bits)
+                pair, n = np.unique(number * rows + docs, return_counts=True)
+                term, docs = pair // rows, pair % rows
                 if few:
-                    key = keys_of(found, docs, langs)
+                    key = keys_of(found[term], langs[docs])
                     at = np.searchsorted(known.value, key)
                     at[at == len(known.value)] = 0
                     some = known.value[at] == key if len(known.value) else np.zeros(len(key), bool)
-                    a, b, docs, found = a[some], b[some], docs[some], found[some]
-                if not len(a):
+                    term, docs, n = term[some], docs[some], n[some]
+                if not len(term):
                     continue
-                first, term = np.unique(groups(low, a, b, found), return_inverse=True)
-                number = np.array([vocabulary.setdefault(low[x:y], len(vocabulary)) for x, y in zip(a[first].tolist(), b[first].tolist(), strict=True)], "i8")
-                pair, n = np.unique((docs << 32) | number[term], return_counts=True)
-                held.append((pair, n))
-                size += len(pair)
-                if size > HELD and docs[0] == docs[-1]:  # one long text goes on: its terms come once each
+                some, term = np.unique(term, return_inverse=True)
+                places = places[some]
+                word = np.array([vocabulary.setdefault(low[x:y], len(vocabulary)) for x, y in zip(a[places].tolist(), b[places].tolist(), strict=True)], "i8")
+                held.append(((docs << 32) | word[term], n))
+                size += len(term)
+                if size > HELD and docs.min() == docs.max():  # one long text goes on: its terms come once each
                     held = [merged(*zip(*held, strict=True))]
                     size = len(held[0][0])
             if held:
@@ -199,11 +208,15 @@ def term_counts(texts: DataFrame, min_docs: int, *, window: int = WINDOW, bits:
 
     def counted(pair: np.ndarray, n: np.ndarray, own: np.ndarray, names: list[tuple], words: list[bytes]) -> pa.RecordBatch:
         cell, inverse = np.unique((own[pair >> 32] << 32) | (pair & 0xFFFFFFFF), return_inverse=True)
-        group, word = cell >> 32, pa.array(words, pa.binary()).cast(pa.string())
+        group, term = cell >> 32, cell & 0xFFFFFFFF
         lang, source = (pa.array([x[k] for x in names], pa.string()).take(pa.array(group)) for k in (0, 1))
-        keys = pa.array(keys_of(hashes_of(words, bits)[cell & 0xFFFFFFFF], group, np.array([xxhash.xxh64_intdigest(x[0].encode(), 1) for x in names], "u8")))
+        keys = np.zeros(len(cell), "i8")
+        if not few:
+            hashed = np.array([xxhash.xxh64_intdigest(w) for w in words], "u8")
+            keys = keys_of(hashed[term], np.array([xxhash.xxh64_intdigest(x[0].encode(), 1) for x in names], "u8")[group])
         sums = np.bincount(inverse, n, len(cell)).astype("i8"), np.bincount(inverse, minlength=len(cell))
-        return pa.RecordBatch.from_arrays([lang, source, word.take(pa.array(cell & 0xFFFFFFFF)), keys, *map(pa.array, sums)], ["lang", "source", "term", "key", "n", "docs"])
+        word = pa.array(words, pa.binary()).cast(pa.string()).take(pa.array(term))
+        return pa.RecordBatch.from_arrays([lang, source, word, pa.array(keys), *map(pa.array, sums)], ["lang", "source", "term", "key", "n", "docs"])
 
     rows = texts.mapInArrow(count, "lang string, source string, term string, key long, n long, docs long")
     if not few:
@@ -211,10 +224,6 @@ def term_counts(texts: DataFrame, min_docs: int, *, window: int = WINDOW, bits:
     return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
-def hashes_of(words: list[bytes], bits: int) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w) for w in words], "u8") >> np.uint64(64 - bits)
-
-
 def shares(count: np.ndarray, of: np.ndarray) -> np.ndarray:
     """1 + floor(WHOLE * (count + EXTRA) / of), exactly: by long division in steps of 1,000, so ``of`` may reach 9e15."""
     if len(of) and int(np.max(of)) > 9 * 10**15:

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from flowmill.llm import divergence, queries
@@ -86,12 +87,16 @@ def test_boundaries(size):
     assert [got[k] for k in range(len(texts))] == [[lowered(w) for w in TERM.findall(t)] for t in texts]
 
 
-def test_collisions_make_no_group():
-    words = [b"aa", b"ab", b"aa", b"b", b"ab", b"aa"]
+@pytest.mark.parametrize("bits", [1, 64])
+def test_distinct_slices_are_verified(bits):
+    long = [b"abcdefghijklmnop" + x for x in (b"", b"q", b"qr", b"qs", b"r" * 40, b"r" * 39 + b"s")]
+    words = [b"aa", b"ab", b"aa", b"b", b"abcdefgh", b"abcdefghi", b"abcdefgj", *long, b"ab", b"aa", *long]
     low = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = ends - [len(w) for w in words]
-    assert divergence.groups(low, starts, ends, np.zeros(6, "u8")).tolist() == [0, 1, 0, 3, 1, 0]
+    places, number, hashed = divergence.distinct(low, starts, ends, bits)
+    assert [words[places[k]] for k in number] == words and len(places) == len(set(words))
+    assert hashed.tolist() == [xxhash.xxh64_intdigest(words[k]) for k in places]
 
 
 def test_shares_are_exact():
