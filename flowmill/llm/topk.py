@@ -32,6 +32,9 @@ SLACK = 1e-7
 
 NONE = np.iinfo("i8").min
 
+#: The highest score; inner products beyond it count as it (and below -TOP, as that), so among these ids decide.
+TOP = np.iinfo("i8").max - 1
+
 
 class CoverTree:
     """Nodes in arrays; node k covers ``order[start[k]:stop[k]]``, its children are ``first[k]`` to ``last[k]``.
@@ -120,12 +123,11 @@ def _largest(x: np.ndarray) -> int:
 def search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(scores, ids) of each query's k best points, whose id isn't the query's; NONE where there are fewer.
 
-    Vectors are whole numbers.  ``least``: of each query, a score under which nothing is of use.
+    Vectors are whole numbers.  ``least``: of each query, a score under which nothing is of use.  Scores beyond 64 bits count as the
+    highest or lowest number (TOP, -TOP).
     """
     most = _largest(queries) * _largest(points) * max(1, queries.shape[1])
-    if most >= 1 << 63:
-        raise ValueError("components are so large that inner products don't fit into 64 bits")
-    whole, whole_points, exact = queries, points, most < 1 << 53
+    whole, whole_points, exact, fits = queries, points, most < 1 << 53, most < 1 << 63
     queries, points = queries.astype("f8"), points.astype("f8")
     best, least = _Best(len(queries), k), np.full(len(queries), NONE) if least is None else least
     asked, given = CoverTree(queries), CoverTree(points)
@@ -136,6 +138,20 @@ def search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids:
         lengths = (asked.norms[p] + r) * (given.norms[centres] + s)
         return given.points[centres] @ asked.points[p] + r * given.norms[centres] + s * asked.norms[p] + r * s + SLACK * lengths + 1e-3
 
+    def scored(which: np.ndarray, own: np.ndarray) -> np.ndarray:
+        near = queries[which] @ points[own].T
+        if exact:
+            return near.astype("i8")
+        product = whole[which] @ whole_points[own].T  # right but for multiples of 2^64
+        if fits:
+            return product
+        wrong = 1e-12 * asked.norms[which][:, None] * given.norms[own][None, :] + 1.0
+        product[near > TOP + wrong], product[near < -TOP - wrong] = TOP, -TOP
+        for i, j in zip(*np.nonzero(np.abs(np.abs(near) - TOP) <= wrong), strict=True):  # too near to the limit to tell by floats
+            sure = sum(int(x) * int(y) for x, y in zip(whole[which[i]], whole_points[own[j]], strict=True))
+            product[i, j] = max(-TOP, min(TOP, sure))
+        return product
+
     def worst(which: np.ndarray) -> int:
         return np.maximum(best.scores[which, -1], least[which]).min()
 
@@ -163,7 +179,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, points: np.ndarray, ids:
                 if not len(part):
                     break
                 own = np.concatenate([given.order[given.start[n] : given.stop[n]] for n in nodes[part]])
-                scores = (queries[which] @ points[own].T).astype("i8") if exact else whole[which] @ whole_points[own].T
+                scores = scored(which, own)
                 scores[query_ids[which][:, None] == ids[own][None, :]] = NONE
                 best.offer(which, scores, ids[own])
     return best.scores, best.ids
@@ -197,7 +213,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id"
     """``query_id, rank, id, score``: of each query the k rows of other ids with the highest inner product, ties to the
     smaller id; all, if there are fewer.
 
-    Both tables have an id (long) and a vector (array of whole numbers; an error where inner products could exceed 64 bits).
+    Both tables have an id (long) and a vector (array of whole numbers).  Inner products that 64 bits can't hold count as the highest
+    (lowest) such number, and ids decide among them.
     Rows with a null id or vector, or a null inside, take no part.  Rows of one id are rows of their own, each with its score; the
     k best of a repeated query id are of all its rows together.  Vectors of another length than the query's are never its
     results.  A vector is held whole in memory, with up to ``shard_rows`` others.  Other columns are not read.

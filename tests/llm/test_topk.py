@@ -69,8 +69,31 @@ def test_large_components(k):
         mine = [int(v) for v in x[q]]
         want = sorted((-sum(m * int(v) for m, v in zip(mine, r, strict=True)), i) for i, r in enumerate(x) if i != q)[:k]
         assert [(-s, i) for s, i in zip(a, b, strict=True)] == want
-    with pytest.raises(ValueError, match="64 bits"):
-        topk.search(x << 8, ids, x << 8, ids, k)
+
+
+@pytest.mark.parametrize("shift", [3, 8, 30])
+def test_components_beyond_64_bits(shift):
+    """Scores that fit are exact beside rows whose products don't; those count as the highest or lowest number."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(-(1 << 28), 1 << 28, (300, 16))
+    x[::7] <<= shift
+    x[5] = x[7] * np.where(np.arange(16) % 2, 1, -1)  # large terms that nearly cancel
+    ids = np.arange(300)
+    scores, found = topk.search(x[::3], ids[::3], x, ids, 4)
+    for q, a, b in zip(ids[::3], scores.tolist(), found.tolist(), strict=True):
+        exact = [sum(int(u) * int(v) for u, v in zip(x[q], r, strict=True)) for r in x]
+        want = sorted((-max(-topk.TOP, min(topk.TOP, s)), i) for i, s in enumerate(exact) if i != q)[:4]
+        assert [(-s, i) for s, i in zip(a, b, strict=True)] == want
+
+
+def test_one_huge_row_ends_nothing(spark):
+    rows = [(k, [float(v) for v in np.random.default_rng(k).normal(size=8)]) for k in range(40)] + [(40, [1e7, -1e12] * 4), (41, [3e15] * 8)]
+    df = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in topk.top_k(df, df.where("vec_id % 2 = 0"), 3).collect()}
+    whole = {k: [int(np.floor(256 * v)) for v in x] for k, x in rows}
+    for q in range(0, 41, 2):
+        scored = sorted((-max(-topk.TOP, min(topk.TOP, sum(a * b for a, b in zip(whole[q], x, strict=True)))), k) for k, x in whole.items() if k != q)[:3]
+        assert [got[q, n + 1] for n in range(3)] == [(k, -s) for s, k in scored]
 
 
 def test_least_scores_prune_only_what_is_below():
