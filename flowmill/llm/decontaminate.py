@@ -41,7 +41,8 @@ SAMPLES, REPETITIONS, SEED = 2, 16, 20_021
 #: Benchmark rows, and characters of these, that are sent to all tasks at once; more are taken in blocks, about so large each.
 MAX_ITEMS, MAX_CHARS = 50_000, 64 << 20
 
-BLOCK_WORDS, PAIRS = 1 << 20, 1 << 12
+#: Words of texts that are searched at once, and of passages that are verified at once.
+BLOCK_WORDS, CELLS = 1 << 20, 1 << 18
 
 
 def allowed(size: int, edits: float, min_words: int = MIN_WORDS) -> int:
@@ -59,13 +60,13 @@ class Bench:
         self.items = [np.array([self.number.setdefault(x, len(self.number) + 1) for x in w], "i4") for _, w in split]
         self.sizes = np.array([len(w) for w in self.items], "i8")
         self.bound = np.array([allowed(n, edits, min_words) for n in self.sizes], "i8")
-        self.pad = int(self.sizes.max(initial=0) + 2 * self.bound.max(initial=0) + 1)
         cuts = [np.linspace(0, n, ceil(n / PIECE) + 1).astype("i8") for n in self.sizes]
         #: Of each piece: its item, and where it starts and how long it is.
         self.whole = np.repeat(np.arange(len(cuts)), [len(c) - 1 for c in cuts])
         self.offset = np.concatenate([np.zeros(0, "i8"), *[c[:-1] for c in cuts]])
         lengths = np.concatenate([np.zeros(0, "i8"), *[np.diff(c) for c in cuts]])
         self.lengths = lengths
+        self.pad = int(2 * lengths.max(initial=0) + 1)  # no walk from a piece goes further
         self.repeats: dict[int, int] = {}
         for item, at, n in zip(self.whole.tolist(), self.offset.tolist(), lengths.tolist(), strict=True):
             w = self.items[item][at : at + n]
@@ -127,15 +128,15 @@ class Bench:
             pairs = np.unique(np.concatenate(met))
             yield starts[pairs // len(self.whole)], pairs % len(self.whole)
 
-    def distances(self, flat: np.ndarray, starts: np.ndarray, item: int, more: int = 0) -> np.ndarray:
-        """The least edit distance of the item to any passage from k words before each window to ``k + more`` words after it;
-        where that is over k, a number over k. Passages within k edits have at least n - k words of the item's n, so only windows
+    def distances(self, flat: np.ndarray, starts: np.ndarray, item: int, low: np.ndarray, high: np.ndarray, more: int = 0) -> np.ndarray:
+        """The least edit distance of the item to any passage from k words before each window to ``k + more`` words after it, inside
+        the window's text (from ``low`` to ``high``); where that is over k, a number over k. Passages within k edits have at least n - k words of the item's n, so only windows
         with so many are compared word for word.
         """
         words, k = self.items[item], int(self.bound[item])
         columns = np.arange(len(words) + 2 * k + more)
         at = starts[:, None] - k + columns
-        near = np.where((at >= 0) & (at < len(flat)), flat[np.clip(at, 0, len(flat) - 1)], 0)
+        near = np.where((at >= low[:, None]) & (at < high[:, None]), flat[np.clip(at, 0, len(flat) - 1)], 0)
         known = np.zeros(len(self.number) + 1, bool)
         known[words] = True
         out = np.full(len(starts), len(words) + 1, "i4")
@@ -158,6 +159,8 @@ class Bench:
         flat = np.concatenate([x for t in texts for x in (t, gap)] + [gap])
         owner = np.repeat(np.arange(len(texts)), [len(t) + self.pad for t in texts])
         inside = np.concatenate([x for t in texts for x in (np.ones(len(t), bool), np.zeros(self.pad, bool))] + [np.zeros(self.pad, bool)])
+        sizes = np.array([len(t) for t in texts], "i8")
+        begin = np.cumsum(sizes + self.pad) - sizes - self.pad
         found: dict[tuple[int, int], int] = {}
         for starts, pieces in self.candidates(flat, inside):
             items, begins = self.whole[pieces], starts - self.offset[pieces]  # where the whole item would begin
@@ -166,17 +169,27 @@ class Bench:
             for item in np.unique(items):
                 own = slice(np.searchsorted(items, item), np.searchsorted(items, item, side="right"))
                 step = max(int(self.bound[item]), 1)  # neighbours are verified at once
-                blocks, first = np.unique(begins[own] // step, return_index=True)
+                blocks, first = _blocks_of(begins[own] // step, owner[starts[own]])
                 texts_of = owner[starts[own][first]]
-                for a in range(0, len(blocks), PAIRS):
-                    distance = self.distances(flat, blocks[a : a + PAIRS] * step, item, step - 1)
+                many = max(1, CELLS // int(self.sizes[item] + 3 * step))
+                for a in range(0, len(blocks), many):
+                    t = texts_of[a : a + many]
+                    distance = self.distances(flat, blocks[a : a + many] * step, item, begin[t], begin[t] + sizes[t], step - 1)
                     hit = distance <= self.bound[item]
-                    for t, d in zip(texts_of[a : a + PAIRS][hit], distance[hit], strict=True):
+                    for t, d in zip(t[hit], distance[hit], strict=True):
                         key = (int(t), int(item))
                         found[key] = min(int(d), found.get(key, 1 << 30))
         return found
 
 
+def _blocks_of(blocks: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct blocks of each text, and the place of one window of each."""
+    order = np.lexsort((owner, blocks))
+    new = np.ones(len(order), bool)
+    new[1:] = (blocks[order[1:]] != blocks[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])
+    return blocks[order[new]], order[new]
+
+
 _BENCHES: dict[str, Bench] = {}
 
 

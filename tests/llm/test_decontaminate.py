@@ -136,3 +136,17 @@ def test_blocks_by_characters(spark, monkeypatch):
     assert len(list(d._blocks(items, "item_id", "text", 1000))) > 2
     assert sorted(map(tuple, d.find_passages(docs, items).collect())) == want
     assert d.remove_contaminated(docs, items).count() == 0
+
+
+def test_one_very_long_item_among_many():
+    """A long item costs its own words, not those of every item and text; its passages are found at the bound."""
+    rng = np.random.default_rng(6)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    long = [str(w) for w in rng.choice(vocabulary, 4000)]
+    items = [(0, " ".join(long))] + [(k, " ".join(map(str, rng.choice(vocabulary, 12)))) for k in range(1, 3000)]
+    made = d.Bench(items, d.EDITS, d.MIN_WORDS)
+    assert made.pad <= 2 * d.PIECE + 1
+    around = [str(w) for w in rng.choice(vocabulary, 30)]
+    texts = [" ".join(around), " ".join(around + edited(long, 500, vocabulary, rng) + around), " ".join(long[:2500]), items[7][1], " ".join(long[1500:] + around), ""]
+    found = made.find([numbers(t, made.number.get) for t in texts])
+    assert {k for k in found if k[1] == 0} == {(1, 0)} and (3, 7) in found and found[1, 0] <= 500
