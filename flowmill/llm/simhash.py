@@ -178,7 +178,8 @@ def sharded(fps: DataFrame, masks: list[int], inner: Callable[[int], list[int]],
 
     Where more than ``max_shard`` agree in these, they must also agree in those of one of the ``inner`` masks of the other bits,
     if that leaves less to compare; and so on, up to LEVELS times.  What is too large even then (fingerprints of a dense ball
-    agree in nearly all bits, however they are split) goes to several blocks whole, and each row asks (1, else 0) in one of them.
+    agree in nearly all bits, however they are split) is cut into parts, and each pair of parts is a block, in which the rows of the
+    first one ask (1, else 0): no task holds more than two parts.
     """
     names, masks, at = fps.columns, list(masks), 0
 
@@ -206,8 +207,10 @@ def sharded(fps: DataFrame, masks: list[int], inner: Callable[[int], list[int]],
     if large.isEmpty():
         return keyed.select("*", F.lit(0).alias("block"), F.lit(1).alias("asks"))
     dealt = keyed.join(large, ["mask", "bits"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), "blocks")
-    return dealt.select(*keyed.columns, own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select(*keyed.columns, "block", (F.col("block") == F.col("own")).cast("int").alias("asks"))
+    own = F.pmod(F.xxhash64("fp"), "blocks").cast("int")
+    met = dealt.select(*keyed.columns, "blocks", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    low, high = F.least("own", "with"), F.greatest("own", "with")
+    return met.select(*keyed.columns, (low * F.col("blocks") + high).alias("block"), (F.col("own") == low).cast("int").alias("asks"))
 
 
 def others(mask: int) -> list[int]:
