@@ -43,8 +43,8 @@ HEAD, FOOT = "<8sB32s", "<QQ8s"
 #: a shared dictionary helps short documents.  It changes the files' size only, never what is read back.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, LEVEL = 1000, (64, 8192), 64 << 10, 3
 
-#: Words, and parts of words with signs, remembered with their ids in a task (about 200 bytes each); then it starts anew.
-MEMO_WORDS, MEMO_BYTES, MEMO_PIECES = 400_000, 48, 200_000
+#: Words as written, and their parts in lower case, that a worker remembers with their ids from task to task (about 200 bytes each, twice as many at most).
+MEMO_WORDS, MEMO_PIECES, MEMO_BYTES = 120_000, 100_000, 48
 
 
 def _fs(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -61,24 +61,30 @@ _BY_WORD = (
 
 
 class Memo(dict):
-    """Words and what ``make`` gives for them, made when first asked for; long words aren't kept."""
+    """Values that ``make`` gives, made when first asked for.  At most twice ``most`` are kept: those asked for since there were ``most``
+    new ones last, and those from before.  Long keys aren't kept.
+    """
 
-    def __init__(self, make: Callable[[bytes], bytes]) -> None:
+    def __init__(self, make: Callable, most: int) -> None:
         super().__init__()
-        self.make = make
-
-    def __missing__(self, word: bytes) -> bytes:
-        made = self.make(word)
-        if len(word) <= MEMO_BYTES:
-            self[word] = made
+        self.make, self.most, self.before = make, most, {}
+
+    def __missing__(self, key):
+        if (made := self.before.get(key)) is None:
+            made = self.make(key)
+        if len(key) <= MEMO_BYTES:
+            if len(self) >= self.most:
+                self.before = dict(self)
+                self.clear()
+            self[key] = made
         return made
 
 
 class Encoder:
     """Texts (UTF-8 bytes) to id arrays (bytes), as ``encode(text, add_special_tokens=False)`` gives them.
 
-    Where the tokenizer works word by word, words and their ids are remembered, and a new word of plain letters and
-    signs goes straight to the library's BPE model; anything else goes through the whole tokenizer.
+    Where the tokenizer works word by word, words and their ids are remembered; of a new word of plain letters and signs each part is
+    looked up in lower case, and only a new part goes to the library's BPE model; anything else goes through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -89,20 +95,14 @@ class Encoder:
             setup = json.load(f)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.by_word = (setup["normalizer"], setup["pre_tokenizer"]) == _BY_WORD and all(re.fullmatch(r"\S*<\|\S+", x["content"]) and not x["lstrip"] and not x["rstrip"] for x in setup["added_tokens"])
-        self.memo = Memo(self._word)
+        self.memo, self.pieces = Memo(self._word, MEMO_WORDS), Memo(self._model, MEMO_PIECES)
         self.packed = [self._pack([k]) for k in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
-        self.pieces: dict[str, bytes] = {}
         self.pattern = regex.compile(_PATTERN)
         self.plain = re.compile("[\x21-\x7e¡-ɏ]+")  # NFC and lower case act on each of these alone
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level BPE shows as themselves
         hidden = [b for b in range(256) if b not in set(shown)]
         self.byte_chars = dict(zip(shown, shown, strict=True)) | {b: 256 + k for k, b in enumerate(hidden)}
 
-    def forget(self) -> None:
-        """Give back the memory of remembered words: the worker goes on to other work."""
-        self.memo.clear()
-        self.pieces.clear()
-
     def _pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
 
@@ -110,33 +110,21 @@ class Encoder:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _model(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin-1").translate(self.byte_chars)
-        return self._pack([t.id for t in self.tokenizer.model.tokenize(shown)])
-
-    def _piece(self, piece: str) -> bytes:
-        if (found := self.pieces.get(piece)) is None:
-            if len(self.pieces) >= MEMO_PIECES:
-                self.pieces.clear()
-            found = self.pieces[piece] = self._model(piece)
-        return found
+        if not (piece.isascii() and piece.isalpha()):  # byte-level BPE shows these letters as themselves
+            piece = piece.encode().decode("latin-1").translate(self.byte_chars)
+        found = self.tokenizer.model.tokenize(piece)
+        return self.packed[found[0].id] if len(found) == 1 else b"".join([self.packed[t.id] for t in found])
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if text.isascii() and text.isalpha():  # byte-level BPE shows these letters as themselves
-            found = self.tokenizer.model.tokenize(text.lower())
-            return self.packed[found[0].id] if len(found) == 1 else b"".join([self.packed[t.id] for t in found])
         if "<|" in text or not self.plain.fullmatch(text):
             return self._whole(text)
         text = text.lower()
-        if text.isalpha():  # remembered as a word
-            return self._model(text)
-        return b"".join(map(self._piece, self.pattern.findall(text)))
+        return self.pieces[text] if text.isalpha() else b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
     def encode(self, text: bytes) -> bytes:
         if not self.by_word:
             return self._whole(text.decode())
-        if len(self.memo) >= MEMO_WORDS:
-            self.memo.clear()
         return b"".join(map(self.memo.__getitem__, text.split()))
 
 
@@ -258,7 +246,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: i
                 counts.append(len(raw) // item), frames.append(press.compress(raw))
             columns = [pa.array(shards, pa.int32()), batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["shard", "id", "tie", "n", "frame"])
-        enc.forget()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _fs(folder)
