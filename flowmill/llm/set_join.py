@@ -14,20 +14,28 @@ decided or already connected, so components are exact.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowmill.llm.common import cut, slices
 from flowmill.llm.components import components
-from flowmill.llm.shingle_sets import BUCKETS, MAX_TOKEN_ROWS, SKETCH, bucket_counts, compared, dealt, least_shared, of_several_groups, possible, prefixes, sketch
+from flowmill.llm.shingle_sets import BUCKETS, MAX_TOKEN_ROWS, SKETCH, SKETCH_BITS, bucket_counts, compared, dealt, least_shared, of_several_groups, possible, prefixes, sketch
 from flowmill.llm.simhash import PAIRS, first_row, shingle_set, whole_groups, with_kept
 from flowmill.llm.stars import differences, followed, leaders, star_links
 
 SHINGLE, SIMILARITY = 4, 0.85
 
+#: A set is compared with a leader where sketches say that they differ in at most so much of both. This changes the work only.
+LIKELY = 0.42
+
+#: Most rounds in which components are joined by pairs of adjacent entries, before all pairs are looked at, and what share of the
+#: first round's links another round must bring for the next one. These change the work only.
+ROUNDS, WORTH = 4, 0.1
+
 
 def described(docs: DataFrame, *, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, text_hash, size`` and the sketch of every row's set; and rows ``bucket, n`` alone (see :func:`~flowmill.llm.similar.profiles`)."""
@@ -109,16 +117,98 @@ def block_pairs(shared: DataFrame, groups: DataFrame, *, similarity: float) -> D
     return rows.repartition(*key).sortWithinPartitions(*key, "size", "node").mapInArrow(search, "a long, b long").where("a != b").distinct()
 
 
-def star_answers(shared: DataFrame, of_nodes: DataFrame, texts: DataFrame, *, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``a, b`` of links found in stars; ``a, b`` of all pairs compared with a leader; ``node, star``: sets of one star are decided."""
-    direct = cut(leaders(shared, similarity=similarity))
-    ends = followed(direct)
-    told = cut(differences(direct.unionAll(ends).distinct(), of_nodes, texts, shingle=shingle, similarity=similarity))
+def adjacent_pairs(shared: DataFrame, groups: DataFrame, *, similarity: float) -> DataFrame:
+    """``a, b, votes``: of :func:`block_pairs`' pairs, each entry of a list with the one before it (by size) that is of another group; at most
+    one an entry. ``votes`` counts the lists.
+    """
+    key = ["token", "part", "with_part"]
+    rows = shared.join(groups, "node").select(*key, "size", "node", "group", "star", *SKETCH)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, starts, ends in whole_groups(batches, 3):
+            packed, node, group, star, bins = own[:, 3], own[:, 4], own[:, 5], own[:, 6], np.ascontiguousarray(own[:, 7:]).view("u8")
+            new = np.ones(len(own), bool)
+            new[1:] = group[1:] != group[:-1]
+            new[starts] = True
+            run = np.flatnonzero(new)[np.cumsum(new) - 1]  # where each entry's run of one group begins
+            x = np.flatnonzero(run > np.repeat(starts, ends - starts))
+            y = run[x] - 1
+            size, left = packed >> 32, packed & 0xFFFFFFFF
+            least = least_shared(size[x] + size[y], similarity)
+            may = (least <= size[y]) & (np.minimum(left[x], left[y]) >= least) & (star[x] != star[y])
+            x, y, least = x[may], y[may], least[may]
+            may = np.bitwise_count(bins[x] ^ bins[y]).sum(axis=1, dtype="i8") <= size[x] + size[y] - 2 * least
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x[may]], node[y[may]])), pa.array(np.maximum(node[x[may]], node[y[may]]))], ["a", "b"])
+
+    found = rows.repartition(*key).sortWithinPartitions(*key, "size", "node").mapInArrow(search, "a long, b long")
+    return found.groupBy("a", "b").agg(F.count("*").alias("votes"))
+
+
+def star_answers(shared: DataFrame, nodes: DataFrame, texts: DataFrame, *, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``a, b`` of links found in stars; ``a, b`` of all pairs compared with a leader; ``node, star``: sets of one star are decided.
+
+    ``nodes``: node, id and sketch.  A leader whose sketch says that too little is shared isn't compared.
+    """
+    pairs = leaders(shared, similarity=similarity)
+    sizes = shared.groupBy("node").agg(F.max(F.shiftright("size", 32)).alias("size"))
+    drawn = cut(nodes.select("node", *SKETCH).join(sizes, "node"))
+    for side in ("node", "leader"):
+        pairs = pairs.join(drawn.select(F.col("node").alias(side), F.col("size").alias(f"{side}_size"), *[F.col(x).alias(f"{side}_{x}") for x in SKETCH]), side)
+    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"node_{x}").bitwiseXOR(F.col(f"leader_{x}"))) for x in SKETCH])
+    filled = F.least(F.lit(2.0) * bits / SKETCH_BITS, F.lit(0.98))  # of so many odd bins; nearer to 1, this says nothing of long sets
+    about = F.lit(-SKETCH_BITS / 2) * F.log(F.lit(1.0) - filled)
+    pairs = pairs.where(about <= LIKELY * (F.col("node_size") + F.col("leader_size")) + 8).select("leader", "node")
+    told = cut(differences(pairs, nodes.select("node", "id"), texts, shingle=shingle, similarity=similarity))
+    ends = followed(told, similarity=similarity)
     ordered = [F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")]
-    links = cut(told.where("linked = 1").select(ordered).unionAll(star_links(told, similarity=similarity)).distinct())
-    held = told.where("diff is not null").select("node", "leader").join(ends.select("node", F.col("leader").alias("end")), "node")
-    stars = held.groupBy("node").agg(F.max(F.struct((F.col("leader") == F.col("end")).alias("at_end"), "leader")).alias("best"))
-    return links, told.select(ordered), cut(stars.select("node", F.col("best.leader").alias("star")))
+    known = cut(told.select(*ordered, "linked").unionAll(ends.select(*ordered, "linked")).distinct())
+    links = cut(known.where("linked = 1").select("a", "b").unionAll(star_links(ends, similarity=similarity)).distinct())
+    return links, known.select("a", "b"), ends.select("node", F.col("leader").alias("star"))
+
+
+def settled(shared: DataFrame, nodes: DataFrame, stars: DataFrame, links: DataFrame, tested: DataFrame, texts: DataFrame, *, shingle: int, similarity: float, max_token_rows: int) -> DataFrame:
+    """``node, root``: components of ``links`` and of all further ones that the lists hold. ``nodes``: node, id and sketch; ``tested``: a, b.
+
+    What is similar to very many sets is joined first, in some rounds: of two components that meet in adjacent entries of lists, the
+    pair that does so most often is compared.  Then every pair that is still apart is.
+    """
+    of_nodes = nodes.select("node", "id")
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        return compared(possible(pairs, of_nodes, texts, shingle=shingle, similarity=similarity), of_nodes, texts, shingle=shingle, similarity=similarity)
+
+    def between(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        """``pairs`` of different components, with these as x and y."""
+        ends = [found.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}")) for n in "ab"]
+        named = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").select(*pairs.columns, F.coalesce("root_a", "a").alias("p"), F.coalesce("root_b", "b").alias("q"))
+        return named.where("p != q").select(*pairs.columns, F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
+
+    def one_each(pairs: DataFrame, votes: Column) -> DataFrame:
+        return cut(pairs.groupBy("x", "y").agg(F.max(F.struct(votes.alias("votes"), "a", "b")).alias("best")).select("best.a", "best.b"))
+
+    found, brought, first_brought = cut(components(links)), 1, 1
+    for turn in range(ROUNDS + 1):
+        left = cut(of_several_groups(shared, found))
+        dealt_out = dealt(left, max_token_rows)
+        groups = nodes.join(found, "node", "left").join(stars, "node", "left")
+        groups = cut(groups.select("node", F.coalesce("root", "node").alias("group"), F.coalesce("star", "node").alias("star"), *SKETCH))
+        if turn == ROUNDS or brought < WORTH * first_brought:
+            break
+        near = adjacent_pairs(dealt_out, groups, similarity=similarity).join(tested, ["a", "b"], "left_anti")
+        some = one_each(between(near, found), F.col("votes"))
+        if some.isEmpty():
+            break
+        new = compare(some)
+        brought = new.count()
+        first_brought = first_brought if turn else max(1, brought)
+        links, tested = links.unionAll(new), tested.unionAll(some)
+        found = cut(components(links))
+    more = cut(block_pairs(dealt_out, groups, similarity=similarity).join(tested, ["a", "b"], "left_anti"))
+    first = one_each(between(more, found), F.lit(1))
+    links = links.unionAll(compare(first))
+    found = cut(components(links))
+    rest = cut(between(more, found).select("a", "b").join(first, ["a", "b"], "left_anti"))
+    return cut(components(links.unionAll(compare(rest))))
 
 
 def jaccard_join(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY, max_token_rows: int = MAX_TOKEN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,19 +225,11 @@ def jaccard_join(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float =
     nodes = cut(rows.where("size > 0").groupBy(F.col("text_hash").alias("node")).agg(first_row(), *[F.min(x).alias(x) for x in SKETCH]))
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("utf8"))
-    of_nodes = nodes.select("node", F.col("first.id").alias("id"))
-
     worded = texts.where(F.col("utf8").cast("string").rlike(r"[^\x20\x09-\x0D]"))
     shared = cut(prefixes(worded, bucket_counts(found_rows), shingle=shingle, similarity=similarity))
-    links, tested, stars = star_answers(shared, of_nodes, texts, shingle=shingle, similarity=similarity)
-    found = cut(components(links))
-    left = dealt(cut(of_several_groups(shared, found)), max_token_rows)
-    groups = nodes.join(found, "node", "left").join(stars, "node", "left")
-    groups = cut(groups.select("node", F.coalesce("root", "node").alias("group"), F.coalesce("star", "node").alias("star"), *SKETCH))
-    more = cut(block_pairs(left, groups, similarity=similarity).join(tested, ["a", "b"], "left_anti"))
-    near = possible(more, of_nodes, texts, shingle=shingle, similarity=similarity)
-    links = links.unionAll(compared(near, of_nodes, texts, shingle=shingle, similarity=similarity))
-    found = cut(components(links))
+    known = nodes.select("node", F.col("first.id").alias("id"), *SKETCH)
+    links, tested, stars = star_answers(shared, known, texts, shingle=shingle, similarity=similarity)
+    found = settled(shared, known, stars, links, tested, texts, shingle=shingle, similarity=similarity, max_token_rows=max_token_rows)
     own = rows.select("id", "text_hash", "size", F.col("text_hash").alias("node"))
     joined = with_kept(own.where("size > 0"), nodes.select("node", "first"), found, carried="size").drop("keep_hash")
     return joined.unionAll(own.where("size = 0").select("id", "text_hash", "size", F.col("id")))

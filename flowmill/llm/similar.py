@@ -6,12 +6,12 @@ coefficient of each such pair decides.  That joins most copies at about one comp
 
 No radius finds all pairs of a coefficient, so the rest is found exactly.  Of two sets with a coefficient of t, each has a shingle
 of the other among its first n - ceil(t n) + 1 in any order that both share (prefix filter), and at the first shared one enough
-shingles of both must be left (positional filter).  The order is by frequency, rare ones first, so boilerplate comes last.  Texts
-that meet in a shingle and aren't in one component yet are compared by sketches, the parities of how many shingles fall in each of
-SKETCH_BITS bins: these differ in at most as many bins as the sets do in shingles, so this bound loses nothing either.  Long
-texts fill so few bins, so pairs of them go on to sketches that grow with the text.  What passes is verified by the exact
-coefficient: first each text's nearest one in each shingle, which joins what is left of dense groups, then every pair that is
-still apart.
+shingles of both must be left (positional filter).  The order is by frequency, rare ones first, so boilerplate comes last.  What
+meets in such lists is first answered by stars (:mod:`flowmill.llm.stars`): each text against the leader of its lists, and
+texts of one leader by their differences from it, so that many texts of one template, near ``t`` or not, cost one comparison
+of whole texts each.  Pairs of different components and stars are left to blocks of the lists (:mod:`flowmill.llm.set_join`) and to
+sketches, the parities of how many shingles fall in each bin: these differ in at most as many bins as the sets do in shingles,
+so this bound loses nothing either.  What passes is verified by the exact coefficient.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from flowmill.llm.common import cut, slices
 from flowmill.llm.components import components
-from flowmill.llm.shingle_sets import BUCKETS, MAX_TOKEN_ROWS, SKETCH, bucket_counts, compared, dealt, least_shared, nonempty_set, of_several_groups, possible, prefixes, sketch
-from flowmill.llm.simhash import MAX_SHARD, PAIRS, QUERIES, BKTree, first_row, majority, others, search_shards, sharded, whole_groups, with_kept
+from flowmill.llm.set_join import settled, star_answers
+from flowmill.llm.shingle_sets import BUCKETS, MAX_TOKEN_ROWS, SKETCH, bucket_counts, compared, nonempty_set, of_several_groups, prefixes, sketch
+from flowmill.llm.simhash import MAX_SHARD, PAIRS, QUERIES, BKTree, first_row, majority, others, search_shards, sharded, with_kept
 from flowmill.llm.text import mix
 
 #: The shingle, the coefficient; the radius of the fingerprints that are compared first, and with what probability a pair that
@@ -151,74 +152,12 @@ def close_links(nodes: DataFrame, *, radius: int = RADIUS, max_shard: int = MAX_
     return search_shards(keyed, ["fp", "other", "name"], find)
 
 
-def meetings(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places of rows of one token and different groups that may be similar, and in how many bins their sketches differ.
-    ``rows``: size, node, group and the sketch, sorted.
-    """
-    size, left, group, bins = rows[:, 0] >> 32, rows[:, 0] & 0xFFFFFFFF, rows[:, 2], np.ascontiguousarray(rows[:, 3:]).view("u8")
-    mixed = np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts)
-    end = np.repeat(ends, ends - starts)
-    at, step = np.flatnonzero(np.repeat(mixed, ends - starts)), 0
-    while len(at):
-        step += 1
-        at = at[at + step < end[at]]
-        at = at[least_shared(size[at] + size[at + step], similarity) <= size[at]]  # sizes rise: what is too large stays so
-        a = at[group[at] != group[at + step]]
-        least = least_shared(size[a] + size[a + step], similarity)
-        some = np.minimum(left[a], left[a + step]) >= least
-        a, least = a[some], least[some]
-        differ = np.bitwise_count(bins[a] ^ bins[a + step]).sum(axis=1, dtype="i8")
-        some = differ <= size[a] + size[a + step] - 2 * least
-        if some.any():
-            yield a[some], a[some] + step, differ[some]
-
-
-def nearest(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Of meetings, each row's nearest one (the first of several)."""
-    a, b, differ = map(np.concatenate, zip(*found, strict=True))
-    row, to, differ = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([differ, differ])
-    order = np.lexsort((to, differ, row))
-    first = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])]
-    return row[first], to[first]
-
-
-def meeting_pairs(shared: DataFrame, groups: DataFrame, *, similarity: float, all_pairs: bool = True) -> DataFrame:
-    """``a, b``: pairs that meet in a token of ``shared`` (:func:`prefixes`, :func:`dealt`) and may be similar, for ``groups`` (node,
-    group and sketch of every node). Without ``all_pairs``, only each text's nearest one in each token.
-    """
-    key = ["token", "part", "with_part"]
-    rows = shared.join(groups, "node").select(*key, "size", "node", "group", *SKETCH)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, starts, ends in whole_groups(batches, 3):
-            found, many = [], 0
-            for met in meetings(own[:, 3:], starts, ends, similarity):
-                found.append(met)
-                if (many := many + len(met[0])) >= PAIRS:
-                    if all_pairs:
-                        yield named(own[:, 4], *map(np.concatenate, zip(*found, strict=True)))
-                        found = []
-                    else:
-                        a, b = nearest(found)
-                        found = [(a, b, np.bitwise_count((own[a, 6:] ^ own[b, 6:]).view("u8")).sum(axis=1, dtype="i8"))]
-                    many = 0
-            if found:
-                yield named(own[:, 4], *(map(np.concatenate, zip(*found, strict=True)) if all_pairs else nearest(found)))
-
-    def named(node: np.ndarray, a: np.ndarray, b: np.ndarray, *_: np.ndarray) -> pa.RecordBatch:
-        pairs = np.unique(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in pairs], ["a", "b"])
-
-    return rows.repartition(*key).sortWithinPartitions(*key, "size", "node").mapInArrow(search, "a long, b long").distinct()
-
-
 def similar_documents(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float = SIMILARITY, max_token_rows: int = MAX_TOKEN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, text_hash, fp, keep_id, keep_hash`` of every row, as :func:`flowmill.llm.simhash.near_duplicates`, with texts linked by
     a Jaccard coefficient of at least ``similarity`` over their shingles.
 
     Exact: a link is never false, and none is missed.  Texts are told apart by their 64-bit hashes, so equal texts are compared
-    once.  Null texts count as empty; texts without words are alike; ids that are null come last.  Many texts just under
-    ``similarity`` of each other cost a comparison of sketches for each pair of them that shares a rare shingle.
+    once.  Null texts count as empty; texts without words are alike; ids that are null come last.
     """
     if not 0 < similarity <= 1:
         raise ValueError("the similarity must be over 0 and at most 1")
@@ -243,12 +182,8 @@ def similar_documents(docs: DataFrame, *, shingle: int = SHINGLE, radius: int =
     tested = close()
     sure = compared(tested, of_nodes, texts, shingle=shingle, similarity=similarity)
     found = cut(components(sure))
-    shared = prefixes(texts, bucket_counts(found_rows), shingle=shingle, similarity=similarity)
-    shared = dealt(cut(of_several_groups(shared, found)), max_token_rows)
-    for all_pairs in (False, True):
-        groups = cut(nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("group"), *SKETCH))
-        more = cut(meeting_pairs(shared, groups, similarity=similarity, all_pairs=all_pairs).join(tested, ["a", "b"], "left_anti"))
-        near = possible(more, of_nodes, texts, shingle=shingle, similarity=similarity)
-        tested, sure = tested.unionAll(more), sure.unionAll(compared(near, of_nodes, texts, shingle=shingle, similarity=similarity))
-        found = cut(components(sure))
+    shared = cut(of_several_groups(prefixes(texts, bucket_counts(found_rows), shingle=shingle, similarity=similarity), found))
+    known = nodes.select("node", F.col("first.id").alias("id"), *SKETCH)
+    links, told, stars = star_answers(shared, known, texts, shingle=shingle, similarity=similarity)
+    found = settled(shared, known, stars, sure.unionAll(links), tested.unionAll(told), texts, shingle=shingle, similarity=similarity, max_token_rows=max_token_rows)
     return with_kept(rows.select("id", "text_hash", "fp", F.col("text_hash").alias("node")), nodes.select("node", "first"), found)

@@ -1,8 +1,8 @@
 """Sets derived from a highly similar one: leaders, their members' differences, and links among members from these alone.
 
 Of the sets in an index list, the smallest one leads those that may be similar to it; the one that leads a set in most of its lists
-is its leader, and leaders' leaders are followed to the end.  A member is compared with its leader once, text with text, and
-from then on it is its *difference*: the shingles that only one of the two has.  The differences of two members of a star
+is its leader.  A member is compared with its leader once, text with text, and from then on it is its *difference*: the shingles
+that only one of the two has.  Leaders' leaders are followed by adding up differences.  The differences of two members of a star
 differ in just what the members differ in, so their exact overlap follows from what is known of the leader and two short lists:
 no text is sent again, and no pair that isn't linked is ever written.
 """
@@ -23,8 +23,8 @@ from flowmill.llm.simhash import whole_groups
 #: A list of more entries is cut into parts, with a leader each. Which sets lead changes the work, not what is found.
 MAX_LIST = 100_000
 
-#: A leader must lead a set in so much of its prefix, and a member may differ in so much of both sets together.
-LEAST_VOTES, MOST_DIFFERENT = 0.25, 0.34
+#: A member may differ from its leader in so much of both sets together.
+MOST_DIFFERENT = 0.34
 
 #: Members of a star that a task compares with as many others; bytes of their differences.
 STAR_ROWS, STAR_BYTES = 20_000, 16 << 20
@@ -60,24 +60,12 @@ def leaders(shared: DataFrame, *, similarity: float, max_list: int = MAX_LIST) -
     key = ["token", "part"]
     voted = parted.select(*key, "size", "node").repartition(*key).sortWithinPartitions(*key, "size", "node").mapInArrow(vote, "node long, size long, leader long, leader_size long")
     counted = voted.groupBy("node", "size", "leader", "leader_size").agg(F.count("*").alias("votes"))
-    enough = counted.where(F.col("votes") >= LEAST_VOTES * (F.col("size") - F.ceil(F.col("size") * similarity) + 1))
-    best = enough.groupBy("node").agg(F.max(F.struct("votes", (-F.col("leader_size")).alias("smaller"), (-F.col("leader")).alias("earlier"), "leader")).alias("best"))
+    best = counted.groupBy("node").agg(F.max(F.struct("votes", (-F.col("leader_size")).alias("smaller"), (-F.col("leader")).alias("earlier"), "leader")).alias("best"))
     return best.select("node", "best.leader")
 
 
-def followed(direct: DataFrame) -> DataFrame:
-    """``node, leader`` with the end of each chain of leaders. The steps double, so rounds grow with the logarithm of a chain."""
-    now = cut(direct.select("node", "leader"))
-    while True:
-        upper = now.select(F.col("node").alias("leader"), F.col("leader").alias("above"))
-        after = cut(now.join(upper, "leader", "left").select("node", F.coalesce("above", "leader").alias("leader"), F.col("above").isNotNull().alias("moved")))
-        now = after.drop("moved")
-        if after.where("moved").isEmpty():
-            return now
-
-
 def differences(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
-    """``leader, node, size, linked, diff`` of each of ``pairs`` (leader, node): whether it is similar enough, and, where the two
+    """``leader, node, size, leader_size, linked, diff`` of each of ``pairs`` (leader, node): whether it is similar enough, and, where the two
     differ in at most MOST_DIFFERENT of both, the shingles (8 bytes each, sorted) that only one of them has; else null.
 
     A member's text is sent to its leader's; a leader of many members is sent to each part of these.
@@ -86,7 +74,7 @@ def differences(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, *, shingle
     keyed = cut(pairs.join(many, "leader").select(F.col("leader").alias("centre"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node"))
     wanted = keyed.select("centre", "part", "node", F.lit(1).alias("partner")).unionAll(keyed.select("centre", "part", F.col("centre").alias("node"), F.lit(0).alias("partner")).distinct())
     sent = texts_of(wanted, nodes, texts).select("centre", "part", "partner", "node", "utf8")
-    names = ["leader", "node", "size", "linked", "diff"]
+    names = ["leader", "node", "size", "leader_size", "linked", "diff"]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own, before = None, np.zeros(0, "u8"), None
@@ -101,11 +89,44 @@ def differences(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, *, shingle
                     diff = np.setxor1d(own, other, assume_unique=True)
                     both = len(own) + len(other)
                     linked = (both - len(diff)) // 2 >= int(least_shared(np.array(both), similarity))
-                    found.append((centre, node, len(other), int(linked), diff.tobytes() if len(diff) <= MOST_DIFFERENT * both else None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.binary() if k == 4 else pa.int64()) for k in range(5)], names)
+                    found.append((centre, node, len(other), len(own), int(linked), diff.tobytes() if len(diff) <= MOST_DIFFERENT * both else None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.binary() if k == 5 else pa.int64()) for k in range(6)], names)
 
     key = ["centre", "part"]
-    return sent.repartition(*key).sortWithinPartitions(*key, "partner", "node").mapInArrow(check, "leader long, node long, size long, linked long, diff binary")
+    return sent.repartition(*key).sortWithinPartitions(*key, "partner", "node").mapInArrow(check, "leader long, node long, size long, leader_size long, linked long, diff binary")
+
+
+def followed(told: DataFrame, *, similarity: float) -> DataFrame:
+    """``leader, node, size, linked, diff`` of each member that ``told`` (:func:`differences`, one leader a node) gives a difference,
+    against the furthest of its leader's leaders that it isn't too different from.
+
+    Differences add up: what a member and its leader differ in, against what the leader and its own differ in, is what the member
+    and that one differ in, so no text is compared again.  The steps double, so rounds grow with the logarithm of a chain.
+    """
+    now = cut(told.where("diff is not null").select("leader", "node", "size", "leader_size", "linked", "diff", F.lit(True).alias("moved")))
+    names = ["leader", "node", "size", "leader_size", "linked", "diff", "moved"]
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [c.to_pylist() for c in batch.columns]
+            out = []
+            for leader, node, size, leader_size, linked, diff, above, above_size, above_diff in zip(*rows, strict=True):
+                row = (leader, node, size, leader_size, linked, diff, False)
+                if above is not None:
+                    further = np.setxor1d(np.frombuffer(diff, "u8"), np.frombuffer(above_diff, "u8"), assume_unique=True)
+                    both = size + above_size
+                    if len(further) <= MOST_DIFFERENT * both:
+                        row = (above, node, size, above_size, int((both - len(further)) // 2 >= int(least_shared(np.array(both), similarity))), further.tobytes(), True)
+                out.append(row)
+            kinds = [pa.int64()] * 5 + [pa.binary(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
+
+    while True:
+        upper = now.select(F.col("node").alias("of"), F.col("leader").alias("above"), F.col("leader_size").alias("above_size"), F.col("diff").alias("above_diff"))
+        joined = now.join(upper, F.col("leader") == F.col("of"), "left").select(*names[:-1], "above", "above_size", "above_diff")
+        now = cut(joined.mapInArrow(compose, "leader long, node long, size long, leader_size long, linked long, diff binary, moved boolean"))
+        if now.where("moved").isEmpty():
+            return now.drop("moved")
 
 
 def links_between(nodes: np.ndarray, sizes: np.ndarray, known: np.ndarray, diffs: list[np.ndarray], asking: np.ndarray, asked: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:

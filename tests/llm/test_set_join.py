@@ -130,8 +130,17 @@ def test_leaders_come_first(spark):
     for max_list in (10, 1000):
         led = {r["node"]: r["leader"] for r in stars.leaders(shared, similarity=0.85, max_list=max_list).collect()}
         assert led and all((sizes[b], b) < (sizes[a], a) for a, b in led.items())
-        ends = {r["node"]: r["leader"] for r in stars.followed(spark.createDataFrame(list(led.items()), "node long, leader long")).collect()}
-        assert ends.keys() == led.keys() and not set(ends.values()) & led.keys()
+
+
+def test_differences_add_up(spark):
+    rows = family(30, 200, 4, 6)
+    sets = [np.sort(np.array([hash(s) % 2**63 for s in own], "u8")) for own in plain_sets([t for _, t in rows], 4)]
+    chain = [(k + 1, k) for k in range(20)] + [(k, 0) for k in range(21, 30)]  # node, leader
+    told = [(b, a, len(sets[a]), len(sets[b]), int(shingle_sets.jaccard(sets[a], sets[b]) >= 0.85), bytearray(np.setxor1d(sets[a], sets[b]).tobytes())) for a, b in chain]
+    got = stars.followed(spark.createDataFrame(told, "leader long, node long, size long, leader_size long, linked long, diff binary"), similarity=0.85).collect()
+    assert sorted(r["node"] for r in got) == list(range(1, 30)) and {r["leader"] for r in got} == {0}
+    for r in got:
+        assert bytes(r["diff"]) == np.setxor1d(sets[r["node"]], sets[0]).tobytes() and r["linked"] == int(shingle_sets.jaccard(sets[r["node"]], sets[0]) >= 0.85)
 
 
 def test_query_equals_sql(spark):

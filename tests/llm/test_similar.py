@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowmill.llm import shingle_sets, similar, simhash
+from flowmill.llm import set_join, shingle_sets, similar, simhash
 from flowmill.llm.common import table
 from tests.llm.test_simhash import SF, clustered, near_pairs, plain_components
 
@@ -110,17 +110,44 @@ def test_similar_documents_among_boilerplate(spark):
 
 
 @pytest.mark.parametrize("max_token_rows", [1 << 30, 3])
-@pytest.mark.parametrize("all_pairs", [True, False])
-def test_meetings_of_prefixes(spark, all_pairs, max_token_rows):
+def test_meetings_of_prefixes(spark, max_token_rows):
     rows = [(k, t.encode()) for k, (_, t) in enumerate(mutated())]
     texts = spark.createDataFrame(rows, "text_hash long, utf8 binary").repartition(3)
     shared = shingle_sets.dealt(shingle_sets.prefixes(texts, np.zeros(shingle_sets.BUCKETS, "i8"), shingle=5, similarity=0.8), max_token_rows)
     sets = [simhash.shingle_set(t, 5) for _, t in rows]
-    groups = spark.createDataFrame([(k, k - k % 2, *shingle_sets.sketch(s).tolist()) for k, s in enumerate(sets)], f"node long, `group` long, {', '.join(f'{x} long' for x in shingle_sets.SKETCH)}")
-    got = {tuple(r) for r in similar.meeting_pairs(shared, groups, similarity=0.8, all_pairs=all_pairs).collect()}
-    want = {(min(p), max(p)) for p in plain_similar([(k, t.decode()) for k, t in rows])[1] if p[0] // 2 != p[1] // 2}
-    assert all(a // 2 != b // 2 for a, b in got)
-    assert want <= got if all_pairs else {x for p in want for x in p} <= {x for p in got for x in p}
+    groups = spark.createDataFrame([(k, k - k % 2, k - k % 3, *shingle_sets.sketch(s).tolist()) for k, s in enumerate(sets)], f"node long, `group` long, star long, {', '.join(f'{x} long' for x in shingle_sets.SKETCH)}")
+    got = {tuple(r) for r in set_join.block_pairs(shared, groups, similarity=0.8).collect()}
+    want = {(min(p), max(p)) for p in plain_similar([(k, t.decode()) for k, t in rows])[1] if p[0] // 2 != p[1] // 2 and p[0] // 3 != p[1] // 3}
+    assert all(a // 2 != b // 2 and a // 3 != b // 3 for a, b in got) and want <= got
+
+
+def near_threshold(count, words=840, changed=11, seed=1):
+    """Texts of one template, each with some words of its own: a coefficient of about 0.77 with each other."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(count):
+        own = [f"t{j}" for j in range(words)]
+        for at in rng.choice(words, changed, replace=False):
+            own[at] = f"c{k}x{at}"
+        rows.append((k, " ".join(own)))
+    return rows
+
+
+def test_work_on_texts_near_the_threshold_grows_in_proportion(spark):
+    """Pairs written and texts compared, for texts of one template just under the similarity."""
+    written = []
+    for count in (150, 300):
+        texts = spark.createDataFrame([(k, k, t.encode()) for k, t in near_threshold(count)], "id long, text_hash long, utf8 binary").repartition(3)
+        shared = shingle_sets.prefixes(texts, np.zeros(shingle_sets.BUCKETS, "i8"), shingle=5, similarity=0.8).cache()
+        sets = {r["id"]: simhash.shingle_set(r["utf8"], 5) for r in texts.collect()}
+        sketches = spark.createDataFrame([(k, *shingle_sets.sketch(x).tolist()) for k, x in sets.items()], f"node long, {', '.join(f'{x} long' for x in shingle_sets.SKETCH)}")
+        links, told, stars = set_join.star_answers(shared, sketches.withColumn("id", F.col("node")), texts, shingle=5, similarity=0.8)
+        groups = sketches.join(stars, "node", "left").select("node", F.col("node").alias("group"), F.coalesce("star", "node").alias("star"), *shingle_sets.SKETCH)
+        written.append(told.count() + set_join.block_pairs(shingle_sets.dealt(shared, 50_000), groups, similarity=0.8).join(told, ["a", "b"], "left_anti").count())
+        near = [(a, b) for a in sets for b in range(a) if shingle_sets.jaccard(sets[a], sets[b]) >= 0.8]
+        assert links.count() <= len(near)
+        shared.unpersist()
+    assert written[0] <= 3 * 150 and written[1] <= 3 * 300, written
 
 
 def test_sketches_bound_the_difference():
