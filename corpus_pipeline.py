@@ -18,11 +18,12 @@ ORACLE_SQL = None
 
 
 #: Texts may be long, so Python takes few rows at a time: a batch of some MB instead of a whole file's part.
-ARROW_ROWS = 2000
+ARROW_ROWS, BATCH_ROWS = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    """Set on the session, for a stage's plan takes the setting when its rows are written; :func:`run` restores what was set before."""
+    spark.conf.set(BATCH_ROWS, ARROW_ROWS)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,11 +72,14 @@ STAGES = [("quality", keep_good), ("near duplicates", drop_copies), ("decontamin
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            folder = tokens.new_folder(spark, f"stage{k}")
-            docs.write.parquet(folder)
-            docs = spark.read.parquet(folder)
+    docs, before = table(spark, sf_dir, "documents"), spark.conf.get(BATCH_ROWS)
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                folder = tokens.new_folder(spark, f"stage{k}")
+                docs.write.parquet(folder)
+                docs = spark.read.parquet(folder)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
     return docs
