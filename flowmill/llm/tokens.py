@@ -43,7 +43,7 @@ HEAD, FOOT = "<8sB32s", "<QQ8s"
 #: a shared dictionary helps short documents.  It changes the files' size only, never what is read back.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, LEVEL = 1000, (64, 8192), 64 << 10, 3
 
-#: Words as written, and their parts in lower case, that a worker remembers with their ids from task to task (about 200 bytes each, twice as many at most).
+#: Words as written, and their parts in lower case, that a task remembers with their ids (about 200 bytes each, twice as many at most).
 MEMO_WORDS, MEMO_PIECES, MEMO_BYTES = 120_000, 100_000, 48
 
 
@@ -103,6 +103,12 @@ class Encoder:
         hidden = [b for b in range(256) if b not in set(shown)]
         self.byte_chars = dict(zip(shown, shown, strict=True)) | {b: 256 + k for k, b in enumerate(hidden)}
 
+    def forget(self) -> None:
+        """Give back the memory of remembered words: the worker goes on to other work."""
+        for memo in (self.memo, self.pieces):
+            memo.clear()
+            memo.before = {}
+
     def _pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
 
@@ -246,6 +252,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: i
                 counts.append(len(raw) // item), frames.append(press.compress(raw))
             columns = [pa.array(shards, pa.int32()), batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["shard", "id", "tie", "n", "frame"])
+        enc.forget()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _fs(folder)
