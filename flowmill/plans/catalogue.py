@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from flowmill.functions.expr import file_safe, finite_or_zero, is_label, number_of, plain_title, value_type
 from flowmill.operators import balance, cleaning, correlation, dedup, evaluate, models, profile, sampling, schema
 from flowmill.plans import assembly
+from flowmill.sources.parts import write_numbered
 from flowmill.sources.readers import file_counts, mark_missing, preview, raw_header, read_column_list, read_csv, read_csv_text, read_label_map, read_unique, row_counts
 from flowmill.sources.sinks import report_text, run_folder, split_parts, write_by_class, write_csv, write_label_map, write_parts
 from flowmill.storage import shared_dir
@@ -130,6 +131,14 @@ def type_profile(spark, sf_dir):
     return profile.type_profile(dirty_events(spark, sf_dir), ["text_value", "event_id"])
 
 
+@query(DIRTY + """, kinds as (select case when text_value is null then 'missing' when text_value = 'inf' then 'inf' when text_value = 'abc' then 'string' when text_value like '%.%' then 'float' else 'integer' end as kind from dirty)
+select 'text_value' as "column", count(*) as n_rows, count(*) filter (kind = 'missing') as missing, count(*) filter (kind = 'integer') as integer, count(*) filter (kind = 'float') as float,
+  count(*) filter (kind = 'inf') as inf, count(*) filter (kind = 'string') as string from kinds
+union all select 'event_id', count(*), 0, count(*), 0, 0, 0 from events""")
+def cell_profile(spark, sf_dir):
+    return profile.cell_profile(dirty_events(spark, sf_dir), ["text_value", "event_id"]).drop("about_distinct")
+
+
 @query(DIRTY + "select event_id, text_value from dirty where text_value is null or text_value <> 'abc'")
 def drop_text_rows(spark, sf_dir):
     return cleaning.drop_text_rows(dirty_events(spark, sf_dir), ["text_value", "value"]).select("event_id", "text_value")
@@ -750,11 +759,44 @@ def live_scores(spark, sf_dir):
 
 @query()
 def grid_search(spark, sf_dir):
+    """36 combinations over 3 folds, of which those that differ in the number of trees share a fit."""
     rows = embedded(spark, sf_dir).withColumn("label", F.col("label") % 3)
-    options = models.grid(trees=[5, 10], depth=[3])
+    options = models.grid(trees=[5, 10, 15], depth=[3, 5, 8], least=[1, 2], subset=["sqrt", "log2"])
     return models.tuning_summary(models.tune(rows, "label", DIMS, options, models.forest_of, ["vec_id"]))
 
 
+@query()
+def search_report(spark, sf_dir):
+    """The class report of the best of 8 boosting combinations, on rows that the search never saw."""
+    rows = sampling.stratified_split(embedded(spark, sf_dir).withColumn("label", F.col("label") % 3), "label", 0.7, ["vec_id"])
+    train, test = (rows.where(F.col("split") == x).drop("split") for x in ("train", "test"))
+    options = models.grid(rounds=[1, 2], depth=[2], rate=[0.1, 0.3], subsample=[0.8, 1.0])
+    return models.search(train, test, "label", DIMS, options, models.boosting_of, ["vec_id"], k=2)[3]
+
+
+#: A forest made by hand, whose walk SQL can state: (size, nodes: feature or -1, split, left, right, depth at a leaf).
+HAND_MADE = [
+    (256, [(0, 50.0, 1, 2, 0.0), (-1, 0.0, -1, -1, 1.25), (1, 40.0, 3, 4, 0.0), (-1, 0.0, -1, -1, 2.5), (-1, 0.0, -1, -1, 6.75)]),
+    (100, [(1, 20.0, 1, 2, 0.0), (0, 10.0, 3, 4, 0.0), (-1, 0.0, -1, -1, 4.0), (-1, 0.0, -1, -1, 2.0), (-1, 0.0, -1, -1, 9.5)]),
+]
+
+
+@query("""with walked as (
+  select event_id, case when value < 50 then 1.25 when user_id % 50 < 40 then 2.5 else 6.75 end + case when user_id % 50 < 20 then case when value < 10 then 2.0 else 9.5 end else 4.0 end as depth
+  from events where value is not null and not isnan(value) and not isinf(value)
+), scored as (
+  select event_id, pow(2.0::double, -(depth::double / 2) / (2 * (ln(255.0::double) + 0.5772156649::double) - 2 * 255.0::double / 256)) as score from walked
+)
+select event_id, cast(round(score, 9) as decimal(24,7)) as anomaly_score, case when score > 0.6 then -1 else 1 end as prediction from scored""")
+def isolation_walk(spark, sf_dir):
+    """Scores of a forest that is given, not grown: depths and norm as SQL states them."""
+    kind = "tree long, size long, nodes array<struct<f:int,split:double,left:int,right:int,depth:double>>"
+    forest = spark.createDataFrame([(k, size, nodes) for k, (size, nodes) in enumerate(HAND_MADE)], kind)
+    rows = read(spark, sf_dir, "events").where("value is not null and not isnan(value)").where(F.abs("value") < float("inf")).select("event_id", "value", (F.col("user_id") % 50).alias("user"))
+    scored = models.isolation_scores(rows, forest, ["value", "user"], ["event_id"], threshold=0.6)
+    return scored.select("event_id", dec(F.round("anomaly_score", 9)).alias("anomaly_score"), "prediction")
+
+
 # Invariants of models, as far as SQL can say them
 
 
@@ -831,7 +873,10 @@ def smote_counts(spark, sf_dir):
     made = smote(spark, sf_dir)
     rows = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
     ends = made.join(rows.select(F.col("vec_id").alias("id"), F.col("v").alias("a")), "id").join(rows.select(F.col("vec_id").alias("neighbour"), F.col("v").alias("b")), "neighbour")
-    inside = F.forall(F.arrays_zip("x", "a", "b"), lambda t: (t["x"] >= F.least(t["a"], t["b"]) - 1e-9) & (t["x"] <= F.greatest(t["a"], t["b"]) + 1e-9))
+    # x = a + u (b - a) with one u for all components: the one of the widest of them.
+    width = F.transform(F.arrays_zip("x", "a", "b"), lambda t: F.struct(F.abs(t["b"] - t["a"]).alias("width"), F.try_divide(t["x"] - t["a"], t["b"] - t["a"]).alias("u")))
+    ends = ends.withColumn("u", F.coalesce(F.array_max(width)["u"], F.lit(0.0)))
+    inside = F.col("u").between(0.0, 1.0) & F.forall(F.arrays_zip("x", "a", "b"), lambda t: F.abs(t["a"] + F.col("u") * (t["b"] - t["a"]) - t["x"]) <= 1e-9)
     return ends.groupBy("label").agg(F.count("*").alias("n_rows"), F.every(inside).alias("on_segments"))
 
 
@@ -902,14 +947,39 @@ def csv_columns_by_file(spark, sf_dir):
     return file_counts(spark, _mixed_csv(spark, sf_dir)).where("n_rows > 0").groupBy("n_columns").agg(F.sum("n_rows").alias("n_rows"))
 
 
+@query("""with placed as (
+  select l_orderkey, l_linenumber, l_returnflag, row_number() over (partition by l_returnflag order by l_linenumber % 3, l_orderkey, l_linenumber) as place, count(*) over (partition by l_returnflag) as n from lineitem where l_returnflag is not null
+)
+select l_orderkey, l_linenumber, l_returnflag, case when place <= round_even(n * 0.6, 0) then 'train' else 'test' end as split from placed""")
+def csv_file_order(spark, sf_dir):
+    """The first rows of each label train, as they stand in three folders of files one after the other."""
+    folder, rows = _folder(spark), read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    for k in range(3):
+        rows.where(F.col("l_linenumber") % 3 == k).orderBy("l_orderkey", "l_linenumber").write.csv(f"{folder}/part{k}", header=True)
+    split = sampling.split_in_files(read_csv_text(spark, folder, order_col="at"), "l_returnflag", 0.6, "at")
+    return split.select(F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("int").alias("l_linenumber"), "l_returnflag", "split")
+
+
+@query("""select 'base' || case when part = 0 then '' else '_' || part end || '.csv' as file, count(*) as n_rows, min(event_id) as first_id, max(event_id) as last_id
+from (select event_id, (row_number() over (order by event_id) - 1) // 1500 as part from events) group by part""")
+def numbered_parts(spark, sf_dir):
+    folder = _folder(spark)
+    write_numbered(read(spark, sf_dir, "events").select("event_id", "event_type"), folder, 1500, ["event_id"])
+    rows = spark.read.schema("event_id long, event_type string").csv(folder, header=True)
+    return rows.groupBy(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")).agg(F.count("*").alias("n_rows"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
 @query("select least(count(*), 100) as n_rows from lineitem")
 def preview_rows(spark, sf_dir):
     return preview(read(spark, sf_dir, "lineitem"), 100).agg(F.count("*").alias("n_rows"))
 
 
-@query("select name, place from (values ('a', 0), ('b', 1), ('c d', 2)) v(name, place)")
+@query("""with kinds as (select event_type as kind, row_number() over (order by event_type) - 1 as n from (select distinct event_type from events where event_type is not null))
+select kind as name, cast(2 * n as integer) as place from kinds union all select kind || ' n', cast(2 * n + 1 as integer) from kinds""")
 def column_list(spark, sf_dir):
-    names = read_column_list(spark, _text_file(spark, ["a, b # two", "# none", "c d"]))
+    """A list of two names a line, with comments, made of the table's event types."""
+    kinds = sampling.label_codes(read(spark, sf_dir, "events"), "event_type").orderBy("code").collect()
+    names = read_column_list(spark, _text_file(spark, ["# none", *[f" {r['label']}, {r['label']} n # {r['code']}" for r in kinds]]))
     return spark.createDataFrame([(n, k) for k, n in enumerate(names)], "name string, place int")
 
 
@@ -977,10 +1047,14 @@ def first_of_duplicates(spark, sf_dir):
     return read_unique(spark, folder)
 
 
-@query("select x as name, y as times from (values ('a', 1), ('c', 1)) v(x, y)")
+@query("""with named as (select distinct event_type as name from events where event_type is not null union all select distinct lower(l_returnflag) from lineitem union all select distinct lower(l_linestatus) from lineitem)
+select name, count(*) as times from named where name <> (select min(event_type) from events) group by name""")
 def delete_list(spark, sf_dir):
-    names, twice_named = schema.deletion_list(["a", "b", "A "], ["c"], ["b"])
-    return spark.createDataFrame([(n, 1) for n in names], "name string, times int")
+    """Names of two lists, made of the tables' values, without one that is kept; and how often each was given."""
+    values = lambda table, name: [r["label"] for r in sampling.label_codes(read(spark, sf_dir, table), name).collect()]
+    kinds, flags = values("events", "event_type"), [*values("lineitem", "l_returnflag"), *values("lineitem", "l_linestatus")]
+    names, twice_named = schema.deletion_list(kinds, flags, [min(kinds)])
+    return spark.createDataFrame([(n, 2 if n in twice_named else 1) for n in names], "name string, times long")
 
 
 @query("select file, found_count, not_found_count, removed, missing from (values ('lineitem', 2, 1, 'l_tax|l_discount', 'nope'), ('region', 0, 3, '', 'L_TAX|l_discount|nope')) v(file, found_count, not_found_count, removed, missing)")
