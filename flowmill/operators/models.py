@@ -77,6 +77,13 @@ def prepare(df: DataFrame, label: str, features: list[str], keep: Iterable[str]
     return rows, [str(x) for x in labels]
 
 
+def without_summary(model):
+    """A fitted forest without its training summary: that of two classes holds the session, which can't be sent to tasks once
+    something in it is observed (a copy has no summary).
+    """
+    return model.copy() if isinstance(model, RandomForestClassificationModel) else model
+
+
 def train_forest(df: DataFrame, label: str, features: list[str], *, trees: int = 100, depth: int = 20, subset: str = "sqrt", least: int = 1, seed: int = 42, max_bins: int = 64, max_rows: int | None = None, key: list[str] | None = None) -> Trained:
     """A random forest of Gini trees; with ``max_rows``, on the rows whose ``key`` (columns that tell rows apart) hashes lowest."""
     if max_rows is not None:
@@ -85,7 +92,7 @@ def train_forest(df: DataFrame, label: str, features: list[str], *, trees: int =
         df = rank_by_hash(df, [], key, seed=seed, name="__place", most=max_rows).drop("__place")
     rows, labels = prepare(df, label, features)
     model = RandomForestClassifier(labelCol="code", numTrees=trees, maxDepth=min(depth, 30), featureSubsetStrategy=subset, minInstancesPerNode=least, seed=seed, maxBins=max_bins, impurity="gini").fit(rows)
-    return Trained(model, features, labels)
+    return Trained(without_summary(model), features, labels)
 
 
 def train_boosting(df: DataFrame, label: str, features: list[str], *, rounds: int = 100, depth: int = 6, rate: float = 0.3, subsample: float = 1.0, seed: int = 42, max_bins: int = 64) -> Trained:
@@ -239,7 +246,7 @@ def tune(df: DataFrame, label: str, features: list[str], options: list[dict], ma
         size = next((n for n in SIZES if n in todo[0]), None)
         largest = max(todo, key=lambda x: x.get(size, 0))
         began = time()
-        model = make(largest).fit(rows.where(F.col("__fold") != fold))
+        model = without_summary(make(largest).fit(rows.where(F.col("__fold") != fold)))
         took, held = time() - began, rows.where(F.col("__fold") == fold)
         out = []
         for x in todo:
@@ -268,7 +275,7 @@ def refit_best(df: DataFrame, label: str, features: list[str], results: DataFram
     best = tuning_summary(results).first()["combination"]
     option = next(x for x in options if str(x) == best)
     rows, labels = prepare(df, label, features)
-    return Trained(make(option).fit(rows), features, labels), option
+    return Trained(without_summary(make(option).fit(rows)), features, labels), option
 
 
 def search(train: DataFrame, test: DataFrame, label: str, features: list[str], options: list[dict], make, key: list[str], **how) -> tuple[DataFrame, Trained, dict, DataFrame]:

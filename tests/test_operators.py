@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from flowmill.functions.expr import clean_text, file_safe, finite_or_zero, is_label, number_of, plain_title, to_number, value_type
@@ -411,9 +412,19 @@ def test_tuning_goes_on_where_it_broke_off(spark, tmp_path):
     assert option in options and models.score(best, rows, ["id"]).count() == rows.count()
 
 
+def test_forests_in_a_session_that_observes(spark):
+    """The training summary of two classes holds the session, which can't be sent once it has an observation."""
+    seen = Observation("rows")
+    rows = wide(spark).withColumn("label", F.col("label") == F.lit(wide(spark).first()["label"]))
+    rows.observe(seen, F.count("*").alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == rows.count()
+    trained = models.train_forest(rows, "label", ["f0", "f1", "f2"], trees=3, depth=3)
+    assert len(trained.labels) == 2 and models.score(trained, rows, ["id"]).count() == seen.get["n"]
+
+
 def test_first_parts_of_ensembles(spark):
     rows, labels = models.prepare(wide(spark), "label", ["f0", "f1", "f2"])
-    forest = models.forest_of({"trees": 5, "depth": 3}).fit(rows)
+    forest = models.without_summary(models.forest_of({"trees": 5, "depth": 3}).fit(rows))
     whole, same = (m.transform(rows).select("rawPrediction").collect() for m in (forest, models.first_part(forest, 5)))
     assert whole == same
     first = models.first_part(forest, 1).transform(rows).select("prediction").collect()
