@@ -1,7 +1,8 @@
 """Class balancing: oversampling targets, undersampling, SMOTE, Borderline-SMOTE and ADASYN.
 
-Neighbours are found exactly, in blocks around pivots: the rows that ask (of the small classes) meet the rows that may answer only
-where the triangle inequality doesn't rule it out, and each task compares one block with another by matrix products.
+Neighbours are found exactly, in cells around pivots: the rows that ask (of the small classes) meet the rows that may answer only
+where the triangle inequality doesn't rule it out, and each task compares one block with another by matrix products, which leave
+few pairs to measure.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ from flowmill.functions.expr import stable_hash, unit_draw
 from flowmill.operators.sampling import rank_by_hash
 from flowmill.storage import bounded, cut
 
-#: Rows of a block; most pivots; rows that go to pivots at once; of bounds, as a share of the lengths (distances are differences of squares).
+#: Least rows of a cell; most pivots; rows that go to cells at once; of bounds, as a share of the lengths (distances are differences of squares).
 BLOCK, PIVOTS, VISITS, SLACK = 2048, 256, 4096, 1e-7
 
+#: Cells that a table is cut into, until they have so many rows; rows, columns and pairs of rows that are compared at once.
+CELLS, LARGEST, ROWS, COLUMNS, PAIRS = 16, 32_768, 256, 4096, 1 << 16
+
 
 def oversample_targets(df: DataFrame, label: str, ratio: float) -> DataFrame:
     """``label, n_rows, target``: smaller classes grow to int(largest * ratio); none shrinks."""
@@ -63,86 +67,165 @@ def _near_pivots(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return rows.mapInArrow(nearest, "id long, label string, x array<double>, of string, pivot long, away double")
 
 
-def visits(asking: DataFrame, pivots: np.ndarray, radii: dict[str, dict[int, float]]) -> DataFrame:
-    """``id, label, x, of, visit`` of the rows that ask (with pivot and reach): every pivot but their own that may have a row within
-    their reach, by the triangle inequality. ``radii``: of each group and pivot, how far its rows are from it at most.
+def _in_a_row(pivots: np.ndarray) -> np.ndarray:
+    """The pivots, each followed by the nearest one that is left: neighbours in number are near each other."""
+    order, left = [0], np.arange(1, len(pivots))
+    while len(left):
+        at = int(_squares(pivots[order[-1:]], pivots[left])[0].argmin())
+        order.append(int(left[at]))
+        left = np.delete(left, at)
+    return pivots[order]
+
+
+def visits(asking: DataFrame, pivots: np.ndarray, radii: dict[str, dict[int, tuple[float, int]]]) -> DataFrame:
+    """``id, label, x, of, reach, visit`` of the rows that ask (with cell and reach): every cell but their own that has a pivot with rows that
+    may be within their reach, by the triangle inequality. ``radii``: of each group and pivot, how far its rows are from it at most, and its cell.
     """
-    shared = asking.sparkSession.sparkContext.broadcast((pivots, {g: (np.array([*x]), np.array([*x.values()])) for g, x in radii.items()}))
+    groups = {g: (np.array([*x]), np.array([r for r, _ in x.values()]), np.array([c for _, c in x.values()])) for g, x in radii.items()}
+    shared = asking.sparkSession.sparkContext.broadcast((pivots, groups))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, reached = shared.value
         norms = np.sqrt((centres * centres).sum(axis=1))
         for batch in batches:
-            groups, own, reach = batch.column(3).to_pylist(), batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            groups, own, reach = batch.column(3).to_pylist(), batch.column(5).to_numpy(), batch.column(4).to_numpy()
             rows, to = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
             for group in set(groups) & reached.keys():
-                at, (names, radius) = np.flatnonzero([g == group for g in groups]), reached[group]
+                at, (names, radius, cells) = np.flatnonzero([g == group for g in groups]), reached[group]
                 x = _matrix(batch.column(2).take(pa.array(at)))
                 slack = SLACK * (np.sqrt((x * x).sum(axis=1))[:, None] + norms[names][None, :]) + SLACK
                 may = np.sqrt(_squares(x, centres[names])) - radius[None, :] - slack <= reach[at][:, None]
-                row, pick = np.nonzero(may & (names[None, :] != own[at][:, None]))
-                rows.append(at[row]), to.append(names[pick])
+                for cell in np.unique(cells):
+                    row = np.flatnonzero(may[:, cells == cell].any(axis=1) & (own[at] != cell))
+                    rows.append(at[row]), to.append(np.full(len(row), cell))
             rows, to = np.concatenate(rows), np.concatenate(to)
-            for start in range(0, len(rows), VISITS):  # a row goes to many pivots where nothing can be pruned
-                part = batch.select([0, 1, 2, 3]).take(pa.array(rows[start : start + VISITS]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(to[start : start + VISITS])], ["id", "label", "x", "of", "visit"])
-
-    return asking.select("id", "label", "x", "of", "pivot", "reach").mapInArrow(choose, "id long, label string, x array<double>, of string, visit long")
+            for start in range(0, len(rows), VISITS):  # a row goes to many cells where nothing can be pruned
+                part = batch.select([0, 1, 2, 3, 4]).take(pa.array(rows[start : start + VISITS]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(to[start : start + VISITS])], ["id", "label", "x", "of", "reach", "visit"])
+
+    return asking.select("id", "label", "x", "of", "reach", "cell").mapInArrow(choose, "id long, label string, x array<double>, of string, reach double, visit long")
+
+
+def _first_of_copies(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """The rows that may be among the k nearest of some other row: of equal ones, those of the k + 1 smallest ids."""
+    if not x.shape[1]:
+        same = np.zeros(len(x), "i8")
+    else:
+        same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.itemsize * x.shape[1])))[:, 0], return_inverse=True)[1]
+    order = np.lexsort((ids, same))
+    group, id_ = same[order], ids[order]
+    starts = np.r_[True, group[1:] != group[:-1]]
+    nth = np.cumsum(starts | np.r_[True, id_[1:] != id_[:-1]])
+    return np.sort(order[nth - nth[np.flatnonzero(starts)][np.cumsum(starts) - 1] <= k])
+
+
+def _distances(x: np.ndarray, y: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Squares of the distances of x[rows] and y[at], added in the order of the components, as SQL adds them."""
+    out = np.zeros(len(rows))
+    for start in range(0, len(rows), PAIRS):
+        part = slice(start, start + PAIRS)
+        apart = x[rows[part]] - y[at[part]]
+        for column in (apart * apart).T:
+            out[part] += column
+    return out
+
+
+def nearest_pairs(ids: np.ndarray, x: np.ndarray, reach: np.ndarray, other: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, square of the distance) of the k nearest rows y of each row x, those of its own id left out, ties by id; what is
+    farther than ``reach`` may be missing.
+
+    Lower bounds of the distances come from matrix products; only pairs whose bound is within reach, or within the k-th upper
+    bound of the first rows, are measured and sorted.
+    """
+    kept = _first_of_copies(other, y, k)
+    other, y = other[kept], y[kept]
+    error = 1e-15 * (x.shape[1] + 8)  # of products, as a share of the squares of lengths
+    lengths, lengths_y = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    left = np.hstack([-2 * x, np.ones((len(x), 1))])
+    right = np.ascontiguousarray(np.hstack([y, (lengths_y * (1 - 2 * error))[:, None]]).T)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in range(0, len(x), ROWS):
+        base = lengths[i : i + ROWS] * (1 - 2 * error)
+        limit = reach[i : i + ROWS] ** 2 * (1 + 1e-12) - base
+        rows, at = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
+        for j in range(0, len(y), COLUMNS):
+            bound = left[i : i + ROWS] @ right[:, j : j + COLUMNS]
+            if bound.shape[1] > k and np.isinf(limit).any():
+                bound[ids[i : i + ROWS][:, None] == other[j : j + COLUMNS][None, :]] = np.inf
+                first = np.argpartition(bound, k - 1, axis=1)[:, :k]
+                upper = np.take_along_axis(bound, first, axis=1) + 4 * error * (lengths_y[j + first] + lengths[i : i + ROWS][:, None])
+                limit = np.minimum(limit, upper.max(axis=1))
+            hit = np.flatnonzero(bound <= limit[:, None])
+            rows.append(hit // bound.shape[1] + i), at.append(hit % bound.shape[1] + j)
+        row, col = np.concatenate(rows), np.concatenate(at)
+        real = ids[row] != other[col]
+        row, col = row[real], col[real]
+        distance = _distances(x, y, row, col)
+        order = np.lexsort((other[col], distance, row))
+        row, col, distance = row[order], col[order], distance[order]
+        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, "i8")
+        near = np.arange(len(row)) - np.repeat(starts, np.diff(np.r_[starts, len(row)])) < k
+        found.append((row[near], kept[col[near]], distance[near]))
+    row, col, distance = (np.concatenate(c) if found else np.zeros(0, t) for c, t in zip(zip(*found, strict=True) if found else [()] * 3, ("i8", "i8", "f8"), strict=True))
+    return row, col, distance
 
 
 def neighbours(asking: DataFrame, all_rows: DataFrame, k: int, *, same_label: bool, block: int = BLOCK, max_pivots: int = PIVOTS) -> DataFrame:
     """``id, neighbour, place, same``: the k nearest other rows (Euclidean, ties by id), of the same label or of all.
 
-    Rows are dealt to the nearest of a bounded sample of rows, the pivots (those whose ids hash lowest).  A first pass compares
-    each asking row with the rows of its own pivot, which gives it a k-th distance; a second one takes it to those pivots only whose
-    rows may be nearer.  Rows of one pivot are dealt into blocks of bounded size, within their label if only that counts.
+    Rows are dealt to the nearest of a bounded sample of rows, the pivots (those whose ids hash lowest), and pivots beside each other
+    are put together to cells of some thousand rows.  A first pass compares each asking row with the rows of its own cell, which gives it
+    a k-th distance; a second one takes it to those cells only that may have nearer rows.  There are some 16 cells, so a row is sent some
+    16 times at most, until cells have LARGEST rows; a cell that a pivot fills with more is dealt into blocks.
     """
     group = F.col("label") if same_label else F.lit("")
     cols = ["id", "label", "x"]
     asking, all_rows = asking.select(*cols, group.alias("of")), all_rows.select(*cols, group.alias("of"))
-    many = min(max_pivots, all_rows.count() // block + 1)
+    n = all_rows.count()
+    many, size = min(max_pivots, n // block + 1), max(block, min(n // CELLS + 1, LARGEST))
     chosen = [r["x"] for r in all_rows.orderBy(F.xxhash64("id"), "id").limit(many).collect()]  # at most max_pivots rows
-    pivots = np.array(chosen, "f8") if chosen else np.zeros((1, 0))
-    asking, all_rows = cut(_near_pivots(asking, pivots)), cut(_near_pivots(all_rows, pivots))
-    sizes = cut(all_rows.groupBy("of", "pivot").agg(F.count("*").alias("n"), F.max("away").alias("radius")))
+    pivots = _in_a_row(np.array(chosen, "f8")) if chosen else np.zeros((1, 0))
+    near = cut(_near_pivots(all_rows, pivots))
+    before = Window.partitionBy("of").orderBy("pivot").rowsBetween(Window.unboundedPreceding, -1)  # a row a pivot
+    sizes = near.groupBy("of", "pivot").agg(F.count("*").alias("n"), F.max("away").alias("radius"))
+    sizes = cut(sizes.withColumn("cell", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / size)))
+    cells = cut(sizes.groupBy("of", F.col("cell").alias("visit")).agg(F.ceil(F.sum("n") / (2 * size)).cast("int").alias("blocks_b")))
+    cell_of = bounded(sizes.select("of", "pivot", "cell"))
+    all_rows = near.join(cell_of, ["of", "pivot"]).select(*cols, "of", "cell")
+    # A pivot without rows of the group has no cell; its rows that ask start from none.
+    asking = cut(_near_pivots(asking, pivots)).join(cell_of, ["of", "pivot"], "left").select(*cols, "of", F.coalesce("cell", F.lit(-1).cast("long")).alias("cell"))
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("id", pa.int64()), ("neighbour", pa.int64()), ("same", pa.bool_()), ("distance", pa.float64())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        ids, other = np.asarray(left.column("id")), np.asarray(right.column("id"))
+        ids, other = (np.asarray(t.column("id")) for t in (left, right))
+        row, at, distance = nearest_pairs(ids, _matrix(left.column("x")), np.asarray(left.column("reach")), other, _matrix(right.column("x")), k)
         labels, labels_b = (np.array(t.column("label").to_pylist(), dtype=object) for t in (left, right))
-        distance = _squares(_matrix(left.column("x")), _matrix(right.column("x")))
-        same = labels[:, None] == labels_b[None, :]
-        distance[ids[:, None] == other[None, :]] = np.inf
-        order = np.lexsort((np.broadcast_to(other, distance.shape), distance), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(ids)), order.shape[1])
-        at = order.ravel()
-        real = np.isfinite(distance[rows, at])
-        return pa.table([ids[rows][real], other[at][real], same[rows, at][real].astype(bool), distance[rows, at][real]], schema=schema)
+        return pa.table([ids[row], other[at], (labels[row] == labels_b[at]).astype(bool), distance], schema=schema)
 
     def compared(rows: DataFrame) -> DataFrame:
-        """The k nearest of each asking row among the rows of the pivots that it visits."""
-        blocks = rows.groupBy("of", "visit").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks_a"))
-        blocks = bounded(cut(blocks.join(sizes.select("of", F.col("pivot").alias("visit"), F.ceil(F.col("n") / block).cast("int").alias("blocks_b")), ["of", "visit"])))
+        """The k nearest of each asking row among the rows of the cells that it visits."""
+        blocks = rows.groupBy("of", "visit").agg(F.ceil(F.count("*") / (2 * size)).cast("int").alias("blocks_a"))
+        blocks = bounded(cut(blocks.join(cells, ["of", "visit"])))
         own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
         spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         renewed = [F.col(c).alias(c) for c in (*cols, "of", "visit")]  # both sides may be of one table
-        a = rows.join(blocks, ["of", "visit"]).select(*renewed, own("blocks_a").alias("a"), spread("blocks_b").alias("b"))
-        b = all_rows.withColumnRenamed("pivot", "visit").join(blocks, ["of", "visit"]).select(*renewed, own("blocks_b").alias("b"), spread("blocks_a").alias("a"))
+        a = rows.join(blocks, ["of", "visit"]).select(*renewed, "reach", own("blocks_a").alias("a"), spread("blocks_b").alias("b"))
+        b = all_rows.withColumnRenamed("cell", "visit").join(blocks, ["of", "visit"]).select(*renewed, own("blocks_b").alias("b"), spread("blocks_a").alias("a"))
         key = ["of", "visit", "a", "b"]
         found = a.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(nearest, "id long, neighbour long, same boolean, distance double")
         return found.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))).where(F.col("place") <= k)
 
-    found = compared(asking.select(*cols, "of", F.col("pivot").alias("visit")))
+    found = compared(asking.select(*cols, "of", F.col("cell").alias("visit"), F.lit(float("inf")).alias("reach")))
     if many > 1:
         found = cut(found)
-        radii: dict[str, dict[int, float]] = {}
+        radii: dict[str, dict[int, tuple[float, int]]] = {}
         for r in sizes.collect():  # a row a label and pivot
-            radii.setdefault(r["of"], {})[r["pivot"]] = r["radius"]
+            radii.setdefault(r["of"], {})[r["pivot"]] = r["radius"], r["cell"]
         reach = found.where(F.col("place") == k).select(F.col("id").alias("of_id"), F.sqrt("distance").alias("reach"))
-        told = asking.join(reach, F.col("id") == F.col("of_id"), "left").select(*cols, "of", "pivot", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
-        found = found.drop("place").unionAll(compared(cut(visits(told, pivots, radii))).drop("place"))
+        told = cut(asking.join(reach, F.col("id") == F.col("of_id"), "left").select(*cols, "of", "cell", F.coalesce("reach", F.lit(float("inf"))).alias("reach")))
+        found = found.drop("place").unionAll(compared(visits(told, pivots, radii)).drop("place"))
         found = found.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))).where(F.col("place") <= k)
     return found.select("id", "neighbour", "place", "same")
 

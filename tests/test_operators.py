@@ -540,6 +540,38 @@ def test_pivots_prune_neighbours(spark, monkeypatch):
     assert sent[0] < 0.2 * len(x) * 29  # of all rows to all other pivots
 
 
+def test_neighbours_send_rows_to_few_cells(spark, monkeypatch):
+    """Where nothing can be pruned a row goes to some 16 cells, however many pivots there are; of copies the smallest ids come first."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 16))
+    x[300:340], x[700:] = x[300], np.concatenate([x[700:950]] * 2)
+    rows = spark.createDataFrame([(k, str(k % 3), v.tolist()) for k, v in enumerate(x)], "id long, label string, x array<double>")
+    sent, visits = [], balance.visits
+    monkeypatch.setattr(balance, "visits", lambda *a: (out := visits(*a), sent.append(out.count()))[0])
+    got = {}
+    for r in balance.neighbours(rows, rows, 5, same_label=False, block=16, max_pivots=60).collect():
+        got.setdefault(r["id"], {})[r["place"]] = (r["neighbour"], r["same"])
+    for k, v in enumerate(x):
+        distance = np.cumsum((v - x) ** 2, axis=1)[:, -1]
+        distance[k] = np.inf
+        near = np.lexsort((np.arange(len(x)), distance))[:5].tolist()
+        assert [got[k][p] for p in range(1, 6)] == [(j, j % 3 == k % 3) for j in near]
+    assert sent[0] <= 17 * len(x)
+
+
+@pytest.mark.parametrize("copies", [1, 50])
+def test_nearest_pairs(copies):
+    rng = np.random.default_rng(copies)
+    y = np.tile(rng.normal(size=(600, 5)) * [1, 1e6, 1, 1, 1e-3], (copies, 1))
+    other = rng.permutation(len(y))
+    x, ids = y[:40], other[:40]
+    row, at, distance = balance.nearest_pairs(ids, x, np.full(40, np.inf), other, y, 4)
+    for k in range(40):
+        exact = np.cumsum((x[k] - y) ** 2, axis=1)[:, -1]
+        near = [j for j in np.lexsort((other, exact)) if other[j] != ids[k]][:4]
+        assert at[row == k].tolist() == near and distance[row == k].tolist() == exact[near].tolist()
+
+
 def test_file_order(spark, tmp_path):
     for name, start in (("b", 0), ("a", 1000), ("c", 2000)):
         (tmp_path / "in").mkdir(exist_ok=True)
