@@ -39,3 +39,15 @@ def test_models_use_whole_embeddings(spark, tmp_path):
     raw.limit(5).withColumn("embedding", F.slice("embedding", 1, 8)).write.parquet(f"{tmp_path}/embeddings.parquet")
     with pytest.raises(Exception, match="64 components"):
         catalogue.embedded(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("rows", [0, 600])
+def test_csv_discovery_by_many_tasks(spark, tmp_path, monkeypatch, rows):
+    """Several tasks write the file of a flag; rows without a flag are counted, but are no file."""
+    from flowmill.plans import catalogue
+
+    items = spark.range(0, rows, 1, 3).select(F.col("id").alias("l_orderkey"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("a/"), (F.col("id") % 3).cast("string"))).alias("l_returnflag"))
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(catalogue, "_folder", lambda spark: f"{tmp_path}/out")
+    assert tuple(catalogue.csv_discovery(spark, str(tmp_path)).first()) == (2 if rows else 0, rows)
+    assert len([*tmp_path.glob("out/**/*.csv")]) > 3 or not rows
