@@ -17,6 +17,9 @@ from flowmill.storage import bounded, cut
 #: Leading hex digits of the hash that rows of a group are dealt by: 4096 pieces a group.
 DIGITS = 3
 
+#: Places in a block that make a piece, as a power of 2; rows that a task sorts to number them in file order.
+PIECE_BITS, SORTED = 15, 1 << 18
+
 #: Labels that are numbered in one task; more are sorted in parts.
 MAX_LABELS = 100_000
 
@@ -53,17 +56,20 @@ def file_order() -> Column:
 def rank_in_files(df: DataFrame, by: list[str], order: str, *, name: str = "place") -> DataFrame:
     """``df`` with each row's place (from 1) in its group, in file order (``order``: a column of :func:`file_order`).
 
-    Rows are counted by group and block and numbered within these from the counts before them, so no group meets in one task.
+    Rows are counted by group and piece (some thousand rows of a block that follow each other) and numbered within these from the
+    counts before them, so no group meets in one task.  Pieces are dealt to as many tasks as keep each at SORTED rows or so.
     """
-    rows = df.withColumn("__piece", F.struct(F.col(order)["file"].alias("file"), F.col(order)["block"].alias("block")))
-    counts = rows.groupBy(*by, "__piece").agg(F.count("*").alias("__n"))
+    at = F.col(order)["at"]
+    rows = df.withColumn("__piece", F.struct(F.col(order)["file"].alias("file"), F.col(order)["block"].alias("block"), F.shiftright(at, PIECE_BITS).alias("at")))
+    counts = cut(rows.groupBy(*by, "__piece").agg(F.count("*").alias("__n")))
     before = Window.partitionBy(*by).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*[F.col(b).alias(f"__by{k}") for k, b in enumerate(by)], F.col("__piece").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     same = F.col("__piece") == F.col("__of")
     for k, b in enumerate(by):
         same = same & F.col(b).eqNullSafe(F.col(f"__by{k}"))
-    within = Window.partitionBy(*by, "__piece").orderBy(F.col(order)["at"])
-    ranked = rows.withColumn("__row", F.row_number().over(within)).join(bounded(starts), same)
+    within = Window.partitionBy(*by, "__piece").orderBy(at)
+    tasks = (counts.agg(F.sum("__n")).first()[0] or 0) // SORTED + 1
+    ranked = rows.repartition(tasks, *by, "__piece").withColumn("__row", F.row_number().over(within)).join(bounded(cut(starts)), same)
     return ranked.withColumn(name, F.col("__row") + F.col("__start")).select(*[F.col(f"`{c}`") for c in df.columns], name)
 
 

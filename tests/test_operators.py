@@ -572,6 +572,16 @@ def test_nearest_pairs(copies):
         assert at[row == k].tolist() == near and distance[row == k].tolist() == exact[near].tolist()
 
 
+def test_file_order_in_small_tasks(spark, tmp_path, monkeypatch):
+    """However few and large the blocks are, tasks number some rows each."""
+    monkeypatch.setattr(sampling, "PIECE_BITS", 6)
+    monkeypatch.setattr(sampling, "SORTED", 300)
+    (tmp_path / "a.csv").write_text("n,label\n" + "".join(f"{k},{'xyz'[k % 3]}\n" for k in range(7200)))
+    ranked = sampling.rank_in_files(readers.read_csv_text(spark, str(tmp_path), order_col="at"), ["label"], "at")
+    assert {(int(r["n"]), r["place"]) for r in ranked.collect()} == {(k, k // 3 + 1) for k in range(7200)}
+    assert ranked.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 1200
+
+
 def test_file_order(spark, tmp_path):
     for name, start in (("b", 0), ("a", 1000), ("c", 2000)):
         (tmp_path / "in").mkdir(exist_ok=True)
