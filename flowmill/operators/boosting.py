@@ -49,6 +49,15 @@ class Tree(NamedTuple):
         return at
 
 
+class Binned(NamedTuple):
+    """Rows to learn from, cut into bins: blocks of binned values, the bins' ends by feature, numbers of features and classes."""
+
+    blocks: DataFrame
+    edges: list[np.ndarray]
+    width: int
+    classes: int
+
+
 def _tree(nodes: list[list]) -> Tree:
     columns = [*zip(*nodes, strict=True)]
     return Tree(*[np.array(c, t) for c, t in zip(columns, ("i8", "i8", "f8", "i8", "i8", "f8", "f8"), strict=True)])
@@ -128,14 +137,19 @@ class SoftmaxBooster:
             raise ValueError("rounds and depth are at least 1, rate and subsample in (0, 1], least over 0, bins from 2 to 256")
         self.rounds, self.depth, self.rate, self.subsample, self.least, self.penalty, self.bins, self.seed = rounds, depth, rate, subsample, least, penalty, bins, seed
 
-    def fit(self, rows: DataFrame) -> SoftmaxModel:
+    def binned(self, rows: DataFrame) -> Binned:
+        """``rows`` as fits with this number of bins take them."""
         rows = rows.select(vector_to_array("features").alias("x"), F.col("code").cast("int").alias("code"))
         first = rows.agg(F.max(F.size("x")).alias("width"), F.max("code").alias("last")).first()
         if first["last"] is None:
             raise ValueError("no rows to learn from")
-        width, classes = first["width"], max(2, first["last"] + 1)
-        edges = self._edges(rows, width)
-        blocks, trees = cut(self._blocks(rows, edges)), []
+        edges = self._edges(rows, first["width"])
+        return Binned(cut(self._blocks(rows, edges)), edges, first["width"], max(2, first["last"] + 1))
+
+    def fit(self, rows: DataFrame | Binned) -> SoftmaxModel:
+        """The model of rows, or of what :meth:`binned` made of them."""
+        blocks, edges, width, classes = rows if isinstance(rows, Binned) else self.binned(rows)
+        trees: list[list[Tree]] = []
         folded = 0
         for r in range(self.rounds):
             if r - folded >= FOLD:

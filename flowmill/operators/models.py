@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from hashlib import sha256
 from itertools import product
+from threading import Lock
 from time import time
 from typing import NamedTuple
 from uuid import uuid4
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowmill.functions.expr import finite_or_zero, number_of
-from flowmill.operators.boosting import SoftmaxBooster, SoftmaxModel
+from flowmill.operators.boosting import Binned, SoftmaxBooster, SoftmaxModel
 from flowmill.operators.evaluate import class_report, confusion, macro_average, named_prediction
 from flowmill.operators.sampling import folds, label_codes, map_labels, rank_by_hash
 from flowmill.operators.schema import forbid_columns, normalize_columns, require_columns
@@ -223,7 +224,7 @@ def tune(df: DataFrame, label: str, features: list[str], options: list[dict], ma
 
     ``make`` gives an estimator for a combination (label column ``code``).  Combinations that differ in ``trees`` or ``rounds`` only
     share one fit of the most of them, whose beginnings are evaluated (``seconds`` is that fit's share); ``parallel`` fits run
-    at once.  Results are written to ``folder`` (one of its own in the shared folder, if not given) as soon as a fit is
+    at once, and boosting fits of a fold share its rows in bins (not in ``seconds``).  Results are written to ``folder`` (one of its own in the shared folder, if not given) as soon as a fit is
     evaluated; what is there of the same rows, label, features, folds and seed, from a run that broke off, isn't fitted again.
     """
     spark = df.sparkSession
@@ -239,14 +240,28 @@ def tune(df: DataFrame, label: str, features: list[str], options: list[dict], ma
     for option in options:
         shared.setdefault(str({n: v for n, v in option.items() if n not in SIZES}), []).append(option)
 
+    binned: dict[tuple[int, int], Binned] = {}
+    locks = [Lock() for _ in range(k)]
+
+    def learnt_from(estimator, fold: int) -> DataFrame | Binned:
+        others = rows.where(F.col("__fold") != fold)
+        if not isinstance(estimator, SoftmaxBooster):
+            return others
+        with locks[fold]:
+            if (fold, estimator.bins) not in binned:
+                binned[fold, estimator.bins] = estimator.binned(others)
+            return binned[fold, estimator.bins]
+
     def fit(alike: list[dict], fold: int) -> None:
         todo = [x for x in alike if (str(x), fold) not in past]
         if not todo:
             return
         size = next((n for n in SIZES if n in todo[0]), None)
         largest = max(todo, key=lambda x: x.get(size, 0))
+        estimator = make(largest)
+        learnt = learnt_from(estimator, fold)
         began = time()
-        model = without_summary(make(largest).fit(rows.where(F.col("__fold") != fold)))
+        model = without_summary(estimator.fit(learnt))
         took, held = time() - began, rows.where(F.col("__fold") == fold)
         out = []
         for x in todo:

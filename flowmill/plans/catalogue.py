@@ -17,7 +17,7 @@ from flowmill.plans import assembly
 from flowmill.sources.parts import write_numbered
 from flowmill.sources.readers import file_counts, mark_missing, preview, raw_header, read_column_list, read_csv, read_csv_text, read_label_map, read_unique, row_counts
 from flowmill.sources.sinks import report_text, run_folder, split_parts, write_by_class, write_csv, write_label_map, write_parts
-from flowmill.storage import shared_dir
+from flowmill.storage import cut, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -768,7 +768,7 @@ def grid_search(spark, sf_dir):
 @query()
 def search_report(spark, sf_dir):
     """The class report of the best of 8 boosting combinations, on rows that the search never saw."""
-    rows = sampling.stratified_split(embedded(spark, sf_dir).withColumn("label", F.col("label") % 3), "label", 0.7, ["vec_id"])
+    rows = cut(sampling.stratified_split(embedded(spark, sf_dir).withColumn("label", F.col("label") % 3), "label", 0.7, ["vec_id"]))
     train, test = (rows.where(F.col("split") == x).drop("split") for x in ("train", "test"))
     options = models.grid(rounds=[1, 2], depth=[2], rate=[0.1, 0.3], subsample=[0.8, 1.0])
     return models.search(train, test, "label", DIMS, options, models.boosting_of, ["vec_id"], k=2)[3]

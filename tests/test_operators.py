@@ -647,3 +647,15 @@ def test_streams(spark, tmp_path):
 
 def test_shared_folder_is_set(spark):
     assert shared_dir(spark) and spark.sparkContext.getCheckpointDir()
+
+
+def test_fits_of_a_fold_share_bins(spark, monkeypatch):
+    """Rows of a fold are cut into bins once for all combinations, and models are those of fits alone."""
+    rows = spark.createDataFrame([(k, "abc"[k % 3], float(k * 37 % 101 + 40 * (k % 3)), float(k % 7)) for k in range(240)], "id long, label string, x double, y double")
+    calls, binned = [], boosting.SoftmaxBooster.binned
+    monkeypatch.setattr(boosting.SoftmaxBooster, "binned", lambda self, rows: calls.append(1) or binned(self, rows))
+    options = models.grid(rounds=[2], depth=[2], rate=[0.1, 0.3], subsample=[0.8, 1.0])
+    got = {(r["combination"], r["fold"]): r["f1"] for r in models.tune(rows, "label", ["x", "y"], options, models.boosting_of, ["id"], k=2).collect()}
+    assert len(got) == 8 and len(calls) == 2
+    alone = models.tune(rows, "label", ["x", "y"], options[:1], models.boosting_of, ["id"], k=2).collect()
+    assert {(r["combination"], r["fold"]): r["f1"] for r in alone}.items() <= got.items()
