@@ -13,7 +13,7 @@ decided or already connected, so components are exact.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from flowmill.llm.common import cut, slices
 from flowmill.llm.components import components
-from flowmill.llm.shingle_sets import BUCKETS, MAX_TOKEN_ROWS, SKETCH, SKETCH_BITS, bucket_counts, compared, dealt, least_shared, of_several_groups, possible, prefixes, sketch
+from flowmill.llm.shingle_sets import BUCKETS, MAX_TOKEN_ROWS, SKETCH, SKETCH_BITS, bucket_counts, compared, dealt, large_apart, large_sketch, least_shared, of_several_groups, possible, prefixes, sketch
 from flowmill.llm.simhash import PAIRS, first_row, shingle_set, whole_groups, with_kept
 from flowmill.llm.stars import differences, followed, leaders, star_links
 
@@ -32,13 +32,13 @@ SHINGLE, SIMILARITY = 4, 0.85
 #: A set is compared with a leader where sketches say that they differ in at most so much of both. This changes the work only.
 LIKELY = 0.42
 
-#: Most rounds in which components are joined by pairs of adjacent entries, before all pairs are looked at, and what share of the
+#: Most rounds in which components are joined by pairs of nearest entries, before all pairs are looked at, and what share of the
 #: first round's links another round must bring for the next one. These change the work only.
 ROUNDS, WORTH = 4, 0.1
 
 
 def described(docs: DataFrame, *, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, text_hash, size`` and the sketch of every row's set; and rows ``bucket, n`` alone (see :func:`~flowmill.llm.similar.profiles`)."""
+    """``id, text_hash, size`` and the sketches of every row's set; and rows ``bucket, n`` alone (see :func:`~flowmill.llm.similar.profiles`)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
     longs = ["text_hash", "size", *SKETCH, "bucket", "n"]
@@ -46,19 +46,20 @@ def described(docs: DataFrame, *, shingle: int, id_col: str = "doc_id", text_col
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, id_type = np.zeros(BUCKETS, "i8"), None
         for batch in slices(batches):
-            id_type, out = batch.column(0).type, np.zeros((batch.num_rows, 1 + len(SKETCH)), "i8")
+            id_type, out, bins = batch.column(0).type, np.zeros((batch.num_rows, 1 + len(SKETCH)), "i8"), []
             for k, text in enumerate(batch.column(2)):
                 own = shingle_set(text.as_py(), shingle)
                 np.add.at(counts, (own % np.uint64(BUCKETS)).astype("i8"), 1)
                 out[k] = len(own), *sketch(own)
+                bins.append(large_sketch(own))
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out.T.copy()), none, none], ["id", *longs])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out.T.copy()), none, none, pa.array(bins, pa.binary())], ["id", *longs, "bins"])
         if id_type is not None:
             often = np.flatnonzero(counts > 8 + 2 * counts.mean())
             none = pa.nulls(len(often), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(often), id_type), *[none] * (2 + len(SKETCH)), pa.array(often), pa.array(counts[often])], ["id", *longs])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(often), id_type), *[none] * (2 + len(SKETCH)), pa.array(often), pa.array(counts[often]), pa.nulls(len(often), pa.binary())], ["id", *longs, "bins"])
 
-    return rows.mapInArrow(compute, f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in longs))
+    return rows.mapInArrow(compute, f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in longs) + ", bins binary")
 
 
 def block_meetings(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -100,48 +101,85 @@ def block_meetings(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, simil
         step += 1
 
 
-def block_pairs(shared: DataFrame, groups: DataFrame, *, similarity: float) -> DataFrame:
-    """``a, b``: pairs that meet in a list of ``shared`` (:func:`~flowmill.llm.shingle_sets.dealt`) and may be similar; ``groups`` has
-    node, group, star and sketch of every node.
+def meetings(rows: DataFrame, similarity: float, found: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``found`` makes of each part of lists of ``rows``: these as numbers (key, size, node, group, star), and places x, y of pairs that
+    meet and may be similar by all sketches, with the bins in which they differ, a share of what similar ones may.
     """
     key = ["token", "part", "with_part"]
-    rows = shared.join(groups, "node").select(*key, "size", "node", "group", "star", *SKETCH)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, starts, ends in whole_groups(batches, 3):
-            node = own[:, 4]
-            for x, y in block_meetings(own[:, 3:], starts, ends, similarity):
-                pairs = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs], ["a", "b"])
+        for own, starts, ends, bins in _with_bins(batches, 3):
+            drawn = np.ascontiguousarray(own[:, 7:]).view("u8")
+
+            def pairs(own=own, starts=starts, ends=ends, bins=bins, drawn=drawn) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+                for x, y in block_meetings(own[:, 3:], starts, ends, similarity):
+                    both = (own[x, 3] >> 32) + (own[y, 3] >> 32)
+                    most = both - 2 * least_shared(both, similarity)
+                    off = np.maximum(np.bitwise_count(drawn[x] ^ drawn[y]).sum(axis=1, dtype="i8"), large_apart(bins, x, y))
+                    may = off <= most
+                    if may.any():
+                        yield x[may], y[may], off[may] / (most[may] + 1)
+
+            yield from found(own, pairs())
+
+    columns = [*key, "size", "node", "group", "star", *SKETCH, "bins"]
+    return rows.select(columns).repartition(*key).sortWithinPartitions(*key, "size", "node").mapInArrow(search, schema)
+
+
+def _with_bins(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """:func:`~flowmill.llm.simhash.whole_groups` of rows of longs whose last column is binary, and this column of each part."""
+    held: list[tuple[int, pa.Array]] = []
+
+    def numbered() -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            held.append((at, batch.columns[-1]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.arange(at, at + batch.num_rows))], batch.schema.names)
+            at += batch.num_rows
+
+    for own, starts, ends in whole_groups(numbered(), keys):
+        first = int(own[0, -1])
+        while len(held) > 1 and held[1][0] <= first:
+            held.pop(0)
+        yield np.ascontiguousarray(own[:, :-1]), starts, ends, pa.concat_arrays([x for _, x in held]).slice(first - held[0][0], len(own))
+
 
-    return rows.repartition(*key).sortWithinPartitions(*key, "size", "node").mapInArrow(search, "a long, b long").where("a != b").distinct()
+def described_entries(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """The entries of ``shared`` with group, star and sketches of their nodes; without ``bins`` in ``groups``, large sets have no longer sketch."""
+    return shared.join(groups if "bins" in groups.columns else groups.withColumn("bins", F.lit(None).cast("binary")), "node")
 
 
-def adjacent_pairs(shared: DataFrame, groups: DataFrame, *, similarity: float) -> DataFrame:
-    """``a, b, votes``: of :func:`block_pairs`' pairs, each entry of a list with the one before it (by size) that is of another group; at most
-    one an entry. ``votes`` counts the lists.
+def block_pairs(shared: DataFrame, groups: DataFrame, *, similarity: float) -> DataFrame:
+    """``a, b``: pairs that meet in a list of ``shared`` (:func:`~flowmill.llm.shingle_sets.dealt`) and may be similar; ``groups`` has
+    node, group, star and sketches of every node.
     """
-    key = ["token", "part", "with_part"]
-    rows = shared.join(groups, "node").select(*key, "size", "node", "group", "star", *SKETCH)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, starts, ends in whole_groups(batches, 3):
-            packed, node, group, star, bins = own[:, 3], own[:, 4], own[:, 5], own[:, 6], np.ascontiguousarray(own[:, 7:]).view("u8")
-            new = np.ones(len(own), bool)
-            new[1:] = group[1:] != group[:-1]
-            new[starts] = True
-            run = np.flatnonzero(new)[np.cumsum(new) - 1]  # where each entry's run of one group begins
-            x = np.flatnonzero(run > np.repeat(starts, ends - starts))
-            y = run[x] - 1
-            size, left = packed >> 32, packed & 0xFFFFFFFF
-            least = least_shared(size[x] + size[y], similarity)
-            may = (least <= size[y]) & (np.minimum(left[x], left[y]) >= least) & (star[x] != star[y])
-            x, y, least = x[may], y[may], least[may]
-            may = np.bitwise_count(bins[x] ^ bins[y]).sum(axis=1, dtype="i8") <= size[x] + size[y] - 2 * least
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x[may]], node[y[may]])), pa.array(np.maximum(node[x[may]], node[y[may]]))], ["a", "b"])
-
-    found = rows.repartition(*key).sortWithinPartitions(*key, "size", "node").mapInArrow(search, "a long, b long")
-    return found.groupBy("a", "b").agg(F.count("*").alias("votes"))
+    def found(own: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        node = own[:, 4]
+        for x, y, _ in pairs:
+            ends = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in ends], ["a", "b"])
+
+    return meetings(described_entries(shared, groups), similarity, found, "a long, b long").where("a != b").distinct()
+
+
+def nearest_entries(shared: DataFrame, groups: DataFrame, *, similarity: float) -> DataFrame:
+    """The entries of ``shared`` that are in one of :func:`block_pairs`' pairs, with ``partner``: the node of their list that is nearest by sketches
+    among those. So what is written is no more than the entries.
+    """
+    names = ["token", "part", "with_part", "size", "node", "partner"]
+
+    def found(own: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        partner, least = np.full(len(own), -1), np.full(len(own), np.inf)
+        for x, y, off in pairs:
+            for at, to in ((x, y), (y, x)):
+                nearer = np.flatnonzero(off < least[at])
+                nearer = nearer[np.argsort(-off[nearer], kind="stable")]  # of several, the last counts
+                partner[at[nearer]], least[at[nearer]] = to[nearer], off[nearer]
+        some = np.flatnonzero(partner >= 0)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, own[some, :5].T.copy()), pa.array(own[partner[some], 4])], names)
+
+    return meetings(described_entries(shared, groups), similarity, found, ", ".join(f"{x} long" for x in names))
 
 
 def star_answers(shared: DataFrame, nodes: DataFrame, texts: DataFrame, *, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -167,10 +205,11 @@ def star_answers(shared: DataFrame, nodes: DataFrame, texts: DataFrame, *, shing
 
 
 def settled(shared: DataFrame, nodes: DataFrame, stars: DataFrame, links: DataFrame, tested: DataFrame, texts: DataFrame, *, shingle: int, similarity: float, max_token_rows: int) -> DataFrame:
-    """``node, root``: components of ``links`` and of all further ones that the lists hold. ``nodes``: node, id and sketch; ``tested``: a, b.
+    """``node, root``: components of ``links`` and of all further ones that the lists hold. ``nodes``: node, id and sketches; ``tested``: a, b.
 
-    What is similar to very many sets is joined first, in some rounds: of two components that meet in adjacent entries of lists, the
-    pair that does so most often is compared.  Then every pair that is still apart is.
+    What is similar to very many sets is joined first, in some rounds: every entry of a list has its nearest one of another component, and of
+    two components the pair that is so most often is compared.  Entries that may be similar to none are left out from then on.  Then every
+    pair that is still apart is compared.
     """
     of_nodes = nodes.select("node", "id")
 
@@ -187,15 +226,16 @@ def settled(shared: DataFrame, nodes: DataFrame, stars: DataFrame, links: DataFr
         return cut(pairs.groupBy("x", "y").agg(F.max(F.struct(votes.alias("votes"), "a", "b")).alias("best")).select("best.a", "best.b"))
 
     found, brought, first_brought = cut(components(links)), 1, 1
+    entries = dealt(cut(of_several_groups(shared, found)), max_token_rows)
     for turn in range(ROUNDS + 1):
-        left = cut(of_several_groups(shared, found))
-        dealt_out = dealt(left, max_token_rows)
         groups = nodes.join(found, "node", "left").join(stars, "node", "left")
-        groups = cut(groups.select("node", F.coalesce("root", "node").alias("group"), F.coalesce("star", "node").alias("star"), *SKETCH))
+        groups = cut(groups.select("node", F.coalesce("root", "node").alias("group"), F.coalesce("star", "node").alias("star"), *SKETCH, "bins"))
         if turn == ROUNDS or brought < WORTH * first_brought:
             break
-        near = adjacent_pairs(dealt_out, groups, similarity=similarity).join(tested, ["a", "b"], "left_anti")
-        some = one_each(between(near, found), F.col("votes"))
+        met = cut(nearest_entries(entries, groups, similarity=similarity))
+        entries = met.drop("partner")  # what meets nothing now never will: components only grow
+        near = met.groupBy(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).agg(F.count("*").alias("votes"))
+        some = one_each(between(near.join(tested, ["a", "b"], "left_anti"), found), F.col("votes"))
         if some.isEmpty():
             break
         new = compare(some)
@@ -203,7 +243,7 @@ def settled(shared: DataFrame, nodes: DataFrame, stars: DataFrame, links: DataFr
         first_brought = first_brought if turn else max(1, brought)
         links, tested = links.unionAll(new), tested.unionAll(some)
         found = cut(components(links))
-    more = cut(block_pairs(dealt_out, groups, similarity=similarity).join(tested, ["a", "b"], "left_anti"))
+    more = cut(block_pairs(entries, groups, similarity=similarity).join(tested, ["a", "b"], "left_anti"))
     first = one_each(between(more, found), F.lit(1))
     links = links.unionAll(compare(first))
     found = cut(components(links))
@@ -222,12 +262,12 @@ def jaccard_join(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float =
         raise ValueError("the similarity must be over 0 and at most 1")
     found_rows = cut(described(docs, shingle=shingle, id_col=id_col, text_col=text_col))
     rows = found_rows.where("text_hash is not null").drop("bucket", "n")
-    nodes = cut(rows.where("size > 0").groupBy(F.col("text_hash").alias("node")).agg(first_row(), *[F.min(x).alias(x) for x in SKETCH]))
+    nodes = cut(rows.where("size > 0").groupBy(F.col("text_hash").alias("node")).agg(first_row(), *[F.min(x).alias(x) for x in (*SKETCH, "bins")]))
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("utf8"))
     worded = texts.where(F.col("utf8").cast("string").rlike(r"[^\x20\x09-\x0D]"))
     shared = cut(prefixes(worded, bucket_counts(found_rows), shingle=shingle, similarity=similarity))
-    known = nodes.select("node", F.col("first.id").alias("id"), *SKETCH)
+    known = nodes.select("node", F.col("first.id").alias("id"), *SKETCH, "bins")
     links, tested, stars = star_answers(shared, known, texts, shingle=shingle, similarity=similarity)
     found = settled(shared, known, stars, links, tested, texts, shingle=shingle, similarity=similarity, max_token_rows=max_token_rows)
     own = rows.select("id", "text_hash", "size", F.col("text_hash").alias("node"))

@@ -16,6 +16,12 @@ from flowmill.llm.simhash import MAX_BROADCAST_KEYS, shingle_set, with_end
 SKETCH_BITS = 512
 SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 
+#: Sets of more shingles have a longer sketch beside: unrelated sets of some 1,600 differ in fewer of SKETCH_BITS bins than similar ones may.
+LARGE = 1024
+
+#: Words of sketches that are compared at once.
+SKETCH_WORDS = 1 << 20
+
 #: Buckets in which the frequencies of shingles are counted; they order the shingles, and don't change what is found.
 BUCKETS = 1 << 20
 
@@ -40,6 +46,31 @@ def long_sketch(own: np.ndarray) -> np.ndarray:
     return sketch(own, max(SKETCH_BITS, 1 << (2 * len(own) - 1).bit_length()))
 
 
+def large_sketch(own: np.ndarray) -> bytes | None:
+    """A sketch of a bin to one or two shingles, a power of two; none for sets of at most LARGE shingles."""
+    return sketch(own, 1 << (len(own) - 1).bit_length() - 1).tobytes() if len(own) > LARGE else None
+
+
+def large_apart(bins: pa.Array, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bins the sketches (:func:`large_sketch`) at the places ``x`` and ``y`` differ (the longer folded); 0 where one has none."""
+    flat = np.frombuffer(bins.buffers()[2] or b"", "u8", bins.buffers()[2].size // 8 if bins.buffers()[2] else 0)
+    offsets = np.frombuffer(bins.buffers()[1], "i4")[bins.offset : bins.offset + len(bins) + 1].astype("i8") // 8
+    start, length = offsets[:-1], np.diff(offsets)
+    out = np.zeros(len(x), "i8")
+    some = np.flatnonzero((length[x] > 0) & (length[y] > 0))
+    turned = length[x[some]] > length[y[some]]
+    short, long = np.where(turned, y[some], x[some]), np.where(turned, x[some], y[some])
+    lengths = length[short] << 32 | length[long]
+    for both in np.unique(lengths).tolist():
+        of, n, m = np.flatnonzero(lengths == both), both >> 32, both & 0xFFFFFFFF
+        for part in np.split(of, range(step := max(1, SKETCH_WORDS // m), len(of), step)):
+            a, b = (flat[start[at[part]][:, None] + np.arange(k)] for at, k in ((short, n), (long, m)))
+            while b.shape[1] > n:
+                b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+            out[some[part]] = np.bitwise_count(a ^ b).sum(axis=1, dtype="i8")
+    return out
+
+
 def apart(a: np.ndarray, b: np.ndarray) -> int:
     """In how many bins two sketches differ; the larger one is folded to the other's bins."""
     while len(a) > len(b):

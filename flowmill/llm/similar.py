@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from flowmill.llm.common import cut, slices
 from flowmill.llm.components import components
 from flowmill.llm.set_join import settled, star_answers
-from flowmill.llm.shingle_sets import BUCKETS, MAX_TOKEN_ROWS, SKETCH, bucket_counts, compared, nonempty_set, of_several_groups, prefixes, sketch
+from flowmill.llm.shingle_sets import BUCKETS, MAX_TOKEN_ROWS, SKETCH, bucket_counts, compared, large_sketch, nonempty_set, of_several_groups, prefixes, sketch
 from flowmill.llm.simhash import MAX_SHARD, PAIRS, QUERIES, BKTree, first_row, majority, others, search_shards, sharded, with_kept
 from flowmill.llm.text import mix
 
@@ -40,28 +40,29 @@ LEAF = 128
 
 
 def profiles(docs: DataFrame, *, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, text_hash, fp, fp2`` and the sketch of every row; and rows ``bucket, n`` alone: how often the shingles of each bucket
+    """``id, text_hash, fp, fp2`` and the sketches of every row; and rows ``bucket, n`` alone: how often the shingles of each bucket
     come, about (buckets that are rare in a task count 0 there).  Texts without words are alike: they have one shingle, 0.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
     longs = ["text_hash", "fp", "fp2", *SKETCH, "bucket", "n"]
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in longs)
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in longs) + ", bins binary"
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, id_type = np.zeros(BUCKETS, "i8"), None
         for batch in slices(batches):
-            id_type, out = batch.column(0).type, np.zeros((batch.num_rows, 2 + len(SKETCH)), "i8")
+            id_type, out, bins = batch.column(0).type, np.zeros((batch.num_rows, 2 + len(SKETCH)), "i8"), []
             for k, text in enumerate(batch.column(2)):
                 own = nonempty_set(text.as_py(), shingle)
                 np.add.at(counts, (own % np.uint64(BUCKETS)).astype("i8"), 1)
                 out[k] = majority([own]), majority([mix(own)]), *sketch(own)
+                bins.append(large_sketch(own))
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out.T.copy()), none, none], ["id", *longs])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out.T.copy()), none, none, pa.array(bins, pa.binary())], ["id", *longs, "bins"])
         if id_type is not None:
             often = np.flatnonzero(counts > 8 + 2 * counts.mean())
             none = pa.nulls(len(often), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(often), id_type), *[none] * (3 + len(SKETCH)), pa.array(often), pa.array(counts[often])], ["id", *longs])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(often), id_type), *[none] * (3 + len(SKETCH)), pa.array(often), pa.array(counts[often]), pa.nulls(len(often), pa.binary())], ["id", *longs, "bins"])
 
     return rows.mapInArrow(compute, schema)
 
@@ -163,7 +164,7 @@ def similar_documents(docs: DataFrame, *, shingle: int = SHINGLE, radius: int =
         raise ValueError("the similarity must be over 0 and at most 1")
     found_rows = cut(profiles(docs, shingle=shingle, id_col=id_col, text_col=text_col))
     rows = found_rows.where("text_hash is not null").drop("bucket", "n")
-    nodes = cut(rows.groupBy(F.col("text_hash").alias("node")).agg(first_row(), *[F.min(x).alias(x) for x in ("fp", "fp2", *SKETCH)]))
+    nodes = cut(rows.groupBy(F.col("text_hash").alias("node")).agg(first_row(), *[F.min(x).alias(x) for x in ("fp", "fp2", *SKETCH, "bins")]))
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("utf8"))
     of_nodes = nodes.select("node", F.col("first.id").alias("id"))
@@ -183,7 +184,7 @@ def similar_documents(docs: DataFrame, *, shingle: int = SHINGLE, radius: int =
     sure = compared(tested, of_nodes, texts, shingle=shingle, similarity=similarity)
     found = cut(components(sure))
     shared = cut(of_several_groups(prefixes(texts, bucket_counts(found_rows), shingle=shingle, similarity=similarity), found))
-    known = nodes.select("node", F.col("first.id").alias("id"), *SKETCH)
+    known = nodes.select("node", F.col("first.id").alias("id"), *SKETCH, "bins")
     links, told, stars = star_answers(shared, known, texts, shingle=shingle, similarity=similarity)
     found = settled(shared, known, stars, sure.unionAll(links), tested.unionAll(told), texts, shingle=shingle, similarity=similarity, max_token_rows=max_token_rows)
     return with_kept(rows.select("id", "text_hash", "fp", F.col("text_hash").alias("node")), nodes.select("node", "first"), found)

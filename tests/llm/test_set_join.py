@@ -3,10 +3,11 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from flowmill.llm import queries, set_join, shingle_sets, stars
+from flowmill.llm import queries, set_join, shingle_sets, simhash, stars
 from flowmill.llm.common import table
 from tests.llm.test_similar import mutated
 from tests.llm.test_simhash import plain_components
@@ -122,6 +123,64 @@ def test_blocks_lose_no_pair():
     assert got == want
 
 
+def passages(count, words, seed):
+    """Texts of ``words`` words of their own, and a passage that all share."""
+    rng = np.random.default_rng(seed)
+    passage = " ".join(f"p{k}" for k in range(80))
+    rows = []
+    for k in range(count):
+        own = [f"o{k}x{j}" for j in range(int(rng.integers(words, words + 200)))]
+        rows.append((k, f"{' '.join(own[: words // 2])} {passage} {' '.join(own[words // 2 :])}"))
+    return rows
+
+
+def test_long_texts_that_share_a_passage_are_no_pairs(spark, monkeypatch):
+    """Pairs written, before texts are compared, for long texts that lists bring together and that have little in common."""
+    written, plain = [], set_join.block_pairs
+
+    def counted(*args, **more):
+        written.append(plain(*args, **more).count())
+        return plain(*args, **more)
+
+    monkeypatch.setattr(set_join, "block_pairs", counted)
+    for count in (20, 40):
+        rows = passages(count, 2500, 1)
+        assert joined(spark, rows) == plain_rows(rows)
+    assert written[0] <= 20 and written[1] <= 40, written
+
+
+@pytest.mark.parametrize("words,changed", [(1030, 10), (2060, 20), (2060, 21)])
+def test_sets_about_the_sizes_where_sketches_lengthen(spark, words, changed):
+    rows = [(k, " ".join(t.split()[: words - 4 * (k % 8)])) for k, t in family(30, words, changed, changed)] + [(100 + k, t) for k, t in passages(10, words, 2)]
+    assert joined(spark, rows) == plain_rows(rows)
+
+
+@pytest.mark.parametrize("max_token_rows", [1 << 30, 7])
+def test_nearest_entries_are_one_each_and_all_that_meet(spark, max_token_rows):
+    rows = family(40, 200, 2, 6) + [(100 + k, t) for k, t in family(12, 1500, 14, 7)] + [(200 + k, t) for k, t in passages(10, 1800, 2)]
+    texts = spark.createDataFrame([(k, t.encode()) for k, t in rows], "text_hash long, utf8 binary").repartition(3)
+    shared = shingle_sets.dealt(shingle_sets.prefixes(texts, np.zeros(shingle_sets.BUCKETS, "i8"), shingle=4, similarity=0.85), max_token_rows)
+    sets = {k: simhash.shingle_set(t.encode(), 4) for k, t in rows}
+    drawn = [(k, k - k % 2, k - k % 3, *shingle_sets.sketch(x).tolist(), shingle_sets.large_sketch(x)) for k, x in sets.items()]
+    groups = spark.createDataFrame(drawn, f"node long, `group` long, star long, {', '.join(f'{x} long' for x in shingle_sets.SKETCH)}, bins binary")
+    got = [tuple(r) for r in set_join.nearest_entries(shared, groups, similarity=0.85).select("token", "part", "with_part", "node", "partner").collect()]
+    pairs = {tuple(r) for r in set_join.block_pairs(shared, groups, similarity=0.85).collect()}
+    assert got and len(got) == len({r[:4] for r in got}) <= shared.count()
+    assert {r[3] for r in got} == {k for p in pairs for k in p} and {(min(r[3:]), max(r[3:])) for r in got} <= pairs
+    near = {(a, b) for a in sets for b in sets if a < b and a // 2 != b // 2 and a // 3 != b // 3 and shingle_sets.jaccard(sets[a], sets[b]) >= 0.85}
+    assert near <= pairs and any(a >= 100 for a, _ in near) and not any(b >= 200 for _, b in pairs)
+
+
+def test_distances_of_large_sketches():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 62, n, dtype="u8")) for n in (500, 1024, 1025, 2048, 2049, 9000)]
+    bins = pa.array([None, None, None, *[shingle_sets.large_sketch(x) for x in sets]], pa.binary()).slice(3)
+    x, y = (k.ravel() for k in np.indices((6, 6)))
+    want = [shingle_sets.apart(*[np.frombuffer(bins[int(k)].as_py(), "i8") for k in p]) if min(p) > 1 else 0 for p in zip(x, y, strict=True)]
+    assert shingle_sets.large_apart(bins, x, y).tolist() == want
+    assert all(d <= len(np.setxor1d(sets[a], sets[b])) for a, b, d in zip(x, y, want, strict=True))
+
+
 def test_leaders_come_first(spark):
     rows = family(40, 200, 4, 6)
     texts = spark.createDataFrame([(k, t.encode()) for k, t in rows], "text_hash long, utf8 binary")
