@@ -2,9 +2,11 @@
 
 Features are cut into bins once, by approximate percentiles, and rows are packed into blocks of binned values.  One job a level
 grows the trees of all classes: each task adds up first and second derivatives by class, node, feature and bin, a shuffle
-by (class, node, feature) sums them and finds each feature's best split, and one row a node comes back.  Derivatives are
-added as whole numbers, so that sums, and with them the trees, don't depend on how rows are dealt to tasks.  What a task holds is
-bounded by the model (classes, nodes of a level, features, bins), never by the rows.
+by (class, node, feature) sums them and finds each feature's best split, and one row a node comes back.  Nodes of so few rows that
+a task may hold them (CELLS) are sent whole to a task each, which grows all that is below; a table of so few rows is learnt from by one
+task in all rounds, and fits of several options run side by side.  Derivatives are added as whole numbers, so that sums, and with
+them the trees, don't depend on how rows are dealt to tasks, nor on which of the ways they are grown.  What a task holds is
+bounded by CELLS and the model (classes, nodes of a level, features, bins), never by the rows.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ BLOCK_ROWS, FOLD, PARTS = 8192, 8, 1 << 24
 #: Features whose percentiles are computed at once.
 FEATURES = 60
 
+#: Cells (rows times features, 64 at least) of a node that is grown whole in one task: 65,536 rows of 64 features, 4 MB. Cells that such
+#: a task works on at once.
+CELLS, STEP = 1 << 22, 1 << 18
+
 
 class Tree(NamedTuple):
     """Nodes in arrays, the root first: rows whose ``feature`` is at most ``edge`` go to ``left``; leaves have feature -1."""
@@ -50,12 +56,32 @@ class Tree(NamedTuple):
 
 
 class Binned(NamedTuple):
-    """Rows to learn from, cut into bins: blocks of binned values, the bins' ends by feature, numbers of features and classes."""
+    """Rows to learn from, cut into bins: blocks of binned values, the bins' ends by feature, numbers of features, classes and rows."""
 
     blocks: DataFrame
     edges: list[np.ndarray]
     width: int
     classes: int
+    n: int
+
+
+class Rule(NamedTuple):
+    """How trees grow (:class:`SoftmaxBooster`)."""
+
+    bins: int
+    rate: float
+    least: float
+    penalty: float
+
+    def value(self, g: np.ndarray | int, h: np.ndarray | int) -> np.ndarray | float:
+        return -self.rate * (g / PARTS) / (h / PARTS + self.penalty)
+
+    def strength(self, g: np.ndarray | int, h: np.ndarray | int) -> np.ndarray | float:
+        return (g / PARTS) * (g / PARTS) / (h / PARTS + self.penalty)
+
+    def splits(self, h: np.ndarray | int) -> np.ndarray | bool:
+        """Whether this second derivative is enough for two children."""
+        return h >= 2 * self.least * PARTS
 
 
 def _tree(nodes: list[list]) -> Tree:
@@ -78,9 +104,10 @@ class SoftmaxModel:
         """The model as it was after so many rounds."""
         return SoftmaxModel(self.trees[:rounds], self.classes, self.n_features)
 
-    def margins(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), self.classes))
-        for trees in self.trees:
+    def margins(self, x: np.ndarray, out: np.ndarray | None = None, begin: int = 0, end: int | None = None) -> np.ndarray:
+        """The margins of rows; from ``out``, what they were after ``begin`` rounds, to those after ``end``."""
+        out = np.zeros((len(x), self.classes)) if out is None else out
+        for trees in self.trees[begin:end]:
             for k, tree in enumerate(trees):
                 out[:, k] += tree.value[tree.leaves(x, tree.edge)]
         return out
@@ -107,6 +134,26 @@ class SoftmaxModel:
         kinds = [(f.name, f.dataType.simpleString()) for f in rows.schema.fields[:-1]]
         return rows.mapInArrow(predict, ", ".join(f"`{n}` {t}" for n, t in [*kinds, ("probability", "array<double>"), ("prediction", "double")]))
 
+    def beginnings(self, df: DataFrame, rounds: list[int]) -> DataFrame:
+        """``df`` without ``features``, once for each of these numbers of rounds: ``rounds`` and the ``prediction`` after so many. Each row
+        goes through the trees once.
+        """
+        kept = [c for c in df.columns if c != "features"]
+        rows = df.select(*[F.col(f"`{c}`") for c in kept], vector_to_array("features").alias("__x"))
+        shared = df.sparkSession.sparkContext.broadcast(self)
+
+        def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            for batch in batches:
+                x = _matrix(batch.column(len(kept)), own.n_features)
+                margins, done = np.zeros((len(x), own.classes)), 0
+                for size in sorted(set(rounds)):
+                    margins, done = own.margins(x, margins, done, size), size
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.full(len(x), size), pa.int32()), pa.array(softmax(margins).argmax(axis=1).astype("f8"))], [*kept, "rounds", "prediction"])
+
+        kinds = [(f.name, f.dataType.simpleString()) for f in rows.schema.fields[:-1]]
+        return rows.mapInArrow(predict, ", ".join(f"`{n}` {t}" for n, t in [*kinds, ("rounds", "int"), ("prediction", "double")]))
+
     def table(self, spark: SparkSession) -> DataFrame:
         """A row a node."""
         rows = [(r, k, n, *(v.item() for v in node)) for r, trees in enumerate(self.trees) for k, tree in enumerate(trees) for n, node in enumerate(zip(*tree, strict=True))]
@@ -136,27 +183,51 @@ class SoftmaxBooster:
         if not (rounds >= 1 and depth >= 1 and 0 < rate <= 1 and 0 < subsample <= 1 and least > 0 and 2 <= bins <= 256):
             raise ValueError("rounds and depth are at least 1, rate and subsample in (0, 1], least over 0, bins from 2 to 256")
         self.rounds, self.depth, self.rate, self.subsample, self.least, self.penalty, self.bins, self.seed = rounds, depth, rate, subsample, least, penalty, bins, seed
+        self.rule = Rule(bins, rate, least, penalty)
 
     def binned(self, rows: DataFrame) -> Binned:
         """``rows`` as fits with this number of bins take them."""
         rows = rows.select(vector_to_array("features").alias("x"), F.col("code").cast("int").alias("code"))
-        first = rows.agg(F.max(F.size("x")).alias("width"), F.max("code").alias("last")).first()
+        first = rows.agg(F.max(F.size("x")).alias("width"), F.max("code").alias("last"), F.count("*").alias("n")).first()
         if first["last"] is None:
             raise ValueError("no rows to learn from")
         edges = self._edges(rows, first["width"])
-        return Binned(cut(self._blocks(rows, edges)), edges, first["width"], max(2, first["last"] + 1))
+        return Binned(cut(self._blocks(rows, edges)), edges, first["width"], max(2, first["last"] + 1), first["n"])
 
     def fit(self, rows: DataFrame | Binned) -> SoftmaxModel:
         """The model of rows, or of what :meth:`binned` made of them."""
-        blocks, edges, width, classes = rows if isinstance(rows, Binned) else self.binned(rows)
+        blocks, edges, width, classes, n = rows if isinstance(rows, Binned) else self.binned(rows)
+        if n * max(64, width, 8 * classes) <= CELLS:
+            return SoftmaxModel(self._whole(blocks, classes, width, edges), classes, width)
         trees: list[list[Tree]] = []
         folded = 0
         for r in range(self.rounds):
             if r - folded >= FOLD:
                 blocks, folded = cut(self._folded(blocks, trees[folded:r], classes, width)), r
-            trees.append(self._round(blocks, trees[folded:], r, classes, width, edges))
+            trees.append(self._round(blocks, trees[folded:], r, classes, width, n, edges))
         return SoftmaxModel(trees, classes, width)
 
+    def _whole(self, blocks: DataFrame, classes: int, width: int, edges: list[np.ndarray]) -> list[list[Tree]]:
+        """All rounds, grown by one task from at most CELLS cells."""
+        rounds, depth, seed, subsample, rule = self.rounds, self.depth, self.seed, self.subsample, self.rule
+
+        def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = [(batch.column(0)[i].as_py(), *_open(batch, i, [], classes, width)) for batch in batches for i in range(batch.num_rows)]
+            x, code, margins = (np.concatenate(part) for part in [*zip(*own, strict=True)][1:])
+            for r in range(rounds):
+                drawn = np.concatenate([_drawn(seed, r, block, len(part), subsample) for block, part, _, _ in own])
+                chance, trees = softmax(margins), []
+                for k in range(classes):
+                    tree, at = _grown(x, *(np.where(drawn, d, 0.0) for d in _derivatives(chance[:, k], code == k)), depth, rule)
+                    margins[:, k] += tree.value[at]
+                    trees.append(tree)
+                yield _rows([(r, k) for k in range(classes)], trees)
+
+        trees = [[None] * classes for _ in range(rounds)]
+        for r, k, tree in _collected(blocks.coalesce(1).mapInArrow(grow, f"round long, class long, {_TREE}"), edges):
+            trees[r][k] = tree
+        return trees
+
     def _edges(self, rows: DataFrame, width: int) -> list[np.ndarray]:
         """Of each feature the values that bins end at."""
         points, out = [j / self.bins for j in range(1, self.bins)], []
@@ -194,43 +265,88 @@ class SoftmaxBooster:
 
         return blocks.mapInArrow(add, _BLOCKS)
 
-    def _round(self, blocks: DataFrame, recent: list[list[Tree]], r: int, classes: int, width: int, edges: list[np.ndarray]) -> list[Tree]:
-        """One tree a class, level by level."""
+    def _round(self, blocks: DataFrame, recent: list[list[Tree]], r: int, classes: int, width: int, n: int, edges: list[np.ndarray]) -> list[Tree]:
+        """One tree a class: level by level as far as nodes are large, and what is below the others at once."""
         nodes: list[list[list]] = [[[-1, 0, 0.0, -1, -1, 0.0, 0.0]] for _ in range(classes)]
         open_ = [[0] for _ in range(classes)]
-        for _ in range(self.depth):
+        small: list[dict[int, int]] = [{} for _ in range(classes)]
+        for level in range(self.depth):
             found = self._splits(blocks, recent, [_tree(n) for n in nodes], open_, r, classes, width)
             following: list[list[int]] = [[] for _ in range(classes)]
-            for k, node, f, gain, bin_, gl, hl, g, h in found:
+            for k, node, f, gain, bin_, gl, hl, nl, g, h, whole in found:
                 own = nodes[k]
-                own[node][5] = self._value(g, h)
+                own[node][5] = self.rule.value(g, h)
                 if gain <= 1e-9:
                     continue
                 left = len(own)
                 own[node][:5], own[node][6] = [f, bin_, float(edges[f][bin_]), left, left + 1], gain
-                own += [[-1, 0, 0.0, -1, -1, self._value(a, b), 0.0] for a, b in ((gl, hl), (g - gl, h - hl))]
-                following[k] += [left, left + 1]
+                for child, a, b, rows in ((left, gl, hl, nl), (left + 1, g - gl, h - hl, whole - nl)):
+                    own.append([-1, 0, 0.0, -1, -1, self.rule.value(a, b), 0.0])
+                    if not self.rule.splits(b):
+                        continue
+                    if rows * max(64, width) > CELLS:
+                        following[k].append(child)
+                    elif level + 1 < self.depth:
+                        small[k][child] = self.depth - level - 1
             open_ = following
             if not any(open_):
                 break
+        if any(small):
+            for k, node, tree in self._below(blocks, recent, [_tree(n) for n in nodes], small, r, classes, width, edges):
+                # Node 0 of what is below stands where it was sent from, the others at the end.
+                own, shift = nodes[k], len(nodes[k]) - 1
+                rows = [[f, b, e, left + shift if f >= 0 else -1, right + shift if f >= 0 else -1, v, gain] for f, b, e, left, right, v, gain in zip(*(c.tolist() for c in tree), strict=True)]
+                own[node] = rows[0]
+                own += rows[1:]
         return [_tree(n) for n in nodes]
 
-    def _value(self, g: int, h: int) -> float:
-        return -self.rate * (g / PARTS) / (h / PARTS + self.penalty)
+    def _below(self, blocks: DataFrame, recent: list[list[Tree]], growing: list[Tree], small: list[dict[int, int]], r: int, classes: int, width: int, edges: list[np.ndarray]) -> list[tuple[int, int, Tree]]:
+        """``class, node, tree`` below each of the small nodes, which are given with the levels left to them; a task has one's rows whole."""
+        seed, subsample, rule = self.seed, self.subsample, self.rule
+        shared = blocks.sparkSession.sparkContext.broadcast((recent, growing, small))
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            recent, growing, small = shared.value
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    x, code, margins = _open(batch, i, recent, classes, width)
+                    chance, drawn = softmax(margins), _drawn(seed, r, batch.column(0)[i].as_py(), len(x), subsample)
+                    out = []
+                    for k, own in enumerate(small):
+                        if not own:
+                            continue
+                        g, h = _derivatives(chance[:, k], code == k)
+                        at = np.where(drawn, growing[k].leaves(x, growing[k].bin), -1)
+                        order = np.argsort(at, kind="stable")
+                        for rows in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+                            if int(at[rows[0]]) in own:
+                                out.append((k, int(at[rows[0]]), x[rows].tobytes(), g[rows].tobytes(), h[rows].tobytes()))
+                    if out:
+                        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True))], ["class", "node", "x", "g", "h"])
+
+        def grow(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            x, g, h = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("x", "u1"), ("g", "f8"), ("h", "f8")))
+            k, node = (v.as_py() for v in key)
+            tree, _ = _grown(x.reshape(-1, width), g, h, shared.value[2][k][node], rule)
+            return pa.Table.from_batches([_rows([(k, node)], [tree], "node")])
+
+        sent = blocks.mapInArrow(send, "class long, node long, x binary, g binary, h binary")
+        return sorted(_collected(sent.groupBy("class", "node").applyInArrow(grow, f"class long, node long, {_TREE}"), edges), key=lambda t: t[:2])
 
     def _splits(self, blocks: DataFrame, recent: list[list[Tree]], growing: list[Tree], open_: list[list[int]], r: int, classes: int, width: int) -> list[tuple]:
-        """``class, node, feature, gain, bin, gl, hl, g, h`` of each open node's best split, by class and node; a gain of 0: none."""
-        bins, seed, subsample, least, penalty = self.bins, self.seed, self.subsample, self.least, self.penalty
+        """``class, node, feature, gain, bin, gl, hl, nl, g, h, n`` of each open node's best split, by class and node; a gain of 0: none.
+        (First and second derivatives and rows, left of the split and in all.)
+        """
+        bins, seed, subsample, least, rule = self.bins, self.seed, self.subsample, self.least, self.rule
         shared = blocks.sparkSession.sparkContext.broadcast((recent, growing, open_))
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             recent, growing, open_ = shared.value
-            sums = [np.zeros((2, len(own) * width * bins), "i8") for own in open_]
+            sums = [np.zeros((3, len(own) * width * bins), "i8") for own in open_]
             for batch in batches:
                 for i in range(batch.num_rows):
                     x, code, margins = _open(batch, i, recent, classes, width)
-                    chance = softmax(margins)
-                    drawn = np.random.default_rng([seed, r, batch.column(0)[i].as_py()]).random(len(x)) < subsample if subsample < 1 else np.ones(len(x), bool)
+                    chance, drawn = softmax(margins), _drawn(seed, r, batch.column(0)[i].as_py(), len(x), subsample)
                     for k, own in enumerate(open_):
                         if not own:
                             continue
@@ -238,42 +354,133 @@ class SoftmaxBooster:
                         place[own] = np.arange(len(own))
                         at = place[growing[k].leaves(x, growing[k].bin)]
                         rows = np.flatnonzero((at >= 0) & drawn)
-                        p = chance[rows, k]
                         cell = ((at[rows, None] * width + np.arange(width)) * bins + x[rows]).ravel()
-                        for s, d in enumerate((p - (code[rows] == k), p * (1 - p))):
-                            part = np.bincount(cell, np.repeat(np.rint(d * PARTS), width), sums[k].shape[1])
+                        for s, d in enumerate((*_derivatives(chance[rows, k], code[rows] == k), np.ones(len(rows)))):
+                            part = np.bincount(cell, np.repeat(d, width), sums[k].shape[1])
                             sums[k][s] += part.astype("i8")
             for k, own in enumerate(open_):
                 if not own:
                     continue
-                g, h = sums[k].reshape(2, -1, bins)
-                keep = np.flatnonzero(h.any(axis=1) | g.any(axis=1))
-                lists = [pa.FixedSizeListArray.from_arrays(pa.array(s[keep].ravel()), bins).cast(pa.list_(pa.int64())) for s in (g, h)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), k)), pa.array(np.array(own, "i8")[keep // width]), pa.array(keep % width), *lists], ["class", "node", "feature", "g", "h"])
+                own_sums = sums[k].reshape(3, -1, bins)
+                keep = np.flatnonzero(own_sums[2].any(axis=1))
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(s[keep].ravel()), bins).cast(pa.list_(pa.int64())) for s in own_sums]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), k)), pa.array(np.array(own, "i8")[keep // width]), pa.array(keep % width), *lists], ["class", "node", "feature", "g", "h", "n"])
 
         def best(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            g, h = (np.asarray(table.column(s).combine_chunks().flatten(), "i8").reshape(-1, bins).sum(axis=0) for s in ("g", "h"))
-            gl, hl = np.cumsum(g)[:-1], np.cumsum(h)[:-1]
+            g, h, n = (np.asarray(table.column(s).combine_chunks().flatten(), "i8").reshape(-1, bins).sum(axis=0) for s in ("g", "h", "n"))
+            gl, hl, nl = (np.cumsum(s)[:-1] for s in (g, h, n))
             whole_g, whole_h = int(g.sum()), int(h.sum())
-
-            def strength(a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
-                return (np.asarray(a) / PARTS) ** 2 / (np.asarray(b) / PARTS + penalty)
-
-            gain = strength(gl, hl) + strength(whole_g - gl, whole_h - hl) - strength(whole_g, whole_h)
+            gain = rule.strength(gl, hl) + rule.strength(whole_g - gl, whole_h - hl) - rule.strength(whole_g, whole_h)
             gain = np.where((hl >= least * PARTS) & (whole_h - hl >= least * PARTS), gain, 0.0)
             at = int(gain.argmax())
-            row = [k.as_py() for k in key] + [max(0.0, float(gain[at])), at, int(gl[at]), int(hl[at]), whole_g, whole_h]
+            row = [k.as_py() for k in key] + [max(0.0, float(gain[at])), at, int(gl[at]), int(hl[at]), int(nl[at]), whole_g, whole_h, int(n.sum())]
             return pa.table([[v] for v in row], schema=_SPLIT)
 
-        sums = blocks.mapInArrow(add, "class long, node long, feature long, g array<long>, h array<long>")
-        each = sums.groupBy("class", "node", "feature").applyInArrow(best, "class long, node long, feature long, gain double, bin long, gl long, hl long, g long, h long")
-        chosen = each.groupBy("class", "node").agg(F.max(F.struct("gain", (-F.col("feature")).alias("order"), "feature", "bin", "gl", "hl", "g", "h")).alias("s"))
-        found = chosen.select("class", "node", "s.feature", "s.gain", "s.bin", "s.gl", "s.hl", "s.g", "s.h").collect()  # a row a node
+        sums = blocks.mapInArrow(add, "class long, node long, feature long, g array<long>, h array<long>, n array<long>")
+        each = sums.groupBy("class", "node", "feature").applyInArrow(best, ", ".join(f"{f.name} {'double' if f.name == 'gain' else 'long'}" for f in _SPLIT))
+        chosen = each.groupBy("class", "node").agg(F.max(F.struct("gain", (-F.col("feature")).alias("order"), "feature", "bin", "gl", "hl", "nl", "g", "h", "n")).alias("s"))
+        found = chosen.select("class", "node", *[f"s.{c}" for c in ("feature", "gain", "bin", "gl", "hl", "nl", "g", "h", "n")]).collect()  # a row a node
         return sorted(tuple(x) for x in found)
 
 
 _BLOCKS = "block long, n long, bins binary, code binary, margins binary"
-_SPLIT = pa.schema([("class", pa.int64()), ("node", pa.int64()), ("feature", pa.int64()), ("gain", pa.float64()), ("bin", pa.int64()), ("gl", pa.int64()), ("hl", pa.int64()), ("g", pa.int64()), ("h", pa.int64())])
+_TREE = "feature array<long>, bin array<long>, left array<long>, right array<long>, value array<double>, gain array<double>"
+_SPLIT = pa.schema([(c, pa.float64() if c == "gain" else pa.int64()) for c in ("class", "node", "feature", "gain", "bin", "gl", "hl", "nl", "g", "h", "n")])
+
+
+def _drawn(seed: int, r: int, block: int, n: int, subsample: float) -> np.ndarray:
+    """Which of a block's rows a round is grown on."""
+    return np.random.default_rng([seed, r, block]).random(n) < subsample if subsample < 1 else np.ones(n, bool)
+
+
+def _derivatives(p: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and second ones of a class's margins, in parts."""
+    return np.rint((p - own) * PARTS), np.rint(p * (1 - p) * PARTS)
+
+
+def _grown(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rule: Rule) -> tuple[Tree, np.ndarray]:
+    """The tree of binned rows that are all here (its edges are left 0), and the node that each row ends in. Rows with derivatives
+    of 0 don't count. Nodes are those that jobs by level find, in the same order.
+    """
+    (n, width), bins, least = x.shape, rule.bins, np.ceil(rule.least * PARTS)
+    cells = np.arange(width, dtype="i4") * bins
+    at = np.zeros(n, "i8")
+    level = [np.array([-1]), np.array([0]), np.array([-1]), np.array([-1]), rule.value(g.sum(keepdims=True), h.sum(keepdims=True)), np.zeros(1)]
+    levels, first = [level], 0
+    # Nodes of the level that may be split, their derivatives, and their rows one node after the other.
+    open_, whole_g, whole_h, rows, counts = np.array([0]), g.sum(keepdims=True), h.sum(keepdims=True), np.arange(n), np.array([n])
+    for _ in range(depth):
+        may = rule.splits(whole_h)
+        rows, open_, whole_g, whole_h, counts = rows[np.repeat(may, counts)], open_[may], whole_g[may], whole_h[may], counts[may]
+        if not len(open_):
+            break
+        starts = np.r_[0, np.cumsum(counts)]
+        best = np.zeros(len(open_), "i8")
+        gain, gl, hl = np.zeros((3, len(open_)))
+        some = max(1, STEP // (width * bins))
+        for a in range(0, len(open_), some):
+            b = min(a + some, len(open_))
+            owner, sums = np.repeat(np.arange(b - a), counts[a:b]), 0.0
+            for start in range(starts[a], starts[b], max(1, STEP // width)):
+                part = rows[start : min(start + max(1, STEP // width), starts[b])]
+                cell = ((owner[start - starts[a] :][: len(part)] * (width * bins))[:, None] + (x[part] + cells)).ravel()
+                sums = sums + np.stack([np.bincount(cell, np.repeat(d[part], width), (b - a) * width * bins) for d in (g, h)])
+            left_g, left_h = (np.cumsum(s.reshape(-1, bins), axis=1).reshape(b - a, -1) for s in sums)
+            # A split is after a bin that has something; after an empty one it would be the same again.
+            fits = sums.any(axis=0).reshape(b - a, -1) & (left_h >= least) & (left_h <= (whole_h[a:b] - least)[:, None])
+            many, cell = np.count_nonzero(fits, axis=1), np.flatnonzero(fits)
+            some_fit = np.flatnonzero(many)
+            if not len(some_fit):
+                continue
+            lg, lh, wg, wh = left_g.ravel()[cell], left_h.ravel()[cell], np.repeat(whole_g[a:b], many), np.repeat(whole_h[a:b], many)
+            gains = rule.strength(lg, lh) + rule.strength(wg - lg, wh - lh) - rule.strength(wg, wh)
+            begins = (np.cumsum(many) - many)[some_fit]
+            most = np.maximum.reduceat(gains, begins)
+            tops = np.flatnonzero(gains == np.repeat(most, many[some_fit]))
+            top = tops[np.searchsorted(tops, begins)]
+            own = a + some_fit
+            best[own], gain[own], gl[own], hl[own] = cell[top] - some_fit * (width * bins), most, lg[top], lh[top]
+        split = np.flatnonzero(gain > 1e-9)
+        if not len(split):
+            break
+        left = first + len(level[0]) + 2 * np.arange(len(split))
+        for column, v in zip(level, (best[split] // bins, best[split] % bins, left, left + 1, None, gain[split]), strict=True):
+            if v is not None:
+                column[open_[split] - first] = v
+        # Rows of nodes that are split, dealt to the children in the nodes' order.
+        has = np.zeros(len(open_), bool)
+        has[split] = True
+        rows = rows[np.repeat(has, counts)]
+        of = np.repeat(np.arange(len(split)), counts[split])
+        child = 2 * of + (x[rows, best[split][of] // bins] > best[split][of] % bins)
+        at[rows] = left[0] + child
+        rows, counts = rows[np.argsort(child, kind="stable")], np.bincount(child, minlength=2 * len(split))
+        whole_g, whole_h = (np.stack([s[split], w[split] - s[split]], axis=1).ravel() for s, w in ((gl, whole_g), (hl, whole_h)))
+        first, many = first + len(level[0]), 2 * len(split)
+        open_ = first + np.arange(many)
+        level = [np.full(many, -1), np.zeros(many, "i8"), np.full(many, -1), np.full(many, -1), rule.value(whole_g, whole_h), np.zeros(many)]
+        levels.append(level)
+    feature, bin_, left, right, value, gain = (np.concatenate(c) for c in zip(*levels, strict=True))
+    return Tree(feature, bin_, np.zeros(len(feature)), left, right, value, gain), at
+
+
+def _rows(keys: list[tuple[int, int]], trees: list[Tree], second: str = "class") -> pa.RecordBatch:
+    """A row a tree: two keys, and the nodes' columns but ``edge``."""
+    columns = [c for c in Tree._fields if c != "edge"]
+    lists = [pa.array([getattr(tree, c) for tree in trees], pa.list_(pa.float64() if c in ("value", "gain") else pa.int64())) for c in columns]
+    return pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in zip(*keys, strict=True)), *lists], ["round" if second == "class" else "class", second, *columns])
+
+
+def _collected(table: DataFrame, edges: list[np.ndarray]) -> list[tuple[int, int, Tree]]:
+    """The keys and trees of such rows, with their edges: the model."""
+    ends, out = np.zeros((len(edges), max(map(len, edges)))), []
+    for f, e in enumerate(edges):
+        ends[f, : len(e)] = e
+    for batch in table.toArrow().to_batches():
+        for i in range(batch.num_rows):
+            feature, bin_, left, right, value, gain = (batch.column(k)[i].values.to_numpy(zero_copy_only=False) for k in range(2, 8))
+            out.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), Tree(feature, bin_, np.where(feature >= 0, ends[feature, bin_], 0.0), left, right, value, gain)))
+    return out
 
 
 def _open(batch: pa.RecordBatch, i: int, recent: list[list[Tree]], classes: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -51,3 +51,21 @@ def test_csv_discovery_by_many_tasks(spark, tmp_path, monkeypatch, rows):
     monkeypatch.setattr(catalogue, "_folder", lambda spark: f"{tmp_path}/out")
     assert tuple(catalogue.csv_discovery(spark, str(tmp_path)).first()) == (2 if rows else 0, rows)
     assert len([*tmp_path.glob("out/**/*.csv")]) > 3 or not rows
+
+
+def test_search_report_tries_the_whole_grid(spark, monkeypatch):
+    """All 36 combinations of 100 to 300 rounds over 3 folds, on all labelled rows and components."""
+    from flowmill.plans import catalogue
+
+    asked = {}
+
+    def search(train, test, label, features, options, make, key, **how):
+        asked.update(rows=train.count() + test.count(), features=features, options=options, folds=how["k"])
+        return None, None, None, "report"
+
+    monkeypatch.setattr(catalogue.models, "search", search)
+    assert catalogue.search_report(spark, SF) == "report"
+    values = {n: {x[n] for x in asked["options"]} for n in asked["options"][0]}
+    assert values == {"rounds": {100, 200, 300}, "depth": {5, 10, 20}, "rate": {0.01, 0.1}, "subsample": {0.8, 1.0}}
+    assert len(asked["options"]) == 36 and asked["folds"] == 3 and asked["features"] == catalogue.DIMS
+    assert asked["rows"] == spark.read.parquet(f"{SF}/embeddings.parquet").where("label is not null").count()
