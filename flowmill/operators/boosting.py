@@ -197,8 +197,8 @@ class SoftmaxBooster:
     def fit(self, rows: DataFrame | Binned) -> SoftmaxModel:
         """The model of rows, or of what :meth:`binned` made of them."""
         blocks, edges, width, classes, n = rows if isinstance(rows, Binned) else self.binned(rows)
-        if n * max(64, width, 8 * classes) <= CELLS:
-            return SoftmaxModel(self._whole(blocks, classes, width, edges), classes, width)
+        if self.fits_task(rows := Binned(blocks, edges, width, classes, n)):
+            return SoftmaxModel(self._whole(rows), classes, width)
         trees: list[list[Tree]] = []
         folded = 0
         for r in range(self.rounds):
@@ -207,27 +207,51 @@ class SoftmaxBooster:
             trees.append(self._round(blocks, trees[folded:], r, classes, width, n, edges))
         return SoftmaxModel(trees, classes, width)
 
-    def _whole(self, blocks: DataFrame, classes: int, width: int, edges: list[np.ndarray]) -> list[list[Tree]]:
+    def fits_task(self, rows: Binned) -> bool:
+        """Whether one task may hold these rows."""
+        return rows.n * max(64, rows.width, 8 * rows.classes) <= CELLS
+
+    def _whole(self, rows: Binned) -> list[list[Tree]]:
         """All rounds, grown by one task from at most CELLS cells."""
-        rounds, depth, seed, subsample, rule = self.rounds, self.depth, self.seed, self.subsample, self.rule
+        rounds, depth, rule, draw, classes, width = self.rounds, self.depth, self.rule, (self.seed, self.subsample), rows.classes, rows.width
 
         def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = [(batch.column(0)[i].as_py(), *_open(batch, i, [], classes, width)) for batch in batches for i in range(batch.num_rows)]
-            x, code, margins = (np.concatenate(part) for part in [*zip(*own, strict=True)][1:])
-            for r in range(rounds):
-                drawn = np.concatenate([_drawn(seed, r, block, len(part), subsample) for block, part, _, _ in own])
-                chance, trees = softmax(margins), []
-                for k in range(classes):
-                    tree, at = _grown(x, *(np.where(drawn, d, 0.0) for d in _derivatives(chance[:, k], code == k)), depth, rule)
-                    margins[:, k] += tree.value[at]
-                    trees.append(tree)
+            for r, trees in enumerate(_rounds(own, rounds, depth, classes, rule, *draw)):
                 yield _rows([(r, k) for k in range(classes)], trees)
 
         trees = [[None] * classes for _ in range(rounds)]
-        for r, k, tree in _collected(blocks.coalesce(1).mapInArrow(grow, f"round long, class long, {_TREE}"), edges):
+        for r, k, tree in _collected(rows.blocks.coalesce(1).mapInArrow(grow, f"round long, class long, {_TREE}"), rows.edges):
             trees[r][k] = tree
         return trees
 
+    def held_blocks(self, held: DataFrame, rows: Binned) -> DataFrame:
+        """Rows that aren't learnt from, cut into the bins of those that are."""
+        return cut(self._blocks(held.select(vector_to_array("features").alias("x"), F.col("code").cast("int").alias("code")), rows.edges))
+
+    def held_predictions(self, rows: Binned, held: DataFrame, sizes: list[int]) -> DataFrame:
+        """``rounds, code, prediction`` of :meth:`held_blocks` after each of these numbers of rounds, by the task that grows the
+        trees (:meth:`fits_task`) and keeps none: no model goes to the driver.
+        """
+        depth, rule, draw, classes, width = self.depth, self.rule, (self.seed, self.subsample), rows.classes, rows.width
+
+        def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own: tuple[list, list] = ([], [])
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    own[batch.column(5)[i].as_py()].append((batch.column(0)[i].as_py(), *_open(batch, i, [], classes, width)))
+            if not own[1]:
+                return
+            x, code, margins = (np.concatenate(part) for part in [*zip(*own[1], strict=True)][1:])
+            for r, trees in enumerate(_rounds(own[0], max(sizes), depth, classes, rule, *draw), 1):
+                for k, tree in enumerate(trees):
+                    margins[:, k] += tree.value[tree.leaves(x, tree.bin)]
+                if r in sizes:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), r), pa.int32()), pa.array(code, pa.int32()), pa.array(softmax(margins).argmax(axis=1), pa.int32())], ["rounds", "code", "prediction"])
+
+        both = rows.blocks.withColumn("held", F.lit(0)).unionAll(held.withColumn("held", F.lit(1)))
+        return both.coalesce(1).mapInArrow(grow, "rounds int, code int, prediction int")
+
     def _edges(self, rows: DataFrame, width: int) -> list[np.ndarray]:
         """Of each feature the values that bins end at."""
         points, out = [j / self.bins for j in range(1, self.bins)], []
@@ -384,7 +408,7 @@ class SoftmaxBooster:
 
 
 _BLOCKS = "block long, n long, bins binary, code binary, margins binary"
-_TREE = "feature array<long>, bin array<long>, left array<long>, right array<long>, value array<double>, gain array<double>"
+_TREE = "feature array<int>, bin array<int>, left array<int>, right array<int>, value array<double>, gain array<double>"
 _SPLIT = pa.schema([(c, pa.float64() if c == "gain" else pa.int64()) for c in ("class", "node", "feature", "gain", "bin", "gl", "hl", "nl", "g", "h", "n")])
 
 
@@ -393,6 +417,19 @@ def _drawn(seed: int, r: int, block: int, n: int, subsample: float) -> np.ndarra
     return np.random.default_rng([seed, r, block]).random(n) < subsample if subsample < 1 else np.ones(n, bool)
 
 
+def _rounds(own: list[tuple], rounds: int, depth: int, classes: int, rule: Rule, seed: int, subsample: float) -> Iterator[list[Tree]]:
+    """The trees of each round by class, grown from blocks (number, binned values, codes, margins) that are all here; edges are left 0."""
+    x, code, margins = (np.concatenate(part) for part in [*zip(*own, strict=True)][1:])
+    for r in range(rounds):
+        drawn = np.concatenate([_drawn(seed, r, block, len(part), subsample) for block, part, _, _ in own])
+        chance, trees = softmax(margins), []
+        for k in range(classes):
+            tree, at = _grown(x, *(np.where(drawn, d, 0.0) for d in _derivatives(chance[:, k], code == k)), depth, rule)
+            margins[:, k] += tree.value[at]
+            trees.append(tree)
+        yield trees
+
+
 def _derivatives(p: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first and second ones of a class's margins, in parts."""
     return np.rint((p - own) * PARTS), np.rint(p * (1 - p) * PARTS)
@@ -467,7 +504,7 @@ def _grown(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rule: Rule)
 def _rows(keys: list[tuple[int, int]], trees: list[Tree], second: str = "class") -> pa.RecordBatch:
     """A row a tree: two keys, and the nodes' columns but ``edge``."""
     columns = [c for c in Tree._fields if c != "edge"]
-    lists = [pa.array([getattr(tree, c) for tree in trees], pa.list_(pa.float64() if c in ("value", "gain") else pa.int64())) for c in columns]
+    lists = [pa.array([getattr(tree, c) for tree in trees], pa.list_(pa.float64() if c in ("value", "gain") else pa.int32())) for c in columns]
     return pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in zip(*keys, strict=True)), *lists], ["round" if second == "class" else "class", second, *columns])
 
 
