@@ -276,8 +276,10 @@ def tune(df: DataFrame, label: str, features: list[str], options: list[dict], ma
         out = [(inputs, str(x), fold, f1, took * (x[size] / largest[size] if size else 1.0)) for x, f1 in zip(todo, scores, strict=True)]
         spark.createDataFrame(out, schema).coalesce(1).write.parquet(f"{folder}/fit-{uuid4().hex}")  # one job's files can't meet another's
 
+    # Those that take longest come first, so that none of them is left alone at the end.
+    longest = sorted(shared.values(), key=lambda alike: -max(x.get("depth", 1) * max(x.get(n, 1) for n in SIZES) for x in alike))
     with ThreadPoolExecutor(max(1, parallel)) as pool:
-        for done in [pool.submit(fit, alike, fold) for alike in shared.values() for fold in range(k)]:
+        for done in [pool.submit(fit, alike, fold) for alike in longest for fold in range(k)]:
             done.result()
     return _results(spark, folder, schema).where(F.col("inputs") == inputs).drop("inputs")
 

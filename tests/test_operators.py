@@ -719,3 +719,43 @@ def test_searches_of_few_rows_send_no_model_to_the_driver(spark, noisy, monkeypa
     assert len(got) == 4 and not fits
     monkeypatch.setattr(boosting, "CELLS", 0)
     assert tried() == pytest.approx(got, abs=1e-12) and len(fits) == 2
+
+
+@pytest.mark.parametrize("bins", [64, 13, 256])
+def test_trees_are_the_same_by_sums_and_by_order(monkeypatch, bins):
+    """However nodes are split; and where a parent's sums are held, rows of the larger child aren't added up again."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, bins, (3000, 5)).astype("u1")
+    x[:, 3] //= 7  # many ties
+    x[:, 4] = x[:, 0]
+    y = (x[:, 0] // 2 + rng.integers(0, bins, 3000) > bins * 0.7).astype("i4") + (x[:, 1] > bins / 2)
+    added, sums = [], boosting._sums
+    monkeypatch.setattr(boosting, "_sums", lambda cells, rows, *more: added.append(len(rows)) or sums(cells, rows, *more))
+
+    def grown(few, held, step, depth=9, subsample=0.8):
+        for name, v in (("FEW", few), ("HELD", held), ("STEP", step)):
+            monkeypatch.setattr(boosting, name, v)
+        added.clear()
+        own = [(k, x[a : a + 1000], y[a : a + 1000], np.zeros((len(x[a : a + 1000]), 3))) for k, a in enumerate(range(0, 3000, 1000))]
+        return [tree for trees in boosting._rounds(own, 3, depth, 3, boosting.Rule(bins, 0.3, 1.0, 1.0), 1, subsample) for tree in trees]
+
+    want = grown(0, 1 << 40, 1 << 18)
+    whole = sum(added)
+    assert max(len(tree.feature) for tree in want) > 100 and set().union(*(set(tree.feature) for tree in want)) >= {-1, 0, 1, 3}
+    for few, held, step in ((1, 3, 1 << 18), (1, 3, 1 << 10), (0, 0, 1 << 18), (0.9, 1, 1 << 12), (250 / bins, 1 << 40, 1 << 14)):
+        for a, b in zip(grown(few, held, step), want, strict=True):
+            assert all(np.array_equal(u, v) for u, v in zip(a, b, strict=True))
+        assert not (few == held == 0) or sum(added) < whole / 2 + 9 * 3000
+    root_and_halves = grown(0, 0, 1 << 18, depth=6, subsample=1.0)
+    assert sum(added) <= len(root_and_halves) * 3000 * (1 + 6 / 2)
+
+
+def test_one_task_learns_from_the_rows_of_a_search():
+    """A refit of 72,000 rows takes no job a level and round."""
+    assert boosting.SoftmaxBooster().fits_task(boosting.Binned(None, [], 64, 3, 72_000))
+
+
+def test_searches_begin_with_the_longest_fits(spark, noisy):
+    options, made = models.grid(rounds=[1, 2], depth=[1, 3, 2]), []
+    models.tune(noisy[0], "label", ["f0", "f1"], options, lambda option: made.append((option["depth"], option["rounds"])) or models.boosting_of(option), ["id"], k=2, parallel=1)
+    assert made == [(3, 2), (3, 2), (2, 2), (2, 2), (1, 2), (1, 2)]
