@@ -497,7 +497,7 @@ def _grown(x: np.ndarray, cells: np.ndarray, g: np.ndarray, h: np.ndarray, depth
         for some in _parts(np.flatnonzero(few), counts, min(2048, STEP // 16 // width)):
             feature[some], bin_[some], found[:, some] = _split_by_order(x, _of_nodes(rows, starts, counts, some), counts[some], g, h, whole[:, some], least, rule)
         kept, places = [sums], len(sums)
-        for some in _parts(np.flatnonzero(~few), np.ones(len(open_), "i8"), max(1, STEP // 16 // (width * bins))):
+        for some in _parts(np.flatnonzero(~few), np.ones(len(open_), "i8"), max(1, STEP // 8 // (width * bins))):
             known, made = held[some] >= 0, np.empty((len(some), *sums.shape[1:]))
             made[known] = sums[held[some[known]]]
             if not known.all():
